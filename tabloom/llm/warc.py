@@ -1,7 +1,7 @@
 r"""WARC archives and an external merge of their capture indexes.
 
 `write_archive` turns rows into WARC/1.1 records (response, or revisit for a repeated payload) and lets Spark's text
-writer store them, so archives can lie in any store Spark writes to; `read_archive` parses whole files back by their
+writer store them gzipped, so archives can lie in any store Spark writes to; `read_archive` parses whole files back by their
 Content-Length. Every archive file yields one capture run, sorted by URL key and time. `merge_runs` joins the runs to
 one global order: keys are dealt to ranges, and within a range a loser tree merges the sorted runs.
 
@@ -13,6 +13,7 @@ are all responses; an empty table gives an empty result; extra columns are ignor
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 
@@ -71,7 +72,7 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
         F.lit(f"{CRLF}X-Payload-Length: "), F.col("_bytes").cast("string"),
         F.lit(f"{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(body).cast("string"), F.lit(CRLF * 2), body,
     )
-    marked.select(text.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    marked.select(text.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def url_key(url: str) -> str:
@@ -109,7 +110,7 @@ def read_archive(spark, path: str) -> DataFrame:
     def parse(batches):
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"]):
-                rows = pd.DataFrame(list(_records(name.rsplit("/", 1)[-1], bytes(data))), columns=columns)
+                rows = pd.DataFrame(list(_records(name.rsplit("/", 1)[-1], gzip.decompress(data))), columns=columns)
                 for c in ("page_id", "refers_to"):
                     rows[c] = rows[c].astype("Int64")
                 yield rows
