@@ -78,3 +78,36 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def with_first(df: DataFrame, keys: list[str], value: str, name: str, salts: int = 32) -> DataFrame:
+    """Adds the smallest `value` of the rows that agree in keys (not null).
+
+    Minima are taken by keys and salt first and joined back by keys and salt, so that no group meets in one task.
+    """
+    own = df.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
+    parts = own.groupBy(*keys, "_salt").agg(F.min(value).alias("_m"))
+    firsts = parts.groupBy(*keys).agg(F.min("_m").alias(name), F.collect_set("_salt").alias("_salts"))
+    return own.join(firsts.select(*keys, name, F.explode("_salts").alias("_salt")), [*keys, "_salt"]).drop("_salt")
+
+
+def sound(vector: str) -> F.Column:
+    """True for vectors that have a direction: not null, only finite components, not all zero."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+class small_batches:
+    """Rows that carry packed blocks go to Python a few at a time while this is entered."""
+
+    KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def __init__(self, spark: SparkSession, rows: int = 8):
+        self.spark, self.rows = spark, rows
+
+    def __enter__(self):
+        self.old = self.spark.conf.get(self.KEY)
+        self.spark.conf.set(self.KEY, str(self.rows))
+
+    def __exit__(self, *_):
+        self.spark.conf.set(self.KEY, self.old)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, warc
+from . import bagminhash, brown, collision, linededup, mixing, multiindex, packing, sharding, toxicity, warc
 from ._common import load
 
 SHARDS, OLD_SHARDS = 40, 32
@@ -20,11 +20,41 @@ def op1_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number_slots(rows).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_collision_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+def op3_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the smallest doc_id of its near-duplicate class."""
+    return bagminhash.dedup(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
+
+
+def op4_suffix_array_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with what is left of its text once later copies of repeated runs of 50 words or more are deleted."""
+    return linededup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive(load(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels"), held_out=toxicity.held_out())
+    scored = toxicity.score(docs, model, keep_text=False)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
+def op7_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(load(spark, sf_dir, "documents").select("doc_id", "text"), brown.held_out())
+
+
+def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found by inner product of every vector whose id is divisible by 20."""
+    return multiindex.search(load(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op9_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -35,10 +65,20 @@ def op10_linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_flow_resharding, op5_warc_index_merge, op9_subset_sum_mix, op10_linear_grouping_pack)}
+QUERIES = {f.__name__: f for f in (op1_flow_resharding, op2_collision_near_dedup, op3_bagminhash_near_dedup, op4_suffix_array_line_dedup, op5_warc_index_merge, op6_ftrl_toxicity, op7_brown_class_lm, op8_inverted_multi_index, op9_subset_sum_mix, op10_linear_grouping_pack)}
 
 _DIGIT = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {10 * k + 1}, 10))::BIGINT >> {35 - 5 * j}) & 31)::INT + 1, 1)" for k in range(4) for j in range(8))
 ORACLES = {
+    "op2_collision_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
     "op5_warc_index_merge": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {_DIGIT} AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
