@@ -1 +1 @@
-
+"""Readers and writers of business tables."""
