@@ -186,7 +186,7 @@ def allocate_largest_remainder(df: DataFrame, by: list[str], amount: str, weight
     df = df.withColumn("_f", F.floor(F.try_divide(exact, F.col("_w"))).cast("decimal(20,0)")).withColumn("_r", exact - (F.col("_f") * F.col("_w")).cast("decimal(38,6)"))
     df = df.withColumn("_left", F.col("_u") - F.sum("_f").over(w)).withColumn("_n", F.row_number().over(w.orderBy(F.when(wt > 0, 0).otherwise(1), F.desc("_r"), *order_by)))
     cents = F.col("_f") + F.when((F.col("_n") <= F.col("_left")) & (wt > 0), 1).otherwise(0)
-    return df.withColumn(name, (F.signum(col(amount)).cast("int") * cents / 100).cast("decimal(18,2)")).drop("_u", "_w", "_f", "_r", "_left", "_n")
+    return df.withColumn(name, F.coalesce((F.signum(col(amount)).cast("int") * cents / 100).cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))).drop("_u", "_w", "_f", "_r", "_left", "_n")
 
 
 def allocate_last_residual(df: DataFrame, by: list[str], amount: str, weight: str, order_by: list[str], name: str = "allocated") -> DataFrame:

@@ -36,10 +36,14 @@ def normalized(column: Column, suffixes: tuple[str, ...] = COMPANY_SUFFIXES) ->
     return clean(column.cast("string"))
 
 
-@F.pandas_udf("double")
-def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def text_ratio(a: str | Column, b: str | Column) -> Column:
     """Ratcliff-Obershelp similarity."""
-    return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() if x is not None and y is not None else None for x, y in zip(a, b)])
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p, q, autojunk=False).ratio() if p is not None and q is not None else None for p, q in zip(x, y)])
+
+    return ratio(col(a), col(b))
 
 
 def fuzzy_lookup(source: DataFrame, lookup: DataFrame, source_key: str, lookup_key: str, values: list[str], threshold: float = 0.85, gap: float = 0.03, floor: float = 0.6) -> DataFrame:
