@@ -25,15 +25,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, mix64
+from ._common import materialize, mix64, small_batches
 from .graph import components
 from .linededup import first_copies
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
-#: Signature positions that must agree before a pair is verified: five deviations below the threshold.
-LEAST = 0.8 - 5 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
+#: Signature positions; bands use the first of them, all of them judge a candidate.
+POSITIONS = 256
+#: Deviations below the threshold that a candidate's agreement may lie: a linked pair falls below in 3 of a million cases.
+SLACK = 4.5
+#: Texts of one packed block of a bucket.
+BLOCK = 256
 CACHE = 300_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,7 +77,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
-def signatures(multisets: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndarray:
+def signatures(multisets: list[np.ndarray], size: int = POSITIONS) -> np.ndarray:
     """(texts, size) uint32 signatures; texts without elements get zeros."""
     n_docs = len(multisets)
     best = np.full(n_docs * size, np.inf)
@@ -123,7 +127,7 @@ def signatures(multisets: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndar
 
 
 def sketch(docs: DataFrame, text: str, words: int = WORDS) -> DataFrame:
-    """(_rid, _d, sig, bands) of rows with shingles."""
+    """(_rid, _d, sig, bands) of rows with shingles; sig keeps 16 bits of every position."""
 
     def run(frames):
         hashes = WordHashes()
@@ -133,29 +137,72 @@ def sketch(docs: DataFrame, text: str, words: int = WORDS) -> DataFrame:
                 sets = [shingles(x, hashes, words) for x in part[text]]
                 sig = signatures(sets)
                 some = np.array([len(s) > 0 for s in sets], bool)
+                if not some.any():
+                    continue
                 key = np.zeros((len(part), BANDS), np.uint64)
                 for j in range(ROWS):
-                    key = mix64(key * _GOLD + sig[:, j::ROWS][:, :BANDS])
+                    key = mix64(key * _GOLD + sig[:, j * BANDS : (j + 1) * BANDS])
                 key = mix64(key + np.arange(BANDS, dtype=np.uint64) * _GOLD).view(np.int64)
-                yield pd.DataFrame({"_rid": part["_rid"][some], "_d": part["_d"][some], "sig": [s.tobytes() for s in sig[some]], "bands": list(key[some])})
+                yield pd.DataFrame({"_rid": part["_rid"][some], "_d": part["_d"][some], "sig": [s.tobytes() for s in sig[some].astype(np.uint16)], "bands": list(key[some])})
 
     return docs.select("_rid", "_d", text).mapInPandas(run, "_rid long, _d long, sig binary, bands array<long>")
 
 
-def _agree(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def least_agreement(threshold: float) -> float:
+    return threshold - SLACK * (threshold * (1 - threshold) / POSITIONS) ** 0.5
+
+
+def _agree(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose signatures agree often enough to be verified."""
 
     def run(frames):
         for frame in frames:
             if len(frame):
-                x = np.frombuffer(b"".join(frame["sa"]), np.uint32).reshape(len(frame), -1)
-                y = np.frombuffer(b"".join(frame["sb"]), np.uint32).reshape(len(frame), -1)
-                yield frame.loc[(x == y).mean(axis=1) >= LEAST, ["a", "b"]]
+                x = np.frombuffer(b"".join(frame["sa"]), np.uint16).reshape(len(frame), -1)
+                y = np.frombuffer(b"".join(frame["sb"]), np.uint16).reshape(len(frame), -1)
+                yield frame.loc[(x == y).mean(axis=1) >= least_agreement(threshold), ["a", "b"]]
 
     both = pairs.join(sigs.select(F.col("_rid").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("_rid").alias("b"), F.col("sig").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
+def _across(mixed: DataFrame, threshold: float) -> DataFrame:
+    """mixed: band, _rid, component, outside, sig of buckets with several components. Pairs (a, b) of a bucket that agree often
+    enough, lie in different components, and of which one is outside the bucket's largest; counted in packed blocks."""
+    n = mixed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = mixed.join(n, "band").withColumn("block", F.pmod(F.xxhash64("_rid"), F.col("blocks")).cast("int"))
+    packed = dealt.groupBy("band", "block").agg(F.collect_list(F.struct("_rid", "component", "outside", "sig")).alias("m"), F.max(F.col("outside").cast("int")).alias("some"))
+    other = packed.select("band", F.col("block").alias("block_b"), F.col("m").alias("n"), F.col("some").alias("some_b"))
+    met = packed.join(other, "band").where("block <= block_b and some + some_b > 0")
+    side = lambda m, p: [F.transform(m, lambda x: x["_rid"]).alias(f"r{p}"), F.transform(m, lambda x: x["component"]).alias(f"c{p}"), F.transform(m, lambda x: x["outside"].cast("int")).alias(f"o{p}"), F.transform(m, lambda x: x["sig"]).alias(f"s{p}")]
+    met = met.select((F.col("block") == F.col("block_b")).alias("same"), *side("m", "a"), *side("n", "b"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        least = int(np.ceil(least_agreement(threshold) * POSITIONS))
+        for batch in batches:
+            cols = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            out_a, out_b = [], []
+            for k in range(batch.num_rows):
+                get = lambda name: np.array(cols[name][k].values)  # noqa: B023, E731
+                ra, ca, oa, rb, cb, ob = (get(x) for x in ("ra", "ca", "oa", "rb", "cb", "ob"))
+                sa, sb = (np.frombuffer(b"".join(cols[x][k].as_py()), np.uint16).reshape(-1, POSITIONS) for x in ("sa", "sb"))
+                open_ = (ca[:, None] != cb[None, :]) & ((oa[:, None] + ob[None, :]) > 0)
+                if cols["same"][k].as_py():
+                    open_ &= np.arange(len(ra))[:, None] < np.arange(len(rb))[None, :]
+                for i in np.flatnonzero(open_.any(axis=1)):
+                    j = np.flatnonzero(open_[i])
+                    j = j[(sb[j] == sa[i]).sum(axis=1) >= least]
+                    out_a.append(np.full(len(j), ra[i]))
+                    out_b.append(rb[j])
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a), pa.int64()), pa.array(np.concatenate(out_b), pa.int64())], names=["a", "b"])
+
+    with small_batches(mixed.sparkSession, 64):
+        return materialize(met.mapInArrow(run, "a long, b long"), "across")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
     """Of pairs (a, b), those of at least the threshold. Every text meets its pairs once, pairs then meet by number."""
     ends = pairs.withColumn("p", F.xxhash64("a", "b")).select("p", "a", "b", F.explode(F.array("a", "b")).alias("_rid"))
@@ -176,33 +223,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     _rid is xxhash64(4, key, text), as row_hash() gives it; null texts have classes of their own.
     """
     copies = materialize(first_copies(docs, key, text), "copies")
-    body = docs.where(F.col(text).isNotNull()).select(row_hash(key, text).alias("_rid"), F.col(text).alias("text"))
-    order = copies.where("_first").select("_rid", "_d")
-    sketches = materialize(sketch(body.join(order, "_rid"), "text", words).dropDuplicates(["_rid"]), "sketches")
+    order = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("_d")
+    body = docs.where(F.col(text).isNotNull()).select(row_hash(key, text).alias("_rid"), order, F.col(text).alias("text"))
+    # copies are sketched where they lie and dropped after, which is cheaper than shuffling texts
+    sketches = materialize(sketch(body, "text", words).join(copies.where("_first").select("_rid"), "_rid", "left_semi").dropDuplicates(["_rid"]), "sketches")
     sigs = sketches.select("_rid", "sig")
     bucket = sketches.select("_rid", "_d", F.explode("bands").alias("band"))
     several = bucket.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_rid"))["_rid"].alias("lead")).where("n > 1")
     bucket = materialize(bucket.join(several.select("band", "lead"), "band"), "buckets")
+    texts = materialize(body.select("_rid", "text").join(bucket.select("_rid").distinct(), "_rid", "left_semi"), "bucket-texts")
 
-    def step(pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def step(pairs: DataFrame, links: DataFrame | None, judged: bool = False) -> tuple[DataFrame, DataFrame]:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        chosen = materialize(_agree(pairs, sigs), "candidates")
-        found = _verify(chosen, body, threshold, words)
+        chosen = materialize(pairs if judged else _agree(pairs, sigs, threshold), "candidates")
+        found = _verify(chosen, texts, threshold, words)
         links = materialize(found if links is None else found.union(links).distinct(), "links")
         return links, materialize(components(links), "components")
 
     links, comp = step(bucket.where("_rid <> lead").select(F.col("lead").alias("a"), F.col("_rid").alias("b")), None)
     for last in (False, True):
         own = bucket.drop("lead").join(comp.select(F.col("node").alias("_rid"), "component"), "_rid", "left").withColumn("component", F.coalesce("component", "_rid"))
-        sizes = own.groupBy("band", "component").agg(F.count("*").alias("n"), F.min_by("_rid", F.xxhash64("band", "_rid")).alias("lead"), F.max_by("_rid", F.xxhash64("band", "_rid")).alias("lead2"))
+        by_hash = F.xxhash64("band", "_rid")
+        sizes = own.groupBy("band", "component").agg(F.count("*").alias("n"), F.min_by("_rid", by_hash).alias("lead"), F.max_by("_rid", by_hash).alias("lead2"))
         mixed = sizes.groupBy("band").agg(F.count("*").alias("k"), F.max_by(F.struct("component", "lead", "lead2"), F.struct("n", "component")).alias("top")).where("k > 1")
-        outside = own.join(mixed.select("band", "top"), "band").where(F.col("component") != F.col("top.component"))
-        if last:  # what is still outside meets every member of its buckets
-            outside = materialize(outside.select("band", "_rid", "component"), "outside")
-            pairs = outside.select("band", F.col("_rid").alias("a"), F.col("component").alias("ca")).join(own.select("band", F.col("_rid").alias("b"), F.col("component").alias("cb")), "band").where("ca <> cb").select("a", "b")
-        else:  # and before that two members of the bucket's largest component, other ones in every band
-            pairs = outside.select(F.col("_rid").alias("a"), F.explode(F.array("top.lead", "top.lead2")).alias("b"))
-        links, comp = step(pairs, links)
+        members = own.join(mixed.select("band", "top"), "band").withColumn("outside", F.col("component") != F.col("top.component"))
+        if last:  # what is still outside is held against every member of its buckets
+            pairs = _across(members.select("band", "_rid", "component", "outside").join(sigs, "_rid"), threshold)
+        else:  # and before that against two members of the bucket's largest component, other ones in every band
+            pairs = members.where("outside").select(F.col("_rid").alias("a"), F.explode(F.array("top.lead", "top.lead2")).alias("b"))
+        links, comp = step(pairs, links, last)
     # the first of a component by order stands for it
     first = comp.join(sketches.select(F.col("_rid").alias("node"), "_d"), "node").groupBy("component").agg(F.min(F.struct("_d", "node")).alias("m"))
     classes = comp.join(first, "component").select(F.col("node").alias("_lead"), F.col("m.node").alias("class_rid"), F.col("m._d").alias("class_d"))
