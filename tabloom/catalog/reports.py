@@ -8,7 +8,7 @@ from tabloom.functions import expressions as X
 from tabloom.plans import plan as P
 from tabloom.plans.recipe import Recipe
 from tabloom.plans.sqlguard import query_tables
-from tabloom.reports import adaptive, operations as O, sales as S
+from tabloom.reports import adaptive, charts, operations as O, sales as S
 from tabloom.sources import star
 
 from . import query
@@ -166,3 +166,32 @@ def returns_first(t):
     out = O.capped_returns(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.lit(400000.0).alias("sold")), r, "o_custkey", "sold", "o_orderkey")
     first = t.orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
     return out.join(first, ["o_custkey", "o_orderkey"], "left_semi").select("o_custkey", "o_orderkey", "accepted")
+
+
+@query("SELECT o_orderpriority AS label, count(*) AS value FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+def chart_single(t):
+    return charts.single_series(t.orders, "o_orderpriority", top=3)
+
+
+@query("SELECT date_trunc('quarter', o_orderdate)::DATE AS period, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS value FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 12")
+def chart_time(t):
+    """The span of orders is over 1095 days, so quarters fit."""
+    return charts.time_series(t.orders.withColumn("v", X.money("o_totalprice")), "o_orderdate", "v", last=12).withColumn("value", F.col("value").cast("double"))
+
+
+@query("""WITH g AS (SELECT p_brand AS label, p_type AS series, sum(l_extendedprice::DECIMAL(18,2)) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+SELECT label, series, value::DOUBLE AS value FROM g WHERE label IN (SELECT label FROM g GROUP BY 1 ORDER BY sum(value) DESC, label LIMIT 5) AND series IN (SELECT series FROM g GROUP BY 1 ORDER BY sum(value) DESC, series LIMIT 3)""")
+def chart_multi(t):
+    l = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).withColumn("v", X.money("l_extendedprice"))
+    return charts.multi_series(l, "p_brand", "p_type", "v", top=5, most_series=3).withColumn("value", F.col("value").cast("double"))
+
+
+@query("SELECT l_returnflag AS label, sum(l_quantity)::BIGINT AS q, sum(l_linenumber)::BIGINT AS n FROM lineitem GROUP BY 1")
+def chart_measures(t):
+    return charts.multi_measure(t.lineitem.select("l_returnflag", F.col("l_quantity").cast("bigint").alias("q"), F.col("l_linenumber").cast("bigint").alias("n")), "l_returnflag", ["q", "n"])
+
+
+@query("SELECT c_mktsegment AS task, min(o_orderdate)::DATE AS start, max(o_orderdate)::DATE AS stop, (date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) + 1)::INT AS days FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def chart_gantt(t):
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return charts.gantt(o.withColumn("stop_", F.col("o_orderdate")), "c_mktsegment", "o_orderdate", "stop_")

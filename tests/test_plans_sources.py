@@ -78,3 +78,18 @@ def test_streaming(spark, sf, tmp_path):
     assert spark.table("trend").agg(F.sum("value")).first()[0] == events.count()
     streaming.catch_up(streaming.distinct_events(stream, "ts", ["event_id"], "40 days"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+
+
+def test_audit_and_tasks(spark, tmp_path):
+    from tabloom.plans import audit
+
+    run, df = audit.Run("r"), spark.range(7).withColumn("s", F.lit("x"))
+    run.watch("numbers", df).write.parquet(str(tmp_path / "o"))
+    assert [(x["artifact"], x["rows"]) for x in run.log()] == [("numbers", 7)]
+    run.save(spark, str(tmp_path / "lineage"))
+    assert spark.read.parquet(str(tmp_path / "lineage")).count() == 1
+    audit.save_task(spark, str(tmp_path / "task"), {"a": df, "b/1": df.limit(2)}, {"by": "me"})
+    got = audit.load_task(spark, str(tmp_path / "task"))
+    assert {k: v.count() for k, v in got.items()} == {"a": 7, "b/1": 2} and got["a"].columns == ["id", "s"]
+    assert audit.accept({"a": (df, df)}, {"a": (got["a"], df)})["accepted"]
+    assert not audit.accept({"a": (df, df.limit(1))}, {}, df)["accepted"]
