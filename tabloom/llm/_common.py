@@ -80,6 +80,20 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def shelter(df: DataFrame, *used: str):
+    """df with all columns but the used ones under names that clash with nothing, and the way back.
+
+    back(out, made) restores the names; a made column whose name the input has gets leading underscores.
+    """
+    names = {c: f"__extra_{i}" for i, c in enumerate(df.columns) if c not in used}
+
+    def back(out: DataFrame, made: list[str]) -> DataFrame:
+        kept = [F.col(names.get(c, c)).alias(c) for c in df.columns if names.get(c, c) in out.columns]
+        return out.select(*kept, *[F.col(m).alias(f) for m, f in zip(made, free_name(df, *made))])
+
+    return df.withColumnsRenamed(names), back
+
+
 def with_first(df: DataFrame, keys: list[str], value: str, name: str, salts: int = 32) -> DataFrame:
     """Adds the smallest `value` of the rows that agree in keys (not null).
 

@@ -15,7 +15,7 @@ are passed over; the others are verified on the shingle multisets of the whole t
 
 Defined cases: null texts are alone; texts without words are only copies of equal texts; texts of fewer words than a
 shingle are one shingle; rows that repeat both key and text share their fate; a null key comes last; an empty table
-gives an empty result; extra columns pass through.
+gives an empty result; extra columns pass through, and where they clash the new columns get leading underscores.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, mix64, small_batches
+from ._common import materialize, mix64, shelter, small_batches
 from .graph import components
 from .linededup import first_copies
 
@@ -262,9 +262,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """docs with class_id (key of the class's first member) and kept (whether the row is that member)."""
+    docs, back = shelter(docs, key, text)
     own = docs.withColumn("_rid", row_hash(key, text))
     classes = near_duplicates(docs, key, text, threshold, words)
-    return own.join(classes, "_rid").withColumn("kept", F.col("_rid") == F.col("class_rid")).select(*docs.columns, "class_id", "kept")
+    return back(own.join(classes, "_rid").withColumn("kept", F.col("_rid") == F.col("class_rid")), ["class_id", "kept"])
 
 
 def row_hash(key: str, text: str) -> F.Column:

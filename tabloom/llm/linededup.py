@@ -14,7 +14,7 @@ their lines. Order is by key, then by a row hash.
 
 Defined cases: null text stays null, counts 0 lines; empty and blank texts stay; rows that repeat both key and text are
 one document and get the same result; a null key comes last; a text below `min_words` words is never changed; an empty
-table gives an empty result; extra columns pass through.
+table gives an empty result; extra columns pass through, and where they clash the new columns get leading underscores.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._common import materialize
+from ._common import materialize, shelter
 
 MIN_WORDS = 50
 #: Parts that the copies of one text are dealt to.
@@ -115,6 +115,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     """docs with later copies of repeated runs deleted from text, and n_lines, n_removed (non-blank lines)."""
     from pyspark.sql.types import IntegerType, StructField, StructType
 
+    docs, back = shelter(docs, key, text)
     copies, gone = repeated_lines(docs, key, text, min_words)
     marks = materialize(copies.join(gone, "_rid", "left").select("_rid", "_first", "_gone").where("not _first or _gone is not null"), "deletions")
     marked = docs.withColumn("_rid", F.xxhash64(F.lit(4), F.col(key), F.col(text))).join(marks, "_rid", "left").drop("_rid")
@@ -148,4 +149,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int32()), pa.array(n_gone, pa.int32())], names=schema.names)
 
-    return marked.select(*docs.columns, "_first", "_gone").mapInArrow(rebuild, schema)
+    return back(marked.select(*docs.columns, "_first", "_gone").mapInArrow(rebuild, schema), ["n_lines", "n_removed"])

@@ -9,7 +9,8 @@ seeded hash order. The dynamic programme sees counts by length, never documents.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; empty documents are never
 taken; equal documents are told apart only by their key and may tie; repeated keys with equal texts are taken or left
-in one order that reruns repeat; an empty table gives an empty result; extra columns pass through.
+in one order that reruns repeat; an empty table gives an empty result; extra columns pass through,
+and where they clash the new columns get leading underscores.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, word_count
+from ._common import materialize, shelter, word_count
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -103,6 +104,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 9) -> DataFrame:
     """Adds size, source_size, target and taken (words that the mix takes from the document, repeats counted) to docs."""
+    docs, back = shelter(docs, key, text, source)
     h = F.xxhash64(F.lit(seed), F.col(key), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     own = docs.withColumns({"size": word_count(F.col(text)), "_null": F.col(source).isNull(), "_source": F.coalesce(F.col(source), F.lit("")), "_h": h}).withColumn("_part", F.pmod(F.shiftright("_h", 20), F.lit(PARTS)).cast("int"))
     parts = materialize(own.groupBy("_null", "_source", "size", "_part").agg(F.count("*").alias("n")), "mix-parts")
@@ -116,4 +118,5 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rank = F.row_number().over(Window.partitionBy("_null", "_source", "size", "_part").orderBy("_h", key))
     out = own.withColumn("_rank", rank).join(plan, ["_null", "_source", "size", "_part"], "left").join(goal, ["_null", "_source"])
     times = F.coalesce(F.col("_whole"), F.lit(0)) + F.when(F.col("_rank") <= F.col("_take"), 1).otherwise(0)
-    return out.withColumn("taken", (times * F.col("size")).cast("long")).select(*docs.columns, "size", "source_size", "target", "taken")
+    out = out.withColumn("taken", (times * F.col("size")).cast("long"))
+    return back(out, ["size", "source_size", "target", "taken"])

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import free_name, materialize
+from ._common import free_name, materialize, shelter
 
 SEQ_LEN = 2048
 #: Lengths from this part of a sequence upwards are large.
@@ -279,6 +279,7 @@ def plan_runs(hist: dict[int, int], cap: int, groups: int = GROUPS, large: float
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", seq_len: int = SEQ_LEN, tokenizer=None) -> DataFrame:
     """Pieces of all documents (see tokenize) with sequence_id and offset; sequences hold at most seq_len tokens."""
     spark = docs.sparkSession
+    docs, back = shelter(docs, key, text)
     piece, start, length, ids, crc = free_name(docs, "piece", "start", "length", "ids", "ids_crc32")
     seq_id, offset = free_name(docs, "sequence_id", "offset")
     pieces = tokenize(docs, text, seq_len, tokenizer=tokenizer).withColumn("_part", F.pmod(F.xxhash64(key, piece, crc), F.lit(PARTS)).cast("int"))
@@ -299,4 +300,4 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", seq_len: int
     out = pieces.withColumn("_own", rank).join(F.broadcast(places), [length, "_part"]).withColumn("_rank", F.col("_own") + F.col("_before"))
     run = F.element_at(F.filter("_runs", lambda r: r["rank"] <= F.col("_rank")), -1)
     out = out.withColumn("_run", run).withColumn(seq_id, F.col("_run.seq") + F.col("_rank") - F.col("_run.rank")).withColumn(offset, F.col("_run.offset"))
-    return out.select(*[c for c in docs.columns if c != text], piece, start, length, ids, crc, seq_id, offset)
+    return back(out, [piece, start, length, ids, crc, seq_id, offset])

@@ -9,7 +9,8 @@ within a fraction of the smallest rows. The result is a routing table of a few h
 are routed on the map side and written once, grouped by shard; shards that nothing leaves or enters stay as they are.
 
 Defined cases: a null text counts 0 bytes; a null key is hashed as such; equal rows (same key and text) share a
-hash and may be split only as one; an empty table gives an empty result; extra columns pass through unchanged.
+hash and may be split only as one; an empty table gives an empty result; extra columns pass through, and where
+their names clash with the operator's own they get the ending _extra.
 """
 
 from __future__ import annotations
@@ -153,6 +154,7 @@ def reshard(docs: DataFrame, old_shard, capacities: dict[int, int] | int, key: s
     rewritten files, with the columns of docs and `_old`, `_size`, `_shard`, `_chunk`, `_h`; and the transfers.
     The slots of a shard follow from number_slots().
     """
+    docs = docs.withColumnsRenamed({c: f"{c}_extra" for c in docs.columns if c.lower() in ("_old", "_size", "_h", "_tier", "_shard", "_chunk", "_dir", "slot")})
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
     tier = reduce(lambda rest, k: F.when(F.col("_size") >= TIERS[k], k).otherwise(rest), range(len(TIERS) - 2, -1, -1), F.lit(len(TIERS) - 1))
     full = docs.withColumns({"_old": old_shard.cast("int"), "_size": size, "_h": F.xxhash64(F.lit(11), F.col(key), F.crc32(F.col(text).cast("binary")))}).withColumn("_tier", tier)

@@ -34,14 +34,14 @@ def words(text):
 
 
 def test_reshard(odd, none):
-    out, moved = sharding.reshard(odd.drop("_h", "size"), F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)), 4)
+    out, moved = sharding.reshard(odd, F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)), 4)
     got = sharding.number_slots(out).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in odd.collect())
     by = defaultdict(list)
     for r in got:
         by[r._shard].append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
-    empty, _ = sharding.reshard(none.drop("_h", "size"), F.lit(0), 4)
+    empty, _ = sharding.reshard(none, F.lit(0), 4)
     assert sharding.number_slots(empty).count() == 0
 
 
@@ -54,9 +54,9 @@ def test_reshard_sizes(spark, sf):
 
 
 def test_mix(odd, none, spark, sf):
-    out = mixing.mix(odd.drop("_h", "size")).toPandas()
-    assert len(out) == 9 and (out["size"] == [words(t) for t in out.text]).all() and (out.taken <= 3 * out["size"]).all() and (out.taken % out["size"].clip(lower=1) == 0).all()
-    assert mixing.mix(none.drop("_h", "size")).count() == 0
+    out = mixing.mix(odd).toPandas().rename(columns={"size": "given", "_size": "size"})
+    assert len(out) == 9 and set(out.given.dropna()) == {"y"} and (out["size"] == [words(t) for t in out.text]).all() and (out.taken <= 3 * out["size"]).all() and (out.taken % out["size"].clip(lower=1) == 0).all()
+    assert mixing.mix(none).count() == 0
     a, b = (queries.op9_subset_sum_mix(spark, sf).toPandas().sort_values("doc_id") for _ in range(2))
     assert (a.taken.to_numpy() == b.taken.to_numpy()).all()
     src = {r.doc_id: r.source for r in load(spark, sf, "documents").select("doc_id", "source").collect()}
@@ -84,7 +84,7 @@ def test_pack(odd, none):
     import public_tokenizers as p
 
     t = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
-    out = packing.pack(odd.drop("_h", "size").withColumn("start", F.lit("clash"))).toPandas()
+    out = packing.pack(odd.withColumn("start", F.lit("clash"))).toPandas()
     assert {"start", "_start"} <= set(out.columns)
     want = Counter((r.doc_id, len(t.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in odd.collect())
     per = Counter()
@@ -96,7 +96,7 @@ def test_pack(odd, none):
     assert (long.length[1:] == 2048).all() and (long._start.to_numpy() == long.length.cumsum().shift(fill_value=0).to_numpy()).all()
     for _, g in out.sort_values("offset").groupby("sequence_id"):
         assert (g.offset.to_numpy() == g.length.cumsum().shift(fill_value=0).to_numpy()).all() and g.length.sum() <= 2048
-    assert packing.pack(none.drop("_h", "size")).count() == 0
+    assert packing.pack(none).count() == 0
 
 
 def test_warc(spark):
@@ -228,9 +228,9 @@ def test_near_dedup_chain(spark):
 
 
 def test_near_dedup_odd(odd, none):
-    out = G.dedup(odd.drop("_h", "size")).collect()
+    out = G.dedup(odd).collect()
     assert len(out) == 9 and {r.doc_id: r.class_id for r in out}[6] == 5 and {r.doc_id: r.class_id for r in out}[7] == 7
-    assert G.dedup(none.drop("_h", "size")).count() == 0
+    assert G.dedup(none).count() == 0
 
 
 def brute_lines(rows, least=50):
@@ -263,9 +263,9 @@ def test_line_dedup(spark, sf):
 
 
 def test_line_dedup_odd(odd, none):
-    out = {(r.doc_id, r.source): r for r in linededup.dedup_lines(odd.drop("_h", "size")).collect()}
+    out = {(r.doc_id, r.source): r for r in linededup.dedup_lines(odd).collect()}
     assert out[5, "s2"].n_removed == 0 and out[6, "s3"].text == "" and out[1, "s1"].text == "a b c"
-    assert linededup.dedup_lines(none.drop("_h", "size")).count() == 0
+    assert linededup.dedup_lines(none).count() == 0
 
 
 def vectors(spark, rows):
