@@ -105,7 +105,13 @@ def relationship(t):
     return J.relationship(t.orders, t.customer.where("c_custkey % 4 <> 0"), "o_custkey", "c_custkey")
 
 
-@query("SELECT 'customer' AS left_table, 'c_nationkey' AS left_key, 'nation' AS right_table, 'n_nationkey' AS right_key, 'N:1' AS cardinality, 'candidate' AS status UNION ALL SELECT 'customer', 'c_nationkey', 'supplier', 's_nationkey', 'N:N', 'blocked' UNION ALL SELECT 'nation', 'n_nationkey', 'supplier', 's_nationkey', '1:N', 'candidate'")
+def _edge(lt, lk, rt, rk):
+    return f"""SELECT '{lt}' AS left_table, '{lk}' AS left_key, '{rt}' AS right_table, '{rk}' AS right_key, card AS cardinality, CASE WHEN card = 'N:N' THEN 'blocked' WHEN cov >= 0.8 THEN 'candidate' ELSE 'review' END AS status
+FROM (SELECT CASE WHEN max(lc) > 1 THEN 'N' ELSE '1' END || ':' || CASE WHEN max(rc) > 1 THEN 'N' ELSE '1' END AS card, greatest(coalesce(sum(lc) FILTER (rc IS NOT NULL), 0) / sum(lc), count_if(lc IS NOT NULL AND rc IS NOT NULL) / count(rc)) AS cov
+FROM (SELECT {lk} AS k, count(*) AS lc FROM {lt} GROUP BY 1) FULL JOIN (SELECT {rk} AS k, count(*) AS rc FROM {rt} GROUP BY 1) USING (k))"""
+
+
+@query(" UNION ALL ".join(_edge(*e) for e in (("customer", "c_nationkey", "nation", "n_nationkey"), ("customer", "c_nationkey", "supplier", "s_nationkey"), ("nation", "n_nationkey", "supplier", "s_nationkey"))))
 def relationship_edges(t):
     g = J.relationship_graph({"customer": t.customer, "nation": t.nation, "supplier": t.supplier}, {"customer": ["c_nationkey"], "nation": ["n_nationkey"], "supplier": ["s_nationkey"]})
     return g.select("left_table", "left_key", "right_table", "right_key", "cardinality", "status")
