@@ -36,6 +36,8 @@ LARGE = 1 / 8
 GROUPS = 100
 #: Hash parts of a length, so that a hot length is never in one task.
 PARTS = 64
+#: Special strings of the default tokenizer and their ids, which it gives wherever a text holds them.
+SPECIALS = {"<|endoftext|>": 50256}
 #: Entries that a worker keeps of its text-fragment cache.
 CACHE = 400_000
 
@@ -69,6 +71,15 @@ class FragmentIds(dict):
         head = self[first] if first else b""
         return head + b"".join(map(self.__getitem__, [" " + x for x in rest]))
 
+    def with_specials(self, text: str, specials: dict[str, int]) -> bytes:
+        """Ids of a text whose special strings are tokens of their own; what lies between them is tokenised by itself."""
+        import re
+
+        if not any(s in text for s in specials):
+            return self.text_ids(text)
+        parts = re.split("(" + "|".join(map(re.escape, specials)) + ")", text)
+        return b"".join(specials[x].to_bytes(4, "little") if i % 2 else self.text_ids(x) for i, x in enumerate(parts))
+
 
 def default_tokenizer() -> tuple[str, str]:
     import public_tokenizers
@@ -79,11 +90,12 @@ def default_tokenizer() -> tuple[str, str]:
 def tokenize(docs: DataFrame, text: str = "text", seq_len: int = SEQ_LEN, end_id: int = 0, tokenizer: tuple[str, str] | None = None) -> DataFrame:
     """Explodes docs into pieces: piece, start, length, ids (binary, little-endian u32), ids_crc32; text is dropped.
 
-    tokenizer: path of a byte-pair rank file and its pattern; the path must exist on every executor.
+    tokenizer: path of a byte-pair rank file and its pattern, which knows no special strings; the path must exist on every
+    executor. The default one has SPECIALS.
     """
     keep = [c for c in docs.columns if c != text]
     made = free_name(docs, "piece", "start", "length", "ids", "ids_crc32")
-    how = tokenizer
+    how, specials = tokenizer, {} if tokenizer else SPECIALS
     end = int(end_id).to_bytes(4, "little")
     from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -96,7 +108,7 @@ def tokenize(docs: DataFrame, text: str = "text", seq_len: int = SEQ_LEN, end_id
         for batch in batches:
             texts, at, rows = batch.column(batch.schema.get_field_index(text)), [], []
             for i in range(batch.num_rows):
-                ids = fragments.text_ids(texts[i].as_py() or "") + end
+                ids = fragments.with_specials(texts[i].as_py() or "", specials) + end
                 n = len(ids) // 4
                 start, stop = 0, n % seq_len or min(n, seq_len)
                 piece = 0

@@ -99,6 +99,18 @@ def test_pack(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_pack_special_strings(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers as p
+
+    t = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> world", "<|endoftext|>" * 3000, "x"]
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    for i, text in enumerate(texts):
+        got = b"".join(map(bytes, out[out.doc_id == i].sort_values("piece").ids))
+        assert np.frombuffer(got, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(5, "http://b.com/x", "same"), (3, "http://a.com/", "same"), (None, None, "same"), (4, "http://a.com/", "é\r\n\r\nWARC/1.1\r\n日"), (6, None, None), (2, "u\r\nX: y", ""), (3, "http://a.com/", "same")], "page_id long, url string, html string").withColumn("payload", F.lit(1))
     out = {(r.page_id, r.payload_bytes): r for r in warc.archive(pages).collect()}

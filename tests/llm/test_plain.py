@@ -99,6 +99,16 @@ def test_fragments_equal_the_tokenizer():
         assert np.frombuffer(own.text_ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_special_strings_equal_the_tokenizer():
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
+    own = packing.FragmentIds(*packing.default_tokenizer())
+    for text in ("hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a<|endoftext|>b", " \n<|endoftext|>  x  y ", "<|endoftext|", "<|ENDOFTEXT|>", "<<|endoftext|>>", "plain  text"):
+        assert np.frombuffer(own.with_specials(text, packing.SPECIALS), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 @given(st.lists(st.lists(st.integers(0, 9), max_size=6), max_size=7))
 def test_loser_tree_merges(runs):
     runs = [sorted(r) for r in runs]
