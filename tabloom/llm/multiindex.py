@@ -171,7 +171,10 @@ def search(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
 
 
 def _calibrate(index: DataFrame, queries: DataFrame, cells: np.ndarray, half_distances, k: int, recall: float, seed: int) -> float:
-    """Entries that a walk must see so that `recall` of the true neighbours of a few queries lie in its cells."""
+    """Entries that a walk must see so that `recall` of the true neighbours of a few queries lie in its cells.
+
+    Never fewer than k + 1, one of which may be the query itself, so that a walk ends with k candidates or all there are.
+    """
     asked = queries.select("id", "v").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id").limit(CALIBRATE).collect()
     if not asked:
         return 0.0
@@ -200,4 +203,4 @@ def _calibrate(index: DataFrame, queries: DataFrame, cells: np.ndarray, half_dis
                 seen += cells[i, j]
             order[r.q] = at
         need.append(order[r.q][r.c1, r.c2] + 1)
-    return float(np.quantile(need, recall, method="higher")) if need else 0.0
+    return max(float(np.quantile(need, recall, method="higher")) if need else 0.0, k + 1.0)

@@ -333,6 +333,19 @@ def test_index(spark):
     assert multiindex.search(vectors(spark, rows[1:5]), F.col("id") == 0).count() == 0
 
 
+def test_index_small_cells(spark):
+    """Every query gets k rows, or all there are, however small its own cell is."""
+    rng, e = np.random.default_rng(9), np.eye(8)
+    cells = [(c, c) for c in range(4) for _ in range(300)] + [(0, 1)] * 5  # a side cell of five
+    v = np.array([np.concatenate((e[a], e[b])) for a, b in cells]) + 0.02 * rng.standard_normal((len(cells), 16))
+    rows = [(i, [float(np.float32(x)) for x in r], 0, "c") for i, r in enumerate(v)]
+    out = multiindex.search(vectors(spark, rows), (F.col("id") % 4 == 0) | (F.col("id") >= 1200)).toPandas()
+    assert out.groupby("query_id").size().tolist() == [20] * 305
+    assert (out[out.query_id >= 1200].groupby("query_id").vec_id.agg(lambda x: (x >= 1200).sum()) == 4).all()
+    tiny = [(i, [float(x) for x in r], 0, "c") for i, r in enumerate(rng.standard_normal((8, 4)))]
+    assert multiindex.search(vectors(spark, tiny), F.lit(True)).toPandas().groupby("query_id").size().tolist() == [7] * 8
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, sf, name):
     con = duckdb.connect()
