@@ -1,6 +1,7 @@
 """A corpus pipeline over `documents`: five stages, each applied to all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Columns that the operators add may clash with extra columns of docs, so stages take their names from free_name, as the operators do.
 """
 
 from __future__ import annotations
@@ -9,30 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import bagminhash, linededup, mixing, packing, toxicity
-from tabloom.llm._common import load, materialize
+from tabloom.llm._common import free_name, load, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"), held_out=toxicity.held_out())
-    return toxicity.score(docs, model, name="toxic_score").where(F.col("toxic_score") < toxicity.REJECT).select(*docs.columns)
+    (score,) = free_name(docs, "toxic_score")
+    return toxicity.score(docs, model, name=score).where(F.col(score) < toxicity.REJECT).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs leave the texts; every document stays."""
     out = linededup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+    _, removed = free_name(docs, "n_lines", "n_removed")
+    return out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each near-duplicate class stays."""
-    return bagminhash.dedup(docs).where("kept").select(*docs.columns)
+    _, kept = free_name(docs, "class_id", "kept")
+    return bagminhash.dedup(docs).where(F.col(kept)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stand in the result as often as the mix takes them."""
-    out = mixing.mix(docs).where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.expr("cast(taken div size as int)"))))
-    return out.select(*docs.columns)
+    size, _, _, taken = free_name(docs, "size", "source_size", "target", "taken")
+    out = mixing.mix(docs).where(F.col(taken) > 0)
+    times = F.floor(F.col(taken) / F.col(size)).cast("int")
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), times)).alias(*free_name(out, "_copy"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -375,3 +375,19 @@ def test_pipeline(spark, sf):
     total = before.count()
     assert seen["toxicity"] < load(spark, sf, "documents").count() and seen["line dedup"] == seen["toxicity"] and seen["near dedup"] < seen["line dedup"]
     assert docs.where("piece = 0").count() == total
+
+
+def test_pipeline_clashing_columns(spark, odd, sf):
+    """Extra columns named as those of the stages pass through and decide nothing."""
+    import corpus_pipeline as cp
+
+    plain = odd.drop("size")
+    names = ["size", "taken", "kept", "toxic_score", "n_removed", "n_lines", "class_id", "source_size", "target", "_copy"]
+    values = [F.lit("y"), F.lit(0), F.lit(False), F.lit(1.0), F.lit(7), F.lit("y"), F.lit("y"), F.lit("y"), F.lit("y"), F.lit("y")]
+    clashing = plain.select("*", *[v.alias(n) for n, v in zip(names, values)])
+    rows = lambda df: sorted(map(repr, df.select(plain.columns).collect()))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, clashing, sf)
+        assert out.columns == clashing.columns and rows(out) == rows(stage(spark, plain, sf)), name
+        assert out.count() and out.select(*names).distinct().count() == 1
+    assert cp.pack_sequences(spark, clashing, sf).where("piece = 0").count() == 9
