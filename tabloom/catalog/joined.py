@@ -9,13 +9,15 @@ from . import query
 
 
 def _small(t):
-    c = t.customer.where("c_custkey % 10 < 7").select("c_custkey", "c_name", F.col("c_acctbal").alias("amount"))
-    o = t.orders.where("o_orderkey % 5 = 0").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("amount"))
+    """All customers and orders; negated keys have no partner on the other side."""
+    k = F.col("c_custkey")
+    c = t.customer.select(F.when(k % 10 < 7, k).otherwise(-2 * k - 1).alias("c_custkey"), "c_name", F.col("c_acctbal").alias("amount"))
+    o = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, -2 * F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("c_custkey"), F.col("o_totalprice").alias("amount"))
     return o, c
 
 
-_O = "(SELECT o_orderkey, o_custkey AS c_custkey, o_totalprice AS amount FROM orders WHERE o_orderkey % 5 = 0) o"
-_C = "(SELECT c_custkey, c_name, c_acctbal AS amount FROM customer WHERE c_custkey % 10 < 7) c"
+_O = "(SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN -2 * o_custkey ELSE o_custkey END AS c_custkey, o_totalprice AS amount FROM orders) o"
+_C = "(SELECT CASE WHEN c_custkey % 10 < 7 THEN c_custkey ELSE -2 * c_custkey - 1 END AS c_custkey, c_name, c_acctbal AS amount FROM customer) c"
 for _how, _sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
 
     def _join(t, how=_how):
@@ -65,19 +67,19 @@ def anti(t):
 _BANDS = "(SELECT p_partkey, DATE '1996-01-01' AS a, DATE '1998-12-31' AS b, p_retailprice AS v FROM part UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN DATE '1998-06-01' ELSE DATE '1999-01-01' END, DATE '2000-12-31', p_retailprice + 1 FROM part)"
 
 
-@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate::DATE AS d, l_extendedprice, (SELECT CASE WHEN count(*) = 1 THEN max(v) END FROM {_BANDS} x WHERE x.p_partkey = l_partkey AND l_shipdate::DATE BETWEEN a AND b) AS price FROM lineitem WHERE l_partkey % 10 = 0")
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate::DATE AS d, l_extendedprice, (SELECT CASE WHEN count(*) = 1 THEN max(v) END FROM {_BANDS} x WHERE x.p_partkey = l_partkey AND l_shipdate::DATE BETWEEN a AND b) AS price FROM lineitem")
 def interval_price(t):
     one = t.part.select("p_partkey", F.lit("1996-01-01").cast("date").alias("start"), F.lit("1998-12-31").cast("date").alias("stop"), F.col("p_retailprice").alias("price"))
     two = t.part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.lit("1998-06-01")).otherwise(F.lit("1999-01-01")).cast("date").alias("start"), F.lit("2000-12-31").cast("date").alias("stop"), (F.col("p_retailprice") + 1).alias("price"))
-    fact = t.lineitem.where("l_partkey % 10 = 0").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), F.col("l_shipdate").cast("date").alias("d"), "l_extendedprice")
+    fact = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), F.col("l_shipdate").cast("date").alias("d"), "l_extendedprice")
     return J.interval_join(fact, one.union(two).withColumnRenamed("p_partkey", "p_partkey"), "p_partkey", "d", "price").withColumnRenamed("p_partkey", "l_partkey")
 
 
-@query("SELECT a.o_orderkey AS left_key, b.o_orderkey AS right_key FROM orders a JOIN orders b ON abs(a.o_totalprice - b.o_totalprice) <= 25 AND abs(date_diff('day', a.o_orderdate, b.o_orderdate)) <= 30 WHERE a.o_orderkey % 3 = 0 AND b.o_orderkey % 3 = 1")
+@query("SELECT a.o_orderkey AS left_key, b.o_orderkey AS right_key FROM orders a JOIN orders b ON a.o_totalprice BETWEEN b.o_totalprice - 26 AND b.o_totalprice + 26 AND abs(a.o_totalprice - b.o_totalprice) <= 25 AND abs(date_diff('day', a.o_orderdate, b.o_orderdate)) <= 30 WHERE a.o_orderkey < b.o_orderkey")
 def range_amount(t):
-    a = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("left_key"), F.col("o_totalprice").alias("la"), F.col("o_orderdate").alias("ld"))
-    b = t.orders.where("o_orderkey % 3 = 1").select(F.col("o_orderkey").alias("right_key"), F.col("o_totalprice").alias("ra"), F.col("o_orderdate").alias("rd"))
-    return J.range_join(a, b, "la", "ra", 25.0, F.abs(F.datediff("ld", "rd")) <= 30).select("left_key", "right_key")
+    a = t.orders.select(F.col("o_orderkey").alias("left_key"), F.col("o_totalprice").alias("la"), F.col("o_orderdate").alias("ld"))
+    b = t.orders.select(F.col("o_orderkey").alias("right_key"), F.col("o_totalprice").alias("ra"), F.col("o_orderdate").alias("rd"))
+    return J.range_join(a, b, "la", "ra", 25.0, (F.abs(F.datediff("ld", "rd")) <= 30) & (F.col("left_key") < F.col("right_key"))).select("left_key", "right_key")
 
 
 @query("""SELECT period, coalesce(orders, 0) AS orders, coalesce(lines, 0) AS lines FROM (SELECT date_trunc('month', o_orderdate)::DATE AS period FROM orders UNION SELECT date_trunc('month', l_shipdate)::DATE FROM lineitem)
@@ -97,12 +99,12 @@ def alias_codes(t):
     return J.alias_join(c, "org", master, "code", "name", "aliases").select("c_custkey", "code")
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS lc FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, count(*) AS rc FROM customer WHERE c_custkey % 4 <> 0 GROUP BY 1), j AS (SELECT * FROM a FULL JOIN b USING (k))
+@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS lc FROM orders GROUP BY 1), b AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN -c_custkey ELSE c_custkey END AS k, count(*) AS rc FROM customer GROUP BY 1), j AS (SELECT * FROM a FULL JOIN b USING (k))
 SELECT sum(lc) FILTER (rc IS NOT NULL)::BIGINT AS matched_rows, sum(lc)::BIGINT AS left_rows, count_if(lc IS NOT NULL AND rc IS NOT NULL)::BIGINT AS matched_keys, count(lc) AS left_keys, count(rc) AS right_keys,
 round(sum(lc) FILTER (rc IS NOT NULL) / sum(lc), 6) AS row_coverage, round(count_if(lc IS NOT NULL AND rc IS NOT NULL) / count(lc), 6) AS key_coverage, round(count_if(lc IS NOT NULL AND rc IS NOT NULL) / count(rc), 6) AS right_coverage,
-'N:1' AS cardinality, sum(lc) FILTER (rc IS NOT NULL) / sum(lc) >= 0.8 AS accepted FROM j""")
+CASE WHEN max(lc) > 1 THEN 'N' ELSE '1' END || ':' || CASE WHEN max(rc) > 1 THEN 'N' ELSE '1' END AS cardinality, sum(lc) FILTER (rc IS NOT NULL) / sum(lc) >= 0.8 AS accepted FROM j""")
 def relationship(t):
-    return J.relationship(t.orders, t.customer.where("c_custkey % 4 <> 0"), "o_custkey", "c_custkey")
+    return J.relationship(t.orders, t.customer.withColumn("c_custkey", F.when(F.col("c_custkey") % 4 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey"))), "o_custkey", "c_custkey")
 
 
 def _edge(lt, lk, rt, rk):
@@ -118,13 +120,15 @@ def relationship_edges(t):
 
 
 def _snapshots(t):
-    old = t.orders.where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("p"))
-    new = t.orders.where("o_orderkey % 13 <> 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 17 == 0, "X").otherwise(F.col("o_orderstatus")).alias("s"), F.when(F.col("o_orderkey") % 19 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("p"))
+    """All orders twice; negated keys stand for rows that are only in one of the two."""
+    i = F.col("o_orderkey")
+    old = t.orders.select(F.when(i % 11 == 0, -i).otherwise(i).alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("p"))
+    new = t.orders.select(F.when(i % 13 == 0, -i).otherwise(i).alias("k"), F.when(F.col("o_orderkey") % 17 == 0, "X").otherwise(F.col("o_orderstatus")).alias("s"), F.when(F.col("o_orderkey") % 19 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("p"))
     return old, new.union(new.where("k % 29 = 0"))
 
 
-_OLD = "o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p FROM orders WHERE o_orderkey % 11 <> 0)"
-_NEW = "n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 19 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p FROM orders WHERE o_orderkey % 13 <> 0)"
+_OLD = "o AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END AS k, o_orderstatus AS s, o_totalprice AS p FROM orders)"
+_NEW = "n AS (SELECT CASE WHEN o_orderkey % 13 = 0 THEN -o_orderkey ELSE o_orderkey END AS k, CASE WHEN o_orderkey % 17 = 0 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 19 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p FROM orders)"
 _DIFF = {
     "added": "SELECT k::VARCHAR AS k, s, p FROM n WHERE k % 29 <> 0 AND k NOT IN (SELECT k FROM o)", "removed": "SELECT k::VARCHAR AS k, s, p FROM o WHERE k NOT IN (SELECT k FROM n)",
     "modified": "SELECT n.k::VARCHAR AS k, concat_ws('; ', CASE WHEN o.s <> n.s THEN 's' END, CASE WHEN o.p <> n.p THEN 'p' END) AS changed, o.s AS s_old, n.s AS s_new, o.p AS p_old, n.p AS p_new FROM o JOIN n USING (k) WHERE n.k % 29 <> 0 AND (o.s <> n.s OR o.p <> n.p)",

@@ -39,10 +39,10 @@ def sales_attention(t):
     return S.attention(_sales(t).withColumn("l_extendedprice", X.money("l_extendedprice")), "l_extendedprice", "cost", factor=0.3).select("l_orderkey", "l_linenumber", "attention")
 
 
-@query("""WITH j AS (SELECT o_orderkey::VARCHAR AS i, o_totalprice::DECIMAL(18,2) AS v, o_orderstatus AS s FROM orders WHERE o_orderkey < 3000)
+@query("""WITH j AS (SELECT o_orderkey::VARCHAR AS i, o_totalprice::DECIMAL(18,2) AS v, o_orderstatus AS s FROM orders)
 SELECT s AS region, sum(v)::DOUBLE AS sales, count(*) AS rows, rank() OVER (ORDER BY sum(v) DESC)::INT AS rank FROM j WHERE i::INT % 9 <> 0 AND i::INT % 10 <> 3 GROUP BY 1""")
 def quarterly_regions(t):
-    o = t.orders.where("o_orderkey < 3000")
+    o = t.orders
     status = F.when(F.col("o_orderkey") % 9 == 0, "Cancelled").otherwise("done")
     one = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("Order No"), F.date_format("o_orderdate", "yyyy/M/d").alias("Day"), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("Amount"), F.lit("1").alias("cost"), F.col("o_orderstatus").alias("Area"), status.alias("status"))
     two = o.where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("order_id"), F.when(F.col("o_orderkey") % 10 == 3, "?").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("sales"), F.col("o_orderstatus").alias("region"), status.alias("status"))
@@ -52,43 +52,72 @@ def quarterly_regions(t):
 
 
 def _order_lines(t):
-    return t.lineitem.where("l_orderkey % 5 = 0").dropDuplicates().groupBy("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate").agg(F.sum(X.money("l_extendedprice")).alias("amount")).withColumn("line", F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyyMMdd"))).withColumn("disc", (F.col("l_orderkey") % 97 + F.lit("0.07").cast("decimal(18,2)")).cast("decimal(18,2)")).withColumn("refund", (F.col("l_orderkey") % 31).cast("decimal(18,2)"))
+    by = ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"]
+    lines = t.lineitem.groupBy(*by).agg(F.sum(X.money("l_extendedprice")).alias("amount")).withColumn("line", F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyyMMdd")))
+    return lines.withColumn("disc", (F.col("l_orderkey") % 97 + F.lit("0.07").cast("decimal(18,2)")).cast("decimal(18,2)")).withColumn("refund", (F.col("l_orderkey") % 31).cast("decimal(18,2)"))
 
 
-@query("SELECT true AS discount_ties, true AS refund_ties")
+def _shares(name, amount):
+    """SQL of whole cents by largest remainder, ties by line; x has lines with amounts in cents (wi) and their order's sum (tw)."""
+    return f"""{name}0 AS (SELECT *, ({amount}) * wi // tw AS q, ({amount}) * wi % tw AS r FROM x), {name}1 AS (SELECT *, ({amount}) - sum(q) OVER (PARTITION BY o) AS more, row_number() OVER (PARTITION BY o ORDER BY r DESC, line) AS n FROM {name}0),
+{name} AS (SELECT o, line, q + CASE WHEN n <= more THEN 1 ELSE 0 END AS cents FROM {name}1)"""
+
+
+_ORDER_SHARES = f"""WITH l AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_shipdate, l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') AS line, sum((l_extendedprice::DECIMAL(18,2) * 100)::HUGEINT) AS wi FROM lineitem GROUP BY ALL),
+x AS (SELECT *, sum(wi) OVER (PARTITION BY o) AS tw FROM l), {_shares("d", "((o % 97) * 100 + 7)::HUGEINT")}, {_shares("f", "((o % 31) * 100)::HUGEINT")}, y AS (SELECT x.*, d.cents AS dc, f.cents AS fc FROM x JOIN d ON d.o = x.o AND d.line = x.line JOIN f ON f.o = x.o AND f.line = x.line)"""
+_SUMS = "count(DISTINCT o) AS orders, sum(wi)::DOUBLE / 100 AS sales, sum(dc)::DOUBLE / 100 AS discount, sum(fc)::DOUBLE / 100 AS refund, sum(wi - dc - fc)::DOUBLE / 100 AS net"
+
+
+def _order_analysis(t):
+    return S.order_analysis(_order_lines(t), "l_orderkey", "line", "amount", "disc", "refund", "l_suppkey", "l_partkey", "l_shipdate")
+
+
+for _kind, _by, _sql in (("stores", "l_suppkey", "s AS l_suppkey"), ("products", "l_partkey", "p AS l_partkey"), ("days", "day", "l_shipdate::DATE AS day")):
+
+    def _order_sums(t, kind=_kind):
+        return _order_analysis(t)[kind].withColumns(_dbl("sales", "discount", "refund", "net"))
+
+    query(f"{_ORDER_SHARES} SELECT {_sql}, {_SUMS} FROM y GROUP BY 1", name=f"order_allocation_{_kind}")(_order_sums)
+
+
+@query(f"""{_ORDER_SHARES}, h AS (SELECT o, max((o % 97) * 100 + 7) AS d, max((o % 31) * 100) AS r FROM l GROUP BY 1) SELECT (SELECT sum(d) FROM h) = (SELECT sum(dc) FROM y) AS discount_ties, (SELECT sum(r) FROM h) = (SELECT sum(fc) FROM y) AS refund_ties""")
 def order_allocation_checks(t):
-    return S.order_analysis(_order_lines(t), "l_orderkey", "line", "amount", "disc", "refund", "l_suppkey", "l_partkey", "l_shipdate")["checks"]
+    return _order_analysis(t)["checks"]
 
 
-@query("SELECT l_suppkey, count(DISTINCT l_orderkey) AS orders, sum(s)::DOUBLE AS sales, (sum(s) FILTER (l_returnflag = 'R'))::DOUBLE AS refunds, round(sum(s)::DOUBLE / count(DISTINCT l_orderkey), 6) AS order_value FROM (SELECT *, l_extendedprice::DECIMAL(18,2) AS s FROM lineitem) GROUP BY 1")
+@query("SELECT l_suppkey, count(DISTINCT l_orderkey) AS orders, sum(s)::DOUBLE AS sales, coalesce(sum(s) FILTER (l_returnflag = 'R'), 0)::DOUBLE AS refunds, round(sum(s)::DOUBLE / count(DISTINCT l_orderkey), 6) AS order_value, round(coalesce(sum(s) FILTER (l_returnflag = 'R'), 0)::DOUBLE / sum(s)::DOUBLE, 6) AS refund_rate FROM (SELECT *, l_extendedprice::DECIMAL(18,2) AS s FROM lineitem) GROUP BY 1")
 def order_store_summary(t):
     l = t.lineitem.withColumn("refund", F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")))
-    return S.order_summary(l, "l_suppkey", "l_orderkey", "l_extendedprice", "refund").drop("refund_rate").withColumns({**_dbl("sales", "refunds"), "order_value": F.round("order_value", 6)})
+    return S.order_summary(l, "l_suppkey", "l_orderkey", "l_extendedprice", "refund").withColumns({**_dbl("sales", "refunds"), "order_value": F.round("order_value", 6), "refund_rate": F.round("refund_rate", 6)})
 
 
-@query("""WITH m AS (SELECT l_partkey AS sku, sum(l_quantity) FILTER (l_returnflag = 'A') AS received, sum(l_quantity) FILTER (l_returnflag = 'N') AS sold, sum(l_quantity) FILTER (l_returnflag = 'R') AS adjusted FROM lineitem GROUP BY 1),
-b AS (SELECT p_partkey AS sku, 200.0 + coalesce(received, 0) - coalesce(sold, 0) + coalesce(adjusted, 0) AS book, p_size FROM part LEFT JOIN m ON sku = p_partkey)
-SELECT sku, book::DOUBLE AS book, (book - 10)::DOUBLE AS sellable FROM b""")
+@query("""WITH m AS (SELECT l_partkey AS sku, sum(l_quantity) FILTER (l_returnflag = 'A') AS received, sum(l_quantity) FILTER (l_returnflag = 'N') AS sold, sum(l_quantity) FILTER (l_returnflag = 'R') AS adjusted, sum(l_quantity) FILTER (l_returnflag = 'N' AND date_diff('day', l_shipdate::DATE, DATE '2001-12-31') < 900) AS recent FROM lineitem GROUP BY 1),
+b AS (SELECT p_partkey AS sku, 200.0 + coalesce(received, 0) - coalesce(sold, 0) + coalesce(adjusted, 0) AS book, p_size, coalesce(recent, 0) / 900.0::DOUBLE AS daily_rate FROM part LEFT JOIN m ON sku = p_partkey),
+c AS (SELECT *, book - 10 AS sellable, ceil(p_size + daily_rate * 7)::BIGINT AS reorder_point FROM b), d AS (SELECT *, ceil(reorder_point + daily_rate * 30)::BIGINT AS target FROM c)
+SELECT sku, book::DOUBLE AS book, sellable::DOUBLE AS sellable, daily_rate, reorder_point, target, (CASE WHEN sellable < reorder_point THEN greatest(target - sellable, 0) ELSE 0 END)::DOUBLE AS to_order,
+CASE WHEN sku % 50 = 0 THEN CASE WHEN sellable > 0 THEN 'discontinued_stock' ELSE 'discontinued' END WHEN sellable <= 0 THEN 'out_of_stock' WHEN sellable < reorder_point THEN 'reorder' WHEN sellable > target * 2 THEN 'overstock' ELSE 'normal' END AS stock_status FROM d""")
 def inventory_ledger(t):
-    p = t.part.select(F.col("p_partkey").alias("sku"), F.lit(200.0).alias("opening"), F.lit(10.0).alias("locked"), F.col("p_size").alias("safety"), F.lit(7).alias("lead_days"), F.lit(30).alias("target_days"), F.lit("active").alias("status"))
+    k = F.col("p_partkey")
+    p = t.part.select(k.alias("sku"), F.lit(200.0).alias("opening"), F.lit(10.0).alias("locked"), F.col("p_size").alias("safety"), F.lit(7).alias("lead_days"), F.lit(30).alias("target_days"), F.when(k % 50 == 0, "discontinued").otherwise("active").alias("status"))
     kind = F.when(F.col("l_returnflag") == "A", "received").when(F.col("l_returnflag") == "N", "sold").otherwise("adjusted")
     m = t.lineitem.select(F.col("l_partkey").alias("sku"), kind.alias("kind"), F.col("l_quantity").alias("quantity"), F.datediff(F.lit("2001-12-31").cast("date"), "l_shipdate").alias("day"))
-    return O.inventory(p, m, "sku", 90).select("sku", "book", "sellable")
+    out = O.inventory(p, m, "sku", 900).withColumns({**_dbl("book", "sellable", "to_order"), **{c: F.col(c).cast("long") for c in ("reorder_point", "target")}})
+    return out.select("sku", "book", "sellable", "daily_rate", "reorder_point", "target", "to_order", "stock_status")
 
 
 @query("""WITH a AS (SELECT o_custkey % 100 AS person, count_if(o_orderstatus = 'P')::BIGINT AS late, count_if(o_orderpriority = '5-LOW')::BIGINT AS early FROM orders GROUP BY 1), p AS (SELECT l_suppkey AS person, sum(l_quantity) / sum(l_quantity + 5) AS attainment, avg(l_linenumber % 5 + 1) AS rating FROM lineitem GROUP BY 1),
 c AS (SELECT s_suppkey AS person, round(0.3 * greatest(0, 100 - 5 * (late % 4) - 5 * (early % 3))::DOUBLE + 0.7 * least(100, attainment * 70 + rating / 5 * 30), 4) AS composite FROM supplier LEFT JOIN a ON a.person = s_suppkey LEFT JOIN p ON p.person = s_suppkey)
-SELECT person, CASE WHEN composite IS NULL THEN 'review' WHEN composite >= 90 THEN 'excellent' WHEN composite < 60 THEN 'attention' ELSE 'normal' END AS "group" FROM c""")
+SELECT person, CASE WHEN composite IS NULL THEN 'review' WHEN composite >= 90 THEN 'excellent' WHEN composite < 60 THEN 'attention' ELSE 'normal' END AS "group", composite, CASE WHEN composite IS NOT NULL THEN rank() OVER (ORDER BY composite DESC NULLS LAST) END AS rank FROM c""")
 def workforce_groups(t):
     a = t.orders.groupBy((F.col("o_custkey") % 100).alias("person")).agg((F.count_if(F.col("o_orderstatus") == "P") % 4).alias("late"), (F.count_if(F.col("o_orderpriority") == "5-LOW") % 3).alias("early"), F.lit(0).alias("leave_days"), F.lit(0).alias("absent"))
     p = t.lineitem.select(F.col("l_suppkey").alias("person"), F.col("l_quantity").alias("actual"), (F.col("l_quantity") + 5).alias("target"), (F.col("l_linenumber") % 5 + 1).alias("rating"))
-    return O.workforce(t.supplier.select(F.col("s_suppkey").alias("person")), a, p, "person").select("person", "group")
+    return O.workforce(t.supplier.select(F.col("s_suppkey").alias("person")), a, p, "person").select("person", "group", "composite", "rank")
 
 
 @query("""WITH o AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, sum(o_totalprice::DECIMAL(18,2)) AS orders FROM orders GROUP BY 1), l AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, sum(l_extendedprice::DECIMAL(18,2)) AS shipped FROM lineitem GROUP BY 1)
-SELECT month, orders::DOUBLE AS orders, shipped::DOUBLE AS shipped FROM o FULL JOIN l USING (month)""")
+SELECT month, orders::DOUBLE AS orders, shipped::DOUBLE AS shipped, round(orders::DOUBLE / (lag(orders) OVER (ORDER BY month))::DOUBLE - 1, 8) AS orders_change FROM o FULL JOIN l USING (month)""")
 def company_months(t):
-    return O.monthly_company({"orders": (t.orders, "o_orderdate", "o_totalprice"), "shipped": (t.lineitem, "l_shipdate", "l_extendedprice")}).select("month", *[F.col(c).cast("double").alias(c) for c in ("orders", "shipped")])
+    return O.monthly_company({"orders": (t.orders, "o_orderdate", "o_totalprice"), "shipped": (t.lineitem, "l_shipdate", "l_extendedprice")}).select("month", *[F.col(c).cast("double").alias(c) for c in ("orders", "shipped")], F.round("orders_change", 8).alias("orders_change"))
 
 
 @query("""WITH o AS (SELECT l_linestatus AS channel, sum(l_extendedprice::DECIMAL(18,2)) AS paid, sum((l_extendedprice::DECIMAL(18,2) * 0.5)::DECIMAL(18,2)) AS cost FROM lineitem GROUP BY 1), r AS (SELECT l_linestatus AS channel, sum(l_extendedprice::DECIMAL(18,2)) AS refund FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
@@ -159,13 +188,14 @@ def star_measures(t):
     return star.measures(f, "o_orderdate", "s", "c", "o_orderkey", "u").select("month", *[F.col(c).cast("double").alias(c) for c in ("sales", "sales_ytd", "sales_last_year")])
 
 
-@query("SELECT o_custkey, o_orderkey, cum <= 400000 AS accepted FROM (SELECT o_custkey, o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS cum, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1")
-def returns_first(t):
-    """The first of each line's returns is taken if it fits by itself."""
+@query("""WITH RECURSIVE r AS (SELECT o_custkey AS k, o_orderkey AS i, o_totalprice AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+f AS (SELECT c_custkey AS k, 0::BIGINT AS n, 400000.0::DOUBLE AS room, NULL::BIGINT AS i, NULL::BOOLEAN AS accepted FROM customer UNION ALL SELECT f.k, r.n, CASE WHEN r.p <= f.room THEN f.room - r.p ELSE f.room END, r.i, r.p <= f.room FROM f JOIN r ON r.k = f.k AND r.n = f.n + 1)
+SELECT k AS o_custkey, i AS o_orderkey, accepted FROM f WHERE n > 0""")
+def returns_capped(t):
+    """Orders as returns against 400,000 sold to each customer: one that does not fit is rejected, later smaller ones still count."""
     r = t.orders.select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("quantity"))
     out = O.capped_returns(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.lit(400000.0).alias("sold")), r, "o_custkey", "sold", "o_orderkey")
-    first = t.orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
-    return out.join(first, ["o_custkey", "o_orderkey"], "left_semi").select("o_custkey", "o_orderkey", "accepted")
+    return out.select("o_custkey", "o_orderkey", "accepted")
 
 
 @query("SELECT o_orderpriority AS label, count(*) AS value FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")

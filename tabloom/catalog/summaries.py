@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import expressions as X
 from tabloom.operators import aggregate as A, windows as W
+from tabloom.operators.order import add_ranks
 
 from . import query
 
@@ -144,11 +145,11 @@ def ordered_distinct(t):
     return t.orders.groupBy("o_custkey").agg(A.ordered_distinct_text("o_orderpriority", "o_orderkey").alias("priorities"))
 
 
-_AL = "WITH l AS (SELECT o_custkey AS k, o_orderkey AS i, o_totalprice::DECIMAL(18,2) AS w, (1000.01 + o_custkey)::DECIMAL(18,2) AS amt FROM orders WHERE o_orderkey % 4 = 0)"
+_AL = "WITH l AS (SELECT o_custkey AS k, o_orderkey AS i, o_totalprice::DECIMAL(18,2) AS w, (1000.01 + o_custkey)::DECIMAL(18,2) AS amt FROM orders)"
 
 
 def _lines(t):
-    return t.orders.where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("i"), X.money("o_totalprice").alias("w"), (F.lit(1000.01).cast("decimal(18,2)") + F.col("o_custkey")).cast("decimal(18,2)").alias("amt"))
+    return t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("i"), X.money("o_totalprice").alias("w"), (F.lit(1000.01).cast("decimal(18,2)") + F.col("o_custkey")).cast("decimal(18,2)").alias("amt"))
 
 
 @query(_AL + """, f AS (SELECT *, (amt * 100)::HUGEINT AS u, (w * 100)::HUGEINT AS wi, sum((w * 100)::HUGEINT) OVER (PARTITION BY k) AS tw FROM l),
@@ -186,12 +187,12 @@ def _brand(t):
 
 @query(f"SELECT p_brand, q, rank() OVER (ORDER BY q DESC)::INT AS r FROM {_BRAND}")
 def rank_min(t):
-    return _brand(t).withColumn("r", W.rank_min("q").cast("int"))
+    return add_ranks(_brand(t), "q", smallest="r").withColumn("r", F.col("r").cast("int"))
 
 
 @query("WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT o_custkey, round((rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2) / count(*) OVER (), 8) AS p FROM c")
 def pct_rank_avg(t):
-    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).select("o_custkey", F.round(W.pct_rank_average("n"), 8).alias("p"))
+    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).transform(add_ranks, "n", None, "p").select("o_custkey", F.round("p", 8).alias("p"))
 
 
 _M = "(SELECT date_trunc('month', o_orderdate)::DATE AS m, sum(o_totalprice::DECIMAL(18,2)) AS v FROM orders GROUP BY 1)"

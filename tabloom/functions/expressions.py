@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Currency marks that an amount may carry.
-CURRENCY_MARKS = ("¥", "￥", "$", "€", "£", "元", "RMB", "CNY")
+CURRENCY_MARKS = ("人民币", "RMB", "CNY", "¥", "￥", "$", "€", "£")
+#: Full-width digits and marks of a number, and their plain forms.
+WIDE, PLAIN = "０１２３４５６７８９．，（）－＋％　", "0123456789.,()-+% "
 
 
 def col(c: str | Column) -> Column:
@@ -25,9 +27,9 @@ def blank_to_null(c: str | Column) -> Column:
 
 def parse_number(c: str | Column, scale: int = 6, percent: bool = True) -> Column:
     """Text to decimal(38, scale), null if it is no number: currency marks, grouping commas, (1.5) as -1.5, 5% as 0.05."""
-    text = F.trim(col(c).cast("string"))
+    text = F.translate(col(c).cast("string"), WIDE, PLAIN)
     marks = "|".join("\\" + m if m == "$" else m for m in CURRENCY_MARKS)
-    bare = F.regexp_replace(text, rf"(?i)^({marks})\s*|\s*({marks})$", "")
+    bare = F.trim(F.regexp_replace(text, rf"(?i)({marks})\s*", ""))
     negative = bare.rlike(r"^\(.*\)$")
     bare = F.when(negative, F.regexp_extract(bare, r"^\((.*)\)$", 1)).otherwise(bare)
     share = bare.endswith("%") if percent else F.lit(False)

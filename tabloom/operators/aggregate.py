@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import col, is_missing, period
 
+from .order import ranks
 from .relational import OperatorError, require_columns
 
 BLANK = "(blank)"
 
 
 def aggregate(name: str, c: str | Column, order: list[str] = ()) -> Column:
-    """count size sum mean min max median nunique first last; a sum over nothing is 0; first and last go by order."""
+    """count size sum known_sum mean min max median nunique first last; over nothing sum is 0 and known_sum null; first and last go by order."""
     x = col(c)
     at = F.when(x.isNotNull(), F.struct(*order)) if order else None
     if name in ("first", "last") and at is None:
         raise OperatorError(f"{name} needs an order")
     return {
-        "count": lambda: F.count(x), "size": lambda: F.count("*"), "sum": lambda: F.coalesce(F.sum(x), F.lit(0)), "mean": lambda: F.avg(x), "min": lambda: F.min(x), "max": lambda: F.max(x),
+        "count": lambda: F.count(x), "size": lambda: F.count("*"), "sum": lambda: F.coalesce(F.sum(x), F.lit(0)), "known_sum": lambda: F.sum(x), "mean": lambda: F.avg(x), "min": lambda: F.min(x), "max": lambda: F.max(x),
         "median": lambda: F.median(x), "nunique": lambda: F.count_distinct(x), "first": lambda: F.min_by(x, at), "last": lambda: F.max_by(x, at),
     }[name]()
 
@@ -45,15 +46,18 @@ def trend(df: DataFrame, date: str, values: list[str], grain: str = "month", how
 def contribution(df: DataFrame, category: str, value: str, how: str = "sum", core: float = 0.8, top: int | None = None) -> DataFrame:
     """value, share, running share and whether a category is core (the share before it is below `core`), largest first; the rest of a top as (other).
 
-    Windows run over one row per category, never over detail rows.
+    Windows run over one row per category, never over detail rows. A negative value or a total of 0 is refused, as shares of
+    such sums mean nothing.
     """
     g = df.groupBy(F.coalesce(F.when(~is_missing(category), col(category).cast("string")), F.lit(BLANK)).alias("category")).agg(aggregate(how, value).alias("value"))
-    total = g.agg(F.sum("value").alias("_total"), F.min("value").alias("_least"))
-    g = g.crossJoin(F.broadcast(total))
+    total = g.agg(F.sum("value").alias("total"), F.min("value").alias("least"), F.count("*").alias("n")).first()
+    if total.n and (total.total is None or total.total <= 0 or total.least < 0):
+        raise OperatorError("shares need values that are not negative and a total above 0")
+    g = g.withColumn("_total", F.lit(total.total).cast(g.agg(F.sum("value")).schema[0].dataType))
     w = Window.orderBy(F.desc("value"), "category")
     run = F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = g.withColumn("position", F.row_number().over(w)).withColumn("share", F.try_divide(F.col("value"), F.col("_total"))).withColumn("running_share", F.try_divide(run, F.col("_total")))
-    out = out.withColumn("is_core", F.try_divide(run - F.col("value"), F.col("_total")) < core).drop("_total", "_least")
+    out = out.withColumn("is_core", F.try_divide(run - F.col("value"), F.col("_total")) < core).drop("_total")
     if top is not None:
         rest = out.where(F.col("position") > top).agg(F.lit("(other)").alias("category"), F.sum("value").alias("value"), F.lit(top + 1).alias("position"), F.sum("share").alias("share"), F.max("running_share").alias("running_share"), F.lit(False).alias("is_core")).where("value is not null")
         out = out.where(F.col("position") <= top).unionByName(rest)
@@ -94,12 +98,6 @@ def mode(df: DataFrame, column: str) -> DataFrame:
     return df.where(~is_missing(column)).groupBy(col(column).alias("mode")).agg(F.count("*").alias("mode_count")).orderBy(F.desc("mode_count"), "mode").limit(1)
 
 
-def average_rank(c: str | Column, by: list[str] = ()) -> Column:
-    """Rank with ties at their average; nulls should be filtered out before."""
-    x = col(c)
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
-
-
 def correlation(df: DataFrame, columns: list[str], method: str = "pearson", min_rows: int = 2) -> DataFrame:
     """(a, b, n, value) of all pairs; each pair uses the rows where both are known."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
@@ -109,7 +107,9 @@ def correlation(df: DataFrame, columns: list[str], method: str = "pearson", min_
     else:
         long = reduce(lambda x, y: x.union(y), [df.select(F.lit(a).alias("a"), F.lit(b).alias("b"), col(a).cast("double").alias("x"), col(b).cast("double").alias("y")) for a, b in pairs]).dropna()
         if method == "spearman":
-            ranked = long.withColumn("rx", average_rank("x", ["a", "b"])).withColumn("ry", average_rank("y", ["a", "b"]))
+            for c in ("x", "y"):  # ranks of distinct values, joined back
+                r = ranks(long, c, ["a", "b"]).select("a", "b", c, (F.col("_below") + (F.col("_n") + 1) / 2).alias(f"r{c}"))
+                ranked = (long if c == "x" else ranked).join(r, ["a", "b", c])
             out = ranked.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("value"))
         elif method == "kendall":
             out = long.groupBy("a", "b").applyInPandas(_kendall, "a string, b string, n long, value double")

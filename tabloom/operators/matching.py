@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,28 +11,28 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import canonical_key, col
 
-from .relational import OperatorError
+from .relational import OperatorError, number_rows
 
-#: Endings of company names that do not tell companies apart, longest first.
-COMPANY_SUFFIXES = ("有限责任公司", "股份有限公司", "incorporated", "corporation", "有限公司", "limited", "company", "集团", "公司", "corp", "gmbh", "inc", "llc", "ltd", "co")
+#: Endings of company names that do not tell companies apart.
+COMPANY_SUFFIXES = (
+    "集团股份有限公司", "集团有限责任公司", "有限责任公司", "股份有限公司", "集团有限公司", "集团公司", "有限公司", "公司", "集团", "co., ltd.", "co., ltd", "co. ltd.", "co. ltd", "co ltd",
+    "company limited", "limited liability company", "corporation", "incorporated", "llc",
+)
+#: Punctuation that is left at the end once an ending is gone.
+LEFTOVER = ".,，。·-_/"
+#: Normalised texts of one block; blocks of the two sides meet pairwise.
+BLOCK = 1024
 
 
 def normalized(column: Column, suffixes: tuple[str, ...] = COMPANY_SUFFIXES) -> Column:
-    """NFKC, case folded, without white space, company endings and outer punctuation."""
+    """NFKC, case folded, without white space, without company endings; a text that is nothing but an ending keeps it."""
+    bare = sorted({re.sub(r"\s+", "", x.casefold()) for x in suffixes} - {""}, key=len, reverse=True)
+    ends = re.compile(f"(?s)^(.+?)(?:[{re.escape(LEFTOVER)}]*(?:{'|'.join(map(re.escape, bare))}))+$") if bare else None
 
     @F.pandas_udf("string")
     def clean(s: pd.Series) -> pd.Series:
         s = s.str.normalize("NFKC").str.casefold().str.replace(r"\s+", "", regex=True)
-
-        def strip(x):
-            while isinstance(x, str):
-                end = next((e for e in suffixes if x.endswith(e) and len(x) > len(e)), None)
-                if end is None:
-                    return x.strip(".,，。·-_/")
-                x = x[: -len(end)].strip(".,，。·-_/")
-            return x
-
-        return s.map(strip)
+        return s.str.replace(ends, lambda m: m[1].rstrip(LEFTOVER), regex=True) if ends else s
 
     return clean(column.cast("string"))
 
@@ -46,31 +47,79 @@ def text_ratio(a: str | Column, b: str | Column) -> Column:
     return ratio(col(a), col(b))
 
 
-def fuzzy_lookup(source: DataFrame, lookup: DataFrame, source_key: str, lookup_key: str, values: list[str], threshold: float = 0.85, gap: float = 0.03, floor: float = 0.6) -> DataFrame:
+def _two_best(pairs: DataFrame) -> DataFrame:
+    """pairs: a (texts), b (structs of pos and text), a block of either side. (text, pos, score): the two best of b for each of a.
+
+    The letters that two texts share bound their ratio from above, so texts are tried from the largest bound down until
+    the bound falls below the second best; nothing that could be among the two is passed over. Ties go to the smaller pos.
+    """
+
+    def run(frames):
+        import numpy as np
+
+        for frame in frames:
+            for a, b in zip(frame["a"], frame["b"]):
+                others = sorted((x["pos"], x["text"]) for x in b)
+                letters = {ch: i for i, ch in enumerate(sorted({ch for _, t in others for ch in t}))}
+                counts = np.zeros((len(others), len(letters)), np.int32)
+                for i, (_, t) in enumerate(others):
+                    for ch in t:
+                        counts[i, letters[ch]] += 1
+                sizes = np.array([len(t) for _, t in others])
+                out = []
+                for text in a:
+                    own = np.zeros(len(letters), np.int32)
+                    for ch in text:
+                        if ch in letters:
+                            own[letters[ch]] += 1
+                    bound = 2.0 * np.minimum(counts, own).sum(axis=1) / (sizes + len(text))
+                    best: list[tuple[float, int]] = []
+                    for i in np.argsort(-bound, kind="stable"):
+                        if len(best) == 2 and bound[i] < -best[1][0] - 1e-12:
+                            break
+                        pos, other = others[i]
+                        best = sorted([*best, (-SequenceMatcher(None, text, other, autojunk=False).ratio(), pos)])[:2]
+                    out += [(text, pos, -s) for s, pos in best]
+                yield pd.DataFrame(out, columns=["text", "pos", "score"]).astype({"text": str, "pos": "int64", "score": float})
+
+    return pairs.mapInPandas(run, "text string, pos long, score double")
+
+
+def _blocks(texts: DataFrame, item: Column, name: str) -> DataFrame:
+    """Texts packed in blocks of BLOCK or so."""
+    n = max(1, -(-texts.count() // BLOCK))
+    return texts.groupBy(F.pmod(F.xxhash64("_n"), F.lit(n)).alias(f"block_{name}")).agg(F.collect_list(item).alias(name))
+
+
+def fuzzy_lookup(source: DataFrame, lookup: DataFrame, source_key: str, lookup_key: str, values: list[str], threshold: float = 0.85, gap: float = 0.03, order_by: list[str] | None = None) -> DataFrame:
     """Adds candidate, score, second, second_score, status (matched, review, unmatched) and, when matched, values.
 
-    Distinct normalised values are compared; only pairs whose lengths and letters allow a ratio of `floor` meet the matcher: the
-    ratio is at most 2 * min(lengths) / sum, and two texts that similar share a pair of neighbouring letters or are short.
+    Every distinct normalised source text is held against all distinct normalised lookup texts, in blocks, so the two best
+    are always found; ties go to the lookup row that comes first by order_by (the key and values, if not given). Rows of
+    one normalised text stand as its first row; if their values differ, what matches them goes to review. Missing and
+    empty texts are unmatched without a candidate.
     """
+    order_by = order_by or [lookup_key, *values]
     s = source.select(col(source_key).alias("_raw")).distinct().withColumn("_n", normalized(F.col("_raw")))
-    k = lookup.select(col(lookup_key).alias("_cand"), *[col(v).alias(f"_v_{v}") for v in values]).distinct().withColumn("_cn", normalized(F.col("_cand")))
-    grams = lambda c: F.array_distinct(F.when(F.length(c) < 4, F.array(F.lit("*"))).otherwise(F.concat(F.array(F.lit("*s"), ), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))))))
-    a = s.where("_n is not null and _n <> ''").select("_raw", "_n").withColumn("_g", F.explode(grams("_n")))
-    b = k.select("_cn").distinct().where("_cn <> ''").withColumn("_g", F.explode(grams("_cn")))
-    short = F.least(F.length("_n"), F.length("_cn")) < 4
-    near = 2 * F.least(F.length("_n"), F.length("_cn")) >= floor * (F.length("_n") + F.length("_cn"))
-    pairs = a.join(b, "_g").where((F.col("_g") != "*s") & near).select("_n", "_cn").distinct()
-    pairs = pairs.union(a.where(F.length("_n") < 4).select("_n").distinct().join(b.where(F.length("_cn") < 8).select("_cn").distinct(), near & short)).distinct()
-    scored = pairs.withColumn("_score", F.round(text_ratio("_n", "_cn"), 4)).where(F.col("_score") >= floor)
-    named = scored.join(k, "_cn")
-    best = named.groupBy("_n", "_cn", "_score").agg(F.min("_cand").alias("_cand"), F.count_distinct(F.struct("_cand", *[F.col(f"_v_{v}") for v in values])).alias("_payloads"), *[F.min(f"_v_{v}").alias(f"_v_{v}") for v in values])
-    w = Window.partitionBy("_n").orderBy(F.desc("_score"), "_cand")
-    ranked = best.withColumn("_r", F.row_number().over(w)).withColumn("second", F.lead("_cand").over(w)).withColumn("second_score", F.lead("_score").over(w)).where("_r = 1")
-    out = source.join(s, col(source_key).eqNullSafe(F.col("_raw")), "left").join(ranked, "_n", "left")
-    clear = (F.col("_score") >= threshold) & (F.col("_payloads") == 1) & (F.col("second_score").isNull() | (F.round(F.col("_score") - F.col("second_score"), 6) > gap))
-    status = F.when(clear, "matched").when(F.col("_score") >= threshold, "review").otherwise("unmatched")
-    out = out.withColumn("status", status)
-    return out.select(*[col(c) for c in source.columns], F.col("_cand").alias("candidate"), F.col("_score").alias("score"), "second", "second_score", "status", *[F.when(F.col("status") == "matched", F.col(f"_v_{v}")).alias(v if v not in source.columns else f"{v}_lookup") for v in values])
+    rows = lookup.select(col(lookup_key).alias("_cand"), *[col(v).alias(f"_v{i}") for i, v in enumerate(values)], *[col(c).alias(f"_o{i}") for i, c in enumerate(order_by)])
+    rows = rows.withColumn("_n", normalized(F.col("_cand"))).where("_n <> ''")
+    order, payload = F.struct(*[f"_o{i}" for i in range(len(order_by))]), [f"_v{i}" for i in range(len(values))]
+    several = F.count_distinct(F.to_json(F.struct(*payload), {"ignoreNullFields": "false"})) > 1 if payload else F.lit(False)
+    first = rows.groupBy("_n").agg(F.min(order).alias("_first"), several.alias("_mixed"), F.min_by(F.struct("_cand", *payload), order).alias("_row"))
+    k = number_rows(first, ["_first", "_n"], "_pos").select("_pos", "_n", "_mixed", "_row.*")
+    a = _blocks(s.where("_n <> ''").select("_n").distinct(), F.col("_n"), "a")
+    b = _blocks(k, F.struct(F.col("_pos").alias("pos"), F.col("_n").alias("text")), "b")
+    met = a.withColumn("block_b", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-k.count() // BLOCK)) - 1)))).withColumn("block_b", F.col("block_b").cast("long")).join(b.withColumn("block_b", F.col("block_b").cast("long")), "block_b")
+    found = _two_best(met.select("a", "b"))
+    w = Window.partitionBy("text").orderBy(F.desc("score"), "pos")
+    top = found.withColumn("_r", F.row_number().over(w)).where("_r <= 2").groupBy(F.col("text").alias("_n")).agg(*[F.max(F.when(F.col("_r") == i, F.col(c))).alias(f"{c}{i}") for i in (1, 2) for c in ("pos", "score")])
+    top = top.join(k.drop("_n").withColumnRenamed("_pos", "pos1"), "pos1").join(k.select(F.col("_pos").alias("pos2"), F.col("_cand").alias("_second")), "pos2", "left")
+    out = source.join(s, col(source_key).eqNullSafe(F.col("_raw")), "left").join(top, "_n", "left")
+    clear = ~F.col("_mixed") & (F.col("score2").isNull() | (F.col("score1") - F.col("score2") > gap))
+    status = F.when(F.col("score1") >= threshold, F.when(clear, "matched").otherwise("review")).otherwise("unmatched")
+    out = out.withColumn("_status", status)
+    extra = [F.when(F.col("_status") == "matched", F.col(p)).alias(v if v not in source.columns else f"{v}_lookup") for v, p in zip(values, payload)]
+    return out.select(*[col(c) for c in source.columns], F.col("_cand").alias("candidate"), F.round("score1", 4).alias("score"), F.col("_second").alias("second"), F.round("score2", 4).alias("second_score"), F.col("_status").alias("status"), *extra)
 
 
 def cluster_similar(df: DataFrame, column: str, threshold: float = 0.85, max_unique: int = 1000) -> DataFrame:
@@ -123,13 +172,15 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, amount: str, date: st
     near = la.join(rb, "bin").drop("bin").where((da <= tol) & (dd <= days))
     w1, w2 = Window.partitionBy("left_id"), Window.partitionBy("right_id")
     conflict = F.col("lk").isNotNull() & F.col("rk").isNotNull() & (F.col("lk") != F.col("rk"))
-    alike = [F.coalesce((F.col(f"l{s}") == F.col(f"r{s}")).cast("double"), F.lit(0.0)) for s in sec]
-    same = sum(alike, F.lit(0.0)) / max(1, len(sec))
-    quality = lambda gap, limit: 1 - 0.5 * F.coalesce(F.try_divide(gap.cast("double"), F.lit(float(limit))), F.lit(0.0))
-    total = 0.7 + (0.3 if sec else 0.0)
-    raw = (0.45 * quality(da, tolerance) + 0.25 * quality(dd, days) + (0.3 * same if sec else 0.0)) / total
-    near = near.withColumn("score", F.round(F.when(conflict, raw * 0.8).otherwise(raw), 4)).withColumn("nl", F.count("*").over(w1)).withColumn("nr", F.count("*").over(w2))
-    auto_ok = (F.col("nl") == 1) & (F.col("nr") == 1) & (da == 0) & (dd == 0) & ~conflict & F.lit(bool(sec)) & (same == 1.0)
+    alike = [F.coalesce((F.col(f"l{s}") == F.col(f"r{s}")).cast("int"), F.lit(0)) for s in sec]
+    same = sum(alike, F.lit(0).cast("int")) / F.lit(max(1, len(sec))).cast("decimal(4,0)")
+    # exact decimals, so that a score at half a unit rounds alike everywhere
+    exact = lambda x: F.lit(str(x)).cast("decimal(6,4)")
+    quality = lambda gap, limit: exact(1) - exact(0.5) * F.coalesce(F.try_divide(gap.cast("decimal(12,2)"), F.lit(str(limit)).cast("decimal(12,2)")), exact(0)).cast("decimal(10,6)")
+    raw = (exact(0.45) * quality(da, tolerance) + exact(0.25) * quality(dd, days) + (exact(0.3) * same.cast("decimal(10,6)") if sec else exact(0))).cast("decimal(20,10)")
+    raw = raw if sec else (raw / exact(0.7)).cast("decimal(20,10)")
+    near = near.withColumn("score", F.round(F.when(conflict, (raw * exact(0.8)).cast("decimal(20,10)")).otherwise(raw), 4).cast("double")).withColumn("nl", F.count("*").over(w1)).withColumn("nr", F.count("*").over(w2))
+    auto_ok = (F.col("nl") == 1) & (F.col("nr") == 1) & (da == 0) & (dd == 0) & ~conflict & F.lit(bool(sec)) & (sum(alike, F.lit(0)) == len(sec))
     near = near.withColumn("auto", auto_ok).withColumn("amount_gap", da).withColumn("day_gap", dd)
     auto = near.where("auto").select("left_id", "right_id", F.lit("matched").alias("status"), F.least(F.col("score"), F.lit(0.95)).alias("score"), "amount_gap", "day_gap")
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "amount_gap", "day_gap", "right_id"))
@@ -142,6 +193,15 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, amount: str, date: st
     return {"duplicates": duplicates, "links": links, "left_only": left_only, "right_only": right_only}
 
 
+def reconcile_summary(left: DataFrame, right: DataFrame, out: dict[str, DataFrame]) -> DataFrame:
+    """One row of counters over a reconciliation's results: rows of both sides, links by status, duplicates and leftovers."""
+    links = out["links"].agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("matched", "amount_difference", "date_difference", "review")], F.count_distinct(F.when(F.col("status") == "review", F.col("left_id"))).alias("review_left"))
+    counts = {"left_rows": left, "right_rows": right, "duplicates": out["duplicates"], "left_only": out["left_only"], "right_only": out["right_only"]}
+    for name, df in counts.items():
+        links = links.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))  # one row each
+    return links
+
+
 def reconcile_splits(left: DataFrame, right: DataFrame, amount: str, date: str, left_id: str = "id", right_id: str = "id", tolerance: float = 0.0, days: int = 0, parts: int = 10) -> DataFrame:
     """Left rows that two right rows add up to: (left_id, right_a, right_b, gap). Of each left row the `parts` parts nearest to half of it are tried."""
     half = F.col("la") / 2

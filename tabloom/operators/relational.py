@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import col, mask
 
+from .order import number_rows
+
 
 class OperatorError(ValueError):
     """An operator's inputs break its contract."""
@@ -140,16 +142,6 @@ def top_k(df: DataFrame, by: list[tuple[str, bool]], k: int, tie: list[str] = ()
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")
 
 
-def number_rows(df: DataFrame, order_by: list[str], name: str = "row_pos") -> DataFrame:
-    """Zero-based positions in a total order, without one task for all rows: range partitions are counted, then shifted."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).withColumn("_id", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("_p", F.shiftright("_id", 33)).withColumn("_i", F.col("_id").bitwiseAND((1 << 33) - 1))
-    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each partition
-    starts = counts.withColumn("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return dealt.join(F.broadcast(starts), "_p").withColumn(name, F.col("_i") + F.col("_s")).drop("_id", "_p", "_i", "_s")
-
-
 def split_rows(df: DataFrame, rows_per_table: int, order_by: list[str]) -> DataFrame:
     """Adds table_no: chunks of rows_per_table rows in order."""
     return number_rows(df, order_by, "_pos").withColumn("table_no", F.floor(F.col("_pos") / rows_per_table).cast("long")).drop("_pos")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import col
 
-from .windows import pct_rank_average
+from .order import add_ranks, written_once
 
 
 def _finite(c: str):
@@ -62,9 +62,13 @@ def rfm(df: DataFrame, customer: str, date: str, amount: str, transaction: str |
     f = F.count_distinct(col(transaction)) if transaction else F.count("*")
     per = rows.groupBy(col(customer).alias("customer")).agg(F.max(col(date)).cast("date").alias("_last"), f.alias("frequency"), F.sum(col(amount).cast("decimal(18,2)")).alias("monetary"))
     per = per.crossJoin(F.broadcast(last)).withColumn("recency", F.datediff("_ref", "_last")).drop("_last", "_ref")
-    one = F.count("*").over(Window.partitionBy()) == 1
-    score = lambda c: F.when(one, quantiles).otherwise(F.least(F.lit(quantiles), F.greatest(F.lit(1), F.ceil(F.round(pct_rank_average(c) * quantiles, 9))))).cast("int")
-    per = per.withColumn("r", F.when(one, quantiles).otherwise(quantiles + 1 - score("recency"))).withColumn("f", score("frequency")).withColumn("m", score("monetary"))
+    per = written_once(per)
+    one = F.lit(per.limit(2).count() == 1)
+    score = lambda c: F.when(one, quantiles).otherwise(F.least(F.lit(quantiles), F.greatest(F.lit(1), F.ceil(F.round(F.col(c) * quantiles, 9))))).cast("int")
+    for c in ("recency", "frequency", "monetary"):
+        per = add_ranks(per, c, percent=f"_{c}")
+    per = per.withColumn("r", F.when(one, quantiles).otherwise(quantiles + 1 - score("_recency"))).withColumn("f", score("_frequency")).withColumn("m", score("_monetary"))
+    per = per.drop("_recency", "_frequency", "_monetary")
     high, upper, low = -(-8 * quantiles // 10), -(-6 * quantiles // 10), 4 * quantiles // 10
     r, fq, m = F.col("r"), F.col("f"), F.col("m")
     segment = (

@@ -1,4 +1,4 @@
-"""Window expressions over grouped or keyed tables."""
+"""Window expressions over grouped tables, or over tables of a row for each group. Whole tables are ranked by order.add_ranks."""
 
 from __future__ import annotations
 

@@ -32,26 +32,22 @@ def roles(df: DataFrame) -> dict[str, str]:
 
 
 #: Role -> how values of it may be summed up.
-SUMMARY = {"additive": "sum", "ratio": "mean", "score": "mean", "balance": "last"}
+SUMMARY = {"additive": "known_sum", "ratio": "mean", "score": "mean", "balance": "last"}
 
 
-def adaptive_report(df: DataFrame, top: int = 10, most_members: int = 1000) -> dict[str, DataFrame]:
-    """dictionary, quality, and for each measure a ranking by every small dimension, a monthly trend and its outlier limits."""
+def adaptive_report(df: DataFrame, top: int = 10) -> dict[str, DataFrame]:
+    """dictionary, quality, and for each measure a ranking (its first `top` members) by every dimension, a monthly trend and its outlier limits."""
     r = roles(df)
     measures = [c for c in df.columns if r[c] in ("additive", "ratio", "score")]
     dims = [c for c in df.columns if r[c] == "dimension"]
     out = {"dictionary": profile.profile(df), "quality": profile.quality_metrics(df)}
-    small = {}
-    if dims:
-        small = df.agg(*[F.approx_count_distinct(c).alias(c) for c in dims]).first().asDict()
     date = next((c for c in df.columns if r[c] == "date"), None)
     for m in measures:
         how = SUMMARY[r[m]]
-        value = col(m).cast("decimal(18,4)") if how == "sum" else col(m)
+        value = col(m).cast("decimal(18,4)") if how == "known_sum" else col(m)
         for d in dims:
-            if small[d] <= most_members:
-                g = df.groupBy(d).agg(aggregate.aggregate(how, value).alias("value"), F.count("*").alias("rows"))
-                out[f"{m}_by_{d}"] = g.orderBy(F.desc("value"), d).limit(top)
+            g = df.groupBy(d).agg(aggregate.aggregate(how, value).alias("value"), F.count("*").alias("rows"))
+            out[f"{m}_by_{d}"] = g.orderBy(F.desc_nulls_last("value"), d).limit(top)
         if date:
             out[f"{m}_trend"] = df.where(col(date).isNotNull()).groupBy(F.date_trunc("month", col(date)).cast("date").alias("month")).agg(aggregate.aggregate(how, value).alias("value"))
     if measures:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import col, money, safe_div
 from tabloom.operators.joins import merge_on_spine
-from tabloom.operators.windows import pct_change, rank_min
+from tabloom.operators.order import add_ranks, written_once
+from tabloom.operators.windows import pct_change
 
 
 def inventory(products: DataFrame, moves: DataFrame, sku: str, days: int, multiplier: float = 2.0) -> DataFrame:
@@ -35,7 +36,7 @@ def workforce(people: DataFrame, attendance: DataFrame, performance: DataFrame,
     p = performance.groupBy(person).agg(F.try_divide(F.sum("actual"), F.sum("target")).alias("attainment"), F.avg("rating").alias("rating")).withColumn("performance_score", F.least(F.lit(100.0), F.col("attainment") * 70 + F.col("rating") / 5 * 30))
     out = people.join(a, person, "left").join(p, person, "left").withColumn("composite", F.round(0.3 * F.col("attendance_score") + 0.7 * F.col("performance_score"), 4))
     group = F.when(F.col("composite").isNull(), "review").when(F.col("composite") >= 90, "excellent").when(F.col("composite") < 60, "attention").otherwise("normal")
-    return out.withColumn("rank", rank_min("composite")).withColumn("group", group)
+    return add_ranks(out.withColumn("group", group), "composite", smallest="rank")
 
 
 def monthly_company(facts: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
@@ -87,7 +88,7 @@ def apply_receipts(receipts: DataFrame, documents: DataFrame, applications: Data
     while True:  # smallest name spreads; a shortcut through the name halves the way each round
         near = edges.join(label.withColumnRenamed("n", "a"), "a").select(F.col("b").alias("n"), "c").union(edges.join(label.withColumnRenamed("n", "b"), "b").select(F.col("a").alias("n"), "c"))
         new = label.union(near).groupBy("n").agg(F.min("c").alias("c"))
-        new = new.join(new.select(F.col("n").alias("c"), F.col("c").alias("cc")), "c").select("n", F.col("cc").alias("c")).checkpoint()
+        new = written_once(new.join(new.select(F.col("n").alias("c"), F.col("c").alias("cc")), "c").select("n", F.col("cc").alias("c")))
         if new.join(label.withColumnRenamed("c", "old"), "n").where("c <> old").isEmpty():
             break
         label = new

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import col, money, month_text, parse_date, parse_number, safe_div
 from tabloom.operators.dedup import most_complete
-from tabloom.operators.windows import rank_min, share_of
+from tabloom.operators.order import add_ranks
 
 
 def overview(df: DataFrame, sales: str, cost: str, quantity: str) -> DataFrame:
@@ -19,7 +19,9 @@ def ranking(df: DataFrame, by: str, sales: str, cost: str) -> DataFrame:
     """One row for each member: sales, cost, profit, margin, share and rank."""
     g = df.groupBy(by).agg(F.sum(money(sales)).alias("sales"), F.sum(money(cost)).alias("cost"), F.count("*").alias("rows"))
     g = g.withColumn("profit", F.col("sales") - F.col("cost")).withColumn("margin", safe_div(F.col("profit").cast("double"), F.col("sales").cast("double")))
-    return g.withColumn("share", share_of(F.col("sales").cast("double"))).withColumn("rank", rank_min("sales"))
+    total = g.agg(F.sum(F.col("sales").cast("double")).alias("_total"))
+    g = g.crossJoin(F.broadcast(total)).withColumn("share", safe_div(F.col("sales").cast("double"), F.col("_total"))).drop("_total")
+    return add_ranks(g, "sales", smallest="rank")
 
 
 def attention(df: DataFrame, sales: str, cost: str, satisfaction: str | None = None, low: float = 3.0, factor: float = 1.5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import expressions as X
 from tabloom.operators import aggregate as A, clean, dedup, finance, joins as J, matching as M, profile, relational as R, stats as S, validation as V
+from tabloom.operators.order import written_once
 from tabloom.operators.relational import OperatorError
 from tabloom.reports import operations as O
 
@@ -163,7 +164,7 @@ def test_ordered_folds(spark):
     lines = spark.createDataFrame([(1, 10.0)], "line int, sold double")
     back = spark.createDataFrame([(1, 1, 6.0), (2, 1, 7.0), (3, 1, 4.0)], "n int, line int, quantity double")
     assert [r.accepted for r in O.capped_returns(lines, back, "line", "sold", "n").orderBy("n").collect()] == [True, False, True]
-    spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    written_once(spark.range(1))  # names a folder for checkpoints where none is set
     rec = spark.createDataFrame([(1, 100.0), (2, 50.0)], "receipt int, amount double")
     doc = spark.createDataFrame([(1, 80.0), (2, 100.0)], "document int, amount double")
     app = spark.createDataFrame([(1, 1, 1, 80.0), (2, 1, 2, 30.0), (3, 1, 2, 20.0), (4, 2, 2, 50.0)], "application long, receipt int, document int, amount double")
