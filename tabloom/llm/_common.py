@@ -111,8 +111,18 @@ def sound(vector: str) -> F.Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def bound_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Rows that carry whole texts go to Python at most so many at a time, from here on in this session.
+
+    Jobs are lazy, so this can't be undone where the operator returns. Batches of bytes, not rows, are what fills a worker.
+    """
+    now = int(spark.conf.get(small_batches.KEY))
+    if not 0 < now <= rows:
+        spark.conf.set(small_batches.KEY, str(rows))
+
+
 class small_batches:
-    """Rows that carry packed blocks go to Python a few at a time while this is entered."""
+    """So many rows go to Python at a time while this is entered: few that carry packed blocks, many short ones."""
 
     KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

@@ -3,18 +3,18 @@ r"""Line dedup by a suffix array over line-ID sequences, built by distributed pr
 A document is the sequence of its non-blank lines. Ranks of the lines sort all suffixes by their first line; a round of
 doubling ranks pairs (rank here, rank 2**j lines on), which sorts by twice as many lines. A rank comes from a range
 sort over the distinct pairs, so a hot line is one row there. Suffixes whose prefix occurs once leave the array, as
-nothing longer of theirs repeats. A run counts from `min_words` words, so ranks of up to that many lines decide: two
-overlapping ranks of 2**j lines name any stretch of 2**j to 2**(j+1) lines. The suffixes that share the stretch from a
-line to its `min_words`-th word are an LCP interval; so are those that share a stretch which ends there. Every repeated
-run is the union of such stretches within it, so deleting all occurrences in an interval but its first deletes just the
-later copies of maximal repeated runs.
-
-Copies of a whole text are grouped first (by two 64-bit hashes) and stand in the array once; later copies lose all
-their lines. Order is by key, then by a row hash.
-
-Defined cases: null text stays null, counts 0 lines; empty and blank texts stay; rows that repeat both key and text are
-one document and get the same result; a null key comes last; a text below `min_words` words is never changed; an empty
-table gives an empty result; extra columns pass through, and where they clash the new columns get leading underscores.
+nothing longer of theirs repeats. A run counts from `min_words` words, and lines hold a word each at least, so a run
+that decides has `min_words` lines at most and doubling may end there: two overlapping ranks of 2**j lines name any
+stretch of 2**j to 2**(j+1) lines. The suffixes that share the stretch from a line to its `min_words`-th word are an LCP
+interval of that depth; so are those that share a stretch which ends there. Every repeated run is the union of such
+stretches within it, so deleting all occurrences in an interval but its first deletes just the later copies of maximal
+repeated runs.
+
+Copies of a whole text stand in the array once; later copies lose all their lines. Order is by key, then by text hash.
+
+Defined cases: null text stays null, counts 0 lines; empty and blank texts stay; of rows that repeat both key and text one
+counts as the first and the others as later copies; a null key comes last; a text below `min_words` words is never changed;
+an empty table gives an empty result; extra columns pass through, and where they clash the new columns get leading underscores.
 """
 
 from __future__ import annotations
@@ -25,24 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._common import materialize, shelter
+from ._common import bound_batches, discard, materialize, shelter
+from .copies import ROW, distinct_texts, mark_repeats, ranked, with_identity
 
 MIN_WORDS = 50
-#: Parts that the copies of one text are dealt to.
-SALTS = 32
 
-
-def first_copies(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(_rid, _d, _first): row hash, order key, whether the row is the first of its text. Copies meet by salt only."""
-    rid = F.xxhash64(F.lit(4), F.col(key), F.col(text))
-    own = docs.where(F.col(text).isNotNull()).select(rid.alias("_rid"), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("_d"), F.xxhash64(F.lit(1), text).alias("_t"), F.xxhash64(F.lit(2), text).alias("_u"))
-    own = own.withColumn("_salt", F.pmod("_rid", F.lit(SALTS)).cast("int")).groupBy("_t", "_u", "_salt", "_d", "_rid").agg(F.count("*").alias("_n"))
-    parts = own.groupBy("_t", "_u", "_salt").agg(F.min(F.struct("_d", "_rid")).alias("_m"))
-    firsts = parts.groupBy("_t", "_u").agg(F.min("_m").alias("_m"), F.collect_set("_salt").alias("_salts")).select("_t", "_u", "_m", F.explode("_salts").alias("_salt"))
-    return own.join(firsts, ["_t", "_u", "_salt"]).select("_rid", "_d", (F.col("_m._rid") == F.col("_rid")).alias("_first"))
-
-
-LINE = "_rid long, _d long, i int, id long, words int, ahead int, back int"
+LINE = "_t long, _u long, _d long, i int, id long, id2 long, ahead int, back int"
 
 
 def _lines(frames, text: str, min_words: int):
@@ -50,65 +38,68 @@ def _lines(frames, text: str, min_words: int):
     import xxhash
 
     for frame in frames:
-        out = []
-        for rid, d, body in zip(frame["_rid"], frame["_d"], frame[text]):
+        of, cols = [], [[] for _ in range(5)]
+        for k, body in enumerate(frame[text]):
             lines = [x for x in body.encode().split(b"\n") if x.strip()]
-            words = [len(x.split()) for x in lines]
-            cum = np.concatenate(([0], np.cumsum(words)))
+            cum = np.zeros(len(lines) + 1, np.int64)
+            np.cumsum([len(x.split()) for x in lines], out=cum[1:])
             if cum[-1] < min_words:
                 continue
             n = len(lines)
+            at = np.arange(n)
             stop = np.searchsorted(cum, cum[:-1] + min_words)  # cum[stop] >= cum[i] + min_words
-            ahead = np.where(stop <= n, stop - np.arange(n), 0)
             start = np.searchsorted(cum, cum[1:] - min_words, "right") - 1
-            back = np.where(cum[1:] >= min_words, np.arange(n) + 1 - start, 0)
-            out.append(pd.DataFrame({"_rid": rid, "_d": d, "i": np.arange(n, dtype=np.int32), "id": np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64).view(np.int64), "words": words, "ahead": ahead, "back": back}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
-
-
-def _ranked(keys: DataFrame, *by: str) -> DataFrame:
-    """Order-preserving numbers for distinct keys: a range sort, then row numbers that grow with the partition."""
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_rank", F.monotonically_increasing_id())
+            both = np.frombuffer(b"".join(map(xxhash.xxh128_digest, lines)), "<i8")
+            of.append(np.full(n, k))
+            for c, x in zip(cols, (at, both[::2], both[1::2], np.where(stop <= n, stop - at, 0), np.where(cum[1:] >= min_words, at + 1 - start, 0))):
+                c.append(x)
+        if of:
+            of = np.concatenate(of)
+            yield pd.DataFrame({**{c: frame[c].to_numpy()[of] for c in ROW}, **dict(zip(("i", "id", "id2", "ahead", "back"), map(np.concatenate, cols)))})
 
 
 def suffix_ranks(lines: DataFrame, levels: int) -> list[DataFrame]:
-    """For each j: (_rid, i, r) of the suffixes whose first 2**j lines occur again somewhere, in suffix order by r."""
-    again = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    names = materialize(_ranked(again, "id"), "line-ranks")
-    out = [materialize(lines.select("_rid", "i", "id").join(names, "id").select("_rid", "i", F.col("_rank").alias("r")), "suffix-0")]
+    """For each j: (node, i, r) of the suffixes whose first 2**j lines occur again somewhere, in suffix order by r."""
+    again = lines.groupBy("id", "id2").agg(F.count("*").alias("n")).where("n > 1").select("id", "id2")
+    names = materialize(ranked(again, "id", "id2"), "line-ranks")
+    out = [materialize(lines.select("node", "i", "id", "id2").join(names, ["id", "id2"]).select("node", "i", F.col("_rank").alias("r")), "suffix-0")]
+    discard(names)
     for j in range(levels):
         step = 1 << j
-        later = F.first("r").over(Window.partitionBy("_rid").orderBy("i").rangeBetween(step, step))
+        later = F.first("r").over(Window.partitionBy("node").orderBy("i").rangeBetween(step, step))
         pairs = out[-1].withColumn("r2", later).where("r2 is not null")
         keys = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1").select("r", "r2")
-        names = materialize(_ranked(keys, "r", "r2"), "pair-ranks")
-        out.append(materialize(pairs.join(names, ["r", "r2"]).select("_rid", "i", F.col("_rank").alias("r")), f"suffix-{j + 1}"))
+        names = materialize(ranked(keys, "r", "r2"), "pair-ranks")
+        out.append(materialize(pairs.join(names, ["r", "r2"]).select("node", "i", F.col("_rank").alias("r")), f"suffix-{j + 1}"))
+        discard(names)
     return out
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(_rid, _first) of all rows with a text, and (_rid, _gone: numbers of the non-blank lines to delete) of first copies."""
-    copies = materialize(first_copies(docs, key, text), "copies")
-    first = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.lit(4), F.col(key), F.col(text)).alias("_rid"), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("_d"), text)
-    # repeated rows make repeated lines; (_rid, i) is made unique after the split, when rows are narrow
-    lines = first.mapInPandas(lambda frames: _lines(frames, text, min_words), LINE).join(copies.where("_first").select("_rid"), "_rid", "left_semi").dropDuplicates(["_rid", "i"])
-    lines = materialize(lines, "lines")
+def repeated_lines(docs: DataFrame, heads: DataFrame, repeats: bool, key: str, text: str, min_words: int) -> DataFrame:
+    """(_t, _u, _d, _gone) of the first row of each text: numbers of the non-blank lines to delete, null for none."""
+    own = with_identity(docs.where(F.col(text).isNotNull()), key, text).select(*ROW, text)
+    lines = own.mapInPandas(lambda frames: _lines(frames, text, min_words), LINE)
+    if repeats:  # made unique where they are read, before copies of a line meet
+        lines = lines.dropDuplicates([*ROW, "i"])
+    lines = materialize(lines.join(heads.select(*ROW, "node"), ROW).drop(*ROW), "lines")
     levels = max(0, min_words.bit_length() - 1)
     ranks = suffix_ranks(lines, levels)
     every = ranks[0].withColumn("j", F.lit(0))
     for j, r in enumerate(ranks[1:], 1):
         every = every.unionByName(r.withColumn("j", F.lit(j)))
-    spans = lines.where("ahead > 0").select("_rid", "_d", F.col("i").alias("s"), F.col("ahead").alias("n")).union(lines.where("back > 0").select("_rid", "_d", (F.col("i") - F.col("back") + 1).alias("s"), F.col("back").alias("n"))).distinct()
+    spans = lines.where("ahead > 0").select("node", F.col("i").alias("s"), F.col("ahead").alias("n")).union(lines.where("back > 0").select("node", (F.col("i") - F.col("back") + 1).alias("s"), F.col("back").alias("n"))).distinct()
     spans = spans.withColumn("j", F.floor(F.log2("n") + 1e-9).cast("int"))
-    spans = spans.join(every.select("_rid", F.col("i").alias("s"), "j", F.col("r").alias("r1")), ["_rid", "s", "j"])
-    spans = spans.withColumn("i", (F.col("s") + F.col("n") - F.expr("shiftleft(1, j)")).cast("int")).join(every.select("_rid", "i", "j", F.col("r").alias("r2")), ["_rid", "i", "j"])
-    spans = materialize(spans.select("_rid", "_d", "s", "n", "r1", "r2"), "spans")
-    interval = spans.groupBy("r1", "r2", "n").agg(F.min(F.struct("_d", "_rid", "s")).alias("m"), F.count("*").alias("k")).where("k > 1").drop("k")
-    later = spans.join(interval, ["r1", "r2", "n"]).where(F.struct("_d", "_rid", "s") > F.col("m"))
-    gone = later.select("_rid", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("n") - 1)).alias("i")).distinct()
-    return copies, gone.groupBy("_rid").agg(F.collect_list("i").alias("_gone"))
+    spans = spans.join(every.select("node", F.col("i").alias("s"), "j", F.col("r").alias("r1")), ["node", "s", "j"])
+    spans = spans.withColumn("i", (F.col("s") + F.col("n") - F.expr("shiftleft(1, j)")).cast("int")).join(every.select("node", "i", "j", F.col("r").alias("r2")), ["node", "i", "j"])
+    spans = materialize(spans.select("node", "s", "n", "r1", "r2"), "spans")
+    for table in (lines, *ranks):
+        discard(table)
+    interval = spans.groupBy("r1", "r2", "n").agg(F.min(F.struct("node", "s")).alias("m"), F.count("*").alias("k")).where("k > 1").drop("k")
+    later = spans.join(interval, ["r1", "r2", "n"]).where(F.struct("node", "s") > F.col("m"))
+    gone = later.select("node", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("n") - 1)).alias("i")).distinct()
+    marks = materialize(heads.join(gone.groupBy("node").agg(F.collect_list("i").alias("_gone")), "node", "left").select(*ROW, "_gone"), "deletions")
+    discard(spans)
+    return marks
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -116,9 +107,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     from pyspark.sql.types import IntegerType, StructField, StructType
 
     docs, back = shelter(docs, key, text)
-    copies, gone = repeated_lines(docs, key, text, min_words)
-    marks = materialize(copies.join(gone, "_rid", "left").select("_rid", "_first", "_gone").where("not _first or _gone is not null"), "deletions")
-    marked = docs.withColumn("_rid", F.xxhash64(F.lit(4), F.col(key), F.col(text))).join(marks, "_rid", "left").drop("_rid")
+    bound_batches(docs.sparkSession)
+    heads, repeats = distinct_texts(docs, key, text)
+    marks = repeated_lines(docs, heads, repeats, key, text, min_words).withColumn("_first", F.lit(True))
+    # texts are shuffled once at any size; a row without a mark is a later copy
+    marked = mark_repeats(docs, key, text, repeats).join(marks.hint("merge"), ROW, "left")
+    first = (F.coalesce("_first", F.lit(False)) & ~F.col("_again")).alias("_first")
     schema = StructType([*docs.schema.fields, StructField("n_lines", IntegerType()), StructField("n_removed", IntegerType())])
     names, at = docs.columns, docs.columns.index(text)
 
@@ -149,4 +143,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int32()), pa.array(n_gone, pa.int32())], names=schema.names)
 
-    return back(marked.select(*docs.columns, "_first", "_gone").mapInArrow(rebuild, schema), ["n_lines", "n_removed"])
+    return back(marked.select(*docs.columns, first, "_gone").mapInArrow(rebuild, schema), ["n_lines", "n_removed"])
