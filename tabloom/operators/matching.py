@@ -47,13 +47,18 @@ def text_ratio(a: str | Column, b: str | Column) -> Column:
     return ratio(col(a), col(b))
 
 
-def _two_best(pairs: DataFrame) -> DataFrame:
+def _two_best(pairs: DataFrame, holds: bool = False) -> DataFrame:
     """pairs: a (texts), b (structs of pos and text), a block of either side. (text, pos, score): the two best of b for each of a.
 
     The letters that two texts share bound their ratio from above, so texts are tried from the largest bound down until
-    the bound falls below the second best; nothing that could be among the two is passed over. Ties go to the smaller pos.
+    the bound falls below the second best; nothing that could be among the two is passed over. Ties go to the smaller pos. With holds, a text that the other holds
+    counts as the ratio of their lengths at least, which lies below the same bound.
     """
 
+    def score(x: str, y: str) -> float:
+        ratio = SequenceMatcher(None, x, y, autojunk=False).ratio()
+        return max(ratio, min(len(x), len(y)) / max(len(x), len(y))) if holds and (x in y or y in x) else ratio
+
     def run(frames):
         import numpy as np
 
@@ -78,7 +83,7 @@ def _two_best(pairs: DataFrame) -> DataFrame:
                         if len(best) == 2 and bound[i] < -best[1][0] - 1e-12:
                             break
                         pos, other = others[i]
-                        best = sorted([*best, (-SequenceMatcher(None, text, other, autojunk=False).ratio(), pos)])[:2]
+                        best = sorted([*best, (-score(text, other), pos)])[:2]
                     out += [(text, pos, -s) for s, pos in best]
                 yield pd.DataFrame(out, columns=["text", "pos", "score"]).astype({"text": str, "pos": "int64", "score": float})
 
