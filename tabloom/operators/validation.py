@@ -169,9 +169,11 @@ def through_cutoff(df: DataFrame, date: str, cutoff: str) -> dict[str, DataFrame
 def prepare_business(df: DataFrame, policy: dict) -> dict[str, DataFrame]:
     """Applies a rules policy: rename, value maps, known statuses, dedup keys, numeric columns, derivations.
 
-    policy: {rename, maps: {column: {old: new}}, status: {column, keep, drop}, keys, numeric: [..], derive: [..]}.
-    Returns prepared and excluded (with a reason); an unknown status is an error.
+    policy: {rename, maps: {column: {old: new}}, status: {column, keep, drop}, keys, numeric: [..], derive: [..],
+    joins: [{right: DataFrame, left_key, right_key, fields}]}. Returns prepared, excluded (with a reason), original (the table as it
+    came) and audit (rows by what became of them); an unknown status is an error.
     """
+    original = df
     from .relational import apply_mapping, derive_columns
 
     df = df.withColumnsRenamed(policy.get("rename", {}))
@@ -192,4 +194,9 @@ def prepare_business(df: DataFrame, policy: dict) -> dict[str, DataFrame]:
     good = marked.where("reason = ''").drop("reason")
     if d := policy.get("derive"):
         good = derive_columns(good, d, "coerce")["primary"]
-    return {"prepared": good, "excluded": marked.where("reason <> ''")}
+    for j in policy.get("joins", []):
+        from .masters import attribute_join
+
+        good = attribute_join(good, j["right"], j["left_key"], j["right_key"], j["fields"])
+    audit = marked.groupBy(F.when(F.col("reason") == "", "included").otherwise(F.col("reason")).alias("outcome")).agg(F.count("*").alias("rows"))
+    return {"prepared": good, "excluded": marked.where("reason <> ''"), "original": original, "audit": audit}

@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from tabloom.operators import aggregate, clean, dedup, finance, joins, matching, relational, stats, validation
+from tabloom.operators import aggregate, clean, dedup, finance, joins, masters, matching, profile, relational, stats, validation
 from tabloom.operators.relational import OperatorError
+from tabloom.reports import restaurant, sales
 
 MAX_STEPS, MAX_BYTES = 20, 256_000
 
@@ -42,6 +43,7 @@ def _one(name, f, required=(), optional=(), primary=None):
         out = f(inputs[0], **params)
         if isinstance(out, DataFrame):
             return {"primary": out}
+        out = {k: v for k, v in out.items() if isinstance(v, DataFrame)}
         return out if primary is None else {"primary": out[primary], **{k: v for k, v in out.items() if k != primary}}
 
     register(name, (1, 1), required, optional)(run)
@@ -71,6 +73,15 @@ _one("ar_aging", finance.ar_aging, ("party", "due", "amount", "paid", "as_of"),
 _one("budget_variance", finance.budget_variance, ("by", "actual", "budget"), ("view",))
 _one("cash_flow", finance.cash_flow, ("date", "direction", "category", "amount", "inflow", "outflow"), (), "monthly")
 _one("journal_audit", finance.journal_audit, ("voucher", "debit", "credit"), ("tolerance",), "vouchers")
+_one("describe", aggregate.describe, ("columns",), ("percentiles",))
+_one("quality", profile.quality_metrics)
+_one("profile", profile.profile, (), ("exact",))
+_one("split", relational.split_rows, ("rows_per_table", "order_by"))
+_one("financial_ratios", finance.financial_ratios, ("key",), (), "wide")
+_one("sales_report", sales.sales_report, ("date", "product", "seller", "region", "quantity", "sales", "cost"), ("satisfaction",))
+_one("order_analysis", sales.order_analysis, ("order", "line", "amount", "discount", "refund", "store", "product", "date"))
+_one("selection", sales.selection, ("entry", "scores"), ("comments", "penalties", "top"))
+_one("restaurant_diagnosis", restaurant.diagnosis, (), ("store", "month"))
 _one("fuzzy_clusters", matching.cluster_similar, ("column",), ("threshold", "max_unique"))
 
 
@@ -84,6 +95,18 @@ def _lookup(inputs, params):
     return {"primary": joins.lookup_match(*inputs, **params)}
 
 
+@register("attribute_join", (2, 2), ("left_key", "right_key", "fields"))
+def _attributes(inputs, params):
+    return {"primary": masters.attribute_join(*inputs, **params)}
+
+
+@register("recipe", (1, 1), ("recipe",))
+def _recipe(inputs, params):
+    from .recipe import Recipe
+
+    return {"primary": Recipe.from_json(json.dumps(params["recipe"])).run(inputs[0])}
+
+
 @register("compare", (2, 2), ("keys",), ("columns", "duplicates", "order_by"))
 def _compare(inputs, params):
     out = joins.compare_tables(*inputs, **params)

@@ -32,6 +32,16 @@ def check_read_only(sql: str) -> str:
     return sql.strip().rstrip("; \n\t")
 
 
+def check_parsed(spark: SparkSession, sql: str) -> str:
+    """The statement, if Spark's parser reads it as a query: nothing is run, its plan must not start with anything that writes or sets."""
+    text = check_read_only(sql)
+    plan = spark.sql(f"EXPLAIN EXTENDED {text}").first()[0]
+    parsed = plan.partition("== Parsed Logical Plan ==")[2].partition("== Analyzed Logical Plan ==")[0]
+    if m := re.search(r"^\W*\w*(Command|Insert|Create|Replace|Drop|Delete|Update|Merge|Truncate|Alter|Set|Cache|Load)\w*", parsed.strip()):
+        raise OperatorError(f"not a query: {m[0].strip()}")
+    return text
+
+
 def query_tables(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int | None = None) -> DataFrame:
     """Runs read-only SQL over tables by name (input_1, input_2, ... for unnamed ones); max_rows is checked, never cut."""
     if not 1 <= len(tables) <= 50:

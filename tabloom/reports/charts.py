@@ -22,6 +22,31 @@ def grain_for(df: DataFrame, date: str) -> str:
     return next((g for most, g in GRAINS if days <= most), "year")
 
 
+def check_spec(spec: dict, df: DataFrame) -> list[str]:
+    """What speaks against a chart {kind, label, value, series, points}: unknown kinds and columns, values that are no numbers, parts of a
+    whole that are negative or too many, lines without an order."""
+    kinds, found = dict(df.dtypes), []
+    if spec.get("kind") not in ("bar", "column", "line", "area", "pie", "scatter", "box", "histogram", "gantt", "radar", "heatmap"):
+        found.append("unknown kind")
+    for part in ("label", "value", "series"):
+        if spec.get(part) is not None and spec[part] not in kinds:
+            found.append(f"unknown {part}")
+    if found:
+        return found
+    value, label = spec.get("value"), spec.get("label")
+    if value and not kinds[value].startswith(("int", "bigint", "smallint", "double", "float", "decimal")):
+        found.append("the value is no number")
+    elif value and spec["kind"] == "pie" and not df.where(col(value) < 0).isEmpty():
+        found.append("parts of a whole are negative")
+    if label and spec["kind"] in ("pie", "radar") and df.select(label).distinct().limit(13).count() > 12:
+        found.append("more than 12 parts")
+    if label and spec["kind"] in ("line", "area") and not kinds[label].startswith(("date", "timestamp", "int", "bigint")):
+        found.append("a line's labels have no order")
+    if spec["kind"] in ("scatter", "box", "histogram") and not value:
+        found.append("a value is needed")
+    return found
+
+
 def single_series(df: DataFrame, label: str, value: str | None = None, how: str = "count", top: int = 20) -> DataFrame:
     """(label, value): the largest first, ties by label."""
     agg = aggregate(how, value) if value else F.count("*")

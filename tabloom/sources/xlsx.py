@@ -8,8 +8,11 @@ import zipfile
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tabloom.operators.order import written_once
 from tabloom.operators.relational import OperatorError
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
@@ -60,25 +63,31 @@ def sheets(data: bytes) -> dict[str, list[list[str | None]]]:
 
 
 def read_workbook(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables by sheet, all text; the first row is the header, names are made unique."""
-    files = spark.read.format("binaryFile").load(path).select("content").limit(2).collect()
-    if len(files) != 1:
+    """Tables by sheet, all text; the first row is the header, names are made unique. Rows arise where the file is parsed, on an executor."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    if files.select(F.lit(1)).limit(2).count() != 1:
         raise OperatorError("one workbook at a time")
+
+    def parse(frames):
+        for frame in frames:
+            for content in frame["content"]:
+                for k, (name, rows) in enumerate(sheets(content).items()):
+                    yield pd.DataFrame({"place": k, "sheet": name, "at": range(len(rows)), "cells": rows})
+
+    cells = written_once(files.mapInPandas(parse, "place int, sheet string, at int, cells array<string>"))
+    widths = {r.sheet: r.width for r in cells.groupBy("place", "sheet").agg(F.max(F.size("cells")).alias("width")).orderBy("place").collect()}  # a row for each sheet
+    heads = {r.sheet: r.cells for r in cells.where("at = 0").collect()}
     out = {}
-    for name, rows in sheets(bytes(files[0].content)).items():
-        if not rows:
-            continue
-        width = max(map(len, rows))
+    for name, width in widths.items():
         head, seen = [], set()
         for i in range(width):
-            base = (rows[0][i] if i < len(rows[0]) and rows[0][i] else f"column_{i + 1}").strip()
+            base = (heads[name][i] if i < len(heads[name]) and heads[name][i] else f"column_{i + 1}").strip()
             n, k = base, 2
             while n.lower() in seen:
                 n, k = f"{base}_{k}", k + 1
             seen.add(n.lower())
             head.append(n)
-        body = [tuple((r + [None] * width)[:width]) for r in rows[1:]]
-        out[name] = spark.createDataFrame(body, ", ".join(f"`{h.replace('`', '``')}` string" for h in head))
+        out[name] = cells.where((F.col("sheet") == name) & (F.col("at") > 0)).select(*[F.get("cells", F.lit(i)).alias(h) for i, h in enumerate(head)])
     return out
 
 
