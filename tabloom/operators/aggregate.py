@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import col, is_missing, period
 
-from .order import ranks
+from .order import ranks, written_once
 from .relational import OperatorError, require_columns
 
 BLANK = "(blank)"
@@ -112,41 +112,74 @@ def correlation(df: DataFrame, columns: list[str], method: str = "pearson", min_
                 ranked = (long if c == "x" else ranked).join(r, ["a", "b", c])
             out = ranked.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("value"))
         elif method == "kendall":
-            out = long.groupBy("a", "b").applyInPandas(_kendall, "a string, b string, n long, value double")
+            out = _kendall(long)
         else:
             raise OperatorError(f"unknown correlation: {method}")
     return out.withColumn("value", F.when(F.col("n") >= min_rows, F.col("value")))
 
 
-def _kendall(pdf):
-    """tau-b of one pair of columns; discordant pairs are counted while merge-sorting."""
+def _discordant(y, w) -> float:
+    """Weight of pairs i < j with y[i] > y[j], counted while merge-sorting."""
     import numpy as np
-    import pandas as pd
 
-    x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-    n = len(x)
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    ranks = np.unique(y, return_inverse=True)[1]
-
-    def ties(v):
-        c = np.unique(v, return_counts=True, axis=0)[1].astype(float)
-        return (c * (c - 1) / 2).sum()
-
-    swaps, width = 0, 1
-    a = ranks.copy()
-    while width < n:
-        for lo in range(0, n, 2 * width):
-            left, right = a[lo : lo + width], a[lo + width : lo + 2 * width]
-            if len(right):
-                swaps += int((len(left) - np.searchsorted(left, right, "right")).sum())
-                a[lo : lo + 2 * width] = np.sort(np.concatenate((left, right)), kind="stable")
+    y, w, total, width = np.unique(y, return_inverse=True)[1], np.asarray(w, float), 0.0, 1
+    while width < len(y):
+        for lo in range(0, len(y) - width, 2 * width):
+            left, right = slice(lo, lo + width), slice(lo + width, lo + 2 * width)
+            above = np.concatenate(([0.0], np.cumsum(w[left])))
+            total += float((w[right] * (above[-1] - above[np.searchsorted(y[left], y[right], "right")])).sum())
+            both = slice(lo, lo + 2 * width)
+            order = np.argsort(y[both], kind="stable")
+            y[both], w[both] = y[both][order], w[both][order]
         width *= 2
-    total, tx, ty = n * (n - 1) / 2, ties(x), ties(y)
-    both = ties(np.stack((x, y), axis=1))
-    below = np.sqrt((total - tx) * (total - ty))
-    value = (total - tx - ty + both - 2 * swaps) / below if below else float("nan")
-    return pd.DataFrame({"a": [pdf["a"].iloc[0]], "b": [pdf["b"].iloc[0]], "n": [n], "value": [value]})
+    return total
+
+
+def _kendall(long: DataFrame, buckets: int = 64) -> DataFrame:
+    """tau-b of each pair of columns from the distinct points (x, y) of a, b, in three parts, none of which has all points in one task.
+
+    Points in order of x and y lie in ranges p, and by y in buckets q. Pairs of points of one range are counted there; pairs of one
+    bucket but different ranges in the bucket; what lies in different ranges and buckets is discordant by their numbers alone.
+    """
+    import numpy as np
+    import pandas as pd
+
+    points = long.groupBy("a", "b", "x", "y").agg(F.count("*").alias("w"))
+    bounds = points.groupBy("a", "b").agg(F.percentile_approx("y", F.array(*[F.lit(k / buckets) for k in range(1, buckets)])).alias("bounds"))
+    n = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = 2 * F.size(F.filter("bounds", lambda v: v < F.col("y"))) + F.array_contains("bounds", F.col("y")).cast("int")  # a frequent value has one of its own
+    dealt = points.join(F.broadcast(bounds), ["a", "b"]).withColumn("q", q).drop("bounds")  # a row for each pair of columns
+    dealt = written_once(dealt.repartitionByRange(n, "a", "b", "x", "y").withColumn("p", F.spark_partition_id()))
+
+    def inside(by: str, apart: str | None):
+        def count(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["x", "y"])
+            total = _discordant(pdf["y"], pdf["w"])
+            if apart:
+                total -= sum(_discordant(g["y"], g["w"]) for _, g in pdf.groupby(apart))
+            return pd.DataFrame({"a": [pdf["a"].iloc[0]], "b": [pdf["b"].iloc[0]], "d": [total]})
+
+        return dealt.where("q % 2 = 0" if apart else "true").groupBy("a", "b", by).applyInPandas(count, "a string, b string, d double")
+
+    cells = dealt.groupBy("a", "b", "p", "q").agg(F.sum("w").alias("w")).toPandas()  # ranges x buckets for each pair of columns
+    across = []
+    for (a, b), g in cells.groupby(["a", "b"]):
+        m = g.pivot_table(index="p", columns="q", values="w", fill_value=0).sort_index().sort_index(axis=1).to_numpy(float)
+        later = m[::-1].cumsum(axis=0)[::-1] - m  # in later ranges
+        lower = later.cumsum(axis=1) - later  # and in lower buckets
+        across.append((a, b, float((m * lower).sum())))
+    parts = inside("p", None).union(inside("q", "p"))
+    if across:
+        parts = parts.union(long.sparkSession.createDataFrame(across, "a string, b string, d double"))
+    pairs = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
+    ties = lambda by, name: dealt.groupBy("a", "b", *by).agg(F.sum("w").alias("w")).groupBy("a", "b").agg(pairs("w").alias(name))
+    out = parts.groupBy("a", "b").agg(F.sum("d").alias("d")).join(dealt.groupBy("a", "b").agg(F.sum("w").alias("n")), ["a", "b"])
+    for by, name in ((["x"], "tx"), (["y"], "ty"), (["x", "y"], "tb")):
+        out = out.join(ties(by, name), ["a", "b"])
+    all_ = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    below = F.sqrt((all_ - F.col("tx")) * (all_ - F.col("ty")))
+    value = F.try_divide(all_ - F.col("tx") - F.col("ty") + F.col("tb") - 2 * F.col("d"), below)
+    return out.select("a", "b", "n", F.coalesce(value, F.lit(float("nan"))).alias("value"))
 
 
 def weighted_ratio(df: DataFrame, by: list[str], numerator: str | Column, denominator: str | Column, name: str = "ratio") -> DataFrame:

@@ -169,22 +169,19 @@ def compare_tables(old: DataFrame, new: DataFrame, keys: list[str], columns: lis
     columns = columns or [c for c in old.columns if c in new.columns and c not in keys]
     k = [f"_k{i}" for i in range(len(keys))]
 
-    def side(df: DataFrame):
+    def side(df: DataFrame, row: str, n: str):
+        """A row for each key (its only one, or the first by order), rows of repeated keys, rows without a key."""
         df = df.select(*[canonical_key(c).alias(n) for c, n in zip(keys, k)], *columns, *[c for c in order_by if c not in columns])
-        bad = reduce(lambda a, b: a | b, [F.col(n).isNull() for n in k])
-        good = df.where(~bad).withColumn("_n", F.count("*").over(Window.partitionBy(*k)))
-        one = good.where("_n = 1")
-        if duplicates == "first":
-            one = good.withColumn("_r", F.row_number().over(Window.partitionBy(*k).orderBy(*(order_by or columns)))).where("_r = 1").drop("_r")
-        return one.drop("_n"), good.where("_n > 1").drop("_n"), df.where(bad)
-
-    (a, dup_a, bad_a), (b, dup_b, bad_b) = side(old), side(new)
-    a = a.select(*k, F.struct(*columns).alias("_old"))
-    b = b.select(*k, F.struct(*columns).alias("_new"))
-    j = a.join(b, k, "full")
+        bad = reduce(lambda a, b: a | b, [F.col(x).isNull() for x in k])
+        good, value = df.where(~bad), F.struct(*columns)
+        one = F.min_by(value, F.struct(*(order_by or columns))) if duplicates == "first" else F.first(value)
+        per = good.groupBy(*k).agg(F.count("*").alias(n), one.alias(row))
+        return per, good.join(per.where(F.col(n) > 1).select(*k), k), df.where(bad)
+
+    (a, dup_a, bad_a), (b, dup_b, bad_b) = side(old, "_old", "_na"), side(new, "_new", "_nb")
+    j = a.join(b, k, "full")  # both lie by key already
     if duplicates == "exclude":  # a key that repeats on one side is compared on neither
-        for d in (dup_a, dup_b):
-            j = j.join(d.select(*k).distinct(), k, "left_anti")
+        j = j.where("coalesce(_na, 1) = 1 and coalesce(_nb, 1) = 1")
     changed = F.array_compact(F.array(*[F.when(~F.col(f"_old.`{c}`").eqNullSafe(F.col(f"_new.`{c}`")), F.lit(c)) for c in columns]))
     j = j.withColumn("changed", F.concat_ws(joint, changed))
     back = [F.col(n).alias(c) for n, c in zip(k, keys)]

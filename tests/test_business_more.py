@@ -149,3 +149,31 @@ def test_plan_operations(spark):
                       {"id": "r", "operation": "recipe", "inputs": ["t"], "params": {"recipe": {"version": 1, "name": "x", "steps": [{"kind": "filter", "params": {"rules": [{"column": "id", "op": "gt", "value": 1}]}}]}}}]}
     out = P.execute(json.dumps(plan), {"t": df})
     assert out["q"]["primary"].first().total_rows == 2 and out["d"]["primary"].first()["mean"] == 3 and out["r"]["primary"].count() == 1 and sorted(r.table_no for r in out["s"]["primary"].collect()) == [0, 1]
+
+
+def test_kendall_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(2)
+    data = [(rnd.randint(0, 30), rnd.choice([7, 7, 7, rnd.randint(0, 400)]), rnd.random()) for _ in range(300)]
+    got = {(r.a, r.b): (r.n, r.value) for r in A.correlation(spark.createDataFrame(data, "x int, y int, z double").repartition(5), ["x", "y", "z"], "kendall").collect()}
+    sign = lambda v: (v > 0) - (v < 0)
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        s = tx = ty = 0
+        for k, p in enumerate(data):
+            for q in data[:k]:
+                a, b = sign(p[i] - q[i]), sign(p[j] - q[j])
+                s, tx, ty = s + a * b, tx + (a != 0), ty + (b != 0)
+        n, value = got["xyz"[i], "xyz"[j]]
+        assert n == 300 and abs(value - s / (tx * ty) ** 0.5) < 1e-9
+
+
+def test_compare_keeps_first_of_repeated_keys(spark):
+    from tabloom.operators import joins as J
+
+    old = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 5, 1)], "k string, v int, n int")
+    new = spark.createDataFrame([("a", 1, 1), ("b", 6, 1), ("b", 5, 2)], "k string, v int, n int")
+    out = J.compare_tables(old, new, ["k"], ["v"], duplicates="first", order_by=["n"])
+    assert rows(out["unchanged"]) == [("a", 1)] and rows(out["modified"]) == [("b", "v", 5, 6)] and out["duplicates_old"].count() == 2
+    out = J.compare_tables(old, new, ["k"], ["v"])
+    assert all(out[k].count() == 0 for k in ("added", "removed", "modified", "unchanged")) and out["duplicates_new"].count() == 2
