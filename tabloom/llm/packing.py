@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import free_name, materialize, shelter
+from ._common import bound_batches, free_name, materialize, shelter
 
 SEQ_LEN = 2048
 #: Lengths from this part of a sequence upwards are large.
@@ -38,8 +38,8 @@ GROUPS = 100
 PARTS = 64
 #: Special strings of the default tokenizer and their ids, which it gives wherever a text holds them.
 SPECIALS = {"<|endoftext|>": 50256}
-#: Entries that a worker keeps of its text-fragment cache.
-CACHE = 400_000
+#: Entries that a worker keeps of its text-fragment cache, about 40 MB.
+CACHE = 200_000
 
 
 class FragmentIds(dict):
@@ -288,14 +288,18 @@ def plan_runs(hist: dict[int, int], cap: int, groups: int = GROUPS, large: float
     return runs
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", seq_len: int = SEQ_LEN, tokenizer=None) -> DataFrame:
-    """Pieces of all documents (see tokenize) with sequence_id and offset; sequences hold at most seq_len tokens."""
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", seq_len: int = SEQ_LEN, tokenizer=None, keep_ids: bool = True) -> DataFrame:
+    """Pieces of all documents (see tokenize) with sequence_id and offset; sequences hold at most seq_len tokens.
+
+    Without keep_ids the ids themselves are left out, and not written in between either.
+    """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs, back = shelter(docs, key, text)
     piece, start, length, ids, crc = free_name(docs, "piece", "start", "length", "ids", "ids_crc32")
     seq_id, offset = free_name(docs, "sequence_id", "offset")
     pieces = tokenize(docs, text, seq_len, tokenizer=tokenizer).withColumn("_part", F.pmod(F.xxhash64(key, piece, crc), F.lit(PARTS)).cast("int"))
-    pieces = materialize(pieces, "pack-pieces")
+    pieces = materialize(pieces if keep_ids else pieces.drop(ids), "pack-pieces")
     parts = pieces.groupBy(length, "_part").agg(F.count("*").alias("n")).toPandas()  # at most seq_len x PARTS rows
     hist = {int(k): int(v) for k, v in parts.groupby(length)["n"].sum().items()}
     runs = pd.DataFrame(plan_runs(hist, seq_len), columns=["length", "rank", "n", "seq", "offset"])
@@ -309,7 +313,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", seq_len: int
         where.append((int(size), int(part), int(before), [(int(r[1]), int(r[3]), int(r[4])) for r in g[lo:hi]]))
     places = spark.createDataFrame(where, f"`{length}` long, _part int, _before long, _runs array<struct<rank:long,seq:long,offset:long>>")
     rank = F.row_number().over(Window.partitionBy(length, "_part").orderBy(F.xxhash64(key, piece, crc), key, piece)) - 1
-    out = pieces.withColumn("_own", rank).join(F.broadcast(places), [length, "_part"]).withColumn("_rank", F.col("_own") + F.col("_before"))
+    # pieces already lie by length and part, so the places, a row for each, are sent there
+    out = pieces.withColumn("_own", rank).join(places.hint("merge"), [length, "_part"]).withColumn("_rank", F.col("_own") + F.col("_before"))
     run = F.element_at(F.filter("_runs", lambda r: r["rank"] <= F.col("_rank")), -1)
     out = out.withColumn("_run", run).withColumn(seq_id, F.col("_run.seq") + F.col("_rank") - F.col("_run.rank")).withColumn(offset, F.col("_run.offset"))
-    return back(out, [piece, start, length, ids, crc, seq_id, offset])
+    return back(out, [piece, start, length, *([ids] if keep_ids else []), crc, seq_id, offset])

@@ -62,7 +62,7 @@ def op9_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack(docs, keep_ids=False).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 QUERIES = {f.__name__: f for f in (op1_flow_resharding, op2_collision_near_dedup, op3_bagminhash_near_dedup, op4_suffix_array_line_dedup, op5_warc_index_merge, op6_ftrl_toxicity, op7_brown_class_lm, op8_inverted_multi_index, op9_subset_sum_mix, op10_linear_grouping_pack)}
