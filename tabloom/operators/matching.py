@@ -207,16 +207,38 @@ def reconcile_summary(left: DataFrame, right: DataFrame, out: dict[str, DataFram
     return links
 
 
-def reconcile_splits(left: DataFrame, right: DataFrame, amount: str, date: str, left_id: str = "id", right_id: str = "id", tolerance: float = 0.0, days: int = 0, parts: int = 10) -> DataFrame:
-    """Left rows that two right rows add up to: (left_id, right_a, right_b, gap). Of each left row the `parts` parts nearest to half of it are tried."""
-    half = F.col("la") / 2
-    a = left.select(col(left_id).alias("left_id"), col(amount).cast("decimal(18,2)").alias("la"), F.datediff(col(date).cast("date"), F.lit("1970-01-01").cast("date")).alias("ld"))
-    b = right.select(col(right_id).alias("right_id"), col(amount).cast("decimal(18,2)").alias("ra"), F.datediff(col(date).cast("date"), F.lit("1970-01-01").cast("date")).alias("rd"))
+def _combinations(whole: DataFrame, part: DataFrame, amount: str, date: str, whole_id: str, part_id: str, tolerance: float, days: int, parts: int) -> DataFrame:
+    """(whole, part_a, part_b, gap): of each row of whole all pairs of the `parts` rows of part that lie nearest to its half, in amount, sign and date."""
+    day = lambda: F.datediff(col(date).cast("date"), F.lit("1970-01-01").cast("date"))
+    a = whole.select(col(whole_id).alias("whole"), col(amount).cast("decimal(18,2)").alias("la"), day().alias("ld"))
+    b = part.select(col(part_id).alias("part"), col(amount).cast("decimal(18,2)").alias("ra"), day().alias("rd"))
     width = max(1, days)
     near = a.withColumn("bin", F.floor(F.col("ld") / width)).join(b.withColumn("bin", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.floor(F.col("rd") / width) + i))), "bin")
     ok = (F.abs(F.col("ld") - F.col("rd")) <= days) & (F.signum("la") == F.signum("ra")) & (F.abs("ra") <= F.abs("la") + F.lit(tolerance).cast("decimal(18,2)"))
-    near = near.where(ok).withColumn("r", F.row_number().over(Window.partitionBy("left_id").orderBy(F.abs(F.col("ra") - half), "right_id"))).where(F.col("r") <= parts)
-    x = near.select("left_id", "la", F.col("right_id").alias("right_a"), F.col("ra").alias("aa"))
-    y = near.select("left_id", F.col("right_id").alias("right_b"), F.col("ra").alias("ab"))
-    gap = F.abs(F.col("la") - F.col("aa") - F.col("ab"))
-    return x.join(y, "left_id").where("right_a < right_b").withColumn("gap", gap).where(F.col("gap") <= F.lit(tolerance).cast("decimal(18,2)")).select("left_id", "right_a", "right_b", "gap")
+    near = near.where(ok).withColumn("r", F.row_number().over(Window.partitionBy("whole").orderBy(F.abs(F.col("ra") - F.col("la") / 2), "part"))).where(F.col("r") <= parts)
+    x = near.select("whole", "la", F.col("part").alias("part_a"), F.col("ra").alias("aa"))
+    y = near.select("whole", F.col("part").alias("part_b"), F.col("ra").alias("ab"))
+    return x.join(y, "whole").where("part_a < part_b").select("whole", "part_a", "part_b", F.abs(F.col("la") - F.col("aa") - F.col("ab")).alias("gap"))
+
+
+def reconcile_splits(left: DataFrame, right: DataFrame, amount: str, date: str, left_id: str = "id", right_id: str = "id", tolerance: float = 0.0, days: int = 0, parts: int = 10) -> DataFrame:
+    """Left rows that two right rows add up to: (left_id, right_a, right_b, gap). Of each left row the `parts` parts nearest to half of it are tried."""
+    found = _combinations(left, right, amount, date, left_id, right_id, tolerance, days, parts).where(F.col("gap") <= F.lit(tolerance).cast("decimal(18,2)"))
+    return found.select(F.col("whole").alias("left_id"), F.col("part_a").alias("right_a"), F.col("part_b").alias("right_b"), "gap")
+
+
+def split_groups(left: DataFrame, right: DataFrame, amount: str, date: str, left_id: str = "id", right_id: str = "id", tolerance: float = 0.0, days: int = 0, parts: int = 10, max_combinations: int = 100_000) -> dict[str, DataFrame]:
+    """One row against two of the other ledger, both ways, for review only.
+
+    groups: match_type (split_1_to_2 or split_2_to_1), whole, part_a, part_b (ids as text), gap, score (0.8 exact, else 0.72).
+    summary: one row (combinations, evaluated, limit_hit, groups). Combinations are evaluated in order of type and ids, at most
+    max_combinations; whether any were left out is in limit_hit.
+    """
+    ids = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in ("whole", "part_a", "part_b")], "gap")
+    one = ids(_combinations(left, right, amount, date, left_id, right_id, tolerance, days, parts)).withColumn("match_type", F.lit("split_1_to_2"))
+    two = ids(_combinations(right, left, amount, date, right_id, left_id, tolerance, days, parts)).withColumn("match_type", F.lit("split_2_to_1"))
+    numbered = number_rows(one.unionByName(two), ["match_type", "whole", "part_a", "part_b"], "_n")
+    good = (F.col("_n") < max_combinations) & (F.col("gap") <= F.lit(tolerance).cast("decimal(18,2)"))
+    groups = numbered.where(good).select("match_type", "whole", "part_a", "part_b", "gap", F.when(F.col("gap") == 0, 0.8).otherwise(0.72).alias("score"))
+    summary = numbered.agg(F.count("*").alias("combinations"), F.least(F.count("*"), F.lit(max_combinations)).alias("evaluated"), (F.count("*") > max_combinations).alias("limit_hit"), F.count_if(good).alias("groups"))
+    return {"groups": groups, "summary": summary}

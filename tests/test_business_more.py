@@ -177,3 +177,11 @@ def test_compare_keeps_first_of_repeated_keys(spark):
     assert rows(out["unchanged"]) == [("a", 1)] and rows(out["modified"]) == [("b", "v", 5, 6)] and out["duplicates_old"].count() == 2
     out = J.compare_tables(old, new, ["k"], ["v"])
     assert all(out[k].count() == 0 for k in ("added", "removed", "modified", "unchanged")) and out["duplicates_new"].count() == 2
+
+
+def test_split_groups_both_ways_and_their_limit(spark):
+    led = lambda name, amounts: spark.createDataFrame([(f"{name}{i + 1}", a, "2026-03-01") for i, a in enumerate(amounts)], "id string, v string, d string")
+    out = M.split_groups(led("L", ["0.3", "0.4", "0.6"]), led("R", ["0.1", "0.2", "1.0"]), "v", "d")
+    assert rows(out["groups"].select("match_type", "whole", "part_a", "part_b", "score")) == [("split_1_to_2", "L1", "R1", "R2", 0.8), ("split_2_to_1", "R3", "L2", "L3", 0.8)]
+    out = M.split_groups(led("L", ["100"]), led("R", ["1", "2", "3", "4", "5"]), "v", "d", max_combinations=2)
+    assert out["groups"].count() == 0 and tuple(out["summary"].select("evaluated", "limit_hit").first()) == (2, True)
