@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, free_name, mix64
+from ._common import bound_batches, crc_mod, free_name, mix64
 
 BITS = 22
 MAX_ROWS = 8_000
@@ -34,7 +34,8 @@ REACH = (1, 2, 3)
 STEM = 5
 #: Factor on feature values, which are small in long texts.
 SCALE = 10.0
-CACHE = 300_000
+#: Entries that a worker keeps of its word cache, about 20 MB.
+CACHE = 100_000
 #: Scores from here on are rejected.
 REJECT = 0.3
 
@@ -89,6 +90,7 @@ class Ftrl:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", held_out=None, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Sparse weights (coordinates, values, bias); held_out: column of labels' rows that are not learnt from."""
+    bound_batches(docs.sparkSession)
     rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     if held_out is not None:
         rows = rows.where(~held_out)
@@ -120,6 +122,7 @@ def score(docs: DataFrame, model, text: str = "text", name: str = "score", keep_
     """Adds the probability of label 1 to every row."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    bound_batches(docs.sparkSession)
     name = free_name(docs, name)[0]
     keep = [c for c in docs.columns if keep_text or c != text]
     schema = StructType([*(docs.schema[c] for c in keep), StructField(name, DoubleType())])
