@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import business as B, expressions as X
 from tabloom.operators import clean, dedup, masters
-from tabloom.reports import charts, operations as O, restaurant, sales as S
+from tabloom.reports import charts, commerce, operations as O, restaurant, sales as S
 
 from . import query
 
@@ -187,3 +187,78 @@ def long_texts(t):
 def chart_scatter(t):
     """More points are allowed than there are."""
     return charts.scatter(t.customer, "c_nationkey", "c_acctbal", "c_custkey", 10_000_000)
+
+
+def _commerce(t):
+    """Lines as order lines of five channels, one refund for each order, settlements and advertising by month and channel, stock by part."""
+    key = [F.col("l_orderkey").alias("order_no"), F.col("o_orderpriority").alias("channel"), F.col("o_custkey").alias("customer")]
+    price = X.money("l_extendedprice")
+    cut = (price * X.money("l_discount")).cast("decimal(18,2)")
+    orders = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderdate").alias("day"), *key, F.col("l_partkey").alias("sku"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"), price.alias("list_price"), cut.alias("discount"), (price - cut).alias("paid"), F.when(F.col("l_returnflag") == "A", "已取消").otherwise("交易完成").alias("status"))
+    products = t.part.select(F.col("p_partkey").alias("sku"), F.lit("goods").alias("kind"), (F.col("p_size") * 0.25).alias("unit_cost"), F.col("p_size").alias("safety"))
+    refunds = t.orders.select(F.date_add("o_orderdate", 20).alias("day"), F.col("o_orderkey").alias("refund_no"), F.col("o_orderkey").alias("order_no"), F.lit(None).cast("bigint").alias("sku"), (X.money("o_totalprice") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(18,2)").alias("amount"), F.when(F.col("o_orderstatus") == "F", "退款成功").otherwise("退款申请").alias("status"))
+    g = t.orders.groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("month"), F.col("o_orderpriority").alias("channel")).agg(F.sum(X.money("o_totalprice")).alias("base"), F.count("*").cast("decimal(18,2)").alias("n"))
+    part = lambda k: (F.col("n") * k).cast("decimal(18,2)")
+    settlements = g.select("month", "channel", "base", part(3).alias("commission"), part(2).alias("service"), part(1).alias("logistics"), part(10).alias("refund_offset"), (F.col("base") - part(16)).alias("received"))
+    ads = g.select("month", "channel", part(50).alias("spend"), part(400).alias("attributed"))
+    stock = t.part.select(F.lit("2001-12-01").cast("date").alias("month"), F.col("p_partkey").alias("sku"), (F.col("p_size") * 10).alias("sellable"), F.lit(1.0).alias("value"))
+    return commerce.diagnosis(products, orders, refunds, settlements, ads, stock)
+
+
+_CO = """WITH l AS (SELECT o_orderkey AS o, o_orderpriority AS channel, o_custkey AS customer, l_partkey AS sku, l_linenumber AS n, l_quantity AS quantity, date_trunc('month', o_orderdate)::DATE AS month, l_extendedprice::DECIMAL(18,2) AS lp,
+(l_extendedprice::DECIMAL(18,2) * l_discount::DECIMAL(18,2))::DECIMAL(18,2) AS cut, l_returnflag = 'A' AS gone FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+d AS (SELECT DISTINCT * FROM l WHERE NOT gone), s AS (SELECT d.*, lp - cut AS paid, (quantity::DECIMAL(12,2) * (p_size * 0.25)::DECIMAL(18,2))::DECIMAL(18,2) AS cost FROM d JOIN part ON p_partkey = sku),
+w AS (SELECT DISTINCT o, channel, customer, month FROM s), q AS (SELECT o_orderkey AS o, date_trunc('month', o_orderdate + INTERVAL 20 DAY)::DATE AS rm, (o_totalprice::DECIMAL(18,2) * 0.01::DECIMAL(3,2))::DECIMAL(18,2) AS amount, o_orderstatus = 'F' AS ok FROM orders),
+r AS (SELECT q.*, w.channel, w.customer, w.month FROM q LEFT JOIN w USING (o) WHERE ok), g AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, o_orderpriority AS channel, sum(o_totalprice::DECIMAL(18,2)) AS base, count(*)::DECIMAL(18,2) AS n FROM orders GROUP BY 1, 2)"""
+
+
+@query(_CO + """, a AS (SELECT channel, sum(paid) AS paid, count(DISTINCT o) AS orders, sum(cost) AS cost FROM s GROUP BY 1), b AS (SELECT channel, sum(amount) AS refund FROM r WHERE channel IS NOT NULL GROUP BY 1), c AS (SELECT channel, sum(n) AS n, sum(base) AS base FROM g GROUP BY 1)
+SELECT channel, paid::DOUBLE AS paid, orders, coalesce(refund, 0)::DOUBLE AS refund, (n * 6)::DOUBLE AS fees, (base - n * 16)::DOUBLE AS received, (base - n * 16 - cost - n * 50)::DOUBLE AS contribution, round(coalesce(refund, 0)::DOUBLE / paid::DOUBLE, 8) AS refund_rate, 8.0::DOUBLE AS roas,
+CASE WHEN base - n * 16 - cost - n * 50 < 0 THEN 'P0' WHEN (base - n * 16 - cost - n * 50)::DOUBLE / (SELECT sum(paid)::DOUBLE FROM a) < 0.03 THEN 'P1' ELSE 'P2' END AS priority FROM a JOIN c USING (channel) LEFT JOIN b USING (channel)""")
+def commerce_channels(t):
+    out = _commerce(t)["channels"]
+    return out.select("channel", "orders", "priority", F.round("refund_rate", 8).alias("refund_rate"), F.round("roas", 8).alias("roas"), *[F.col(c).cast("double").alias(c) for c in ("paid", "refund", "fees", "received", "contribution")])
+
+
+@query(_CO + """, a AS (SELECT month, sum(paid) AS paid, sum(cost) AS cost FROM s GROUP BY 1), b AS (SELECT rm AS month, sum(amount) AS refund FROM r GROUP BY 1), c AS (SELECT month, sum(n) AS n, sum(base) AS base FROM g GROUP BY 1)
+SELECT month, coalesce(paid, 0)::DOUBLE AS paid, coalesce(refund, 0)::DOUBLE AS refund, (coalesce(paid, 0) - coalesce(refund, 0) - coalesce(cost, 0))::DOUBLE AS gross, coalesce(base - n * 16, 0)::DOUBLE AS received FROM a FULL JOIN b USING (month) FULL JOIN c USING (month)""")
+def commerce_months(t):
+    return _commerce(t)["months"].select("month", *[F.col(c).cast("double").alias(c) for c in ("paid", "refund", "gross", "received")])
+
+
+@query(_CO + """, a AS (SELECT month, sum(paid) AS paid, sum(cost) AS cost FROM s GROUP BY 1), b AS (SELECT month, sum(amount) AS refund FROM r WHERE month IS NOT NULL GROUP BY 1)
+SELECT month, coalesce(paid, 0)::DOUBLE AS paid, coalesce(refund, 0)::DOUBLE AS refund, (paid - coalesce(refund, 0) - cost)::DOUBLE AS gross FROM a FULL JOIN b USING (month)""")
+def commerce_order_months(t):
+    return _commerce(t)["order_months"].select("month", *[F.col(c).cast("double").alias(c) for c in ("paid", "refund", "gross")])
+
+
+@query(_CO + """ SELECT sku, sum(paid)::DOUBLE AS paid, sum(paid - cost)::DOUBLE AS gross, round(sum(cut)::DOUBLE / sum(lp)::DOUBLE, 8) AS discount_rate, CASE WHEN sum(paid - cost) < 0 THEN 'P0' WHEN sum(paid - cost)::DOUBLE / sum(paid)::DOUBLE < 0.2 THEN 'P1' ELSE 'P2' END AS priority FROM s GROUP BY 1""")
+def commerce_products(t):
+    return _commerce(t)["products"].select("sku", "priority", F.round("discount_rate", 8).alias("discount_rate"), *[F.col(c).cast("double").alias(c) for c in ("paid", "gross")])
+
+
+@query(_CO + """, a AS (SELECT customer, sum(paid) AS paid, count(DISTINCT o) AS orders FROM s GROUP BY 1), b AS (SELECT customer, sum(amount) AS refund FROM r WHERE customer IS NOT NULL GROUP BY 1)
+SELECT customer, orders, paid::DOUBLE AS paid, coalesce(refund, 0)::DOUBLE AS refund, CASE WHEN coalesce(refund, 0)::DOUBLE / paid::DOUBLE >= 0.4 THEN 'P0' WHEN coalesce(refund, 0)::DOUBLE / paid::DOUBLE >= 0.2 THEN 'P1' ELSE 'P2' END AS priority FROM a LEFT JOIN b USING (customer)""")
+def commerce_customers(t):
+    return _commerce(t)["customers"].select("customer", "orders", "priority", *[F.col(c).cast("double").alias(c) for c in ("paid", "refund")])
+
+
+@query(_CO + """, u AS (SELECT sku, sum(quantity) AS units FROM s WHERE month = (SELECT max(month) FROM s) GROUP BY 1)
+SELECT p_partkey AS sku, coalesce(units, 0)::DOUBLE AS units, (p_size * 9)::BIGINT AS above_safety, CASE WHEN units > 0 THEN round(p_size * 10 / units, 8) END AS months_left, CASE WHEN p_size * 10 / units >= 18 THEN 'P0' WHEN p_size * 10 / units >= 9 THEN 'P1' ELSE 'P2' END AS priority FROM part LEFT JOIN u ON sku = p_partkey""")
+def commerce_inventory(t):
+    return _commerce(t)["inventory"].select("sku", "priority", F.col("units").cast("double").alias("units"), F.col("above_safety").cast("long").alias("above_safety"), F.round("months_left", 8).alias("months_left"))
+
+
+@query("SELECT date_trunc('month', o_orderdate)::DATE AS month, o_orderpriority AS channel, (count(*) * 6)::DOUBLE AS fees, 0.0::DOUBLE AS gap FROM orders GROUP BY 1, 2")
+def commerce_settlements(t):
+    return _commerce(t)["settlements"].select("month", "channel", F.col("fees").cast("double").alias("fees"), F.col("gap").cast("double").alias("gap"))
+
+
+@query("SELECT o_orderkey AS order_no FROM orders WHERE o_orderstatus <> 'F'")
+def commerce_pending(t):
+    return _commerce(t)["pending"].select("order_no")
+
+
+@query(_CO + """ SELECT (SELECT sum(paid) FROM s)::DOUBLE AS paid, (SELECT sum(amount) FROM r)::DOUBLE AS refund, (SELECT sum(amount) FROM q WHERE NOT ok)::DOUBLE AS pending_refund, ((SELECT sum(paid - cost) FROM s) - (SELECT sum(amount) FROM r))::DOUBLE AS gross, (SELECT sum(base - n * 66) FROM g)::DOUBLE - (SELECT sum(cost) FROM s)::DOUBLE AS contribution""")
+def commerce_totals(t):
+    return _commerce(t)["primary"].select(*[F.col(c).cast("double").alias(c) for c in ("paid", "refund", "pending_refund", "gross", "contribution")])
