@@ -18,9 +18,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a fresh local one where unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or a fresh local one where unset (local sessions, as in tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tabloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
