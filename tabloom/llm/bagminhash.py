@@ -14,7 +14,7 @@ group of near copies costs as many pairs as it has members. Pairs whose signatur
 are passed over; the others are verified on the shingle multisets of the whole texts.
 
 Defined cases: null texts are alone; texts without words are only copies of equal texts; texts of fewer words than a
-shingle are one shingle; rows that repeat both key and text share their fate; a null key comes last; an empty table
+shingle are one shingle; of rows that repeat both key and text one is kept; a null key comes last; an empty table
 gives an empty result; extra columns pass through, and where they clash the new columns get leading underscores.
 """
 
@@ -25,9 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, mix64, shelter, small_batches
+from ._common import bound_batches, discard, materialize, mix64, shelter, small_batches
+from .copies import LAST, ROW, distinct_texts, mark_repeats, salt, with_identity
 from .graph import components
-from .linededup import first_copies
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -38,7 +38,8 @@ POSITIONS = 256
 SLACK = 4.5
 #: Texts of one packed block of a bucket.
 BLOCK = 256
-CACHE = 300_000
+#: Entries that a worker keeps of its word cache, about 20 MB.
+CACHE = 100_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,11 +71,14 @@ def shingles(text: str, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard of two multisets given as arrays with repeats."""
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
+    return counted_similarity(*np.unique(a, return_counts=True), *np.unique(b, return_counts=True))
+
+
+def counted_similarity(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> float:
+    """The same of distinct elements with their counts."""
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = np.minimum(n[i], m[j]).sum()
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
+    both, every = np.minimum(n[i], m[j]).sum(), n.sum() + m.sum()
+    return both / (every - both) if every else 0.0
 
 
 def signatures(multisets: list[np.ndarray], size: int = POSITIONS) -> np.ndarray:
@@ -127,7 +131,7 @@ def signatures(multisets: list[np.ndarray], size: int = POSITIONS) -> np.ndarray
 
 
 def sketch(docs: DataFrame, text: str, words: int = WORDS) -> DataFrame:
-    """(_rid, _d, sig, bands) of rows with shingles; sig keeps 16 bits of every position."""
+    """The identity, sig and bands of rows with shingles; sig keeps 16 bits of every position."""
 
     def run(frames):
         hashes = WordHashes()
@@ -143,9 +147,9 @@ def sketch(docs: DataFrame, text: str, words: int = WORDS) -> DataFrame:
                 for j in range(ROWS):
                     key = mix64(key * _GOLD + sig[:, j * BANDS : (j + 1) * BANDS])
                 key = mix64(key + np.arange(BANDS, dtype=np.uint64) * _GOLD).view(np.int64)
-                yield pd.DataFrame({"_rid": part["_rid"][some], "_d": part["_d"][some], "sig": [s.tobytes() for s in sig[some].astype(np.uint16)], "bands": list(key[some])})
+                yield pd.DataFrame({**{c: part[c][some] for c in ROW}, "sig": [s.tobytes() for s in sig[some].astype(np.uint16)], "bands": list(key[some])})
 
-    return docs.select("_rid", "_d", text).mapInPandas(run, "_rid long, _d long, sig binary, bands array<long>")
+    return docs.select(*ROW, text).mapInPandas(run, "_t long, _u long, _d long, sig binary, bands array<long>")
 
 
 def least_agreement(threshold: float) -> float:
@@ -162,51 +166,74 @@ def _agree(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
                 y = np.frombuffer(b"".join(frame["sb"]), np.uint16).reshape(len(frame), -1)
                 yield frame.loc[(x == y).mean(axis=1) >= least_agreement(threshold), ["a", "b"]]
 
-    both = pairs.join(sigs.select(F.col("_rid").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("_rid").alias("b"), F.col("sig").alias("sb")), "b")
+    both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
-def _across(mixed: DataFrame, threshold: float) -> DataFrame:
-    """mixed: band, _rid, component, outside, sig of buckets with several components. Pairs (a, b) of a bucket that agree often
-    enough, lie in different components, and of which one is outside the bucket's largest; counted in packed blocks."""
+def _across(mixed: DataFrame, threshold: float, words: int) -> DataFrame:
+    """Links (a, b) between texts of a bucket that lie in different components, of which one is outside the bucket's largest.
+
+    mixed: band, node, component, outside, sig, bands, text of buckets with several components. Texts that are alike but do not
+    link may be very many, so pairs never become rows: they are judged and verified on the texts where a bucket's blocks lie, in
+    the first band that they share, and a text hands on one link to each component.
+    """
+    field = ("node", "component", "outside", "sig", "bands", "text")
     n = mixed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = mixed.join(n, "band").withColumn("block", F.pmod(F.xxhash64("_rid"), F.col("blocks")).cast("int"))
-    packed = dealt.groupBy("band", "block").agg(F.collect_list(F.struct("_rid", "component", "outside", "sig")).alias("m"), F.max(F.col("outside").cast("int")).alias("some"))
-    other = packed.select("band", F.col("block").alias("block_b"), F.col("m").alias("n"), F.col("some").alias("some_b"))
-    met = packed.join(other, "band").where("block <= block_b and some + some_b > 0")
-    side = lambda m, p: [F.transform(m, lambda x: x["_rid"]).alias(f"r{p}"), F.transform(m, lambda x: x["component"]).alias(f"c{p}"), F.transform(m, lambda x: x["outside"].cast("int")).alias(f"o{p}"), F.transform(m, lambda x: x["sig"]).alias(f"s{p}")]
-    met = met.select((F.col("block") == F.col("block_b")).alias("same"), *side("m", "a"), *side("n", "b"))
+    dealt = mixed.join(n, "band").withColumn("outside", F.col("outside").cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    packed = dealt.groupBy("band", "blocks", "block").agg(F.collect_list(F.struct(*field)).alias("m"), F.max("outside").alias("some"))
+    split = lambda c: [F.transform(c, lambda x: x[f]).alias(f"{c}_{f}") for f in field]  # noqa: B023, E731
+    nothing = lambda c: [F.array().cast(t).alias(f"{c}_{f}") for f, t in zip(field, ("array<long>", "array<long>", "array<int>", "array<binary>", "array<array<long>>", "array<string>"))]
+    alone = packed.where("blocks = 1").select("band", *split("m"), *nothing("n"))
+    several = packed.where("blocks > 1")
+    other = several.select("band", F.col("block").alias("block_b"), F.col("m").alias("n"), F.col("some").alias("some_b"))
+    met = several.join(other, "band").where("block < block_b and some + some_b > 0").select("band", *split("m"), *split("n"))
+    met = alone.union(several.where("some > 0").select("band", *split("m"), *nothing("n"))).union(met)
 
     def run(batches):
         import pyarrow as pa
 
         least = int(np.ceil(least_agreement(threshold) * POSITIONS))
+        hashes = WordHashes()
         for batch in batches:
-            cols = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             out_a, out_b = [], []
             for k in range(batch.num_rows):
-                get = lambda name: np.array(cols[name][k].values)  # noqa: B023, E731
-                ra, ca, oa, rb, cb, ob = (get(x) for x in ("ra", "ca", "oa", "rb", "cb", "ob"))
-                sa, sb = (np.frombuffer(b"".join(cols[x][k].as_py()), np.uint16).reshape(-1, POSITIONS) for x in ("sa", "sb"))
+                cell = lambda c: batch.column(batch.schema.get_field_index(c))[k].values  # noqa: B023, E731
+                same = not len(cell("n_node"))
+                sides = []
+                for c in ("m", "m" if same else "n"):
+                    sigs = np.frombuffer(b"".join(cell(f"{c}_sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
+                    sides.append((np.array(cell(f"{c}_node")), np.array(cell(f"{c}_component")), np.array(cell(f"{c}_outside")), sigs, np.array(cell(f"{c}_bands").flatten()).reshape(-1, BANDS), cell(f"{c}_text")))
+                (ra, ca, oa, sa, ba, ta), (rb, cb, ob, sb, bb, tb) = sides
                 open_ = (ca[:, None] != cb[None, :]) & ((oa[:, None] + ob[None, :]) > 0)
-                if cols["same"][k].as_py():
+                if same:
                     open_ &= np.arange(len(ra))[:, None] < np.arange(len(rb))[None, :]
+                band, sets = batch.column(0)[k].as_py(), {}
+
+                def shingled(side, i, texts):
+                    if (side, i) not in sets:
+                        sets[side, i] = np.unique(shingles(texts[i].as_py(), hashes, words), return_counts=True)  # noqa: B023
+                    return sets[side, i]  # noqa: B023
+
                 for i in np.flatnonzero(open_.any(axis=1)):
                     j = np.flatnonzero(open_[i])
                     j = j[(sb[j] == sa[i]).sum(axis=1) >= least]
-                    out_a.append(np.full(len(j), ra[i]))
-                    out_b.append(rb[j])
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a), pa.int64()), pa.array(np.concatenate(out_b), pa.int64())], names=["a", "b"])
-
-    with small_batches(mixed.sparkSession, 64):
+                    shared = np.where(bb[j] == ba[i], bb[j], np.iinfo(np.int64).max)
+                    done = set()
+                    for x in j[shared.min(axis=1) == band] if len(j) else ():
+                        if cb[x] not in done and counted_similarity(*shingled(0, i, ta), *shingled(0 if same else 1, x, tb)) >= threshold:
+                            done.add(cb[x])
+                            out_a.append(ra[i])
+                            out_b.append(rb[x])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    with small_batches(mixed.sparkSession, 8):
         return materialize(met.mapInArrow(run, "a long, b long"), "across")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
     """Of pairs (a, b), those of at least the threshold. Every text meets its pairs once, pairs then meet by number."""
-    ends = pairs.withColumn("p", F.xxhash64("a", "b")).select("p", "a", "b", F.explode(F.array("a", "b")).alias("_rid"))
-    ends = ends.join(texts, "_rid").groupBy("p", "a", "b").agg(F.min_by("text", "_rid").alias("x"), F.max_by("text", "_rid").alias("y"))
+    ends = pairs.withColumn("p", F.xxhash64("a", "b")).select("p", "a", "b", F.explode(F.array("a", "b")).alias("node"))
+    ends = ends.join(texts, "node").groupBy("p", "a", "b").agg(F.min_by("text", "node").alias("x"), F.max_by("text", "node").alias("y"))
 
     def run(frames):
         hashes = WordHashes()
@@ -217,66 +244,63 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) ->
     return ends.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """(_rid, class_rid, class_id) for all rows: rows of one component share its first member's row hash and key.
-
-    _rid is xxhash64(4, key, text), as row_hash() gives it; null texts have classes of their own.
-    """
-    copies = materialize(first_copies(docs, key, text), "copies")
-    order = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("_d")
-    body = docs.where(F.col(text).isNotNull()).select(row_hash(key, text).alias("_rid"), order, F.col(text).alias("text"))
+def near_duplicates(docs: DataFrame, heads: DataFrame, repeats: bool, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """(node, class_node) of the distinct texts (see copies.distinct_texts) that are near duplicates: the smallest node that links lead to."""
+    body = with_identity(docs.where(F.col(text).isNotNull()), key, text).select(*ROW, F.col(text).alias("text"))
     # copies are sketched where they lie and dropped after, which is cheaper than shuffling texts
-    sketches = materialize(sketch(body, "text", words).join(copies.where("_first").select("_rid"), "_rid", "left_semi").dropDuplicates(["_rid"]), "sketches")
-    sigs = sketches.select("_rid", "sig")
-    bucket = sketches.select("_rid", "_d", F.explode("bands").alias("band"))
-    several = bucket.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_rid"))["_rid"].alias("lead")).where("n > 1")
+    made = sketch(body, "text", words)
+    if repeats:
+        made = made.groupBy(*ROW).agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    sketches = materialize(made.join(heads.select(*ROW, "node"), ROW).select(*ROW, "node", "sig", "bands"), "sketches")
+    sigs = sketches.select("node", "sig")
+    bucket = sketches.select(*ROW, "node", F.explode("bands").alias("band"))
+    several = bucket.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
     bucket = materialize(bucket.join(several.select("band", "lead"), "band"), "buckets")
-    texts = materialize(body.select("_rid", "text").join(bucket.select("_rid").distinct(), "_rid", "left_semi"), "bucket-texts")
-
-    def step(pairs: DataFrame, links: DataFrame | None, judged: bool = False) -> tuple[DataFrame, DataFrame]:
+    texts = body.join(bucket.select(*ROW, "node").distinct(), ROW).select("node", "text")
+    if repeats:
+        texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+    texts, bucket = materialize(texts, "bucket-texts"), bucket.drop(*ROW)
+
+    def join(found: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        both = materialize(found if links is None else found.union(links).distinct(), "links")
+        if links is not None:
+            discard(links)
+        return both, materialize(components(both), "components")
+
+    def judged(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        chosen = materialize(pairs if judged else _agree(pairs, sigs, threshold), "candidates")
-        found = _verify(chosen, texts, threshold, words)
-        links = materialize(found if links is None else found.union(links).distinct(), "links")
-        return links, materialize(components(links), "components")
+        return _verify(materialize(_agree(pairs, sigs, threshold), "candidates"), texts, threshold, words)
 
-    links, comp = step(bucket.where("_rid <> lead").select(F.col("lead").alias("a"), F.col("_rid").alias("b")), None)
+    links, comp = join(judged(bucket.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))), None)
     for last in (False, True):
-        own = bucket.drop("lead").join(comp.select(F.col("node").alias("_rid"), "component"), "_rid", "left").withColumn("component", F.coalesce("component", "_rid"))
-        by_hash = F.xxhash64("band", "_rid")
-        sizes = own.groupBy("band", "component").agg(F.count("*").alias("n"), F.min_by("_rid", by_hash).alias("lead"), F.max_by("_rid", by_hash).alias("lead2"))
+        own = bucket.drop("lead").join(comp.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        by_hash = F.xxhash64("band", "node")
+        sizes = own.groupBy("band", "component").agg(F.count("*").alias("n"), F.min_by("node", by_hash).alias("lead"), F.max_by("node", by_hash).alias("lead2"))
         mixed = sizes.groupBy("band").agg(F.count("*").alias("k"), F.max_by(F.struct("component", "lead", "lead2"), F.struct("n", "component")).alias("top")).where("k > 1")
         members = own.join(mixed.select("band", "top"), "band").withColumn("outside", F.col("component") != F.col("top.component"))
         if last:  # what is still outside is held against every member of its buckets
-            pairs = _across(members.select("band", "_rid", "component", "outside").join(sigs, "_rid"), threshold)
+            found = _across(members.select("band", "node", "component", "outside").join(sketches.select("node", "sig", "bands"), "node").join(texts, "node"), threshold, words)
         else:  # and before that against two members of the bucket's largest component, other ones in every band
-            pairs = members.where("outside").select(F.col("_rid").alias("a"), F.explode(F.array("top.lead", "top.lead2")).alias("b"))
-        links, comp = step(pairs, links, last)
-    # the first of a component by order stands for it
-    first = comp.join(sketches.select(F.col("_rid").alias("node"), "_d"), "node").groupBy("component").agg(F.min(F.struct("_d", "node")).alias("m"))
-    classes = comp.join(first, "component").select(F.col("node").alias("_lead"), F.col("m.node").alias("class_rid"), F.col("m._d").alias("class_d"))
-    heads = materialize(first_of(docs, key, text), "heads")
-    number = F.coalesce("class_d", "_lead_d")
-    return heads.join(classes, "_lead", "left").select("_rid", F.coalesce("class_rid", "_lead").alias("class_rid"), F.when(number != 2**63 - 1, number).alias("class_id"))
+            found = judged(members.where("outside").select(F.col("node").alias("a"), F.explode(F.array("top.lead", "top.lead2")).alias("b")))
+        links, comp = join(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), links)
+    for table in (sketches, texts, links):
+        discard(table)
+    return comp.select("node", F.col("component").alias("class_node"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """docs with class_id (key of the class's first member) and kept (whether the row is that member)."""
     docs, back = shelter(docs, key, text)
-    own = docs.withColumn("_rid", row_hash(key, text))
-    classes = near_duplicates(docs, key, text, threshold, words)
-    return back(own.join(classes, "_rid").withColumn("kept", F.col("_rid") == F.col("class_rid")), ["class_id", "kept"])
-
-
-def row_hash(key: str, text: str) -> F.Column:
-    return F.xxhash64(F.lit(4), F.col(key), F.col(text))
-
-
-def first_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(_rid, _lead, _lead_d): each row with the first row of its exact text, and that one's key; null texts lead themselves."""
-    own = docs.select(row_hash(key, text).alias("_rid"), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("_d"), F.xxhash64(F.lit(1), text).alias("_t"), F.xxhash64(F.lit(2), text).alias("_u"), F.col(text).isNull().alias("_null"))
-    own = own.withColumn("_salt", F.pmod("_rid", F.lit(32)).cast("int")).dropDuplicates(["_rid"])
-    some = own.where("not _null")
-    parts = some.groupBy("_t", "_u", "_salt").agg(F.min(F.struct("_d", "_rid")).alias("_m"))
-    firsts = parts.groupBy("_t", "_u").agg(F.min("_m").alias("_m"), F.collect_set("_salt").alias("_salts")).select("_t", "_u", F.col("_m._rid").alias("_lead"), F.col("_m._d").alias("_lead_d"), F.explode("_salts").alias("_salt"))
-    return some.join(firsts, ["_t", "_u", "_salt"]).select("_rid", "_lead", "_lead_d").union(own.where("_null").select("_rid", F.col("_rid").alias("_lead"), F.col("_d").alias("_lead_d")))
+    bound_batches(docs.sparkSession)
+    heads, repeats = distinct_texts(docs, key, text)
+    classes = near_duplicates(docs, heads, repeats, key, text, threshold, words)
+    classes = classes.join(heads.select(F.col("node").alias("class_node"), F.col("_d").alias("class_d")), "class_node")
+    own = heads.join(classes, "node", "left").select("_t", "_u", "salts", F.col("_d").alias("first_d"), F.coalesce("class_d", "_d").alias("class_d"), F.coalesce(F.col("node") == F.col("class_node"), F.lit(True)).alias("leads"))
+    own = materialize(own, "classes").withColumn("_salt", F.explode("salts")).drop("salts")
+    # copies of a text meet their class by salt; rows without a text stand for themselves
+    marked = mark_repeats(docs, key, text, repeats)
+    some = marked.where(F.col(text).isNotNull()).withColumn("_salt", salt()).join(own, ["_t", "_u", "_salt"])
+    some = some.withColumn("kept", F.col("leads") & (F.col("_d") == F.col("first_d")) & ~F.col("_again"))
+    bare = marked.where(F.col(text).isNull()).withColumns({"class_d": F.col("_d"), "kept": ~F.col("_again")})
+    columns = [*docs.columns, F.when(F.col("class_d") != LAST, F.col("class_d")).alias("class_id"), "kept"]
+    return back(some.select(*columns).union(bare.select(*columns)), ["class_id", "kept"])
