@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize, small_batches, sound, with_first
-from .graph import components
+from .graph import components, forest
 
 THRESHOLD = 0.93
 LINES = 32
@@ -66,21 +66,7 @@ def project(rows: DataFrame, vector: str, lines: int, seed: int) -> DataFrame:
                 out = frame.iloc[at].drop(columns=vector)
                 yield out.assign(dim=dim, p0=p[:, 0].astype(float), unit=[x.tobytes() for x in np.stack([np.asarray(frame[vector].iloc[i], np.float64) for i in at])], proj=[x.tobytes() for x in p])
 
-    return rows.mapInPandas(run, "rep long, label int, copies long, dim int, p0 double, unit binary, proj binary")
-
-
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Smallest index that hangs together with each of n, over links (i, j)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+    return rows.mapInPandas(run, "rep long, label string, copies long, dim int, p0 double, unit binary, proj binary")
 
 
 def links(rows: DataFrame, vector: str, threshold: float = THRESHOLD, lines: int = LINES, seed: int = 2) -> DataFrame:
@@ -97,7 +83,7 @@ def links(rows: DataFrame, vector: str, threshold: float = THRESHOLD, lines: int
         h = frame.iloc[0]
         return pd.DataFrame({"label": [h["label"]], "dim": [h["dim"]], "bin": [h["bin"]], "cell": [h["cell"]], "rep": [frame["rep"].to_numpy(np.int64).tobytes()], "copies": [frame["copies"].to_numpy(np.int64).tobytes()], "unit": [b"".join(frame["unit"])], "proj": [b"".join(frame["proj"])]})
 
-    cells = own.groupBy("label", "dim", "bin", "cell").applyInPandas(pack, "label int, dim int, bin int, cell int, rep binary, copies binary, unit binary, proj binary")
+    cells = own.groupBy("label", "dim", "bin", "cell").applyInPandas(pack, "label string, dim int, bin int, cell int, rep binary, copies binary, unit binary, proj binary")
     cells = materialize(cells, "cells")
     left = cells.withColumn("step", F.explode(F.array(*map(F.lit, range(5))))).select("label", "dim", (F.col("bin") + F.col("step")).alias("bin"), "step", F.col("cell").alias("cell_a"), *[F.col(c).alias(f"{c}_a") for c in ("rep", "copies", "unit", "proj")])
     pairs = left.join(cells, ["label", "dim", "bin"]).where("step > 0 or cell_a <= cell").withColumn("same", F.expr("step = 0 and cell_a = cell"))
@@ -133,7 +119,7 @@ def links(rows: DataFrame, vector: str, threshold: float = THRESHOLD, lines: int
                 order = np.argsort(every, kind="stable")
                 place = np.empty(len(every), np.int64)
                 place[order] = np.arange(len(every))
-                root = every[order][_forest(place[i], place[j], len(every))][place]
+                root = every[order][forest(place[i], place[j], len(every))][place]
                 on = np.flatnonzero(number)
                 yield pd.DataFrame({"rep": every[on], "other": root[on], "n": number[on].astype(np.int64)})
 
@@ -147,7 +133,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     on = sound("vector") & F.col("label").isNotNull() & F.col("key").isNotNull()
     own = own.withColumn("h1", F.xxhash64(F.lit(1), "vector")).withColumn("h2", F.xxhash64(F.lit(2), "vector"))
     linked = materialize(with_first(own.where(on), ["label", "h1", "h2"], "key", "rep"), "vectors")
-    heads = linked.groupBy("rep", "label").agg(F.count("*").alias("copies"), F.any_value("vector").alias("vector")).withColumn("label", F.col("label").cast("int"))
+    heads = linked.groupBy("rep", "label").agg(F.count("*").alias("copies"), F.any_value("vector").alias("vector")).withColumn("label", F.col("label").cast("string"))
     found = links(heads, "vector", threshold)
     comp = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     per = heads.select("rep", "copies").join(found.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -229,3 +229,17 @@ def test_long_payloads_and_small_files(spark, monkeypatch):
         first = seen.setdefault(body, i)
         r = out[i]
         assert r.payload_bytes == len(body.encode()) and r.record_type == ("response" if first == i else "revisit") and r.refers_to == (None if first == i else first)
+
+
+def test_components_in_one_task_and_by_rounds(spark, monkeypatch):
+    from tabloom.llm import graph
+
+    rng = np.random.default_rng(1)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(k, k + 1) for k in range(1000, 1060)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    got = []
+    for few in (10**6, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        got.append({r.node: r.component for r in graph.components(df).collect()})
+    assert got[0] == got[1] and got[0][1060] == 1000 and len(got[0]) == len({x for a, b in edges if a != b for x in (a, b)})
+    assert graph.components(df.where("a < 0")).count() == 0
