@@ -1,6 +1,12 @@
 """A corpus pipeline over `documents`: five stages, each applied to all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Defined cases: a null or empty text has no toxic words and stays as it is; empty texts are copies of each other, null ones of
+nothing; both count no words, so the mix takes neither. Of rows that repeat both key and text one stays; a null key comes last and
+is a key like others; ties go to the smaller key, then to the text's hash; texts of any length are read whole; an empty table gives
+an empty result; extra columns pass through all stages but the last.
+
 Columns that the operators add may clash with extra columns of docs, so stages take their names from free_name, as the operators do.
 """
 
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import bagminhash, linededup, mixing, packing, toxicity
-from tabloom.llm._common import free_name, load, materialize
+from tabloom.llm._common import discard, free_name, load, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 2048 tokens."""
-    return packing.pack(docs.select("doc_id", "text")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack(docs.select("doc_id", "text"), keep_ids=False).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [
@@ -60,8 +66,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, "pipeline-stage")
-    return docs
+    before = None
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "pipeline-stage")
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
