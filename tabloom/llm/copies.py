@@ -6,7 +6,7 @@ text which stands in a third of all rows is a row for each task when it meets it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize
@@ -34,6 +34,18 @@ def ranked(rows: DataFrame, *by: str, name: str = "_rank") -> DataFrame:
     return rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id())
 
 
+def running(rows: DataFrame, order_by: list, **sums) -> DataFrame:
+    """Adds, under each name, the sum of a column over the rows before a row in a total order; ranges are summed by themselves first."""
+    dealt = rows.withColumns({f"_in_{k}": v for k, v in sums.items()})
+    dealt = materialize(ranked(dealt, *order_by, name="_at"), "ranges").withColumn("_range", F.shiftright("_at", 33))
+    parts = dealt.groupBy("_range").agg(*[F.sum(f"_in_{k}").alias(f"_of_{k}") for k in sums])  # a row for each range
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_range", *[before(f"_of_{k}", Window.orderBy("_range")).alias(f"_to_{k}") for k in sums])
+    own = dealt.withColumns({k: before(f"_in_{k}", Window.partitionBy("_range").orderBy("_at")) for k in sums})
+    own = own.join(F.broadcast(parts), "_range").withColumns({k: F.col(k) + F.col(f"_to_{k}") for k in sums})
+    return own.drop("_range", "_at", *[f"_{x}_{k}" for k in sums for x in ("in", "to")])
+
+
 def distinct_texts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
     """(_t, _u, _d, node, salts) of the first row of each text (nodes grow with _d, _t, _u); and whether any row repeats both key and text."""
     own = with_identity(docs, key, text).select(*ROW, F.col(text).isNull().alias("_null")).groupBy(*ROW, "_null").agg(F.count("*").alias("n"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize, shelter, word_count
+from .copies import running
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -90,16 +91,15 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     A source is capped if its cap by weight is below the level that the others reach. Sources sorted by that
     ratio, the capped ones are a prefix, found from running sums over one row per source.
     """
-    order = Window.orderBy("_null", "_source")
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")).cast("double")
-    s = sources.withColumn("_w", w).withColumn("_cap", most * F.col("source_size").cast("double"))
-    every = Window.partitionBy()
-    rising = Window.orderBy(F.col("_cap") / F.col("_w"), "_null", "_source").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumns({"_total": F.sum("source_size").over(every).cast("double"), "_allw": F.sum("_w").over(every), "_before": F.coalesce(F.sum("_cap").over(rising), F.lit(0.0)), "_wbefore": F.coalesce(F.sum("_w").over(rising), F.lit(0.0))})
-    level = (F.col("_total") - F.col("_before")) / (F.col("_allw") - F.col("_wbefore"))
-    s = s.withColumn("_level", F.when(F.col("_cap") / F.col("_w") > level, level))
-    first = F.min(F.when(F.col("_level").isNotNull(), F.struct((F.col("_cap") / F.col("_w")).alias("r"), "_level"))).over(every)
-    return s.withColumn("_level", first["_level"]).withColumn("target", F.least("_cap", F.coalesce(F.col("_w") * F.col("_level"), F.col("_cap")))).select("_source", "_null", "source_size", "target")
+    numbered = running(sources, ["_null", "_source"], _place=F.lit(1))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("_place", F.lit(len(weights))) + 1).cast("int"))
+    s = numbered.withColumn("_w", w).withColumn("_cap", most * F.col("source_size").cast("double")).withColumn("_ratio", F.col("_cap") / F.col("_w"))
+    s = running(s, ["_ratio", "_null", "_source"], _before=F.col("_cap"), _wbefore=F.col("_w"))
+    level = (F.lit(0.0) + F.col("_total") - F.col("_before")) / (F.col("_allw") - F.col("_wbefore"))
+    s = s.crossJoin(F.broadcast(s.agg(F.sum("source_size").cast("double").alias("_total"), F.sum("_w").alias("_allw"))))  # one row
+    first = s.where(F.col("_ratio") > level).agg(F.min(F.struct("_ratio", level.alias("_level")))["_level"].alias("_level"))
+    s = s.crossJoin(F.broadcast(first))
+    return s.select("_source", "_null", "source_size", F.least("_cap", F.coalesce(F.col("_w") * F.col("_level"), F.col("_cap"))).alias("target"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 9) -> DataFrame:
