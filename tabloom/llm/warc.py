@@ -3,7 +3,8 @@ r"""WARC archives and an external merge of their capture indexes.
 `write_archive` turns rows into WARC/1.1 records (response, or revisit for a repeated payload) and lets Spark's text
 writer store them gzipped, so archives can lie in any store Spark writes to; `read_archive` parses whole files back by their
 Content-Length. Every archive file yields one capture run, sorted by URL key and time. `merge_runs` joins the runs to
-one global order: keys are dealt to ranges, and within a range a loser tree merges the sorted runs.
+one global order: keys are dealt to ranges of RANGE_ROWS captures or so, and within a range a loser tree merges what each run
+has there. A file holds FILE_BYTES of payload or so, as a task reads it as one; a longer payload is a file of its own.
 
 Defined cases: a null payload is empty; a null URL is written as an empty target and has the empty URL key; a null key
 comes after all others, so a null-keyed row never outranks a keyed copy of its payload; rows with equal key and payload
@@ -21,10 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh_path, materialize
+from ._common import fresh_path, materialize, small_batches
 
-#: Records of one archive file at most, which bounds what a task holds when it reads one.
-RECORDS_PER_FILE = 2000
+#: Records of one archive file at most, and about how many bytes of payload; captures of one range of the merge.
+RECORDS_PER_FILE, FILE_BYTES, RANGE_ROWS = 2000, 32 << 20, 50_000
+#: Bytes of payload that a task hands on at a time.
+HAND_ON = 4 << 20
 #: Parts that the copies of one payload are dealt to.
 SALTS = 32
 #: First capture time; a row without a time is taken one second after the row with the next smaller key.
@@ -58,6 +61,8 @@ def mark_revisits(pages: DataFrame, key: str, payload: str, least_bytes: int = 0
 
 
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> None:
+    mean = pages.agg(F.avg(F.octet_length(payload))).first()[0] or 0
+    records = int(max(1, min(RECORDS_PER_FILE, FILE_BYTES // max(1, mean))))
     marked = mark_revisits(pages.select(key, url, payload), key, payload, least_bytes)
     target = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"[\r\n]", "")
     when = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(F.col(key), F.lit(0)), F.lit(4_000_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -72,7 +77,7 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
         F.lit(f"{CRLF}X-Payload-Length: "), F.col("_bytes").cast("string"),
         F.lit(f"{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(body).cast("string"), F.lit(CRLF * 2), body,
     )
-    marked.select(text.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+    marked.select(text.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records).option("compression", "gzip").text(path)
 
 
 def url_key(url: str) -> str:
@@ -103,17 +108,25 @@ def _records(name: str, data: bytes):
         at = stop + 4 + n + 4
 
 
-def read_archive(spark, path: str) -> DataFrame:
-    """One row per record; payload is null for a revisit. Files are parsed whole; their records are bounded."""
+def read_archive(spark, path: str, payloads: bool = True) -> DataFrame:
+    """One row per record; payload is null for a revisit (and throughout, if payloads are not asked for, though all are checked)."""
     columns = [c.split()[0] for c in CAPTURE.split(", ")]
 
+    def frame(rows):
+        out = pd.DataFrame(rows, columns=columns)
+        return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+
     def parse(batches):
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"]):
-                rows = pd.DataFrame(list(_records(name.rsplit("/", 1)[-1], gzip.decompress(data))), columns=columns)
-                for c in ("page_id", "refers_to"):
-                    rows[c] = rows[c].astype("Int64")
-                yield rows
+                rows, held = [], 0
+                for row in _records(name.rsplit("/", 1)[-1], gzip.decompress(data)):
+                    rows.append(row if payloads else (*row[:-1], None))
+                    held += len(row[-1] or "") if payloads else 64
+                    if held > HAND_ON:
+                        yield frame(rows)
+                        rows, held = [], 0
+                yield frame(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInPandas(parse, CAPTURE)
@@ -158,9 +171,8 @@ def merge_runs(captures: DataFrame) -> DataFrame:
     """Capture histories in global order of URL key, time and page: rows of partition p come before those of p + 1.
 
     Ranges are cut by the whole key (URL key, time, page), so a URL with very many captures spans several ranges.
-    Adds capture_no (in its range's share of the history) and the previous capture's digest_changed flag.
     """
-    n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // RANGE_ROWS))
     narrow = captures.drop("payload")
     dealt = narrow.repartitionByRange(n, "url_key", "time", "page_id").sortWithinPartitions("run", "url_key", "time", "page_id", "offset")
 
@@ -189,5 +201,6 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_archive(pages, path, key, url, payload, least_bytes)
-    runs = materialize(read_archive(spark, path).drop("payload").sortWithinPartitions("run", "url_key", "time", "page_id"), "capture-runs")
+    with small_batches(spark, 2):  # of whole files
+        runs = materialize(read_archive(spark, path, payloads=False).drop("payload").sortWithinPartitions("run", "url_key", "time", "page_id"), "capture-runs")
     return merge_runs(runs)
