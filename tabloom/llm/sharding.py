@@ -165,11 +165,13 @@ def reshard(docs: DataFrame, old_shard, capacities: dict[int, int] | int, key: s
     routing, moved = plan_transfers(rows, capacities)
     changed = {s for (i, j), n in moved.items() if i != j and n for s in (i, j)}
     largest = max([1, *(sum(n for (_, t), n in moved.items() if t == j) for j in capacities)])
-    chunks = max(4, -(-largest // file_bytes))
+    chunks = max(1, -(-largest // file_bytes))
     routed = _route(full, routing).withColumn("_chunk", F.pmod(F.xxhash64("_h"), F.lit(chunks)).cast("int")).drop("_tier")
     touched = F.col("_shard").isin(*changed) if changed else F.lit(False)
     path = fresh_path(docs.sparkSession, "reshard-files")
-    routed.where(touched).withColumn("_dir", F.col("_shard")).repartition("_shard", "_chunk").sortWithinPartitions("_shard", "_chunk", "_h").write.partitionBy("_dir").parquet(path)
+    place = F.array_position(F.array(*[F.lit(j) for j in sorted(capacities)]), F.col("_shard")) - 1
+    # a task writes one chunk of one shard, of file_bytes or so
+    routed.where(touched).withColumn("_dir", F.col("_shard")).repartitionById(len(capacities) * chunks, (place * chunks + F.col("_chunk")).cast("int")).sortWithinPartitions("_shard", "_chunk", "_h").write.partitionBy("_dir").parquet(path)
     written = docs.sparkSession.read.schema(routed.schema).parquet(path).select(*routed.columns) if changed else None
     kept = routed.where(~touched)
     return (kept if written is None else written if len(changed) >= len({j for _, j in moved}) else written.unionByName(kept)), moved
