@@ -167,8 +167,9 @@ def _search(own: DataFrame, queries: DataFrame, dim: int, k: int, recall: float,
                 out += [(q, i, np.packbits(m, bitorder="little").tobytes(), v.tobytes()) for i, m in masks.items()]
             yield pd.DataFrame(out, columns=["q", "c1", "mask", "x"])
 
-    visits = queries.mapInPandas(visit, "q long, c1 int, mask binary, x binary")
     n_q = max(1, queries.count())
+    parts = min(-(-n_q // 64), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_q // 4096)))  # walks cost time, not bytes
+    visits = queries.repartition(parts, "id").mapInPandas(visit, "q long, c1 int, mask binary, x binary")
     visits = visits.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(-(-n_q // QUERIES))).cast("int"))
 
     def pack_queries(frame):
