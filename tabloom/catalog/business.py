@@ -148,13 +148,18 @@ def receipts_applied(t):
     return O.apply_receipts(r, d, c.select(F.col("c_custkey").alias("application"), F.col("c_custkey").alias("receipt"), F.col("c_custkey").alias("document"), F.col("c_acctbal").alias("amount")))
 
 
-@query("""WITH p AS (SELECT l_partkey AS entry, max(l_quantity) AS a, min(l_quantity) AS b, bool_or(l_linestatus = 'F') AS f FROM lineitem GROUP BY 1), s AS (SELECT entry, round(0.7 * ((a + b) / 2) + 0.3 * b - CASE WHEN f THEN 1.5 ELSE 0 END - 0, 4) AS score, b AS latest, (a + b) / 2 AS mean FROM p)
-SELECT entry, score, row_number() OVER (ORDER BY score DESC, latest DESC, mean DESC, entry) AS position, row_number() OVER (ORDER BY score DESC, latest DESC, mean DESC, entry) <= 3 AS selected FROM s""")
+@query("""WITH p AS (SELECT l_partkey AS entry, max(l_quantity) AS a, CASE WHEN l_partkey % 9 <> 0 THEN min(l_linenumber) END AS b, bool_or(l_linestatus = 'F') AS f, bool_or(l_returnflag = 'R') AS g FROM lineitem GROUP BY l_partkey),
+z AS (SELECT CASE WHEN max(a) <= 1.05 THEN 100 WHEN max(a) <= 5.05 THEN 20 WHEN max(a) <= 10.05 THEN 10 ELSE 1 END AS za, CASE WHEN max(b) <= 1.05 THEN 100 WHEN max(b) <= 5.05 THEN 20 WHEN max(b) <= 10.05 THEN 10 ELSE 1 END AS zb FROM p),
+s AS (SELECT entry, a * za AS x, b * zb AS y, CASE WHEN f THEN 8.0 ELSE 0 END + CASE WHEN g THEN 1.0 ELSE 0 END AS penalty, CASE WHEN NOT g THEN 1.5 ELSE 0 END AS bonus FROM p, z),
+r AS (SELECT *, coalesce(y, x) AS latest, CASE WHEN y IS NULL THEN x ELSE (x + y) / 2 END AS mean, CASE WHEN y IS NULL THEN 1 ELSE 2 END AS rounds FROM s),
+q AS (SELECT *, round(0.7 * mean + 0.3 * latest - penalty - (1 - rounds / 2.0) * 5 + bonus, 8)::DOUBLE AS score FROM r)
+SELECT entry, score, penalty::DOUBLE AS penalty, CASE WHEN penalty >= 4 THEN 'medium' ELSE 'low' END AS risk, row_number() OVER (ORDER BY score DESC, latest DESC, mean DESC, rounds DESC, entry) AS position, row_number() OVER (ORDER BY score DESC, latest DESC, mean DESC, rounds DESC, entry) <= 8 AS selected FROM q""")
 def selection(t):
-    """Parts as entries: two rounds of scores, a penalty by a comment's word."""
-    p = t.lineitem.groupBy(F.col("l_partkey").alias("entry")).agg(F.max("l_quantity").alias("a"), F.min("l_quantity").alias("b"), F.when(F.bool_or(F.col("l_linestatus") == "F"), "a Fault").otherwise("fine").alias("note"))
-    out = S.selection(p, "entry", ["a", "b"], ["note"], {"fault": -1.5})
-    return out.select("entry", "score", F.col("position").cast("long").alias("position"), "selected")
+    """Parts as entries: two rounds of scores on different scales, the second with gaps, and comments in the words of the rules."""
+    p = t.lineitem.groupBy(F.col("l_partkey").alias("entry")).agg(F.max("l_quantity").alias("a"), F.min("l_linenumber").alias("m"), F.when(F.bool_or(F.col("l_linestatus") == "F"), "主要结论有误").alias("note"), F.when(F.bool_or(F.col("l_returnflag") == "R"), "内容偏少").otherwise("完成度较高").alias("more"))
+    p = p.withColumn("b", F.when(F.col("entry") % 9 != 0, F.col("m")))
+    out = S.selection(p, "entry", ["a", "b"], ["note", "more"])
+    return out.select("entry", "score", "penalty", "risk", F.col("position").cast("long").alias("position"), "selected")
 
 
 @query("SELECT event_type, count(*) AS events FROM (SELECT DISTINCT event_id, ts, user_id, event_type, value, props FROM events) GROUP BY 1")

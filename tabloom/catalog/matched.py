@@ -28,7 +28,7 @@ _R = f"{_L}, x AS (SELECT i, a, d, (a + CASE WHEN i % 7 = 0 THEN 0.5 WHEN i % 11
 
 
 @query(f"""WITH {_R}, s AS (SELECT i, abs(a - ra) AS g, abs(date_diff('day', d, rd)) AS n FROM x WHERE i % 10 <> 9 AND i % 29 <> 0),
-u AS (SELECT *, CASE WHEN g = 0 AND n = 0 THEN 'matched' WHEN g <= 1 AND n <= 2 THEN 'review' WHEN n <= 2 THEN 'amount_difference' WHEN g <= 1 THEN 'date_difference' ELSE 'review' END AS status FROM s)
+u AS (SELECT *, CASE WHEN g = 0 AND n = 0 THEN 'matched' WHEN g <= 1 AND n = 0 THEN 'amount_difference' WHEN g = 0 AND n <= 2 THEN 'date_difference' ELSE 'review' END AS status FROM s)
 SELECT i AS left_id, i * 10 + 1 AS right_id, status, CASE WHEN status = 'matched' THEN 1.0 WHEN status <> 'review' THEN 0.98 WHEN g <= 1 AND n <= 2 THEN 0.9 ELSE 0.7 END::DOUBLE AS score, g::DOUBLE AS amount_gap, n::BIGINT AS day_gap FROM u""")
 def reconcile_keyed(t):
     return _plain(_out(t)["links"].where("candidate_rank is null and left_id % 10 <> 9").drop("candidate_rank"))

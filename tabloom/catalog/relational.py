@@ -105,11 +105,11 @@ def _mask(method, sql):
 
 
 _mask("partial", "left(c_name, 1) || repeat('*', length(c_name) - 2) || right(c_name, 1)")
-_mask("full", "repeat('*', length(c_name))")
+_mask("full", "repeat('*', greatest(3, length(c_name)))")
 _mask("hash", "left(sha256('s' || c_name), 16)")
 _mask("phone", "'138' || '****' || right(lpad(c_custkey::VARCHAR, 8, '0'), 4)")
-_mask("email", "left(lower(c_mktsegment), 1) || '****@example.com'")
-_mask("name", "left(c_name, 1) || repeat('*', length(c_name) - 1)")
+_mask("email", "left(lower(c_mktsegment), 1) || repeat('*', greatest(3, length(c_mktsegment) - 1)) || '@example.com'")
+_mask("name", "left(c_name, 1) || repeat('*', greatest(1, length(c_name) - 1))")
 _mask("id", "left(c_name, 4) || repeat('*', length(c_name) - 8) || right(c_name, 4)")
 
 

@@ -91,27 +91,42 @@ def order_store_summary(t):
     return S.order_summary(l, "l_suppkey", "l_orderkey", "l_extendedprice", "refund").withColumns({**_dbl("sales", "refunds"), "order_value": F.round("order_value", 6), "refund_rate": F.round("refund_rate", 6)})
 
 
-@query("""WITH m AS (SELECT l_partkey AS sku, sum(l_quantity) FILTER (l_returnflag = 'A') AS received, sum(l_quantity) FILTER (l_returnflag = 'N') AS sold, sum(l_quantity) FILTER (l_returnflag = 'R') AS adjusted, sum(l_quantity) FILTER (l_returnflag = 'N' AND date_diff('day', l_shipdate::DATE, DATE '2001-12-31') < 900) AS recent FROM lineitem GROUP BY 1),
-b AS (SELECT p_partkey AS sku, 200.0 + coalesce(received, 0) - coalesce(sold, 0) + coalesce(adjusted, 0) AS book, p_size, coalesce(recent, 0) / 900.0::DOUBLE AS daily_rate FROM part LEFT JOIN m ON sku = p_partkey),
-c AS (SELECT *, book - 10 AS sellable, ceil(p_size + daily_rate * 7)::BIGINT AS reorder_point FROM b), d AS (SELECT *, ceil(reorder_point + daily_rate * 30)::BIGINT AS target FROM c)
-SELECT sku, book::DOUBLE AS book, sellable::DOUBLE AS sellable, daily_rate, reorder_point, target, (CASE WHEN sellable < reorder_point THEN greatest(target - sellable, 0) ELSE 0 END)::DOUBLE AS to_order,
-CASE WHEN sku % 50 = 0 THEN CASE WHEN sellable > 0 THEN 'discontinued_stock' ELSE 'discontinued' END WHEN sellable <= 0 THEN 'out_of_stock' WHEN sellable < reorder_point THEN 'reorder' WHEN sellable > target * 2 THEN 'overstock' ELSE 'normal' END AS stock_status FROM d""")
+@query("""WITH m AS (SELECT l_partkey AS sku, sum(l_quantity) FILTER (l_returnflag = 'A') AS received, sum(l_quantity) FILTER (l_returnflag = 'N' AND l_linenumber < 6) AS sold, sum(l_quantity) FILTER (l_returnflag = 'R') AS adjusted, sum(l_quantity) FILTER (l_returnflag = 'N' AND l_linenumber >= 6) AS transit,
+  sum(l_quantity) FILTER (l_returnflag = 'N' AND l_linenumber < 6 AND date_diff('day', l_shipdate::DATE, DATE '2001-12-31') BETWEEN 0 AND 899) AS recent FROM lineitem GROUP BY 1),
+b AS (SELECT p_partkey AS sku, CASE WHEN p_partkey % 37 <> 0 THEN 200.0 END + coalesce(received, 0) - coalesce(sold, 0) + coalesce(adjusted, 0) AS book, coalesce(transit, 0) AS transit, p_size, p_partkey % 5 AS defective, coalesce(recent, 0) / 900.0::DOUBLE AS rate FROM part LEFT JOIN m ON sku = p_partkey),
+c AS (SELECT *, book - 10 - defective AS sellable, ceil(p_size + rate * 7)::BIGINT AS reorder_point, ceil(p_size + rate * 30)::BIGINT AS target, sku % 50 = 0 AS gone FROM b),
+d AS (SELECT *, NOT gone AND CASE WHEN rate > 0 THEN sellable / rate > 60 ELSE sellable > p_size END AS over FROM c),
+e AS (SELECT *, CASE WHEN sellable IS NOT NULL THEN CASE WHEN NOT gone AND sellable <= reorder_point THEN ceil(greatest(target - sellable - transit, 0)) ELSE 0 END END AS to_order,
+  CASE WHEN sellable IS NOT NULL THEN CASE WHEN over THEN floor(greatest(sellable - target, 0)) WHEN gone THEN floor(greatest(sellable, 0)) ELSE 0 END END AS excess FROM d)
+SELECT sku, book::DOUBLE AS book, sellable::DOUBLE AS sellable, rate AS daily_rate, CASE WHEN rate > 0 THEN round(sellable / rate, 6) END AS cover_days, reorder_point, target, to_order::DOUBLE AS to_order, excess::DOUBLE AS excess,
+CASE WHEN sellable IS NULL THEN 'unknown' WHEN sellable < 0 THEN 'negative' WHEN gone THEN CASE WHEN sellable > 0 THEN 'discontinued_stock' ELSE 'discontinued' END WHEN to_order > 0 THEN 'reorder' WHEN over THEN 'overstock' ELSE 'normal' END AS stock_status FROM e""")
 def inventory_ledger(t):
     k = F.col("p_partkey")
-    p = t.part.select(k.alias("sku"), F.lit(200.0).alias("opening"), F.lit(10.0).alias("locked"), F.col("p_size").alias("safety"), F.lit(7).alias("lead_days"), F.lit(30).alias("target_days"), F.when(k % 50 == 0, "discontinued").otherwise("active").alias("status"))
-    kind = F.when(F.col("l_returnflag") == "A", "received").when(F.col("l_returnflag") == "N", "sold").otherwise("adjusted")
+    p = t.part.select(k.alias("sku"), F.when(k % 37 != 0, 200.0).alias("opening"), F.lit(10.0).alias("locked"), (k % 5).alias("defective"), F.col("p_size").alias("safety"), F.lit(7).alias("lead_days"), F.lit(30).alias("target_days"), F.when(k % 50 == 0, "discontinued").otherwise("active").alias("status"))
+    kind = F.when(F.col("l_returnflag") == "A", "received").when(F.col("l_returnflag") == "R", "adjusted").when(F.col("l_linenumber") < 6, "sold").otherwise("transit")
     m = t.lineitem.select(F.col("l_partkey").alias("sku"), kind.alias("kind"), F.col("l_quantity").alias("quantity"), F.datediff(F.lit("2001-12-31").cast("date"), "l_shipdate").alias("day"))
-    out = O.inventory(p, m, "sku", 900).withColumns({**_dbl("book", "sellable", "to_order"), **{c: F.col(c).cast("long") for c in ("reorder_point", "target")}})
-    return out.select("sku", "book", "sellable", "daily_rate", "reorder_point", "target", "to_order", "stock_status")
-
-
-@query("""WITH a AS (SELECT o_custkey % 100 AS person, count_if(o_orderstatus = 'P')::BIGINT AS late, count_if(o_orderpriority = '5-LOW')::BIGINT AS early FROM orders GROUP BY 1), p AS (SELECT l_suppkey AS person, sum(l_quantity) / sum(l_quantity + 5) AS attainment, avg(l_linenumber % 5 + 1) AS rating FROM lineitem GROUP BY 1),
-c AS (SELECT s_suppkey AS person, round(0.3 * greatest(0, 100 - 5 * (late % 4) - 5 * (early % 3))::DOUBLE + 0.7 * least(100, attainment * 70 + rating / 5 * 30), 4) AS composite FROM supplier LEFT JOIN a ON a.person = s_suppkey LEFT JOIN p ON p.person = s_suppkey)
-SELECT person, CASE WHEN composite IS NULL THEN 'review' WHEN composite >= 90 THEN 'excellent' WHEN composite < 60 THEN 'attention' ELSE 'normal' END AS "group", composite, CASE WHEN composite IS NOT NULL THEN rank() OVER (ORDER BY composite DESC NULLS LAST) END AS rank FROM c""")
+    out = O.inventory(p, m, "sku", 900).withColumns({**_dbl("book", "sellable", "to_order", "excess"), **{c: F.col(c).cast("long") for c in ("reorder_point", "target")}, "cover_days": F.round("cover_days", 6)})
+    return out.select("sku", "book", "sellable", "daily_rate", "cover_days", "reorder_point", "target", "to_order", "excess", "stock_status")
+
+
+@query("""WITH a AS (SELECT o_custkey % 200 AS person, count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS months, count(*) AS present, sum(CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE 0 END) AS late, sum(CASE WHEN o_orderkey % 31 = 0 THEN 1 ELSE 0 END) AS early, sum(CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 0 END) AS leave_days, bool_and(o_orderkey % 997 <> 0) AS whole FROM orders GROUP BY 1),
+p AS (SELECT l_suppkey AS person, sum((l_quantity * 12)::BIGINT)::DOUBLE / count(*) / 400 AS attainment, sum(l_linenumber % 4 + 3)::DOUBLE / count(*) AS rating FROM lineitem GROUP BY 1),
+m AS (SELECT greatest(count(DISTINCT strftime(o_orderdate, '%Y-%m')), 1) AS n FROM orders),
+j AS (SELECT s_suppkey AS person, s_nationkey <> 3 AS active, coalesce(whole, false) AS whole, coalesce(a.months, m.n) AS months, attainment, rating, present, late, early, leave_days FROM supplier LEFT JOIN a ON a.person = s_suppkey LEFT JOIN p ON p.person = s_suppkey, m),
+k AS (SELECT person, active, whole, months, attainment, rating, CASE WHEN whole THEN late END AS late, CASE WHEN whole THEN early END AS early, CASE WHEN whole THEN leave_days END AS leave_days, CASE WHEN whole THEN greatest(months * 2.0 - present - leave_days, 0) END AS absent, CASE WHEN whole THEN least(1.0, present / (months * 2.0)) END AS rate FROM j),
+s AS (SELECT *, CASE WHEN whole THEN greatest(0, least(100, 100 - 5 * late - 5 * early - 2 * leave_days - 10 * absent)) END::DOUBLE AS att, (CASE WHEN attainment IS NOT NULL THEN greatest(0, least(1, attainment)) END * 70 + CASE WHEN rating IS NOT NULL THEN greatest(0, least(5, rating)) END / 5 * 30)::DOUBLE AS perf FROM k),
+c AS (SELECT *, round(0.3 * att + 0.7 * perf, 8) AS composite FROM s),
+g AS (SELECT *, coalesce(composite < 60, false) OR coalesce(late >= 5, false) OR coalesce(rate < 0.85, false) OR coalesce(attainment < 0.8, false) OR coalesce(rating < 4, false) AS low, coalesce(composite < 60, false) OR coalesce(late >= 8, false) OR coalesce(rate < 0.75, false) AS worst FROM c)
+SELECT person, absent::DOUBLE AS absent, round(rate::DOUBLE, 8) AS attendance_rate, composite, CASE WHEN NOT active THEN 'not_employed' WHEN NOT whole THEN 'incomplete' WHEN low THEN 'attention' WHEN composite >= 85 AND late <= 1 AND absent = 0 THEN 'excellent' ELSE 'normal' END AS "group",
+CASE WHEN NOT active THEN 'not_applicable' WHEN NOT whole THEN 'unverified' WHEN worst THEN 'high' WHEN low THEN 'medium' ELSE 'low' END AS risk, CASE WHEN active AND composite IS NOT NULL THEN rank() OVER (ORDER BY CASE WHEN active THEN composite END DESC NULLS LAST) END AS rank FROM g""")
 def workforce_groups(t):
-    a = t.orders.groupBy((F.col("o_custkey") % 100).alias("person")).agg((F.count_if(F.col("o_orderstatus") == "P") % 4).alias("late"), (F.count_if(F.col("o_orderpriority") == "5-LOW") % 3).alias("early"), F.lit(0).alias("leave_days"), F.lit(0).alias("absent"))
-    p = t.lineitem.select(F.col("l_suppkey").alias("person"), F.col("l_quantity").alias("actual"), (F.col("l_quantity") + 5).alias("target"), (F.col("l_linenumber") % 5 + 1).alias("rating"))
-    return O.workforce(t.supplier.select(F.col("s_suppkey").alias("person")), a, p, "person").select("person", "group", "composite", "rank")
+    """Suppliers as people: days are the orders of two customers in a hundred, two days expected a month."""
+    i = F.col("o_orderkey")
+    one = lambda n: F.when(i % n == 0, 1).otherwise(0)
+    a = t.orders.select((F.col("o_custkey") % 200).alias("person"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.lit(1).alias("present"), F.when(i % 997 != 0, one(23)).alias("late"), one(31).alias("early"), one(29).alias("leave_days"))
+    p = t.lineitem.groupBy(F.col("l_suppkey").alias("person")).agg((F.sum((F.col("l_quantity") * 12).cast("bigint")).cast("double") / F.count("*") / 400).alias("attainment"), (F.sum(F.col("l_linenumber") % 4 + 3).cast("double") / F.count("*")).alias("rating"))
+    people = t.supplier.select(F.col("s_suppkey").alias("person"), (F.col("s_nationkey") != 3).alias("active"))
+    return O.workforce(people, a, p, "person", workdays=2.0).select("person", F.col("absent").cast("double").alias("absent"), F.round("attendance_rate", 8).alias("attendance_rate"), "composite", "group", "risk", "rank")
 
 
 @query("""WITH o AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, sum(o_totalprice::DECIMAL(18,2)) AS orders FROM orders GROUP BY 1), l AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, sum(l_extendedprice::DECIMAL(18,2)) AS shipped FROM lineitem GROUP BY 1)

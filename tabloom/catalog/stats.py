@@ -27,7 +27,7 @@ def outlier_summary(t):
 
 _RFM = """WITH p AS (SELECT o_custkey AS customer, count(*) AS frequency, sum(o_totalprice::DECIMAL(18,2)) AS monetary, date_diff('day', max(o_orderdate)::DATE, (SELECT max(o_orderdate)::DATE + 1 FROM orders)) AS recency FROM orders GROUP BY 1),
 s AS (SELECT *, {r} AS a, {f} AS f, {m} AS m FROM p), c AS (SELECT customer, frequency, monetary, recency, 6 - a AS r, f, m FROM s),
-g AS (SELECT *, CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'champion' WHEN f >= 3 AND m >= 3 AND r >= 3 THEN 'loyal' WHEN r >= 4 AND f <= 2 THEN 'potential' WHEN r <= 2 AND f >= 3 THEN 'at_risk' WHEN r <= 2 AND f <= 2 THEN 'hibernating' ELSE 'regular' END AS segment FROM c)""".format(
+g AS (SELECT *, CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'champion' WHEN r >= 3 AND f >= 3 THEN 'loyal' WHEN r >= 4 AND f <= 2 THEN 'potential' WHEN r <= 2 AND f >= 3 THEN 'at_risk' WHEN r <= 2 AND f <= 2 THEN 'hibernating' ELSE 'regular' END AS segment FROM c)""".format(
     **{k: f"least(5, greatest(1, ceil(round((rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2) / count(*) OVER () * 5, 9))))::INT" for k, c in (("r", "recency"), ("f", "frequency"), ("m", "monetary"))}
 )
 

@@ -69,27 +69,36 @@ def money(c: str | Column, scale: int = 2) -> Column:
     return col(c).cast(f"decimal(18,{scale})")
 
 
-def mask(c: str | Column, method: str = "partial", salt: str = "") -> Column:
-    """partial, full, hash, phone, email, name or id; null stays null."""
+def mask(c: str | Column, method: str = "partial", salt: str = "", char: str = "*", keep_start: int = 1, keep_end: int = 1) -> Column:
+    """partial, full, hash, phone, email, name or id; null stays null.
+
+    A text that a method has no form for (a phone number of under seven digits, an address without @, an id of eight characters or
+    fewer) is masked partially: all but keep_start and keep_end characters, or all of them if it has no more.
+    """
+    if len(char) != 1 or keep_start < 0 or keep_end < 0:
+        raise ValueError("one mask character, and kept ends of zero or more")
     text = col(c).cast("string")
     n = F.length(text)
-    partial = F.when(n <= 2, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.substring(text, 1, 1), F.repeat(F.lit("*"), n - 2), F.substring(text, -1, 1)))
+    hide = lambda count: F.repeat(F.lit(char), count)
+    tail = F.substring(text, -keep_end, keep_end) if keep_end else F.lit("")
+    partial = F.when(n <= keep_start + keep_end, hide(F.greatest(n, F.lit(1)))).otherwise(F.concat(F.substring(text, 1, keep_start), hide(n - keep_start - keep_end), tail))
     if method == "partial":
         return partial
     if method == "full":
-        return F.repeat(F.lit("*"), n)
+        return F.when(n.isNotNull(), hide(F.greatest(n, F.lit(3))))
     if method == "hash":
         return F.substring(F.sha2(F.concat(F.lit(salt), text).cast("binary"), 256), 1, 16)
     if method == "phone":
         digits = F.regexp_replace(text, r"\D", "")
-        return F.when(F.length(digits) >= 7, F.concat(F.substring(digits, 1, 3), F.repeat(F.lit("*"), F.length(digits) - 7), F.substring(digits, -4, 4))).otherwise(partial)
+        return F.when(F.length(digits) >= 7, F.concat(F.substring(digits, 1, 3), hide(F.length(digits) - 7), F.substring(digits, -4, 4))).otherwise(partial)
     if method == "email":
-        user, host = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
-        return F.when(text.contains("@"), F.concat(F.substring(user, 1, 1), F.lit("****@"), host)).otherwise(partial)
+        host = F.substring_index(text, "@", -1)
+        user = F.substring(text, F.lit(1), n - F.length(host) - 1)
+        return F.when(text.contains("@"), F.concat(F.substring(user, 1, 1), hide(F.greatest(F.length(user) - 1, F.lit(3))), F.lit("@"), host)).otherwise(partial)
     if method == "name":
-        return F.when(n > 0, F.concat(F.substring(text, 1, 1), F.repeat(F.lit("*"), F.greatest(n - 1, F.lit(0))))).otherwise(text)
+        return F.concat(F.substring(text, 1, 1), hide(F.greatest(n - 1, F.lit(1))))
     if method == "id":
-        return F.when(n > 8, F.concat(F.substring(text, 1, 4), F.repeat(F.lit("*"), n - 8), F.substring(text, -4, 4))).otherwise(partial)
+        return F.when(n > 8, F.concat(F.substring(text, 1, 4), hide(n - 8), F.substring(text, -4, 4))).otherwise(partial)
     raise ValueError(f"unknown mask: {method}")
 
 

@@ -223,15 +223,21 @@ def allocate_largest_remainder(df: DataFrame, by: list[str], amount: str, weight
 
 
 def allocate_last_residual(df: DataFrame, by: list[str], amount: str, weight: str, order_by: list[str], name: str = "allocated") -> DataFrame:
-    """Rounded shares in order, clamped to what remains; the last row with a weight takes the residual."""
+    """Shares rounded half up to whole cents in order, clamped to what remains; the last row with a weight takes the residual.
+
+    A share is found in whole numbers, as floor((2 u w + W) / (2 W)) of u cents, weight w and weights W in all, so it is rounded once.
+    """
     w, wt = Window.partitionBy(*by), col(weight).cast("decimal(18,6)")
-    total = col(amount).cast("decimal(18,2)")
+    sign, total = F.signum(col(amount)).cast("int"), F.abs(col(amount).cast("decimal(18,2)"))
     at = w.orderBy(*order_by)
-    df = df.withColumn("_p", F.coalesce(F.round(F.try_divide(total * wt, F.sum(wt).over(w)), 2).cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")))
+    whole = lambda c: c.cast("decimal(38,0)")
+    df = df.withColumns({"_u": whole(total * 100), "_m": whole(wt * 1_000_000), "_t": whole(F.sum(wt).over(w) * 1_000_000)})
+    cents = F.expr("cast(cast((2 * _u * _m + _t) as decimal(38,0)) div nullif(2 * _t, 0) as decimal(18,2)) / 100")
+    df = df.withColumn("_p", F.coalesce(cents.cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")))
     df = df.withColumn("_c", F.least(total, F.sum("_p").over(at.rowsBetween(Window.unboundedPreceding, 0)))).withColumn("_b", F.coalesce(F.lag("_c").over(at), F.lit(0).cast("decimal(18,2)")))
     df = df.withColumn("_i", F.row_number().over(at)).withColumn("_l", F.max(F.when(wt > 0, F.col("_i"))).over(w))
     part = F.when(F.col("_i") == F.col("_l"), total - F.col("_b")).when(F.col("_i") > F.col("_l"), F.lit(0)).otherwise(F.col("_c") - F.col("_b"))
-    return df.withColumn(name, part.cast("decimal(18,2)")).drop("_p", "_c", "_b", "_i", "_l")
+    return df.withColumn(name, (sign * part).cast("decimal(18,2)")).drop("_u", "_m", "_t", "_p", "_c", "_b", "_i", "_l")
 
 
 def condense_risks(df: DataFrame, by: list[str], example: str, keep: int = 4) -> DataFrame:

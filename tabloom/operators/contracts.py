@@ -28,6 +28,7 @@ RATIO_RULES = (
     ("转化率", ("转化数", "成交数", "订单数"), ("访问数", "流量", "线索数")),
 )
 #: Topics of questions and the names of metrics that speak to them.
+#: What tells a question's topic from a field's name.
 TOPICS = {
     "profitability": r"利润|毛利|profit|margin", "cash": r"现金|回款|到账|应收|cash|receivable", "inventory": r"库存|stock|inventory", "customer": r"满意度|评价|退款|评分|rating|refund",
     "workforce": r"绩效|工资|薪资|工时|加班|salary|hours", "procurement": r"采购|入库|purchase", "channel": r"销售|收入|费用|sales|revenue|expense",
@@ -72,6 +73,10 @@ def candidate_grain(df: DataFrame, keys: list[str], most: int = 3) -> list[str]:
     return next((list(s) for s, good in zip(sets, row) if good), [])
 
 
+#: Fixed value: names of unit prices and means, which no sum makes sense of.
+UNIT_VALUES = r"单价|平均|周转天数|库存天数|每单|每人|unit.?price|average|per.?unit"
+
+
 def metric_contract(df: DataFrame, field: str, aggregation: str, unit: str = "", date: str | None = None, currency: str | None = None, keys: list[str] = (), entity: list[str] = (), numerator: str | None = None, denominator: str | None = None) -> dict:
     """{field, aggregation, unit, date, grain, rows, valid, status, issues, ...}: status is unavailable if anything speaks against the metric.
 
@@ -96,7 +101,7 @@ def metric_contract(df: DataFrame, field: str, aggregation: str, unit: str = "",
     repeats = df.groupBy(*df.columns).count().where("count > 1")
     tests = {
         "INCOMPLETE": r.valid < r.rows, "DUPLICATE_ROWS": not repeats.isEmpty(), "PERCENT": not ratio and r.percent > 0, "CURRENCIES": r.currencies > 1 or r.undeclared > 0, "DATES": r.undated > 0,
-        "UNIT_VALUE": aggregation == "sum" and bool(re.search(r"单价|平均|周转天数|库存天数|每单|每人|unit.?price|average|per.?unit", field, re.I)),
+        "UNIT_VALUE": aggregation == "sum" and bool(re.search(UNIT_VALUES, field, re.I)),
         "COMPONENTS": ratio and (not parts or r.p0 < r.rows or r.p1 < r.rows or not r.bottom or r.bottom <= 0), "NO_DATE": aggregation == "last" and not date,
     }
     issues = [k for k, bad in tests.items() if bad]

@@ -144,8 +144,8 @@ def cluster_similar(df: DataFrame, column: str, threshold: float = 0.85, max_uni
 def reconcile(left: DataFrame, right: DataFrame, key: str, amount: str, date: str, secondary: list[str] = (), left_id: str = "id", right_id: str = "id", tolerance: float = 0.0, days: int = 0, rounding: int = 20) -> dict[str, DataFrame]:
     """Two ledgers in phases; every row lands in one bucket (a review may repeat a right row).
 
-    duplicates: keys that repeat on a side, both sides' rows. matched / amount_difference / date_difference / review by unique
-    key pairs. Rows left over pair within the tolerances: matched only if they are each other's one candidate, exact in amount
+    duplicates: keys that repeat on a side, both sides' rows. Unique key pairs are matched (equal amount and date),
+    amount_difference (within the tolerance, on the same date), date_difference (the same amount, within the days) or else for review. Rows left over pair within the tolerances: matched only if they are each other's one candidate, exact in amount
     and date, equal in all secondary fields and without differing keys; else ranked candidates for review, `rounding` at most for
     a left row. The rest is left_only and right_only.
     """
@@ -164,7 +164,7 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, amount: str, date: st
     pairs = l1.join(r1, "k")
     da, dd = F.abs(F.col("la") - F.col("ra")), F.abs(F.datediff("ld", "rd"))
     tol = F.lit(tolerance).cast("decimal(18,2)")
-    status = F.when(da.isNull(), "review").when(dd.isNull(), "review").when((da == 0) & (dd == 0), "matched").when((da <= tol) & (dd <= days), "review").when(dd <= days, "amount_difference").when(da <= tol, "date_difference").otherwise("review")
+    status = F.when(da.isNull() | dd.isNull(), "review").when((da == 0) & (dd == 0), "matched").when((da <= tol) & (dd == 0), "amount_difference").when((da == 0) & (dd <= days), "date_difference").otherwise("review")
     score = F.when(da.isNull(), 0.6).when(dd.isNull(), 0.65).when(status == "matched", 1.0).when(status.isin("amount_difference", "date_difference"), 0.98).when((da <= tol) & (dd <= days), 0.9).otherwise(0.7)
     keyed = pairs.select("left_id", "right_id", status.alias("status"), score.alias("score"), da.alias("amount_gap"), dd.alias("day_gap"))
     # rows whose key is missing or has no partner
@@ -178,7 +178,8 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, amount: str, date: st
     w1, w2 = Window.partitionBy("left_id"), Window.partitionBy("right_id")
     conflict = F.col("lk").isNotNull() & F.col("rk").isNotNull() & (F.col("lk") != F.col("rk"))
     alike = [F.coalesce((F.col(f"l{s}") == F.col(f"r{s}")).cast("int"), F.lit(0)) for s in sec]
-    same = sum(alike, F.lit(0).cast("int")) / F.lit(max(1, len(sec))).cast("decimal(4,0)")
+    compared = sum([(F.col(f"l{s}").isNotNull() & F.col(f"r{s}").isNotNull()).cast("int") for s in sec], F.lit(0))
+    same = F.coalesce(F.try_divide(sum(alike, F.lit(0)).cast("decimal(4,0)"), compared.cast("decimal(4,0)")), F.lit(0))
     # exact decimals, so that a score at half a unit rounds alike everywhere
     exact = lambda x: F.lit(str(x)).cast("decimal(6,4)")
     quality = lambda gap, limit: exact(1) - exact(0.5) * F.coalesce(F.try_divide(gap.cast("decimal(12,2)"), F.lit(str(limit)).cast("decimal(12,2)")), exact(0)).cast("decimal(10,6)")

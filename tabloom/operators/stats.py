@@ -69,10 +69,10 @@ def rfm(df: DataFrame, customer: str, date: str, amount: str, transaction: str |
         per = add_ranks(per, c, percent=f"_{c}")
     per = per.withColumn("r", F.when(one, quantiles).otherwise(quantiles + 1 - score("_recency"))).withColumn("f", score("_frequency")).withColumn("m", score("_monetary"))
     per = per.drop("_recency", "_frequency", "_monetary")
-    high, upper, low = -(-8 * quantiles // 10), -(-6 * quantiles // 10), 4 * quantiles // 10
+    high, upper, low = max(2, -(-8 * quantiles // 10)), max(2, -(-6 * quantiles // 10)), max(1, 4 * quantiles // 10)
     r, fq, m = F.col("r"), F.col("f"), F.col("m")
     segment = (
-        F.when((r >= high) & (fq >= high) & (m >= high), "champion").when((fq >= upper) & (m >= upper) & (r >= upper), "loyal").when((r >= high) & (fq <= low), "potential")
+        F.when((r >= high) & (fq >= high) & (m >= high), "champion").when((r >= upper) & (fq >= upper), "loyal").when((r >= high) & (fq <= low), "potential")
         .when((r <= low) & (fq >= upper), "at_risk").when((r <= low) & (fq <= low), "hibernating").otherwise("regular")
     )
     customers = per.withColumn("segment", segment)

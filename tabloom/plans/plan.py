@@ -80,7 +80,7 @@ _one("split", relational.split_rows, ("rows_per_table", "order_by"))
 _one("financial_ratios", finance.financial_ratios, ("key",), (), "wide")
 _one("sales_report", sales.sales_report, ("date", "product", "seller", "region", "quantity", "sales", "cost"), ("satisfaction",))
 _one("order_analysis", sales.order_analysis, ("order", "line", "amount", "discount", "refund", "store", "product", "date"))
-_one("selection", sales.selection, ("entry", "scores"), ("comments", "penalties", "top"))
+_one("selection", sales.selection, ("entry", "scores"), ("comments", "penalties", "bonuses", "top", "source_order"))
 _one("restaurant_diagnosis", restaurant.diagnosis, (), ("store", "month"))
 _one("fuzzy_clusters", matching.cluster_similar, ("column",), ("threshold", "max_unique"))
 

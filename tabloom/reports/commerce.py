@@ -18,6 +18,9 @@ from tabloom.operators.joins import merge_on_spine
 
 FEES = ("commission", "service", "logistics")
 
+#: Shares and months from which a channel, product, customer or stock needs attention.
+THIN_CHANNEL, THIN_MARGIN, PRODUCT_REFUNDS, BUYER_REFUNDS, STOCK_MONTHS = 0.03, 0.2, 0.3, (0.2, 0.4), (9, 18)
+
 
 def _share(a: str, b: str) -> Column:
     return safe_div(F.col(a).cast("double"), F.col(b).cast("double"))
@@ -79,16 +82,16 @@ def diagnosis(products: DataFrame, orders: DataFrame, refunds: DataFrame, settle
 
     channels = met("channel").withColumns({"refund_rate": _share("refund", "paid"), "fee_rate": _share("fees", "base"), "contribution_rate": _share("contribution", "paid")})
     every = channels.agg(F.greatest(F.sum("paid"), F.lit(1)).alias("_paid"))
-    channels = channels.crossJoin(F.broadcast(every)).withColumn("priority", _grade(F.col("contribution") < 0, F.col("contribution") / F.col("_paid") < 0.03)).drop("_paid")  # one row
+    channels = channels.crossJoin(F.broadcast(every)).withColumn("priority", _grade(F.col("contribution") < 0, F.col("contribution") / F.col("_paid") < THIN_CHANNEL)).drop("_paid")  # one row
     months = met("month").withColumn("gross", F.col("net") - F.col("cost"))
     own = {"s": sales("month"), "r": refund("order_month", "month")}
     order_months = merge_on_spine(_spine("month", *own.values()), own, ["month"]).fillna(0, ["paid", "refund", "orders"]).withColumn("net", F.col("paid") - F.col("refund")).withColumn("gross", F.col("net") - F.col("cost"))
     per = lines.groupBy("sku").agg(F.sum("paid").alias("paid"), F.sum("list_price").alias("list_price"), F.sum("discount").alias("discount"), F.sum("quantity").alias("quantity"), F.count_distinct("order_no").alias("orders"), cost)
     per = per.join(refund("sku"), "sku", "left").fillna(0, ["refund"]).withColumn("net", F.col("paid") - F.col("refund")).withColumn("gross", F.col("net") - F.col("cost"))
     per = per.withColumns({"margin": _share("gross", "net"), "discount_rate": _share("discount", "list_price"), "refund_rate": _share("refund", "paid")})
-    per = per.withColumn("priority", _grade(F.col("gross") < 0, (F.col("margin") < 0.2) | (F.col("refund_rate") >= 0.3)))
+    per = per.withColumn("priority", _grade(F.col("gross") < 0, (F.col("margin") < THIN_MARGIN) | (F.col("refund_rate") >= PRODUCT_REFUNDS)))
     buyers = lines.groupBy("customer").agg(F.sum("paid").alias("paid"), F.count_distinct("order_no").alias("orders")).join(refund("customer"), "customer", "left").fillna(0, ["refund"]).withColumn("refund_rate", _share("refund", "paid"))
-    buyers = buyers.withColumn("priority", _grade(F.col("refund_rate") >= 0.4, F.col("refund_rate") >= 0.2))
+    buyers = buyers.withColumn("priority", _grade(F.col("refund_rate") >= BUYER_REFUNDS[1], F.col("refund_rate") >= BUYER_REFUNDS[0]))
     totals = lines.agg(F.sum("paid").alias("paid"), F.sum("discount").alias("discount"), F.sum("list_price").alias("list_price"), F.count_distinct("order_no").alias("orders"), cost)
     one = [paid_out.agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("refund")), back["pending"].agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("pending_refund")), done.agg(F.sum("fees").alias("fees"), F.sum("received").alias("received")), ads.agg(F.sum(money("spend")).alias("spend"), F.sum(money("attributed")).alias("attributed"))]
     for x in one:  # one row each
@@ -105,4 +108,4 @@ def coverage(inventory: DataFrame, lines: DataFrame, products: DataFrame) -> Dat
     recent = units.crossJoin(F.broadcast(lines.agg(F.max("month").alias("_m")))).where("month = _m").select("sku", "units")
     out = now.join(products.select("sku", "kind", "safety").where("coalesce(kind, '') <> 'service'"), "sku").join(recent, "sku", "left").fillna(0, ["units"])
     out = out.withColumns({"months_left": _share("sellable", "units"), "above_safety": F.col("sellable") - F.col("safety")})
-    return out.withColumn("priority", _grade(F.col("months_left") >= 18, F.col("months_left") >= 9))
+    return out.withColumn("priority", _grade(F.col("months_left") >= STOCK_MONTHS[1], F.col("months_left") >= STOCK_MONTHS[0]))

@@ -15,28 +15,65 @@ from tabloom.operators.windows import pct_change
 
 
 def inventory(products: DataFrame, moves: DataFrame, sku: str, days: int, multiplier: float = 2.0) -> DataFrame:
-    """products: sku, opening, locked, safety, lead_days, target_days, status. moves: sku, kind (received, sold, adjusted), quantity, day (days before the cutoff).
+    """products: sku, opening, locked, defective, safety, lead_days, target_days, status. moves: sku, kind (received, sold, adjusted, transit), quantity, day (days before the cutoff).
 
-    Book stock, sellable stock, rate over the last days, reorder point, target, quantity to order, status. Unknown stays unknown.
+    Book stock; sellable stock without locked and defective pieces; the daily rate of the last days and how many days stock lasts at it;
+    reorder point (safety stock and sales of the lead time) and target (safety stock and sales of the target days) in whole
+    pieces; what to order at or below the reorder point, less what is in transit; what is in excess: of a product that lasts longer than
+    multiplier times its target days, or does not sell and has more than its safety stock, all above the target, and of a
+    discontinued one all of it. Unknown stays unknown: where an input is missing nothing is ordered or in excess.
     """
     q = col("quantity")
-    m = moves.groupBy(sku).agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, q)), F.lit(0)).alias(k) for k in ("received", "sold", "adjusted")], F.coalesce(F.sum(F.when((F.col("kind") == "sold") & (F.col("day") < days), q)), F.lit(0)).alias("recent"))
-    out = products.join(m, sku, "left").fillna(0, ["received", "sold", "adjusted", "recent"])
-    out = out.withColumn("book", F.col("opening") + F.col("received") - F.col("sold") + F.col("adjusted")).withColumn("sellable", F.col("book") - F.col("locked"))
-    out = out.withColumn("daily_rate", F.col("recent") / F.lit(float(days))).withColumn("reorder_point", F.ceil(F.col("safety") + F.col("daily_rate") * F.col("lead_days")))
-    out = out.withColumn("target", F.ceil(F.col("reorder_point") + F.col("daily_rate") * F.col("target_days"))).withColumn("to_order", F.when(F.col("sellable") < F.col("reorder_point"), F.greatest(F.col("target") - F.col("sellable"), F.lit(0))).otherwise(F.when(F.col("sellable").isNotNull(), 0)))
-    status = F.when(F.col("sellable").isNull(), "unknown").when(F.col("status") == "discontinued", F.when(F.col("sellable") > 0, "discontinued_stock").otherwise("discontinued")).when(F.col("sellable") <= 0, "out_of_stock").when(F.col("sellable") < F.col("reorder_point"), "reorder").when(F.col("sellable") > F.col("target") * multiplier, "overstock").otherwise("normal")
+    m = moves.groupBy(sku).agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, q)), F.lit(0)).alias(k) for k in ("received", "sold", "adjusted", "transit")], F.coalesce(F.sum(F.when((F.col("kind") == "sold") & F.col("day").between(0, days - 1), q)), F.lit(0)).alias("recent"))
+    out = products.join(m, sku, "left").fillna(0, ["received", "sold", "adjusted", "transit", "recent"])
+    out = out.withColumn("book", F.col("opening") + F.col("received") - F.col("sold") + F.col("adjusted")).withColumn("sellable", F.col("book") - F.col("locked") - F.col("defective"))
+    out = out.withColumn("daily_rate", F.col("recent") / F.lit(float(days))).withColumn("cover_days", F.when(F.col("daily_rate") > 0, F.col("sellable") / F.col("daily_rate")))
+    whole = lambda days_of: F.ceil(F.col("safety") + F.col("daily_rate") * F.col(days_of))
+    out = out.withColumn("reorder_point", whole("lead_days")).withColumn("target", whole("target_days"))
+    known = F.col("sellable").isNotNull() & F.col("safety").isNotNull() & F.col("lead_days").isNotNull() & F.col("target_days").isNotNull()
+    gone = F.coalesce(F.col("status") == "discontinued", F.lit(False))
+    short = ~gone & (F.col("sellable") <= F.col("reorder_point"))
+    idle = F.when(F.col("daily_rate") > 0, F.col("cover_days") > F.col("target_days") * multiplier).otherwise(F.col("sellable") > F.col("safety"))
+    over = ~gone & idle
+    above = lambda x: F.greatest(x, F.lit(0))
+    order = F.when(short, F.ceil(above(F.col("target") - F.col("sellable") - F.col("transit")))).otherwise(0)
+    excess = F.when(over, F.floor(above(F.col("sellable") - F.col("target")))).when(gone, F.floor(above(F.col("sellable")))).otherwise(0)
+    out = out.withColumn("to_order", F.when(known, order)).withColumn("excess", F.when(known, excess))
+    status = F.when(~known, "unknown").when(F.col("sellable") < 0, "negative").when(gone, F.when(F.col("sellable") > 0, "discontinued_stock").otherwise("discontinued")).when(F.col("to_order") > 0, "reorder").when(over, "overstock").otherwise("normal")
     return out.withColumn("stock_status", status)
 
 
-def workforce(people: DataFrame, attendance: DataFrame, performance: DataFrame, person: str) -> DataFrame:
-    """Attendance (100 - 5 late - 5 early - 2 leave - 10 absent), performance (attainment 70, rating 30), composite 0.3 / 0.7, rank and group."""
-    a = attendance.groupBy(person).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("late", "early", "leave_days", "absent")])
-    a = a.withColumn("attendance_score", F.greatest(F.lit(0.0), (100 - 5 * F.col("late") - 5 * F.col("early") - 2 * F.col("leave_days") - 10 * F.col("absent")).cast("double")))
-    p = performance.groupBy(person).agg(F.try_divide(F.sum("actual"), F.sum("target")).alias("attainment"), F.avg("rating").alias("rating")).withColumn("performance_score", F.least(F.lit(100.0), F.col("attainment") * 70 + F.col("rating") / 5 * 30))
-    out = people.join(a, person, "left").join(p, person, "left").withColumn("composite", F.round(0.3 * F.col("attendance_score") + 0.7 * F.col("performance_score"), 4))
-    group = F.when(F.col("composite").isNull(), "review").when(F.col("composite") >= 90, "excellent").when(F.col("composite") < 60, "attention").otherwise("normal")
-    return add_ranks(out.withColumn("group", group), "composite", smallest="rank")
+def workforce(people: DataFrame, attendance: DataFrame, performance: DataFrame, person: str, workdays: float = 22.0, excellent: float = 85.0, attention: float = 60.0) -> DataFrame:
+    """people: person, active. attendance: person, month, present, late, early, leave_days. performance: person, attainment (a share), rating (0 to 5).
+
+    Days absent are those expected in the person's months that were neither worked nor leave. Attendance scores 100 - 5 late - 5 early - 2 leave - 10 absent,
+    between 0 and 100; performance 70 for attainment and 30 for the rating, neither counting beyond its full mark; the composite is 0.3 / 0.7 of
+    them. Who is active and complete is ranked. excellent: a high composite, late once at most, never absent; attention: a low composite, late
+    five times, present below 85 %, attainment below 80 % or rating below 4. Who has no attendance, or a month that is not whole, is incomplete: nothing is
+    judged of that person. risk: high with a composite below 60, late eight times or present below 75 %; medium with attention otherwise.
+    """
+    parts = ("present", "late", "early", "leave_days")
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in parts])
+    a = attendance.groupBy(person).agg(F.count_distinct("month").alias("_own"), F.bool_and(whole).alias("_whole"), *[F.sum(c).alias(c) for c in parts])
+    spread = attendance.agg(F.greatest(F.count_distinct("month"), F.lit(1)).alias("_all"))  # one row
+    p = performance.groupBy(person).agg(F.avg("attainment").alias("attainment"), F.avg("rating").alias("rating"))
+    out = people.join(a, person, "left").join(p, person, "left").crossJoin(F.broadcast(spread))
+    there = F.coalesce("_whole", F.lit(False))
+    out = out.withColumn("months", F.when(F.col("_own") > 0, F.col("_own")).otherwise(F.col("_all"))).withColumns({c: F.when(there, F.col(c)) for c in parts})
+    expected = F.col("months") * workdays
+    out = out.withColumn("absent", F.greatest(expected - F.col("present") - F.col("leave_days"), F.lit(0.0)) + F.col("present") * 0).withColumn("attendance_rate", F.least(F.try_divide(F.col("present").cast("double"), expected), F.lit(1.0)) + F.col("present") * 0)
+    clip = lambda x, top: F.when(x.isNotNull(), F.least(F.lit(float(top)), F.greatest(F.lit(0.0), x.cast("double"))))
+    out = out.withColumn("attendance_score", clip(100 - 5 * F.col("late") - 5 * F.col("early") - 2 * F.col("leave_days") - 10 * F.col("absent"), 100))
+    out = out.withColumn("performance_score", clip(F.col("attainment"), 1) * 70 + clip(F.col("rating"), 5) / 5 * 30).withColumn("composite", F.round(0.3 * F.col("attendance_score") + 0.7 * F.col("performance_score"), 8))
+    active = F.coalesce("active", F.lit(True))
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    low = is_(F.col("composite") < attention) | is_(F.col("late") >= 5) | is_(F.col("attendance_rate") < 0.85) | is_(F.col("attainment") < 0.8) | is_(F.col("rating") < 4)
+    best = is_(F.col("composite") >= excellent) & is_(F.col("late") <= 1) & is_(F.col("absent") == 0)
+    worst = is_(F.col("composite") < 60) | is_(F.col("late") >= 8) | is_(F.col("attendance_rate") < 0.75)
+    group = F.when(~active, "not_employed").when(~there, "incomplete").when(low, "attention").when(best, "excellent").otherwise("normal")
+    risk = F.when(~active, "not_applicable").when(~there, "unverified").when(worst, "high").when(low, "medium").otherwise("low")
+    out = out.withColumn("group", group).withColumn("risk", risk).withColumn("_ranked", F.when(active, F.col("composite"))).drop("_own", "_whole", "_all")
+    return add_ranks(out, "_ranked", smallest="rank").drop("_ranked")
 
 
 def monthly_company(facts: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:

@@ -93,6 +93,12 @@ def purchases(df: DataFrame, ingredients: DataFrame) -> DataFrame:
     return out.withColumn("counted", (F.col("receipt_status") == "confirmed") & ~F.col("conflict"))
 
 
+#: Fixed value: labels that tell of trouble.
+TROUBLE = "投诉|差评|食品|卫生|慢"
+#: The same in English.
+TROUBLE_ENGLISH = "complaint|hygiene|slow"
+
+
 def reviews_with_refunds(reviews: DataFrame, refunds: DataFrame) -> DataFrame:
     """Reviews (day, store, order_no, score, label, text) with their order's confirmed refunds, and refunds that no review belongs to.
 
@@ -101,7 +107,7 @@ def reviews_with_refunds(reviews: DataFrame, refunds: DataFrame) -> DataFrame:
     back = refunds.where(B.refund_status("status") == "confirmed")
     texts = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(F.trim(c) != "", F.trim(c)))), "; ").alias(c)
     per = back.groupBy("order_no").agg(F.sum(money("amount")).alias("refund"), *[texts(c) for c in ("kind", "reason", "owner")])
-    marked = reviews.withColumn("attention", F.coalesce((F.col("score") < 4) | F.col("label").rlike("投诉|差评|食品|卫生|慢|complaint|hygiene|slow"), F.lit(False)))
+    marked = reviews.withColumn("attention", F.coalesce((F.col("score") < 4) | F.col("label").rlike(f"{TROUBLE}|{TROUBLE_ENGLISH}"), F.lit(False)))
     met = marked.join(per, "order_no", "left").withColumn("record", F.lit("review")).withColumn("match", F.when(F.col("refund").isNotNull(), "matched").otherwise("no_refund"))
     lone = per.join(reviews.select("order_no"), "order_no", "left_anti").withColumn("record", F.lit("lone_refund")).withColumn("match", F.lit("no_review"))
     return met.unionByName(lone, allowMissingColumns=True)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import col, money, month_text, parse_date, parse_number, safe_div
 from tabloom.operators.dedup import most_complete
-from tabloom.operators.order import add_ranks
+from tabloom.operators.order import add_ranks, number_rows
 
 
 def overview(df: DataFrame, sales: str, cost: str, quantity: str) -> DataFrame:
@@ -89,16 +89,51 @@ def order_analysis(lines: DataFrame, order: str, line: str, amount: str, discoun
     return {"primary": out, "stores": sums(store), "products": sums(product), "days": sums(col(date).cast("date").alias("day")), "checks": checks}
 
 
-def selection(df: DataFrame, entry: str, scores: list[str], comments: list[str] = (), penalties: dict[str, float] | None = None, top: int = 3) -> DataFrame:
-    """Entries ranked by 0.7 mean + 0.3 latest score on a 0-100 scale, with adjustments for words in comments and for missing rounds."""
-    best = df.agg(F.max(F.greatest(*[col(s) for s in scores]) if len(scores) > 1 else col(scores[0])).alias("_most"))
-    scale = F.when(F.col("_most") <= 1, 100.0).when(F.col("_most") <= 5, 20.0).when(F.col("_most") <= 10, 10.0).otherwise(1.0)
-    df = df.crossJoin(F.broadcast(best)).withColumn("_s", F.array_compact(F.array(*[col(s) * scale for s in scores])))
-    mean = F.try_divide(F.aggregate("_s", F.lit(0.0), lambda a, x: a + x), F.size("_s"))
-    latest = F.when(F.size("_s") > 0, F.element_at("_s", -1))
-    text = F.lower(F.concat_ws(" ", *[col(c) for c in comments])) if comments else F.lit("")
-    fix = sum((F.when(text.contains(w.lower()), F.lit(p)).otherwise(0.0) for w, p in (penalties or {}).items()), F.lit(0.0))
-    missing = (len(scores) - F.size("_s")) * 2.0
-    df = df.withColumn("score", F.round(0.7 * mean + 0.3 * latest + fix - missing, 4)).withColumn("mean", mean).withColumn("latest", latest).withColumn("rounds", F.size("_s"))
-    order = Window.orderBy(F.col("score").desc_nulls_last(), F.col("latest").desc_nulls_last(), F.col("mean").desc_nulls_last(), F.desc("rounds"), entry)
-    return df.withColumn("position", F.row_number().over(order)).withColumn("selected", (F.col("position") <= top) & F.col("score").isNotNull()).drop("_s", "_most")
+#: What comments give away of an entry, and the points that it costs or earns.
+SEVERE = (
+    ("重复/疑似重复", r"(?:与|和)\s*\d+\s*(?:组|号)?.{0,3}重复|重复稿|稿件重复|内容重复|雷同|抄袭|剽窃", 12.0),
+    ("诚信或有效性风险", r"作弊|造假|无效|取消资格|不合格", 12.0),
+    ("核心结果错误", r"(?:核心|主要|关键)(?:模型|结论|结果|程序).{0,6}(?:错误|有误|不可信|偏离|缺陷)|(?:结论|结果|模型|程序).{0,4}(?:错误|有误|不可信|偏离|重大缺陷)", 8.0),
+    ("态度/完成质量严重风险", r"态度.{0,6}(?:问题|不端正)|完成很差|极度不端正|来搞笑", 8.0),
+    ("直接判定为纯AI", r"纯\s*ai", 6.0),
+)
+MODERATE = (
+    ("明显AI痕迹", r"ai.{0,6}(?:痕迹|嫌疑|撰写)|全文ai|怀疑全文ai", 1.5),
+    ("内容或论证不足", r"内容.{0,5}(?:缺失|偏少|不足)|分析.{0,6}(?:浅|少|不足)|论证.{0,5}不足", 1.0),
+    ("严重格式/可读性问题", r"格式问题很大|排版差|看不清|字号偏小", 0.75),
+)
+POSITIVE = (
+    ("主要结果合理", r"主要结果.{0,8}合理|结果总体合理|关键结果.{0,8}合理", 2.5),
+    ("完成度较高", r"完成度较高|完成情况很好|结构完整|质量较好", 1.5),
+)
+
+
+def selection(df: DataFrame, entry: str, scores: list[str], comments: list[str] = (), penalties=SEVERE + MODERATE, bonuses=POSITIVE, top: int = 8, source_order: str | None = None) -> DataFrame:
+    """Entries ranked by 0.7 mean + 0.3 latest score of 100, less penalties (30 at most) and 5 times the share of missing rounds, plus bonuses (5 at most).
+
+    Each column of scores is brought to 100 by its own range: up to 1.05 times 100, to 5.05 times 20, to 10.05 times 10, else as it is, and so where
+    it has negative ones. penalties and bonuses: (label, pattern, points). Ties go to the latest score, the mean, the number of rounds and then
+    the order of the source (source_order; the entry, if not given). Entries without any score come last and are never selected.
+    """
+    ends = df.agg(*[f(col(s).cast("double")).alias(f"_{n}{i}") for i, s in enumerate(scores) for n, f in (("lo", F.min), ("hi", F.max))])  # one row
+    df = df.crossJoin(F.broadcast(ends))
+    made = []
+    for i, s in enumerate(scores):
+        fits = lambda most, i=i: (F.col(f"_lo{i}") >= 0) & (F.col(f"_hi{i}") <= most)
+        made.append(col(s).cast("double") * F.when(fits(1.05), 100.0).when(fits(5.05), 20.0).when(fits(10.05), 10.0).otherwise(1.0))
+    df = df.withColumn("_scores", F.array_compact(F.array(*made)))
+    rounds = F.size("_scores")
+    mean = F.try_divide(F.aggregate("_scores", F.lit(0.0), lambda a, x: a + x), rounds)
+    first, latest = (F.when(rounds > 0, F.element_at("_scores", i)) for i in (1, -1))
+    said = [F.trim(F.regexp_replace(col(c).cast("string"), r"\s+", " ")) for c in comments]
+    df = df.withColumn("_text", F.concat_ws("；", *[F.when(x != "", F.substring(x, 1, 1000)) for x in said]) if comments else F.lit(""))
+    hit = lambda pattern: F.col("_text").rlike(f"(?iu){pattern}")
+    points = lambda rules, most: F.least(F.lit(most), sum((F.when(hit(p), F.lit(float(w))).otherwise(0.0) for _, p, w in rules), F.lit(0.0)))
+    names = lambda rules: F.array_join(F.array_distinct(F.array_compact(F.array(*[F.when(hit(p), F.lit(n)) for n, p, _ in rules]))), "、") if rules else F.lit("")
+    df = df.withColumns({"mean": mean, "latest": latest, "trend": latest - first, "rounds": rounds, "coverage": rounds / F.lit(float(len(scores))), "penalty": points(penalties, 30.0), "bonus": points(bonuses, 5.0), "risks": names(penalties), "merits": names(bonuses)})
+    base = 0.7 * F.col("mean") + 0.3 * F.col("latest")
+    df = df.withColumn("score", F.round(base - F.col("penalty") - (1 - F.col("coverage")) * 5.0 + F.col("bonus"), 8))
+    df = df.withColumn("risk", F.when((F.col("penalty") >= 12) | (F.col("rounds") == 0), "high").when(F.col("penalty") >= 4, "medium").otherwise("low"))
+    order = [F.col("score").desc_nulls_last(), F.col("latest").desc_nulls_last(), F.col("mean").desc_nulls_last(), F.desc("rounds"), col(source_order or entry).asc()]
+    out = number_rows(df, order, "_at").withColumn("position", F.col("_at") + 1)
+    return out.withColumn("selected", (F.col("position") <= top) & F.col("score").isNotNull()).drop("_scores", "_text", "_at", *ends.columns)

@@ -149,7 +149,7 @@ def test_reconcile_every_row_lands_once(spark):
     left = spark.createDataFrame([(1, "A", 10.0, "2024-01-01", "x"), (2, "B", 20.0, "2024-01-01", "x"), (3, "C", 30.0, "2024-01-01", "x"), (4, None, 40.0, "2024-01-01", "y"), (5, "D", 5.0, "2024-01-01", "x"), (6, "D", 5.0, "2024-01-01", "x"), (7, "E", 1.0, "2024-01-01", "x")], "id int, k string, a double, d string, c string")
     right = spark.createDataFrame([(11, "A", 10.0, "2024-01-01", "x"), (12, "B", 25.0, "2024-01-01", "x"), (13, "C", 30.0, "2024-01-09", "x"), (14, None, 40.0, "2024-01-01", "y"), (15, "D", 5.0, "2024-01-01", "x"), (17, "R", 900.0, "2024-01-01", "x")], "id int, k string, a double, d string, c string")
     out = M.reconcile(left, right, "k", "a", "d", ["c"], tolerance=0.1, days=2)
-    assert {(r.left_id, r.right_id): r.status for r in out["links"].collect()} == {(1, 11): "matched", (2, 12): "amount_difference", (3, 13): "date_difference", (4, 14): "matched"}
+    assert {(r.left_id, r.right_id): r.status for r in out["links"].collect()} == {(1, 11): "matched", (2, 12): "review", (3, 13): "review", (4, 14): "matched"}
     assert rows(out["duplicates"].select("side", "id")) == [("left", 5), ("left", 6), ("right", 15)]
     assert [r.id for r in out["left_only"].collect()] == [7] and [r.id for r in out["right_only"].collect()] == [17]
 
