@@ -1,7 +1,7 @@
 r"""Phrase collocations by suffix arrays over word ids.
 
 Texts are lower-cased (A-Z), cut into pieces at `[.,;:!?\x0A-\x0D]` and into words `[^\x20\x09]+`, and gathered by language into
-shards of some two million words. Within a shard numpy prefix doubling sorts the suffixes of its word ids, and the LCP intervals of
+shards of some million words. Within a shard numpy prefix doubling sorts the suffixes of its word ids, and the LCP intervals of
 depth k are its phrases of k words with their counts. Counts of all shards are merged by key in three steps, each of which sends on
 only what can still be frequent, as no phrase is more frequent than a phrase inside it:
 
@@ -9,7 +9,7 @@ only what can still be frequent, as no phrase is more frequent than a phrase ins
 2. pairs of frequent words; a shard is told which of its pairs are frequent by one bit for each;
 3. phrases of three to five words all of whose pairs are frequent.
 
-What a shard sends to a bucket of keys is one row of packed arrays. A key stands in a shard once, so a word in every text is a row
+Shards are written in buckets by their number, so that what comes back to them is shuffled and they are not. What a shard sends to a bucket of keys is one row of packed arrays. A key stands in a shard once, so a word in every text is a row
 entry for each shard and no bucket is hot; the number of buckets grows with the number of words.
 
 Candidates are phrases of 2 to 5 words with a = f(phrase) >= least. Their score is that of their weakest cut,
@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize, mix64, small_batches
+from ._common import discard, materialize, materialize_by, mix64, small_batches
 
 #: Phrases have at most so many words.
 LONGEST = 5
 #: Occurrences of a candidate, the share of them (in percent) that a longer one must hold to cover it, and rows kept for a language.
 LEAST, COVERED, MOST = 100, 100, 2000
 #: Words of a shard, about.
-SHARD = 2_000_000
+SHARD = 1_000_000
 #: Keys that a bucket holds, about.
 BUCKET = 1_000_000
 #: Bytes of a text that are split into words at a time.
@@ -350,7 +350,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with small_batches(spark, 256):
         raw = texts.mapInArrow(lambda b: _shards(b, shard_words, stretch), SHARDS).withColumn("shard", F.monotonically_increasing_id())
-        raw = materialize(raw, "phrase-shards")
+        raw = materialize_by(raw, "phrase-shards", "shard")
     entries, words = raw.agg(F.coalesce(F.sum("entries"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     sizes = raw.groupBy("lang").agg(F.sum("words").alias("n"))
     sizes = materialize(sizes.where("n > 0"), "phrase-languages")
@@ -360,7 +360,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
         sent = raw.select("shard", "lang", "vocabulary", "counts", "entries").mapInPandas(lambda f: _send_words(f, of_words), "bucket long, shard long, lang string, words binary, counts binary, n long")
         merged = materialize(sent.groupBy("bucket").applyInPandas(lambda f: _merge_words(f, of_words, least), MERGED), "phrase-words")
         back = merged.where("shard >= 0").groupBy("shard").agg(F.collect_list(F.struct("bucket", "ids", "n")).alias("back"))
-        coded = materialize(raw.drop("counts").join(back, "shard").mapInPandas(lambda f: _recode(f, of_words), CODED), "phrase-coded")
+        coded = materialize_by(raw.drop("counts").join(back, "shard").mapInPandas(lambda f: _recode(f, of_words), CODED), "phrase-coded", "shard")
         names = materialize(merged.where("shard < 0").select("ids", "n", "langs", "words", "counts").mapInPandas(_name_words, "id long, lang string, word string, f long"), "phrase-names")
         discard(raw)
         discard(merged)
