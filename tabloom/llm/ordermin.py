@@ -5,7 +5,7 @@ For each of SKETCHES hash functions the L elements with the smallest hashes are
 stand in the text; the hash of that tuple of k-mers is one component. Two texts agree in a component with the chance that they
 share the L smallest elements in the same order: a transposed text loses components though its k-mers stay.
 
-Elements are hashed once to 32 well-mixed bits x; hash function j is (a_j x + b_j) mod 2^32 with odd a_j, a bijection. Text is read in
+Elements are hashed once to 32 well-mixed bits x; hash function j is a_j x mod 2^32 with an odd a_j, a bijection. Text is read in
 blocks of BLOCK elements, so that a text of any length needs bounded memory besides itself. A text and its edited form share
 their first half, which is hashed once.
 
@@ -22,6 +22,7 @@ next; an empty table gives an empty result; extra columns pass through, and wher
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 
 import numpy as np
@@ -34,12 +35,11 @@ from ._common import bound_batches, discard, materialize, mix64, shelter
 from .copies import mark_repeats
 
 #: Code points of a k-mer, elements of a tuple, components of a fingerprint, and elements of a block.
-K, L, SKETCHES, BLOCK = 6, 2, 128, 4096
+K, L, SKETCHES, BLOCK = 6, 2, 128, 2048
 
 _G = np.uint64(0x9E3779B97F4A7C15)
-_STEPS = mix64(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64) * _G)
-_A, _B = (_STEPS[::2] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_STEPS[1::2] >> np.uint64(32)).astype(np.uint32)
-_NONE = np.iinfo(np.uint32).max
+_A = (mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _G) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_NONE, _HALF, _PLACE, _EVERY = np.iinfo(np.uint32).max, np.uint64(32), np.uint64((1 << 20) - 1), np.arange(SKETCHES)
 
 
 def kmers(text: str) -> np.ndarray:
@@ -54,43 +54,58 @@ def kmers(text: str) -> np.ndarray:
     return mix64(h)
 
 
+def _sorted_places(h: np.ndarray) -> np.ndarray:
+    """Places in the order of hash and place. The upper bits of the hash are sorted with the place below them, unless they mix two hashes up."""
+    if len(h) < 1 << 20:
+        order = (np.sort(h & ~_PLACE | np.arange(len(h), dtype=np.uint64)) & _PLACE).astype(np.int64)
+        s = h[order]
+        if not ((s[1:] != s[:-1]) & ((s[1:] ^ s[:-1]) <= _PLACE)).any():
+            return order
+    return np.argsort(h, kind="stable")
+
+
 def elements(h: np.ndarray) -> np.ndarray:
     """32 bits for each k-mer and the number of its occurrence."""
-    order = np.argsort(h, kind="stable")
+    order = _sorted_places(h)
     s = h[order]
-    new = np.append(True, s[1:] != s[:-1])[: len(s)]
-    start = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+    at = np.arange(len(s))
     nth = np.empty(len(s), np.uint64)
-    nth[order] = (np.arange(len(s)) - start).astype(np.uint64)
+    nth[order] = (at - np.maximum.accumulate(np.where(np.append(True, s[1:] != s[:-1])[: len(s)], at, 0))).astype(np.uint64)
     return (mix64(h + (nth + np.uint64(1)) * _G) >> np.uint64(32)).astype(np.uint32)
 
 
-def smallest(x: np.ndarray, first: int = 0, held=None):
-    """(hashes, places) of the L smallest elements for each hash function, sorted; held: those of earlier elements. Ties: the earlier place."""
-    best, place = held if held is not None else (np.full((SKETCHES, 0), _NONE), np.full((SKETCHES, 0), -1, np.int64))
-    every = np.arange(SKETCHES)
+@functools.cache
+def _room() -> np.ndarray:
+    return np.empty((SKETCHES, BLOCK), np.uint32)
+
+
+def smallest(x: np.ndarray, first: int = 0, held: np.ndarray | None = None) -> np.ndarray:
+    """hash << 32 | place of the L smallest elements, a column for each hash function, in order; held: those of earlier elements.
+
+    Of equal hashes the earlier place comes first; where there are fewer elements, the rest is all ones.
+    """
+    best = np.full((L, SKETCHES), np.iinfo(np.uint64).max) if held is None else held.copy()
     for start in range(0, len(x), BLOCK):
-        values = x[None, start : start + BLOCK] * _A[:, None]
-        values += _B[:, None]
-        found, where = [], []
-        for _ in range(min(L, values.shape[1])):
+        part = x[None, start : start + BLOCK]
+        values = np.multiply(part, _A[:, None], out=_room()[:, : part.shape[1]])
+        for _ in range(min(L, part.shape[1])):
             at = values.argmin(axis=1)
-            found.append(values[every, at])
-            where.append(at + first + start)
-            values[every, at] = _NONE
-        best, place = np.concatenate([best, np.stack(found, axis=1)], axis=1), np.concatenate([place, np.stack(where, axis=1)], axis=1)
-        if best.shape[1] > L:
-            order = np.lexsort((place, best), axis=1)[:, :L]
-            best, place = np.take_along_axis(best, order, axis=1), np.take_along_axis(place, order, axis=1)
-    return best, place
+            low = values[_EVERY, at].astype(np.uint64) << _HALF | (at + first + start).astype(np.uint64)
+            if not (low < best[-1]).any():
+                break
+            values[_EVERY, at] = _NONE
+            for i in range(L):
+                best[i], low = np.minimum(best[i], low), np.maximum(best[i], low)
+    return best
 
 
-def components(h: np.ndarray, chosen) -> np.ndarray:
+def components(h: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """16 bits of the hash of each tuple, its k-mers in text order."""
-    place = np.sort(chosen[1], axis=1)
-    out = np.full(SKETCHES, place.shape[1], np.uint64)
-    for d in range(place.shape[1]):
-        out = mix64((out + h[place[:, d]]) * _G)
+    n = min(L, len(h))
+    place = np.sort((chosen[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64), axis=0)
+    out = np.full(SKETCHES, n, np.uint64)
+    for d in range(n):
+        out = mix64((out + h[place[d]]) * _G)
     return (out >> np.uint64(48)).astype(np.uint16)
 
 
