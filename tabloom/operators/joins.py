@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import canonical_key, col, is_missing
 
+from .order import running_totals, written_once
 from .relational import OperatorError, require_columns
 
 
@@ -91,14 +92,39 @@ def master_join(fact: DataFrame, master: DataFrame, on: list[str], columns: list
     return fact.join(master.select(*on, *columns), on, "left")
 
 
+def _sound(bands: DataFrame, key: str, start: str, stop: str, *more: Column) -> DataFrame:
+    """Bands that hold something, as _k, _a, _b (null: without end)."""
+    return bands.where(col(key).isNotNull() & (col(start) <= F.coalesce(col(stop), col(start)))).select(col(key).alias("_k"), col(start).alias("_a"), col(stop).alias("_b"), *more)
+
+
 def interval_join(fact: DataFrame, bands: DataFrame, key: str, when: str, value: str, start: str = "start", stop: str = "stop", output: str | None = None) -> DataFrame:
-    """The band's value where exactly one band of the key holds the date (both ends included), else null.
+    """The band's value where exactly one band of the key holds the date (both ends included; a null end holds on), else null.
+
+    A sweep over starts, distinct dates of the facts and ends in the order of key and time: running sums of bands that are open and
+    of their numbers say at each date how many hold it and, where one does, which. The sweep is dealt to ranges, so neither the
+    bands nor the facts of a key meet in one task.
+    """
+    b = written_once(_sound(bands, key, start, stop, col(value).alias("_v")).withColumn("_n", F.monotonically_increasing_id() + 1))
+    point = lambda df, at, order, open_: df.select("_k", F.col(at).alias("_t"), F.lit(order).alias("_o"), F.lit(open_).alias("_open"), (F.col("_n") * open_).alias("_which"))
+    asked = fact.select(col(key).alias("_k"), col(when).alias("_t")).where("_k is not null and _t is not null").distinct()
+    every = point(b, "_a", 0, 1).union(asked.select("_k", "_t", F.lit(1), F.lit(0), F.lit(0).cast("long"))).union(point(b.where("_b is not null"), "_b", 2, -1))
+    swept = running_totals(every, ["_k"], ["_t", "_o", "_which"], {"_holding": F.col("_open").cast("long"), "_number": F.col("_which")})
+    one = swept.where("_o = 1 and _holding = 1").select("_k", "_t", F.col("_number").alias("_n")).join(b.select("_n", "_v"), "_n").drop("_n")
+    return fact.join(one, (col(key) == F.col("_k")) & (col(when) == F.col("_t")), "left").withColumn(output or value, F.col("_v")).drop("_k", "_t", "_v")
+
+
+def interval_overlaps(bands: DataFrame, key: str, start: str = "start", stop: str = "stop", name: str = "overlaps") -> DataFrame:
+    """Bands (key, start, stop) with the number of other bands of the key that share a date with each; those that hold nothing, or have no key, are left out.
 
-    Bands of a key are few; the join is on the key, and each fact row is aggregated back over its own bands.
+    What began by a band's end less what ended before its start, by running sums over ranges of key and time.
     """
-    b = bands.groupBy(col(key).alias("_k")).agg(F.collect_list(F.struct(col(start).alias("a"), col(stop).alias("b"), col(value).alias("v"))).alias("_bands"))
-    hit = F.filter("_bands", lambda x: (x["a"] <= col(when)) & ((x["b"] >= col(when)) | x["b"].isNull()))
-    return fact.join(b, col(key) == F.col("_k"), "left").withColumn("_hit", hit).withColumn(output or value, F.when(F.size("_hit") == 1, F.element_at("_hit", 1)["v"])).drop("_k", "_bands", "_hit")
+    b = written_once(_sound(bands, key, start, stop).withColumn("_n", F.monotonically_increasing_id()))
+    # at one date: ends before it count for a start there, starts at it count for an end there
+    begins = b.select("_k", F.lit(False).alias("_late"), F.col("_a").alias("_t"), F.lit(0).alias("_o"), "_n")
+    ends = b.select("_k", F.col("_b").isNull().alias("_late"), F.coalesce("_b", "_a").alias("_t"), F.lit(1).alias("_o"), "_n")
+    swept = running_totals(begins.union(ends), ["_k"], ["_late", "_t", "_o", "_n"], {"_begun": (1 - F.col("_o")).cast("long"), "_ended": F.when(F.col("_o") == 1, 1).otherwise(0).cast("long")})
+    per = swept.groupBy("_n").agg(F.max(F.when(F.col("_o") == 1, F.col("_begun"))).alias("_begun"), F.max(F.when(F.col("_o") == 0, F.col("_ended"))).alias("_ended"))
+    return b.join(per, "_n").select(F.col("_k").alias(key), F.col("_a").alias(start), F.col("_b").alias(stop), (F.col("_begun") - F.col("_ended") - 1).alias(name))
 
 
 def range_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, tolerance: float, extra: Column | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ Rows are dealt to ranges, each range is counted or summed by itself, and the ran
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,14 +15,17 @@ from tabloom.functions.expressions import col
 
 
 def written_once(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir, so that what is sampled or numbered in it is the same at each reading."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.split("[")[0] != "local":
+    """df as a table in the folder of spark.checkpoint.dir, so that what is sampled or numbered in it is the same at each reading."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tabloom-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="tabloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _ranges(df: DataFrame, order_by: list) -> DataFrame:
@@ -47,6 +51,28 @@ def running_total(df: DataFrame, order_by: list[str], value: str | Column, name:
     return dealt.withColumn("_own", own).join(F.broadcast(starts), "_p").withColumn(name, F.coalesce(F.col("_s") + F.col("_own"), F.col("_own"), F.col("_s"))).drop("_id", "_p", "_s", "_own", "_v")
 
 
+def running_totals(df: DataFrame, by: list[str], order_by: list, sums: dict[str, Column]) -> DataFrame:
+    """Adds, under each name, the sum of a column over a row and the rows before it among those that agree in by; order_by is total within them.
+
+    Rows are dealt to ranges of (by, order_by), so a group of any size is spread over as many ranges as it fills. A group that goes on in
+    a range takes what earlier ranges hold of it from a table with a row for each range at most.
+    """
+    dealt = _ranges(df.withColumns({f"_in_{n}": v for n, v in sums.items()}), [*by, *order_by])
+    parts = dealt.groupBy("_p", *by).agg(*[F.sum(f"_in_{n}").alias(f"_of_{n}") for n in sums])
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # the ranges of one group
+    parts = parts.withColumn("_more", F.count("*").over(before) > 0)
+    parts = parts.withColumns({f"_to_{n}": F.sum(f"_of_{n}").over(before) for n in sums}).where("_more")
+    parts = parts.select(F.col("_p").alias("_q"), *[col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[f"_to_{n}" for n in sums])
+    own = Window.partitionBy("_p", *by).orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.withColumns({n: F.sum(f"_in_{n}").over(own) for n in sums})
+    same = F.col("_p") == F.col("_q")
+    for i, c in enumerate(by):
+        same = same & col(c).eqNullSafe(F.col(f"_by{i}"))
+    out = dealt.join(F.broadcast(parts), same, "left")
+    add = lambda n: F.coalesce(F.col(n) + F.col(f"_to_{n}"), F.col(n), F.col(f"_to_{n}"))
+    return out.withColumns({n: add(n) for n in sums}).select(*df.columns, *sums)
+
+
 def ranks(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
     """(by, column, _n, _below, _total): each known value with its rows, the rows below it and all rows of its group with a value.
 
