@@ -31,4 +31,4 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-from . import business, joined, matched, relational, reports, stats, summaries  # noqa: E402,F401
+from . import business, joined, matched, multifact, relational, reports, stats, summaries  # noqa: E402,F401
