@@ -84,10 +84,26 @@ def fuzzy_clusters(t):
     return M.cluster_similar(p, "kind")
 
 
-@query("WITH a AS (SELECT o_orderkey AS i, o_totalprice::DECIMAL(18,2) AS v, o_orderdate::DATE AS d FROM orders), b AS (SELECT i * 10 + 1 AS j, (v * 0.5)::DECIMAL(18,2) AS v, d FROM a UNION ALL SELECT i * 10 + 2, v - (v * 0.5)::DECIMAL(18,2), d + 1 FROM a), n AS (SELECT i, a.v AS lv, j, b.v AS rv, row_number() OVER (PARTITION BY i ORDER BY abs(b.v - a.v / 2), j) AS r FROM a JOIN b ON b.d BETWEEN a.d - 1 AND a.d + 1 AND b.v <= a.v) SELECT x.i AS left_id, x.j AS right_a, y.j AS right_b FROM n x JOIN n y ON x.i = y.i AND x.j < y.j AND x.rv + y.rv = x.lv WHERE x.r <= 10 AND y.r <= 10")
-def reconcile_split_pairs(t):
-    """Orders against their halves; of each order the ten parts nearest to its half are tried."""
+_HALVES = """WITH a AS (SELECT o_orderkey AS i, o_totalprice::DECIMAL(18,2) AS v, o_orderdate::DATE AS d FROM orders), b AS (SELECT i * 10 + 1 AS j, (v * 0.5)::DECIMAL(18,2) AS v, d FROM a UNION ALL SELECT i * 10 + 2, v - (v * 0.5)::DECIMAL(18,2), d + 1 FROM a),
+m AS (SELECT i, a.v AS lv, j, b.v AS rv FROM (SELECT *, d + unnest([-1, 0, 1]) AS at_ FROM a) a JOIN b ON b.d = at_ AND b.v <= a.v AND b.v > 0), n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY abs(rv - lv / 2), j) AS r FROM m)"""
+
+
+def _halves(t):
     a = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"), F.col("o_orderdate").cast("date").alias("d"))
     half = (F.col("v") * F.lit("0.5").cast("decimal(2,1)")).cast("decimal(18,2)")
-    b = a.select((F.col("id") * 10 + 1).alias("id"), half.alias("v"), "d").union(a.select((F.col("id") * 10 + 2).alias("id"), (F.col("v") - half).cast("decimal(18,2)").alias("v"), F.date_add("d", 1).alias("d")))
-    return M.reconcile_splits(a, b, "v", "d", days=1).select("left_id", "right_a", "right_b")
+    return a, a.select((F.col("id") * 10 + 1).alias("id"), half.alias("v"), "d").union(a.select((F.col("id") * 10 + 2).alias("id"), (F.col("v") - half).cast("decimal(18,2)").alias("v"), F.date_add("d", 1).alias("d")))
+
+
+@query(f"{_HALVES} SELECT x.i AS left_id, x.j AS right_a, y.j AS right_b FROM n x JOIN n y ON x.i = y.i AND x.j < y.j AND x.rv + y.rv = x.lv WHERE x.r <= 10 AND y.r <= 10")
+def reconcile_split_pairs(t):
+    """Orders against their halves; of each order the ten parts nearest to its half are tried."""
+    return M.reconcile_splits(*_halves(t), "v", "d", days=1, parts=10).select("left_id", "right_a", "right_b")
+
+
+@query(f"""{_HALVES}, k AS (SELECT i, lv, least(count(*), 5) AS tried, count(*) > 5 AS cut FROM m GROUP BY 1, 2), w AS (SELECT j, b.v AS lv, i, a.v AS rv FROM (SELECT *, d + unnest([-1, 0, 1]) AS at_ FROM b) b JOIN a ON a.d = at_ AND a.v <= b.v AND a.v > 0),
+x AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY abs(rv - lv / 2), i) AS r FROM w), y AS (SELECT j, least(count(*), 5) AS tried, count(*) > 5 AS cut FROM w GROUP BY 1)
+SELECT CAST((SELECT sum(tried * (tried - 1) // 2) FROM k) + (SELECT coalesce(sum(tried * (tried - 1) // 2), 0) FROM y) AS BIGINT) AS combinations, CAST((SELECT count_if(cut) FROM k) + (SELECT count_if(cut) FROM y) AS BIGINT) AS truncated,
+(SELECT count(*) FROM n x JOIN n y ON x.i = y.i AND x.j < y.j AND abs(x.rv + y.rv - x.lv) <= 1 WHERE x.r <= 5 AND y.r <= 5) + (SELECT count(*) FROM x p JOIN x q ON p.j = q.j AND p.i < q.i AND abs(p.rv + q.rv - p.lv) <= 1 WHERE p.r <= 5 AND q.r <= 5) AS groups""".replace("m AS (SELECT", "m AS MATERIALIZED (SELECT").replace("a.v AND b.v > 0)", "a.v + 1 AND b.v > 0)").replace("b.v AND a.v > 0)", "b.v + 1 AND a.v > 0)"))
+def reconcile_split_groups(t):
+    """Both ways, with five parts each and a tolerance of one."""
+    return M.split_groups(*_halves(t), "v", "d", tolerance=1.0, days=1, parts=5)["summary"].select("combinations", "truncated", "groups")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import canonical_key, col
 
+from .order import running_totals, written_once
 from .relational import OperatorError, number_rows
 
 #: Endings of company names that do not tell companies apart.
@@ -141,13 +142,14 @@ def cluster_similar(df: DataFrame, column: str, threshold: float = 0.85, max_uni
     return df.sparkSession.createDataFrame(out, "group_id string, value string, n long, suggestion string")
 
 
-def reconcile(left: DataFrame, right: DataFrame, key: str, amount: str, date: str, secondary: list[str] = (), left_id: str = "id", right_id: str = "id", tolerance: float = 0.0, days: int = 0, rounding: int = 20) -> dict[str, DataFrame]:
+def reconcile(left: DataFrame, right: DataFrame, key: str, amount: str, date: str, secondary: list[str] = (), left_id: str = "id", right_id: str = "id", tolerance: float = 0.0, days: int = 0, rounding: int = 20, splits: bool = False) -> dict[str, DataFrame]:
     """Two ledgers in phases; every row lands in one bucket (a review may repeat a right row).
 
     duplicates: keys that repeat on a side, both sides' rows. Unique key pairs are matched (equal amount and date),
     amount_difference (within the tolerance, on the same date), date_difference (the same amount, within the days) or else for review. Rows left over pair within the tolerances: matched only if they are each other's one candidate, exact in amount
     and date, equal in all secondary fields and without differing keys; else ranked candidates for review, `rounding` at most for
-    a left row. The rest is left_only and right_only.
+    a left row. The rest is left_only and right_only. With splits, leftovers of one side that two of the other add up to stand in split_groups (and
+    split_summary) instead.
     """
     def side(df, i):
         names = {"k": canonical_key(key), "a": col(amount).cast("decimal(18,2)"), "d": col(date).cast("date")}
@@ -196,7 +198,15 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, amount: str, date: st
     right_only = one_b.join(auto.select(F.col("right_id").alias("id")), "id", "left_anti").join(review.select(F.col("right_id").alias("id")), "id", "left_anti")
     # keys that repeat on one side only keep their rows out of the leftovers
     left_only, right_only = (x.join(repeated.select("k"), "k", "left_anti").select("id", "k", "a", "d") for x in (left_only, right_only))
-    return {"duplicates": duplicates, "links": links, "left_only": left_only, "right_only": right_only}
+    out = {"duplicates": duplicates, "links": links, "left_only": left_only, "right_only": right_only}
+    if splits:
+        left_only, right_only = written_once(left_only), written_once(right_only)
+        made = split_groups(left_only, right_only, "a", "d", tolerance=tolerance, days=days, parts=rounding)
+        groups = written_once(made["groups"])
+        side = lambda kind: groups.select(F.explode(F.when(F.col("match_type") == kind, F.array("whole")).otherwise(F.array("part_a", "part_b"))).alias("_id")).distinct()
+        rest = lambda df, used: df.join(used, df["id"].cast("string") == F.col("_id"), "left_anti")
+        out |= {"left_only": rest(left_only, side("split_1_to_2")), "right_only": rest(right_only, side("split_2_to_1")), "split_groups": groups, "split_summary": made["summary"]}
+    return out
 
 
 def reconcile_summary(left: DataFrame, right: DataFrame, out: dict[str, DataFrame]) -> DataFrame:
@@ -208,38 +218,70 @@ def reconcile_summary(left: DataFrame, right: DataFrame, out: dict[str, DataFram
     return links
 
 
-def _combinations(whole: DataFrame, part: DataFrame, amount: str, date: str, whole_id: str, part_id: str, tolerance: float, days: int, parts: int) -> DataFrame:
-    """(whole, part_a, part_b, gap): of each row of whole all pairs of the `parts` rows of part that lie nearest to its half, in amount, sign and date."""
+def nearest_parts(whole: DataFrame, part: DataFrame, amount: str, date: str, whole_id: str, part_id: str, tolerance: float, days: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """((whole, la, part, ra), (whole, eligible)): of each row of whole the `parts` rows of part nearest to half of it, and how many there are to choose from.
+
+    Eligible are parts of the same sign, not zero, no larger than the whole and the tolerance, and within so many days; ties go to the smaller
+    id. Parts are numbered by size within sign and day, once with equal ones in the order of ids and once against it, by sums over
+    sorted ranges; the same sums say where half of a whole, and all of it, would stand. So its neighbours are known by number and found by an
+    equi-join: a day with any number of rows is read in ranges and never meets in one task.
+    """
+    money = "decimal(18,2)"
     day = lambda: F.datediff(col(date).cast("date"), F.lit("1970-01-01").cast("date"))
-    a = whole.select(col(whole_id).alias("whole"), col(amount).cast("decimal(18,2)").alias("la"), day().alias("ld"))
-    b = part.select(col(part_id).alias("part"), col(amount).cast("decimal(18,2)").alias("ra"), day().alias("rd"))
-    width = max(1, days)
-    near = a.withColumn("bin", F.floor(F.col("ld") / width)).join(b.withColumn("bin", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.floor(F.col("rd") / width) + i))), "bin")
-    ok = (F.abs(F.col("ld") - F.col("rd")) <= days) & (F.signum("la") == F.signum("ra")) & (F.abs("ra") <= F.abs("la") + F.lit(tolerance).cast("decimal(18,2)"))
-    near = near.where(ok).withColumn("r", F.row_number().over(Window.partitionBy("whole").orderBy(F.abs(F.col("ra") - F.col("la") / 2), "part"))).where(F.col("r") <= parts)
+    facts = lambda df, i, name: df.select(col(i).alias(name), col(amount).cast(money).alias("_v"), day().alias("_day")).where("_v <> 0 and _day is not null").withColumn("_s", F.signum("_v").cast("int"))
+    wide = "decimal(20,3)"
+    a = facts(whole, whole_id, "whole").withColumns({"_half": (F.abs("_v") / 2).cast(wide), "_most": (F.abs("_v") + F.lit(tolerance).cast(money)).cast(wide)})
+    a = written_once(a.withColumn("_day", F.explode(F.sequence(F.col("_day") - days, F.col("_day") + days))))
+    b = written_once(facts(part, part_id, "part").withColumn("_x", F.abs("_v").cast(wide)))
+    points = a.select("_s", "_day", F.col("_half").alias("_x")).union(a.select("_s", "_day", "_most")).distinct()
+    # equal parts come before a point, so that _at counts the parts up to it
+    every = b.select("_s", "_day", "_x", F.lit(0).alias("_k"), "part", "_v").union(points.select("_s", "_day", "_x", F.lit(1), F.lit(None).cast(b.schema["part"].dataType), F.lit(None).cast(money)))
+    count = {"_at": F.when(F.col("_k") == 0, 1).otherwise(0).cast("long")}
+    up = running_totals(every, ["_s", "_day"], ["_x", "_k", F.asc("part")], count)
+    down = running_totals(every, ["_s", "_day"], ["_x", "_k", F.desc("part")], count)
+    place = up.where("_k = 1").select("_s", "_day", "_x", "_at")
+    found = a.join(place.withColumnsRenamed({"_x": "_half", "_at": "_low"}), ["_s", "_day", "_half"]).join(place.withColumnsRenamed({"_x": "_most", "_at": "_all"}), ["_s", "_day", "_most"])
+    side = lambda table, first, last: found.withColumn("_at", F.explode(F.sequence(first, last))).join(table.where("_k = 0").select("_s", "_day", "_at", "part", "_x", F.col("_v").alias("ra")), ["_s", "_day", "_at"])
+    # below half the smaller id of equal parts stands nearer where ids descend; above, where they ascend
+    below = side(down, F.greatest(F.col("_low") - (parts - 1), F.lit(1)), F.greatest(F.col("_low"), F.lit(1))).where("_at <= _low")
+    above = side(up, F.col("_low") + 1, F.col("_low") + parts)
+    near = below.unionByName(above).where("_x <= _most")
+    rank = F.row_number().over(Window.partitionBy("whole").orderBy(F.abs(F.col("_x") - F.col("_half")), "part"))
+    chosen = near.withColumn("_r", rank).where(F.col("_r") <= parts).select("whole", F.col("_v").alias("la"), "part", "ra")
+    return chosen, found.groupBy("whole").agg(F.sum("_all").alias("eligible"))
+
+
+def _combinations(whole: DataFrame, part: DataFrame, amount: str, date: str, whole_id: str, part_id: str, tolerance: float, days: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """((whole, part_a, part_b, gap) of all pairs of a whole's nearest parts, (whole, eligible))."""
+    near, eligible = nearest_parts(whole, part, amount, date, whole_id, part_id, tolerance, days, parts)
+    near = written_once(near)
     x = near.select("whole", "la", F.col("part").alias("part_a"), F.col("ra").alias("aa"))
     y = near.select("whole", F.col("part").alias("part_b"), F.col("ra").alias("ab"))
-    return x.join(y, "whole").where("part_a < part_b").select("whole", "part_a", "part_b", F.abs(F.col("la") - F.col("aa") - F.col("ab")).alias("gap"))
+    return x.join(y, "whole").where("part_a < part_b").select("whole", "part_a", "part_b", F.abs(F.col("la") - F.col("aa") - F.col("ab")).alias("gap")), eligible
 
 
-def reconcile_splits(left: DataFrame, right: DataFrame, amount: str, date: str, left_id: str = "id", right_id: str = "id", tolerance: float = 0.0, days: int = 0, parts: int = 10) -> DataFrame:
+def reconcile_splits(left: DataFrame, right: DataFrame, amount: str, date: str, left_id: str = "id", right_id: str = "id", tolerance: float = 0.0, days: int = 0, parts: int = 20) -> DataFrame:
     """Left rows that two right rows add up to: (left_id, right_a, right_b, gap). Of each left row the `parts` parts nearest to half of it are tried."""
-    found = _combinations(left, right, amount, date, left_id, right_id, tolerance, days, parts).where(F.col("gap") <= F.lit(tolerance).cast("decimal(18,2)"))
+    found = _combinations(left, right, amount, date, left_id, right_id, tolerance, days, parts)[0].where(F.col("gap") <= F.lit(tolerance).cast("decimal(18,2)"))
     return found.select(F.col("whole").alias("left_id"), F.col("part_a").alias("right_a"), F.col("part_b").alias("right_b"), "gap")
 
 
-def split_groups(left: DataFrame, right: DataFrame, amount: str, date: str, left_id: str = "id", right_id: str = "id", tolerance: float = 0.0, days: int = 0, parts: int = 10, max_combinations: int = 100_000) -> dict[str, DataFrame]:
+def split_groups(left: DataFrame, right: DataFrame, amount: str, date: str, left_id: str = "id", right_id: str = "id", tolerance: float = 0.0, days: int = 0, parts: int = 20, max_combinations: int | None = None) -> dict[str, DataFrame]:
     """One row against two of the other ledger, both ways, for review only.
 
     groups: match_type (split_1_to_2 or split_2_to_1), whole, part_a, part_b (ids as text), gap, score (0.8 exact, else 0.72).
-    summary: one row (combinations, evaluated, limit_hit, groups). Combinations are evaluated in order of type and ids, at most
-    max_combinations; whether any were left out is in limit_hit.
+    summary: one row (combinations, evaluated, limit_hit, truncated, groups). With max_combinations so many combinations are evaluated in order of
+    type and ids, and limit_hit says whether any were left out; truncated counts the rows that had more eligible parts than were tried.
     """
-    ids = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in ("whole", "part_a", "part_b")], "gap")
-    one = ids(_combinations(left, right, amount, date, left_id, right_id, tolerance, days, parts)).withColumn("match_type", F.lit("split_1_to_2"))
-    two = ids(_combinations(right, left, amount, date, right_id, left_id, tolerance, days, parts)).withColumn("match_type", F.lit("split_2_to_1"))
-    numbered = number_rows(one.unionByName(two), ["match_type", "whole", "part_a", "part_b"], "_n")
-    good = (F.col("_n") < max_combinations) & (F.col("gap") <= F.lit(tolerance).cast("decimal(18,2)"))
-    groups = numbered.where(good).select("match_type", "whole", "part_a", "part_b", "gap", F.when(F.col("gap") == 0, 0.8).otherwise(0.72).alias("score"))
-    summary = numbered.agg(F.count("*").alias("combinations"), F.least(F.count("*"), F.lit(max_combinations)).alias("evaluated"), (F.count("*") > max_combinations).alias("limit_hit"), F.count_if(good).alias("groups"))
-    return {"groups": groups, "summary": summary}
+    ids = lambda df, kind: df.select(F.lit(kind).alias("match_type"), *[F.col(c).cast("string").alias(c) for c in ("whole", "part_a", "part_b")], "gap")
+    (one, few), (two, more) = (_combinations(*x, tolerance, days, parts) for x in ((left, right, amount, date, left_id, right_id), (right, left, amount, date, right_id, left_id)))
+    every = written_once(ids(one, "split_1_to_2").unionByName(ids(two, "split_2_to_1")))
+    close = F.col("gap") <= F.lit(tolerance).cast("decimal(18,2)")
+    if max_combinations is not None:
+        every = number_rows(every, ["match_type", "whole", "part_a", "part_b"], "_n")
+        close = close & (F.col("_n") < max_combinations)
+    groups = every.where(close).select("match_type", "whole", "part_a", "part_b", "gap", F.when(F.col("gap") == 0, 0.8).otherwise(0.72).alias("score"))
+    cut = few.select("eligible").union(more.select("eligible")).agg(F.count_if(F.col("eligible") > parts).alias("truncated"))
+    most = F.lit(max_combinations) if max_combinations is not None else F.count("*")
+    summary = every.agg(F.count("*").alias("combinations"), F.least(F.count("*"), most).alias("evaluated"), (F.count("*") > most).alias("limit_hit"), F.count_if(close).alias("groups"))
+    return {"groups": groups, "summary": summary.crossJoin(F.broadcast(cut))}  # one row each
