@@ -39,6 +39,8 @@ K, L, SKETCHES, BLOCK = 6, 2, 128, 2048
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 _A = (mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _G) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_POWERS = [np.uint64(pow(int(_G), k + 1, 1 << 64)) for k in range(K + 1)]
+_FULL = np.iinfo(np.uint64).max
 _NONE, _HALF, _PLACE, _EVERY = np.iinfo(np.uint32).max, np.uint64(32), np.uint64((1 << 20) - 1), np.arange(SKETCHES)
 
 
@@ -47,10 +49,11 @@ def kmers(text: str) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     if not len(c):
         return c
-    k = min(K, len(c))
-    h = np.zeros(len(c) - k + 1, np.uint64)
-    for d in range(k):
-        h = h * _G + c[d : len(c) - k + 1 + d]
+    h, have, need = c, 1, min(K, len(c))
+    while have < need:  # from grams of `have` to overlapping grams of up to twice as many
+        step = min(have, need - have)
+        h = h[:-step] * _POWERS[step] + h[step:]
+        have += step
     return mix64(h)
 
 
@@ -76,7 +79,7 @@ def elements(h: np.ndarray) -> np.ndarray:
 
 @functools.cache
 def _room() -> np.ndarray:
-    return np.empty((SKETCHES, BLOCK), np.uint32)
+    return np.empty(SKETCHES * BLOCK, np.uint32)
 
 
 def smallest(x: np.ndarray, first: int = 0, held: np.ndarray | None = None) -> np.ndarray:
@@ -84,11 +87,11 @@ def smallest(x: np.ndarray, first: int = 0, held: np.ndarray | None = None) -> n
 
     Of equal hashes the earlier place comes first; where there are fewer elements, the rest is all ones.
     """
-    best = np.full((L, SKETCHES), np.iinfo(np.uint64).max) if held is None else held.copy()
+    best = np.full((L, SKETCHES), _FULL) if held is None else held.copy()
     for start in range(0, len(x), BLOCK):
-        part = x[None, start : start + BLOCK]
-        values = np.multiply(part, _A[:, None], out=_room()[:, : part.shape[1]])
-        for _ in range(min(L, part.shape[1])):
+        part = x[start : start + BLOCK]
+        values = np.multiply(part, _A[:, None], out=_room()[: SKETCHES * len(part)].reshape(SKETCHES, len(part)))
+        for _ in range(min(L, len(part))):
             at = values.argmin(axis=1)
             low = values[_EVERY, at].astype(np.uint64) << _HALF | (at + first + start).astype(np.uint64)
             if not (low < best[-1]).any():
