@@ -45,7 +45,7 @@ def materialize_by(df: DataFrame, name: str, key: str) -> DataFrame:
     """Like materialize, but as a table in as many buckets of key as a shuffle has partitions: a join by key then shuffles the other side alone."""
     spark = df.sparkSession
     table, n = f"tabloom_{name.replace('-', '_')}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").bucketBy(n, key).option("path", fresh_path(spark, name)).saveAsTable(table)
+    df.write.format("parquet").option("compression", "zstd").bucketBy(n, key).option("path", fresh_path(spark, name)).saveAsTable(table)
     found = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # its files stay, and found reads them by their buckets
     return found
