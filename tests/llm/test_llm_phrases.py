@@ -154,13 +154,19 @@ def plain_print(text):
         x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
         return x ^ (x >> 31)
 
+    def gram(c):
+        """Of one more, twice as many and so on, each from two that overlap."""
+        grams, have = list(c), 1
+        while have < len(c):
+            step = min(have, len(c) - have)
+            grams = [(a * pow(g, step + 1, 2**64) + b) & m for a, b in zip(grams, grams[step:])]
+            have += step
+        return grams[0]
+
     k = min(ordermin.K, len(text))
     hashes, seen, x = [], Counter(), []
     for i in range(len(text) - k + 1 if text else 0):
-        h = 0
-        for ch in text[i : i + k]:
-            h = (h * g + ord(ch) + 1) & m
-        h = mix(h)
+        h = mix(gram([ord(ch) + 1 for ch in text[i : i + k]]))
         hashes.append(h)
         x.append(mix((h + (seen[h] + 1) * g) & m) >> 32)
         seen[h] += 1
