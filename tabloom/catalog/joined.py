@@ -75,6 +75,14 @@ def interval_price(t):
     return J.interval_join(fact, one.union(two).withColumnRenamed("p_partkey", "p_partkey"), "p_partkey", "d", "price").withColumnRenamed("p_partkey", "l_partkey")
 
 
+@query("""WITH b AS (SELECT l_partkey AS k, l_shipdate::DATE AS a, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_shipdate::DATE + (l_quantity * 3)::INT END AS b, CASE WHEN l_linenumber = 7 THEN DATE '9999-01-01' ELSE l_shipdate::DATE + (l_quantity * 3)::INT END AS e FROM lineitem)
+SELECT x.k, x.a AS start, x.b AS stop, CAST(count(*) - 1 AS BIGINT) AS overlaps FROM (SELECT *, row_number() OVER () AS i FROM b) x JOIN b y ON x.k = y.k AND y.a <= x.e AND x.a <= y.e GROUP BY x.i, x.k, x.a, x.b""")
+def interval_overlaps(t):
+    """Spans of lines by part, some without an end, and how many others of the part each meets."""
+    d = F.col("l_shipdate").cast("date")
+    return J.interval_overlaps(t.lineitem.select(F.col("l_partkey").alias("k"), d.alias("start"), F.when(F.col("l_linenumber") != 7, F.date_add(d, (F.col("l_quantity") * 3).cast("int"))).alias("stop")), "k")
+
+
 @query("SELECT a.o_orderkey AS left_key, b.o_orderkey AS right_key FROM orders a JOIN orders b ON a.o_totalprice BETWEEN b.o_totalprice - 26 AND b.o_totalprice + 26 AND abs(a.o_totalprice - b.o_totalprice) <= 25 AND abs(date_diff('day', a.o_orderdate, b.o_orderdate)) <= 30 WHERE a.o_orderkey < b.o_orderkey")
 def range_amount(t):
     a = t.orders.select(F.col("o_orderkey").alias("left_key"), F.col("o_totalprice").alias("la"), F.col("o_orderdate").alias("ld"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import expressions as X
 from tabloom.operators import finance, stats as S
+from tabloom.operators.quantiles import quantiles
 
 from . import query
 
@@ -52,10 +53,19 @@ def regression(t):
 
 @query("""WITH q AS (SELECT event_type, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1)
 SELECT e.event_type, q.n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, min(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high,
-count_if(value NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))::BIGINT AS outliers FROM events e JOIN q USING (event_type) GROUP BY ALL""")
+count_if(value NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))::BIGINT AS outliers, least(30, count_if(value NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)))::INT AS shown,
+coalesce(round(list_sum(list_slice(list_sort(list(value) FILTER (value NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))), 1, 30)), 4), 0)::DOUBLE AS shown_sum FROM events e JOIN q USING (event_type) GROUP BY ALL""")
 def box_stats(t):
     b = S.box_stats(t.events, "value", "event_type")
-    return b.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
+    shown = F.aggregate("outlier_values", F.lit(0.0), lambda a, x: a + x)
+    return b.withColumns({**{c: F.round(c, 6) for c in ("q1", "median", "q3")}, "shown": F.size("outlier_values"), "shown_sum": F.round(shown, 4)}).drop("outlier_values")
+
+
+@query("""SELECT l_returnflag, 'l_extendedprice' AS column_name, count(*) AS n, count(DISTINCT l_extendedprice) AS distinct_values, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem GROUP BY 1
+UNION ALL SELECT l_returnflag, 'l_discount', count(*), count(DISTINCT l_discount), round(quantile_cont(l_discount, 0.1), 6), round(quantile_cont(l_discount, 0.5), 6), round(quantile_cont(l_discount, 0.99), 6) FROM lineitem GROUP BY 1""")
+def quantiles_exact(t):
+    q = quantiles(t.lineitem, ["l_extendedprice", "l_discount"], (0.1, 0.5, 0.99), ["l_returnflag"])
+    return q.select("l_returnflag", "column_name", "n", "distinct_values", *[F.round(F.col("q")[i], 6).alias(f"p{p}") for i, p in enumerate((10, 50, 99))])
 
 
 @query("""WITH e AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), b AS (SELECT greatest(1, least(10, ceil((l_quantity - lo) / ((hi - lo) / 10))))::INT AS bin, count(*) AS n FROM lineitem, e GROUP BY 1)

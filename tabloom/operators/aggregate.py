@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.expressions import col, is_missing, period
 
 from .order import ranks, written_once
+from .quantiles import finite, quantiles
 from .relational import OperatorError, require_columns
 
 BLANK = "(blank)"
@@ -87,10 +88,12 @@ def describe(df: DataFrame, columns: list[str], percentiles: tuple[float, ...] =
     """A row for each numeric column: count, missing, distinct, mean, std (0 for one value), min, max, sum and percentiles."""
     aggs = []
     for i, c in enumerate(columns):
-        x = col(c).cast("double")
-        x = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
-        aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("n"), (F.count("*") - F.count(x)).alias("missing"), F.count_distinct(x).alias("distinct_values"), F.avg(x).alias("mean"), F.when(F.count(x) == 1, 0.0).otherwise(F.stddev_samp(x)).alias("std"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), F.sum(x).alias("total"), *[F.percentile(x, p).alias(f"p{round(p * 100)}") for p in percentiles]).alias(f"c{i}"))
-    return df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+        x = finite(c)
+        aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("n"), (F.count("*") - F.count(x)).alias("missing"), F.avg(x).alias("mean"), F.when(F.count(x) == 1, 0.0).otherwise(F.stddev_samp(x)).alias("std"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), F.sum(x).alias("total")).alias(f"c{i}"))
+    plain = df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+    ranked = quantiles(df, columns, percentiles).select("column_name", "distinct_values", *[F.col("q")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(percentiles)])
+    out = plain.join(ranked, "column_name", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0).cast("long")))
+    return out.select("column_name", "n", "missing", "distinct_values", "mean", "std", "minimum", "maximum", "total", *[f"p{round(p * 100)}" for p in percentiles])
 
 
 def mode(df: DataFrame, column: str) -> DataFrame:

@@ -2,40 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import col
 
 from .order import add_ranks, written_once
-
-
-def _finite(c: str):
-    x = col(c).cast("double")
-    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+from .quantiles import finite, quantiles
 
 
 def outlier_limits(df: DataFrame, columns: list[str], method: str = "iqr", factor: float | None = None) -> DataFrame:
     """(column_name, n, center, spread, low, high): q1 - k iqr and q3 + k iqr around the median, or mean -+ k population deviations."""
     k = factor if factor is not None else (1.5 if method == "iqr" else 3.0)
+    if method == "iqr":
+        found = quantiles(df, columns, (0.25, 0.5, 0.75)).select("column_name", F.col("n").alias("_n"), F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("spread"), F.col("q")[0].alias("_q1"), F.col("q")[2].alias("_q3"))
+        every = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string").join(found, "column_name", "left")
+        return every.select("column_name", F.coalesce("_n", F.lit(0).cast("long")).alias("n"), "center", "spread", (F.col("_q1") - k * F.col("spread")).alias("low"), (F.col("_q3") + k * F.col("spread")).alias("high"))
     made = []
     for c in columns:
-        x = _finite(c)
-        if method == "iqr":
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            center, spread = q[1], q[2] - q[0]
-            low, high = q[0] - k * spread, q[2] + k * spread
-        else:
-            center, spread = F.avg(x), F.stddev_pop(x)
-            low, high = center - k * spread, center + k * spread
-        made.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("n"), center.alias("center"), spread.alias("spread"), low.alias("low"), high.alias("high")))
+        x = finite(c)
+        center, spread = F.avg(x), F.stddev_pop(x)
+        made.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("n"), center.alias("center"), spread.alias("spread"), (center - k * spread).alias("low"), (center + k * spread).alias("high")))
     return df.agg(F.array(*made).alias("a")).select(F.explode("a").alias("r")).select("r.*")
 
 
 def outliers(df: DataFrame, key: list[str], columns: list[str], method: str = "iqr", factor: float | None = None) -> DataFrame:
     """(key, column_name, value, side, score) of values strictly outside the limits; no spread, no score (and by deviations, no outlier)."""
     limits = outlier_limits(df, columns, method, factor)
-    long = df.select(*key, *[_finite(c).alias(c) for c in columns]).unpivot(key, columns, "column_name", "value").where("value is not null")
+    long = df.select(*key, *[finite(c).alias(c) for c in columns]).unpivot(key, columns, "column_name", "value").where("value is not null")
     out = long.join(F.broadcast(limits), "column_name").where("value < low or value > high")  # a row for each column
     if method != "iqr":
         out = out.where("spread > 0")
@@ -55,8 +49,8 @@ def rfm(df: DataFrame, customer: str, date: str, amount: str, transaction: str |
 
     Scores rank customers, one row each: ceil(average percentile rank * quantiles); recency the other way round.
     """
-    ok = col(customer).isNotNull() & (F.trim(col(customer).cast("string")) != "") & col(date).isNotNull() & _finite(amount).isNotNull()
-    why = F.concat_ws("; ", F.when(col(customer).isNull() | (F.trim(col(customer).cast("string")) == ""), "customer"), F.when(col(date).isNull(), "date"), F.when(_finite(amount).isNull(), "amount"))
+    ok = col(customer).isNotNull() & (F.trim(col(customer).cast("string")) != "") & col(date).isNotNull() & finite(amount).isNotNull()
+    why = F.concat_ws("; ", F.when(col(customer).isNull() | (F.trim(col(customer).cast("string")) == ""), "customer"), F.when(col(date).isNull(), "date"), F.when(finite(amount).isNull(), "amount"))
     rows = df.where(ok)
     last = rows.agg(F.date_add(F.max(col(date)).cast("date"), 1).alias("_ref")) if reference is None else df.sparkSession.range(1).select(F.lit(reference).cast("date").alias("_ref"))
     f = F.count_distinct(col(transaction)) if transaction else F.count("*")
@@ -82,23 +76,29 @@ def rfm(df: DataFrame, customer: str, date: str, amount: str, transaction: str |
 
 def regression(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     """Least squares line and its determination."""
-    rows = df.where(_finite(x).isNotNull() & _finite(y).isNotNull())
+    rows = df.where(finite(x).isNotNull() & finite(y).isNotNull())
     a, b = col(y).cast("double"), col(x).cast("double")
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope(a, b).alias("slope"), F.regr_intercept(a, b).alias("intercept"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.regr_r2(a, b))).alias("r2"))
 
 
-def box_stats(df: DataFrame, value: str, by: str, top: int = 15) -> DataFrame:
-    """Quartiles, whiskers within 1.5 iqr and the number of outliers, of the groups with most values."""
-    rows = df.select(col(by).alias(by), _finite(value).alias("x")).where("x is not null")
-    q = rows.groupBy(by).agg(F.count("*").alias("n"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.orderBy(F.desc("n"), by).limit(top).select(by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+def box_stats(df: DataFrame, value: str, by: str, top: int = 15, shown: int = 30) -> DataFrame:
+    """Quartiles, whiskers within 1.5 iqr, the number of outliers and the first of them by size, of the groups with most values."""
+    rows = df.select(col(by).alias(by), finite(value).alias("x")).where("x is not null")
+    q = quantiles(rows, ["x"], (0.25, 0.5, 0.75), [by]).orderBy(F.desc("n"), by).limit(top).select(by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     inside = F.col("x").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    return rows.join(F.broadcast(q), by).groupBy(by, "n", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"), F.count_if(~inside).alias("outliers"))
+    met = rows.join(F.broadcast(q.withColumnRenamed(by, "_by")), col(by).eqNullSafe(F.col("_by"))).drop("_by")  # `top` rows
+    # outliers are cut to `shown` by parts before a group's meet
+    far = met.where(~inside).select(by, "x").withColumn("_part", F.pmod(F.xxhash64("x", F.monotonically_increasing_id()), F.lit(64)))
+    for part in ([by, "_part"], [by]):
+        far = far.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy("x"))).where(F.col("_r") <= shown).drop("_r")
+    far = far.groupBy(col(by).alias("_by")).agg(F.array_sort(F.collect_list("x")).alias("outlier_values"))
+    out = met.groupBy(by, "n", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"), F.count_if(~inside).alias("outliers"))
+    return out.join(far, col(by).eqNullSafe(F.col("_by")), "left").drop("_by").withColumn("outlier_values", F.coalesce("outlier_values", F.array().cast("array<double>")))
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """(bin, low, high, n): equal widths, closed on the right (the first one on both sides); empty bins are there."""
-    rows = df.select(_finite(value).alias("x")).where("x is not null")
+    rows = df.select(finite(value).alias("x")).where("x is not null")
     ends = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(width == 0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((F.col("x") - F.col("lo")) / width)))).cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.expressions import col, money, month_text, parse_date, parse_number, safe_div
 from tabloom.operators.dedup import most_complete
 from tabloom.operators.order import add_ranks, number_rows
+from tabloom.operators.quantiles import quantiles
 
 
 def overview(df: DataFrame, sales: str, cost: str, quantity: str) -> DataFrame:
@@ -27,7 +28,8 @@ def ranking(df: DataFrame, by: str, sales: str, cost: str) -> DataFrame:
 def attention(df: DataFrame, sales: str, cost: str, satisfaction: str | None = None, low: float = 3.0, factor: float = 1.5) -> DataFrame:
     """Rows with reasons: no or low satisfaction, a loss, sales above the upper fence."""
     x = col(sales).cast("double")
-    fence = df.agg((F.percentile(x, 0.75) + factor * (F.percentile(x, 0.75) - F.percentile(x, 0.25))).alias("_fence"))
+    q = quantiles(df, [sales], (0.25, 0.75))
+    fence = q.agg(F.max(F.col("q")[1] + factor * (F.col("q")[1] - F.col("q")[0])).alias("_fence"))  # one row
     why = [F.when(col(sales) < col(cost), "loss"), F.when(x > F.col("_fence"), "high_sales")]
     if satisfaction:
         why = [F.when(col(satisfaction).isNull(), "no_satisfaction"), F.when(col(satisfaction) < low, "low_satisfaction"), *why]
