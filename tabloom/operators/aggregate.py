@@ -110,9 +110,11 @@ def correlation(df: DataFrame, columns: list[str], method: str = "pearson", min_
     else:
         long = reduce(lambda x, y: x.union(y), [df.select(F.lit(a).alias("a"), F.lit(b).alias("b"), col(a).cast("double").alias("x"), col(b).cast("double").alias("y")) for a, b in pairs]).dropna()
         if method == "spearman":
-            for c in ("x", "y"):  # ranks of distinct values, joined back
-                r = ranks(long, c, ["a", "b"]).select("a", "b", c, (F.col("_below") + (F.col("_n") + 1) / 2).alias(f"r{c}"))
-                ranked = (long if c == "x" else ranked).join(r, ["a", "b", c])
+            sides = long.select("a", "b", F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in "xy"])).alias("p")).select("a", "b", "p.*")
+            r = ranks(sides, "v", ["a", "b", "side"]).withColumn("rank", F.col("_below") + (F.col("_n") + 1) / 2)  # both in one pass
+            ranked = long
+            for c in "xy":  # ranks of distinct values, joined back
+                ranked = ranked.join(r.where(F.col("side") == c).select("a", "b", F.col("v").alias(c), F.col("rank").alias(f"r{c}")), ["a", "b", c])
             out = ranked.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("value"))
         elif method == "kendall":
             out = _kendall(long)

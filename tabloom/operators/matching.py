@@ -155,7 +155,7 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, amount: str, date: st
         names = {"k": canonical_key(key), "a": col(amount).cast("decimal(18,2)"), "d": col(date).cast("date")}
         return df.select(col(i).alias("id"), *[v.alias(n) for n, v in names.items()], *[canonical_key(c).alias(f"s{j}") for j, c in enumerate(secondary)])
 
-    a, b = side(left, left_id), side(right, right_id)
+    a, b = written_once(side(left, left_id)), written_once(side(right, right_id))  # a few narrow columns, read by every phase
     na, nb = (x.where("k is not null").groupBy("k").agg(F.count("*").alias(n)) for x, n in ((a, "na"), (b, "nb")))
     state = na.join(nb, "k", "full").fillna(0, ["na", "nb"])
     repeated = state.where("na > 1 or nb > 1")
@@ -176,7 +176,7 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, amount: str, date: st
     step = max(tolerance, 0.01)
     la = one_a.where("a is not null and d is not null").select(F.col("id").alias("left_id"), F.col("k").alias("lk"), F.col("a").alias("la"), F.col("d").alias("ld"), *[F.col(s).alias(f"l{s}") for s in sec], F.floor(F.col("a") / step).alias("bin"))
     rb = one_b.where("a is not null and d is not null").select(F.col("id").alias("right_id"), F.col("k").alias("rk"), F.col("a").alias("ra"), F.col("d").alias("rd"), *[F.col(s).alias(f"r{s}") for s in sec], F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.floor(F.col("a") / step) + i)).alias("bin"))
-    near = la.join(rb, "bin").drop("bin").where((da <= tol) & (dd <= days))
+    near = written_once(la.join(rb, "bin").drop("bin").where((da <= tol) & (dd <= days)))
     w1, w2 = Window.partitionBy("left_id"), Window.partitionBy("right_id")
     conflict = F.col("lk").isNotNull() & F.col("rk").isNotNull() & (F.col("lk") != F.col("rk"))
     alike = [F.coalesce((F.col(f"l{s}") == F.col(f"r{s}")).cast("int"), F.lit(0)) for s in sec]

@@ -7,6 +7,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +17,23 @@ from pyspark.sql import functions as F
 from tabloom.functions.expressions import col
 
 
+_DRY: ContextVar[bool] = ContextVar("dry", default=False)
+
+
+@contextmanager
+def nothing_written():
+    """Within, tables are not written: for shapes of results over empty tables."""
+    token = _DRY.set(True)
+    try:
+        yield
+    finally:
+        _DRY.reset(token)
+
+
 def written_once(df: DataFrame) -> DataFrame:
     """df as a table in the folder of spark.checkpoint.dir, so that what is sampled or numbered in it is the same at each reading."""
+    if _DRY.get():
+        return df
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -28,6 +46,24 @@ def written_once(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Outputs(Mapping):
+    """Named results, each built when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self.makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self.makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
 def _ranges(df: DataFrame, order_by: list) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).withColumn("_id", F.monotonically_increasing_id())
@@ -79,10 +115,10 @@ def ranks(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
     A row for each distinct value: smallest rank from the top is total - below - n + 1, average rank below + (n + 1) / 2.
     """
     counts = df.where(col(column).isNotNull()).groupBy(*by, col(column)).agg(F.count("*").alias("_n"))
-    run = running_total(counts, [*by, column], "_n", "_run")
-    groups = run.groupBy(*by).agg(F.sum("_n").alias("_total"), F.min(F.col("_run") - F.col("_n")).alias("_start"))
+    run = running_totals(counts, list(by), [col(column)], {"_upto": F.col("_n")})
+    groups = run.groupBy(*by).agg(F.sum("_n").alias("_total"))
     run = run.join(groups, by) if by else run.crossJoin(F.broadcast(groups))  # one row
-    return run.withColumn("_below", F.col("_run") - F.col("_n") - F.col("_start")).drop("_run", "_start")
+    return run.withColumn("_below", F.col("_upto") - F.col("_n")).drop("_upto")
 
 
 def add_ranks(df: DataFrame, column: str, smallest: str | None = None, percent: str | None = None) -> DataFrame:

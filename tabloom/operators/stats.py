@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import col
 
-from .order import add_ranks, written_once
+from .order import ranks, written_once
 from .quantiles import finite, quantiles
 
 
@@ -57,12 +57,15 @@ def rfm(df: DataFrame, customer: str, date: str, amount: str, transaction: str |
     per = rows.groupBy(col(customer).alias("customer")).agg(F.max(col(date)).cast("date").alias("_last"), f.alias("frequency"), F.sum(col(amount).cast("decimal(18,2)")).alias("monetary"))
     per = per.crossJoin(F.broadcast(last)).withColumn("recency", F.datediff("_ref", "_last")).drop("_last", "_ref")
     per = written_once(per)
-    one = F.lit(per.limit(2).count() == 1)
-    score = lambda c: F.when(one, quantiles).otherwise(F.least(F.lit(quantiles), F.greatest(F.lit(1), F.ceil(F.round(F.col(c) * quantiles, 9))))).cast("int")
-    for c in ("recency", "frequency", "monetary"):
-        per = add_ranks(per, c, percent=f"_{c}")
-    per = per.withColumn("r", F.when(one, quantiles).otherwise(quantiles + 1 - score("_recency"))).withColumn("f", score("_frequency")).withColumn("m", score("_monetary"))
-    per = per.drop("_recency", "_frequency", "_monetary")
+    measures = ("recency", "frequency", "monetary")
+    long = per.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_what"), F.col(c).cast("decimal(28,2)").alias("_x")) for c in measures])).alias("_p")).select("_p.*")
+    ranked = ranks(long, "_x", ["_what"])  # the three measures in one pass, a row for each value
+    share = (F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_total")
+    score = F.when(F.col("_total") == 1, quantiles).otherwise(F.least(F.lit(quantiles), F.greatest(F.lit(1), F.ceil(F.round(share * quantiles, 9))))).cast("int")
+    turned = F.when(F.col("_total") == 1, quantiles).otherwise(quantiles + 1 - score).cast("int")  # the most recent score highest
+    for c, name in zip(measures, "rfm"):
+        own = ranked.where(F.col("_what") == c).select(F.col("_x").alias("_y"), (turned if c == "recency" else score).alias(name))
+        per = per.join(own, F.col(c).cast("decimal(28,2)") == F.col("_y"), "left").drop("_y")
     high, upper, low = max(2, -(-8 * quantiles // 10)), max(2, -(-6 * quantiles // 10)), max(1, 4 * quantiles // 10)
     r, fq, m = F.col("r"), F.col("f"), F.col("m")
     segment = (

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from tabloom.operators import aggregate, clean, dedup, finance, joins, masters, matching, profile, relational, stats, validation
+from tabloom.operators.order import nothing_written
 from tabloom.operators.relational import OperatorError
 from tabloom.reports import restaurant, sales
 
@@ -200,5 +201,10 @@ def execute(plan: str | dict | list[PlanStep], tables: dict[str, DataFrame]) ->
 
 
 def preview(plan: str | dict, tables: dict[str, DataFrame]) -> list[dict]:
-    """Shapes only: columns of every artifact, nothing is run but guards."""
-    return [{"id": i, "artifacts": {k: v.columns for k, v in out.items()}} for i, out in execute(plan, tables).items()]
+    """Shapes only: columns of every artifact, found on empty tables of the same columns. No table is read or written.
+
+    Guards see no rows, so what only data can break is not reported; columns that follow from data (of a pivot) are those of an empty table.
+    """
+    empty = {n: df.sparkSession.createDataFrame([], df.schema) for n, df in tables.items()}
+    with nothing_written():
+        return [{"id": i, "artifacts": {k: v.columns for k, v in out.items()}} for i, out in execute(plan, empty).items()]

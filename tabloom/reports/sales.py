@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import col, money, month_text, parse_date, parse_number, safe_div
 from tabloom.operators.dedup import most_complete
-from tabloom.operators.order import add_ranks, number_rows
+from tabloom.operators.order import Outputs, add_ranks, number_rows
 from tabloom.operators.quantiles import quantiles
 
 
@@ -36,9 +36,11 @@ def attention(df: DataFrame, sales: str, cost: str, satisfaction: str | None = N
     return df.crossJoin(F.broadcast(fence)).withColumn("attention", F.concat_ws("; ", *why)).drop("_fence").where("attention <> ''")
 
 
-def sales_report(df: DataFrame, date: str, product: str, seller: str, region: str, quantity: str, sales: str, cost: str, satisfaction: str | None = None) -> dict[str, DataFrame]:
-    trend = df.groupBy(month_text(date).alias("month"), region).agg(F.sum(money(sales)).alias("sales"))
-    return {"primary": overview(df, sales, cost, quantity), "products": ranking(df, product, sales, cost), "sellers": ranking(df, seller, sales, cost), "attention": attention(df, sales, cost, satisfaction), "series": trend}
+def sales_report(df: DataFrame, date: str, product: str, seller: str, region: str, quantity: str, sales: str, cost: str, satisfaction: str | None = None) -> Outputs:
+    return Outputs({
+        "primary": lambda: overview(df, sales, cost, quantity), "products": lambda: ranking(df, product, sales, cost), "sellers": lambda: ranking(df, seller, sales, cost),
+        "attention": lambda: attention(df, sales, cost, satisfaction), "series": lambda: df.groupBy(month_text(date).alias("month"), region).agg(F.sum(money(sales)).alias("sales")),
+    })
 
 
 STANDARD = ("order_id", "date", "product", "seller", "region", "quantity", "sales", "cost", "status")
@@ -57,7 +59,7 @@ def standardise(frames: dict[str, DataFrame], aliases: dict[str, list[str]]) ->
     return out.withColumns(numbers).withColumn("date", parse_date("date"))
 
 
-def quarterly_report(frames: dict[str, DataFrame], aliases: dict[str, list[str]], dropped: tuple[str, ...] = ("cancelled", "refunded")) -> dict[str, DataFrame]:
+def quarterly_report(frames: dict[str, DataFrame], aliases: dict[str, list[str]], dropped: tuple[str, ...] = ("cancelled", "refunded")) -> Outputs:
     """Unified, deduplicated by order (the most complete row stays), invalid rows set apart with reasons, then the sales report."""
     rows = standardise(frames, aliases)
     keyed = rows.where("trim(coalesce(order_id, '')) <> ''")
@@ -65,7 +67,8 @@ def quarterly_report(frames: dict[str, DataFrame], aliases: dict[str, list[str]]
     why = F.concat_ws("; ", F.when(F.trim(F.coalesce("order_id", F.lit(""))) == "", "no_order"), F.when(F.col("date").isNull(), "bad_date"), F.when(F.col("sales").isNull(), "bad_sales"), F.when(F.lower(F.trim("status")).isin(*dropped), "status"))
     marked = one.withColumn("reason", why)
     good = marked.where("reason = ''").drop("reason")
-    return {**sales_report(good, "date", "product", "seller", "region", "quantity", "sales", "cost"), "regions": ranking(good, "region", "sales", "cost"), "invalid": marked.where("reason <> ''"), "clean": good}
+    own = {"regions": lambda: ranking(good, "region", "sales", "cost"), "invalid": lambda: marked.where("reason <> ''"), "clean": lambda: good}
+    return Outputs({**sales_report(good, "date", "product", "seller", "region", "quantity", "sales", "cost").makers, **own})
 
 
 def order_summary(orders: DataFrame, group: str, order: str, paid: str, refund: str, target: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,16 @@ def test_audit_and_tasks(spark, tmp_path):
     assert {k: v.count() for k, v in got.items()} == {"a": 7, "b/1": 2} and got["a"].columns == ["id", "s"]
     assert audit.accept({"a": (df, df)}, {"a": (got["a"], df)})["accepted"]
     assert not audit.accept({"a": (df, df.limit(1))}, {}, df)["accepted"]
+
+
+def test_preview_runs_nothing(spark):
+    """Ranking, quantiles and guards work on empty tables: no job is started."""
+    from tabloom.plans import plan as P
+
+    df = spark.createDataFrame([(i % 7, date(2024, 1, 1), float(i), "p") for i in range(50)], "c int, d date, a double, p string")
+    steps = [{"id": "r", "operation": "rfm", "inputs": ["t"], "params": {"customer": "c", "date": "d", "amount": "a"}}, {"id": "o", "operation": "outliers", "inputs": ["t"], "params": {"key": ["c"], "columns": ["a"]}}, {"id": "s", "operation": "sales_report", "inputs": ["t"], "params": {"date": "d", "product": "p", "seller": "p", "region": "p", "quantity": "a", "sales": "a", "cost": "a"}}]
+    spark.sparkContext.setJobGroup("preview", "preview")
+    shapes = {s["id"]: s["artifacts"] for s in P.preview({"steps": steps}, {"t": df})}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "segment" in shapes["r"]["primary"] and "score" in shapes["o"]["primary"] and "rank" in shapes["s"]["products"]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("preview")) == 0
