@@ -21,12 +21,10 @@ next; an empty table gives an empty result; extra columns pass through, and wher
 
 from __future__ import annotations
 
-import bisect
 import functools
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,23 +145,16 @@ def _ranges(rows: DataFrame, order: list[str], parts: int) -> list[tuple]:
     return sorted(tuple(r.m) for r in found)
 
 
-def _placed(bounds: list[tuple]):
-    """Range of a row, and whether it is the range's first."""
-
-    @F.pandas_udf("struct<range:int,first:boolean>")
-    def place(last: pd.Series, d: pd.Series, t: pd.Series, u: pd.Series) -> pd.DataFrame:
-        key = np.array([b[:2] for b in bounds], dtype=[("n", "i8"), ("d", "i8")])
-        own = np.zeros(len(d), key.dtype)
-        own["n"], own["d"] = last, d
-        lo, hi = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
-        at, first = hi - 1, np.zeros(len(d), bool)
-        for i in np.flatnonzero(lo < hi):  # rows whose key is that of a bound
-            row = (int(last[i]), int(d[i]), int(t[i]), int(u[i]))
-            at[i] = bisect.bisect_right(bounds, row) - 1
-            first[i] = bounds[at[i]] == row
-        return pd.DataFrame({"range": at.astype(np.int32), "first": first})
-
-    return place
+def _placed(rows: DataFrame, bounds: list[tuple], order: list[str]) -> DataFrame:
+    """Adds _range and _first: the range of a row, and whether it is the range's first. Bounds are looked up in two steps, by the first of every so many and then among those."""
+    width = max(1, int(len(bounds) ** 0.5))
+    parts = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    one = "struct<" + ",".join(f"{n}:{t}" for n, t in rows.select(*order).dtypes) + ">"
+    table = rows.sparkSession.createDataFrame([([p[0] for p in parts], parts)], f"_heads array<{one}>, _parts array<array<{one}>>")  # one row
+    upto = lambda array: F.size(F.filter(array, lambda x: x <= F.struct(*order)))
+    met = rows.crossJoin(F.broadcast(table)).withColumn("_head", upto("_heads") - 1).withColumn("_at", upto(F.get("_parts", F.col("_head"))) - 1)
+    met = met.withColumn("_first", F.get(F.get("_parts", F.col("_head")), F.col("_at")) == F.struct(*order)).withColumn("_range", F.col("_head") * width + F.col("_at"))
+    return met.drop("_heads", "_parts", "_head", "_at")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,11 +173,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     bounds = _ranges(ids, order, parts)
     discard(ids)
     many = max(1, len(bounds))
-    marked = mark_repeats(docs, key, text, repeats).select(*docs.columns, "_again").withColumns(place)
-    at = _placed(bounds)(*order)
-    own = F.struct(F.col("_at.range").alias("range"), F.lit(0).alias("kind"))
-    ahead = F.struct(F.pmod(F.col("_at.range") - 1, F.lit(many)).cast("int").alias("range"), F.lit(1).alias("kind"))
-    placed = marked.withColumn("_at", at).withColumn("_to", F.when(F.col("_again"), F.array(own)).when(F.col("_at.first"), F.array(own, ahead)).otherwise(F.array(own)))
+    marked = _placed(mark_repeats(docs, key, text, repeats).select(*docs.columns, "_again").withColumns(place), bounds, order)
+    own = F.struct(F.col("_range").alias("range"), F.lit(0).alias("kind"))
+    ahead = F.struct(F.pmod(F.col("_range") - 1, F.lit(many)).cast("int").alias("range"), F.lit(1).alias("kind"))
+    placed = marked.withColumn("_to", F.when(~F.col("_again") & F.col("_first"), F.array(own, ahead)).otherwise(F.array(own)))
     # a repeated row needs no neighbour, so those are dealt evenly
     placed = placed.select(*docs.columns, "_again", *order, F.explode("_to").alias("_to"))
     spread = F.when(F.col("_again"), F.pmod(F.monotonically_increasing_id(), F.lit(many)).cast("int")).otherwise(F.col("_to.range"))
