@@ -9,8 +9,8 @@ within a fraction of the smallest rows. The result is a routing table of a few h
 are routed on the map side and written once, grouped by shard; shards that nothing leaves or enters stay as they are.
 
 Defined cases: a null text counts 0 bytes; a null key is hashed as such; equal rows (same key and text) share a
-hash and may be split only as one; an empty table gives an empty result; extra columns pass through, and where
-their names clash with the operator's own they get the ending _extra.
+hash and may be split only as one; an empty table gives an empty result; extra columns pass through under any names, and where
+they clash the operator's own columns get leading underscores.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import fresh_path, materialize
+from ._common import free_name, fresh_path, materialize, shelter
 
 #: Bytes that a row takes besides its text.
 OVERHEAD = 16
@@ -154,10 +154,12 @@ def reshard(docs: DataFrame, old_shard, capacities: dict[int, int] | int, key: s
     rewritten files, with the columns of docs and `_old`, `_size`, `_shard`, `_chunk`, `_h`; and the transfers.
     The slots of a shard follow from number_slots().
     """
-    docs = docs.withColumnsRenamed({c: f"{c}_extra" for c in docs.columns if c.lower() in ("_old", "_size", "_h", "_tier", "_shard", "_chunk", "_dir", "slot")})
+    (old,) = free_name(docs, "_old")
+    back = shelter(docs, key, text)[1]
+    docs = shelter(docs.withColumn(old, old_shard.cast("int")), key, text, old)[0].withColumnRenamed(old, "_old")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
     tier = reduce(lambda rest, k: F.when(F.col("_size") >= TIERS[k], k).otherwise(rest), range(len(TIERS) - 2, -1, -1), F.lit(len(TIERS) - 1))
-    full = docs.withColumns({"_old": old_shard.cast("int"), "_size": size, "_h": F.xxhash64(F.lit(11), F.col(key), F.crc32(F.col(text).cast("binary")))}).withColumn("_tier", tier)
+    full = docs.withColumns({"_size": size, "_h": F.xxhash64(F.lit(11), F.col(key), F.crc32(F.col(text).cast("binary")))}).withColumn("_tier", tier)
     rows = materialize(full.select("_old", "_tier", "_h", "_size"), "reshard-rows")
     if isinstance(capacities, int):
         total = rows.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
@@ -174,13 +176,17 @@ def reshard(docs: DataFrame, old_shard, capacities: dict[int, int] | int, key: s
     routed.where(touched).withColumn("_dir", F.col("_shard")).repartitionById(len(capacities) * chunks, (place * chunks + F.col("_chunk")).cast("int")).sortWithinPartitions("_shard", "_chunk", "_h").write.partitionBy("_dir").parquet(path)
     written = docs.sparkSession.read.schema(routed.schema).parquet(path).select(*routed.columns) if changed else None
     kept = routed.where(~touched)
-    return (kept if written is None else written if len(changed) >= len({j for _, j in moved}) else written.unionByName(kept)), moved
+    out = kept if written is None else written if len(changed) >= len({j for _, j in moved}) else written.unionByName(kept)
+    return back(out, ["_old", "_size", "_h", "_shard", "_chunk"]), moved
 
 
-def number_slots(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds slot: gapless from 0 in each _shard. A chunk is numbered by itself and shifted by the chunks before it."""
+def number_slots(rows: DataFrame, key: str = "doc_id", shard: str = "_shard", chunk: str = "_chunk", order: str = "_h") -> DataFrame:
+    """Adds slot: gapless from 0 in each shard. A chunk is numbered by itself and shifted by the chunks before it."""
+    rows, back = shelter(rows, key, shard, chunk, order)
+    rows = rows.withColumnsRenamed({shard: "_shard", chunk: "_chunk", order: "_h"})
     sizes = rows.groupBy("_shard", "_chunk").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.withColumn("_start", before).drop("_n")
     own = F.row_number().over(Window.partitionBy("_shard", "_chunk").orderBy("_h", key))
-    return rows.withColumn("_own", own).join(F.broadcast(starts), ["_shard", "_chunk"]).withColumn("slot", (F.col("_own") - 1 + F.col("_start")).cast("long")).drop("_own", "_start")
+    numbered = rows.withColumn("_own", own).join(F.broadcast(starts), ["_shard", "_chunk"]).withColumn("slot", (F.col("_own") - 1 + F.col("_start")).cast("long")).drop("_own", "_start")
+    return back(numbered.withColumnsRenamed({"_shard": shard, "_chunk": chunk, "_h": order}), ["slot"])

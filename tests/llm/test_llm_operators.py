@@ -45,6 +45,20 @@ def test_reshard(odd, none):
     assert sharding.number_slots(empty).count() == 0
 
 
+def test_reshard_names(odd):
+    """Any names of extra columns: those that the operator and its joins use, too."""
+    extra = ("_cuts", "_start", "slot", "slot_extra", "_old", "_size", "_shard", "_chunk", "_tier", "_n", "_own", "_dir", "__extra_0")
+    docs = odd.drop("_h", "size").withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in extra})
+    out, _ = sharding.reshard(docs, F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)), 4)
+    assert out.columns == [*docs.columns, "__old", "__size", "_h", "__shard", "__chunk"]
+    got = sharding.number_slots(out, shard="__shard", chunk="__chunk").collect()
+    assert len(got) == 9 and all(r[c] == f"{c}:{'-' if r.doc_id is None else r.doc_id}" for r in got for c in extra)
+    by = defaultdict(list)
+    for r in got:
+        by[r["__shard"]].append(r["_slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
 def test_reshard_sizes(spark, sf):
     out = queries.op1_flow_resharding(spark, sf).toPandas()
     docs = {r.doc_id: r.text for r in load(spark, sf, "documents").select("doc_id", "text").collect()}
