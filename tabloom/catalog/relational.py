@@ -279,13 +279,39 @@ for _k, _v in _BAD.items():
 
 
 @query("""SELECT 'NULLS' AS code, 's' AS column_name, 'error' AS severity, count_if(o_orderkey % 7 = 0)::BIGINT AS rows FROM orders
-UNION ALL SELECT 'NOT_UNIQUE', 'o_custkey', 'error', count(*) - count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'RANGE', 'o_totalprice', 'warning', count_if(o_totalprice > 400000)::BIGINT FROM orders
+UNION ALL SELECT 'NOT_UNIQUE', 'o_custkey', 'error', sum(n)::BIGINT FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1) UNION ALL SELECT 'RANGE', 'o_totalprice', 'warning', count_if(o_totalprice > 400000)::BIGINT FROM orders
 UNION ALL SELECT 'EXTRA_COLUMN', 'o_orderkey', 'warning', 0 UNION ALL SELECT 'MISSING_COLUMN', 'gone', 'error', 0""")
 def contract_issues(t):
     o = _ruled(t).select("o_orderkey", "s", "o_custkey", "o_totalprice")
     return V.contract_issues(o, {"columns": {"s": {"type": "string", "nullable": False, "allowed": ["P", "F", "O"]}, "o_custkey": {"unique": True}, "o_totalprice": {"max": "400000", "min": "0"}, "gone": {}}})
 
 
+_BROKEN = "CAST(count(*) AS BIGINT) AS rows, array_to_string(list_slice(list_sort(list(o_orderkey::VARCHAR)), 1, 20), ',') AS samples FROM orders WHERE"
+
+
+@query(f"""SELECT 'CROSS_FIELD' AS code, 'price per customer' AS column_name, 'error' AS severity, {_BROKEN} abs(o_totalprice - 100.0 * o_custkey - 50000) > 250000
+UNION ALL SELECT 'CROSS_FIELD', 'balance of keys', 'error', {_BROKEN} abs(coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END, 0) * 2.0 - o_orderkey) > 2000 UNION ALL SELECT 'CROSS_FIELD', 'o_custkey,o_orderkey', 'error', {_BROKEN} o_custkey > o_orderkey AND o_orderkey % 5 <> 0
+UNION ALL SELECT 'PATTERN', 'o_orderpriority', 'error', {_BROKEN} o_orderpriority NOT LIKE '_-%' OR o_orderpriority LIKE '4%'""")
+def contract_formulas(t):
+    """Formulas, a balance with missing parts, a comparison and a pattern, with the twenty smallest keys that break each."""
+    o = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("c"), "o_custkey", "o_totalprice", "o_orderpriority")
+    cross = [{"type": "formula", "name": "price per customer", "fields": ["o_totalprice", "o_custkey"], "coefficients": {"o_totalprice": 1, "o_custkey": -100}, "expected": 50000, "tolerance": 250000}, {"type": "balance", "name": "balance of keys", "fields": ["c", "o_orderkey"], "coefficients": {"c": 2, "o_orderkey": -1}, "tolerance": 2000}, {"type": "compare", "name": "o_custkey,o_orderkey", "fields": ["c", "o_orderkey"], "operator": "le"}]
+    contract = {"columns": {**{c: {} for c in o.columns}, "o_orderpriority": {"pattern": "[1-35]-.*"}}, "cross": cross}
+    return V.contract_issues(o, contract, key="o_orderkey").withColumn("samples", F.array_join("samples", ","))
+
+
+_TREE = """SELECT '{name}' AS ordering, CAST(max(n) AS BIGINT) AS total_rows, sha256(string_agg(h, '' ORDER BY up)) AS digest FROM (SELECT up, sum(n) AS n, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM
+(SELECT pos, pos // 1024 AS up, 1 AS n, sha256('bigint:' || length(o_orderkey::VARCHAR) || ':' || o_orderkey || CASE WHEN o_orderkey % 7 = 0 THEN 'string:null' ELSE 'string:' || length(o_orderpriority) || ':' || o_orderpriority END) AS h FROM (SELECT *, row_number() OVER (ORDER BY {by}) - 1 AS pos FROM orders)) GROUP BY up)"""
+
+
+@query(" UNION ALL ".join(_TREE.format(name=n, by=b).replace("max(n)", "sum(n)") for n, b in (("key", "o_orderkey"), ("customer", "o_custkey, o_orderkey"))))
+def fingerprint_ordered(t):
+    """The same rows in two orders have two digests."""
+    o = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("p"), "o_custkey")
+    made = [profile.ordered_fingerprint(o, by, columns=["o_orderkey", "p"]) for by in (["o_orderkey"], ["o_custkey", "o_orderkey"])]
+    return made[0].select(F.lit("key").alias("ordering"), "total_rows", "digest").union(made[1].select(F.lit("customer"), "total_rows", "digest"))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND o_orderstatus IN ('F')")
 def scope_rows(t):
     return V.in_scope(t.orders, "o_orderdate", "1996-01-01", "1997-01-01", {"o_orderstatus": ["F"]})["primary"].select("o_orderkey")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import col, is_missing
 
 from .dedup import duplicate_count
+from .order import number_rows
 
 WEIGHTS = {"missing": 35, "duplicates": 20, "empty": 15, "constant": 5, "mixed": 10, "keys": 15}
 GRADES = ((90, "excellent"), (75, "good"), (60, "fair"))
@@ -78,3 +79,28 @@ def metadata(df: DataFrame, limit: int = 30) -> DataFrame:
     numeric = [c for c, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint") or t.startswith("decimal")][:limit]
     missing = sum((F.count_if(is_missing(c)) for c in df.columns), F.lit(0))
     return df.agg(F.count("*").alias("total_rows"), missing.cast("long").alias("missing_cells"), *[F.sum(col(c).cast("decimal(38,4)")).alias(f"total_{c}") for c in numeric])
+
+
+def _typed(c: str, kind: str) -> Column:
+    """A cell with its type and length, so that neither a null and an empty text nor 1 and "1" are alike, and cells cannot run together."""
+    text = F.hex(col(c)) if kind == "binary" else F.to_json(F.struct(col(c).alias("v"))) if kind.split("<")[0] in ("array", "map", "struct") else col(c).cast("string")
+    return F.coalesce(F.concat(F.lit(f"{kind}:"), F.length(text).cast("string"), F.lit(":"), text), F.lit(f"{kind}:null"))
+
+
+def ordered_fingerprint(df: DataFrame, order_by: list[str], columns: list[str] | None = None, block: int = 1024) -> DataFrame:
+    """One row (total_rows, total_columns, schema_hash, digest) that changes with schema, content, types and the order of rows; of some columns only, if given.
+
+    Rows get their positions, and each its digest of typed cells. Every `block` digests in order become one, and so on until one is left: a tree
+    of ceil(log(rows) / log(block)) levels, none of whose groups is larger than a block. The digest of no rows is that of an empty text.
+    """
+    kinds = dict(df.dtypes)
+    kinds = {c: kinds[c] for c in columns or df.columns}
+    cells = F.concat(*[_typed(c, t) for c, t in kinds.items()])
+    rows = number_rows(df.withColumn("_h", F.sha2(cells.cast("binary"), 256)), order_by, "_at").select(F.col("_at").alias("at"), F.col("_h").alias("h"))
+    n = rows.agg(F.count("*").alias("n")).first().n
+    level, left = rows, n
+    while left > 1 or level is rows:
+        level = level.groupBy(F.floor(F.col("at") / block).alias("up")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), "").cast("binary"), 256).alias("h")).withColumnRenamed("up", "at")
+        left = -(-left // block)
+    schema = F.sha2(F.lit(";".join(f"{c}:{t}" for c, t in kinds.items())).cast("binary"), 256)
+    return level.agg(F.coalesce(F.max("h"), F.sha2(F.lit("").cast("binary"), 256)).alias("digest")).select(F.lit(n).cast("long").alias("total_rows"), F.lit(len(kinds)).alias("total_columns"), schema.alias("schema_hash"), "digest")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -104,46 +105,96 @@ def infer_contract(df: DataFrame, most_values: int = 30) -> dict:
     return out
 
 
-def contract_issues(df: DataFrame, contract: dict) -> DataFrame:
-    """(code, column_name, severity, rows): what df breaks of a contract."""
-    spark, found = df.sparkSession, []
-    have = dict(df.dtypes)
-    aggs = [F.count("*").alias("_n")]
-    checks = []
+_COMPARE = {"eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b, "lt": lambda a, b: a < b, "le": lambda a, b: a <= b}
+
+
+def cross_field(rule: dict, columns: list[str]) -> Column:
+    """True for rows that break a rule over several fields.
+
+    compare: {fields: [left, right], operator}, held where a field is null. formula and balance: {fields, coefficients, expected, tolerance}: the
+    weighted sum of the numbers among the fields must lie within the tolerance of what is expected (0), missing ones counting 0; rows
+    without any number are held. Rules are data: an unknown type, operator, field or coefficient is an error before anything is read.
+    """
+    kind, fields = rule.get("type", "compare"), [str(f) for f in rule.get("fields", ())]
+    if kind not in ("compare", "formula", "balance") or not fields or len(fields) > 8 or set(fields) - set(columns):
+        raise OperatorError(f"no such rule over several fields: {kind} of {', '.join(fields)}")
+    if kind == "compare":
+        if rule.get("operator") not in _COMPARE or len(fields) != 2:
+            raise OperatorError("a comparison has two fields and one of " + ", ".join(_COMPARE))
+        return ~F.coalesce(_COMPARE[rule["operator"]](*map(col, fields)), F.lit(True))
+    weights = {str(k): float(v) for k, v in dict(rule.get("coefficients", {})).items()}
+    if set(weights) != set(fields) or any(not math.isfinite(w) or abs(w) > 1_000_000 for w in weights.values()):
+        raise OperatorError("a formula has a coefficient of at most a million for each field")
+    numbers = {f: col(f).cast("string").try_cast("double") for f in fields}
+    numbers = {f: F.when(~F.isnan(x), x) for f, x in numbers.items()}
+    total = reduce(lambda a, b: a + b, [F.coalesce(numbers[f] * w, F.lit(0.0)) for f, w in weights.items()])
+    some = reduce(lambda a, b: a | b, [x.isNotNull() for x in numbers.values()])
+    return some & (F.abs(total - float(rule.get("expected", 0.0))) > float(rule.get("tolerance", 0.0)))
+
+
+def _row_checks(df: DataFrame, contract: dict) -> list[tuple[str, str, str, Column]]:
+    """(code, column, severity, broken) of all checks that look at one row."""
+    out = []
     for c, spec in contract["columns"].items():
-        if c not in have:
-            found.append(("MISSING_COLUMN", c, "error", 0))
+        if c not in df.columns:
             continue
-        if spec.get("type") and have[c] != spec["type"]:
-            found.append(("TYPE", c, "error", 0))
-        tests = []
+        x = col(c)
         if not spec.get("nullable", True):
-            tests.append(("NULLS", "error", F.count_if(col(c).isNull())))
+            out.append(("NULLS", c, "error", x.isNull() | (F.trim(x.cast("string")) == "")))
         if spec.get("allowed"):
-            tests.append(("NOT_ALLOWED", "error", F.count_if(~col(c).isin(*spec["allowed"]))))
-        if spec.get("unique"):
-            tests.append(("NOT_UNIQUE", "error", F.count(col(c)) - F.count_distinct(col(c))))
-        for side, op in (("min", "<"), ("max", ">")):
-            if spec.get(side) is not None:
-                bound = F.lit(spec[side]).cast(df.schema[c].dataType)
-                tests.append(("RANGE", "warning", F.count_if(col(c) < bound if op == "<" else col(c) > bound)))
+            out.append(("NOT_ALLOWED", c, "error", ~x.isin(*spec["allowed"])))
+        bounds = [(side, F.lit(spec[side]).cast(df.schema[c].dataType)) for side in ("min", "max") if spec.get(side) is not None]
+        if bounds:
+            out.append(("RANGE", c, "warning", reduce(lambda a, b: a | b, [x < v if side == "min" else x > v for side, v in bounds])))
         if spec.get("pattern"):
-            tests.append(("PATTERN", "error", F.count_if(~col(c).cast("string").rlike(f"^(?:{safe_pattern(spec['pattern'])})$"))))
-        for code, severity, agg in tests:
-            checks.append((code, c, severity))
-            aggs.append(agg.alias(f"_{len(checks)}"))
-    for rule in contract.get("cross", []):  # {left, op, right (column), tolerance}
-        a, b = col(rule["left"]).try_cast("double"), col(rule["right"]).try_cast("double")
-        bad = F.abs(a - b) > rule.get("tolerance", 0.0) if rule["op"] == "eq" else a > b if rule["op"] == "lte" else a < b
-        checks.append(("CROSS_FIELD", f"{rule['left']},{rule['right']}", "error"))
-        aggs.append(F.count_if(bad).alias(f"_{len(checks)}"))
+            out.append(("PATTERN", c, "error", ~x.cast("string").rlike(f"^(?:{safe_pattern(spec['pattern'])})$")))
+    for rule in contract.get("cross", []):
+        bad = cross_field(rule, df.columns) if "fields" in rule else cross_field({**rule, "type": "compare", "fields": [rule["left"], rule["right"]], "operator": {"lte": "le", "gte": "ge"}.get(rule["op"], rule["op"])}, df.columns)
+        out.append(("CROSS_FIELD", rule.get("name") or ",".join(rule["fields"] if "fields" in rule else (rule["left"], rule["right"])), "error", bad))
+    return out
+
+
+def contract_issues(df: DataFrame, contract: dict, key: str | None = None, samples: int = 20) -> DataFrame:
+    """(code, column_name, severity, rows): what df breaks of a contract; with a key also samples, the smallest keys of rows that break a check.
+
+    Broken rows are counted where they are read, a row for each check. Of their keys every part of a check keeps `samples`, and of those the check;
+    no check's rows are gathered. All rows of a repeated value break uniqueness.
+    """
+    spark, have = df.sparkSession, dict(df.dtypes)
+    found = []
+    for c, spec in contract["columns"].items():
+        if c not in have:
+            found += [("MISSING_COLUMN", c, "error", 0)] if spec.get("required", True) else []
+        elif spec.get("type") and have[c] != spec["type"]:
+            found.append(("TYPE", c, "error", 0))
     found += [("EXTRA_COLUMN", c, "warning", 0) for c in have if c not in contract["columns"] and not contract.get("allow_extra", False)]
-    r = df.agg(*aggs).first()
-    found += [(*c, int(r[f"_{i + 1}"])) for i, c in enumerate(checks) if r[f"_{i + 1}"]]
+    checks = _row_checks(df, contract)
+    keys = [col(key).cast("string").alias("_key")] if key else []
+    broken = df.select(*keys, F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(i)) for i, (*_, bad) in enumerate(checks)]).cast("array<int>"))).alias("_i")) if checks else None
+    names = [x[:3] for x in checks]
+    for c, spec in contract["columns"].items():
+        if spec.get("unique") and c in have:
+            twice = df.where(col(c).isNotNull()).groupBy(col(c).alias("_v")).agg(F.count("*").alias("_n")).where("_n > 1")
+            more = df.join(twice, col(c) == F.col("_v")).select(*keys, F.lit(len(names)).alias("_i"))
+            broken = more if broken is None else broken.union(more)
+            names.append(("NOT_UNIQUE", c, "error"))
     low, high = contract.get("rows_between", (0, None))
-    if r._n < low or high is not None and r._n > high:
-        found.append(("ROWS", None, "error", r._n))
-    return spark.createDataFrame(found, "code string, column_name string, severity string, rows long")
+    limits = spark.createDataFrame([(low, high if high is not None else 2**63 - 1)], "_low long, _high long")
+    out = df.agg(F.count("*").alias("rows")).crossJoin(F.broadcast(limits)).where("rows < _low or rows > _high").select(F.lit("ROWS").alias("code"), F.lit(None).cast("string").alias("column_name"), F.lit("error").alias("severity"), "rows")
+    out = spark.createDataFrame(found, "code string, column_name string, severity string, rows long").union(out)
+    if key:
+        out = out.withColumn("samples", F.array().cast("array<string>"))
+    if broken is not None:
+        what = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "_i int, code string, column_name string, severity string")
+        counts = broken.groupBy("_i").agg(F.count("*").alias("rows"))
+        made = F.broadcast(what).join(counts, "_i")
+        if key:
+            few = broken.withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(64)))
+            for part in (["_i", "_part"], ["_i"]):
+                few = few.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy("_key"))).where(F.col("_r") <= samples).drop("_r")
+            made = made.join(few.groupBy("_i").agg(F.array_sort(F.collect_list("_key")).alias("samples")), "_i")
+        out = out.unionByName(made.drop("_i"))
+    return out
 
 
 def in_scope(df: DataFrame, date: str | None = None, start: str | None = None, stop: str | None = None, entities: dict[str, list] | None = None) -> dict[str, DataFrame]:
