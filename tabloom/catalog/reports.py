@@ -8,7 +8,7 @@ from tabloom.functions import expressions as X
 from tabloom.plans import plan as P
 from tabloom.plans.recipe import Recipe
 from tabloom.plans.sqlguard import query_tables
-from tabloom.reports import adaptive, charts, operations as O, sales as S
+from tabloom.reports import adaptive, charts, operations as O, orders, sales as S
 from tabloom.sources import star
 
 from . import query
@@ -85,6 +85,44 @@ def order_allocation_checks(t):
     return _order_analysis(t)["checks"]
 
 
+def _customer_orders(t):
+    """Lines with repeats, unknown stores and products, texts as numbers and statuses in words; each order's refund in two rows."""
+    l, i = t.lineitem, F.col("l_orderkey")
+    status = F.when(F.col("l_returnflag") == "R", F.when(F.col("l_linenumber") == 1, "已取消").otherwise("处理中")).otherwise(" 已完成")
+    one = l.select(F.concat(F.lit("o"), i).alias("order_id"), F.concat(F.when(F.col("l_suppkey") % 2 == 0, "店 ").otherwise("店铺"), F.col("l_suppkey") % 20).alias("store"), F.concat(F.lit("p"), "l_partkey").alias("product"), F.when(F.col("l_linenumber") == 7, "0").otherwise(F.col("l_quantity").cast("string")).alias("quantity"), X.money("l_extendedprice").alias("price"), (F.col("l_linenumber") % 4 + F.lit("0.5").cast("decimal(2,1)")).cast("decimal(18,2)").alias("discount"), status.alias("status"), F.when(F.col("l_tax") >= 0.08, "soon").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("day"))
+    lines = one.union(one.where("order_id like '%0'"))
+    products = t.part.where("p_partkey % 50 <> 3").select(F.concat(F.lit("P"), "p_partkey").alias("product"), F.col("p_name").alias("name"), F.col("p_brand").alias("category"), X.money("p_retailprice").alias("cost"))
+    targets = t.nation.where("n_nationkey < 18").select(F.concat(F.lit("门店"), "n_nationkey").alias("store"), (F.col("n_nationkey") * 1000 + 500).alias("target"))
+    refunds = t.orders.select(F.concat(F.lit("O"), "o_orderkey").alias("order_id"), X.money(F.col("o_orderkey") % 37).alias("amount"), F.when(F.col("o_orderkey") % 4 == 0, "退款申请").otherwise("退款成功").alias("status"))
+    return orders.order_analysis(lines, products, refunds.union(refunds.where("order_id like '%3'")), targets)
+
+
+_CUSTOMER = """WITH raw AS (SELECT 'O' || l_orderkey AS o, l_suppkey % 20 AS s, l_suppkey % 2 AS odd, 'P' || l_partkey AS p, CASE WHEN l_linenumber = 7 THEN 0 ELSE l_quantity END::DECIMAL(18,4) AS q, l_extendedprice::DECIMAL(18,2) AS price, (l_linenumber % 4 + 0.5)::DECIMAL(18,2) AS d, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber = 1 THEN 'invalid' ELSE 'unknown' END ELSE 'ok' END AS st, CASE WHEN l_tax < 0.08 THEN l_shipdate::DATE END AS day, l_partkey % 50 = 3 AS lost, p_retailprice::DECIMAL(18,2) AS unit, CASE WHEN l_orderkey % 10 = 0 THEN 2 ELSE 1 END AS n FROM lineitem JOIN part ON p_partkey = l_partkey),
+u AS (SELECT o, s, odd, p, q, price, d, st, day, lost, unit, sum(n) AS copies FROM raw GROUP BY ALL),
+v AS MATERIALIZED (SELECT *, CASE WHEN st = 'invalid' THEN 'invalid_status' WHEN st = 'unknown' THEN 'unknown_status' WHEN s >= 18 THEN 'unknown_store' WHEN lost THEN 'unknown_product' WHEN q <= 0 THEN 'bad_quantity' WHEN price <= 0 THEN 'bad_price' WHEN day IS NULL THEN 'bad_date' END AS reason, round(q * price, 2)::DECIMAL(18,2) AS sales FROM u),
+b AS (SELECT 'O' || o_orderkey AS o, (o_orderkey % 37) * CASE WHEN o_orderkey % 10 = 3 THEN 2 ELSE 1 END * 100 AS back FROM orders WHERE o_orderkey % 4 <> 0),
+w AS (SELECT v.*, coalesce(back, 0)::HUGEINT AS back, ((sales - d) * 100)::HUGEINT AS paid, sum(((sales - d) * 100)::HUGEINT) OVER (PARTITION BY o) AS total FROM v LEFT JOIN b USING (o) WHERE reason IS NULL),
+x AS (SELECT *, back * paid // total AS f, back * paid % total AS r FROM w), y AS (SELECT *, back - sum(f) OVER (PARTITION BY o) AS more, row_number() OVER (PARTITION BY o ORDER BY r DESC, p, '门店' || s, day, q, price, d, odd) AS nth FROM x),
+z AS (SELECT *, (f + CASE WHEN nth <= more THEN 1 ELSE 0 END)::DECIMAL(18,0) * 0.01::DECIMAL(3,2) AS refund, round(q * unit, 2) AS cost FROM y)"""
+
+
+@query(f"""{_CUSTOMER} SELECT '门店' || s AS store, sum(sales)::DOUBLE AS sales, sum(d)::DOUBLE AS discount, sum(refund)::DOUBLE AS refund, sum(sales - d - refund)::DOUBLE AS net, sum(sales - d - refund - cost)::DOUBLE AS margin, count(DISTINCT o) AS orders, round(sum(sales - d - refund)::DOUBLE / (s * 1000 + 500), 8) AS attainment FROM z GROUP BY s""")
+def customer_order_stores(t):
+    s = _customer_orders(t)["stores"].withColumns({**_dbl("sales", "discount", "refund", "net", "margin"), "attainment": F.round("attainment", 8)})
+    return s.select("store", "sales", "discount", "refund", "net", "margin", "orders", "attainment")
+
+
+@query(f"""{_CUSTOMER} SELECT * FROM (SELECT 0 AS step, 'all' AS name, sum(copies)::BIGINT AS rows FROM v UNION ALL SELECT 1, 'copy', sum(copies - 1)::BIGINT FROM v UNION ALL SELECT k::INT, w, (SELECT count(*) FROM v WHERE reason = w) FROM (VALUES (2, 'invalid_status'), (3, 'unknown_status'), (4, 'unknown_store'), (5, 'unknown_product'), (6, 'bad_quantity'), (7, 'bad_price'), (8, 'bad_date')) r(k, w) UNION ALL SELECT 9, 'valid', (SELECT count(*) FROM v WHERE reason IS NULL))""")
+def customer_order_waterfall(t):
+    return _customer_orders(t)["waterfall"]
+
+
+@query(f"""{_CUSTOMER} SELECT 'refunds' AS "check", (SELECT sum(refund) * 100 FROM z) = (SELECT sum(b) FROM (SELECT any_value(back) AS b FROM z GROUP BY o)) AS passed UNION ALL SELECT 'rows', (SELECT sum(n) FROM raw) = (SELECT count(*) + sum(copies - 1) FROM v) UNION ALL SELECT 'split', (SELECT count(*) FROM v) = (SELECT count(*) FROM z) + (SELECT count(reason) FROM v)
+UNION ALL SELECT 'products', (SELECT bool_and(NOT lost) FROM z) UNION ALL SELECT 'stores', (SELECT bool_and(s < 18) FROM z) UNION ALL SELECT 'totals', true UNION ALL SELECT 'indicators', (SELECT sum(sales - d - refund) <> 0 FROM z)""")
+def customer_order_checks(t):
+    return _customer_orders(t)["checks"]
+
+
 @query("SELECT l_suppkey, count(DISTINCT l_orderkey) AS orders, sum(s)::DOUBLE AS sales, coalesce(sum(s) FILTER (l_returnflag = 'R'), 0)::DOUBLE AS refunds, round(sum(s)::DOUBLE / count(DISTINCT l_orderkey), 6) AS order_value, round(coalesce(sum(s) FILTER (l_returnflag = 'R'), 0)::DOUBLE / sum(s)::DOUBLE, 6) AS refund_rate FROM (SELECT *, l_extendedprice::DECIMAL(18,2) AS s FROM lineitem) GROUP BY 1")
 def order_store_summary(t):
     l = t.lineitem.withColumn("refund", F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")))
