@@ -122,9 +122,9 @@ def partition_rows(df: DataFrame, rules: list[dict], reason: str = "reason", joi
     return {"primary": marked.where(col(reason) == "").drop(reason), "rejected": marked.where(col(reason) != "")}
 
 
-def mask_columns(df: DataFrame, rules: dict[str, str], salt: str = "") -> DataFrame:
+def mask_columns(df: DataFrame, rules: dict[str, str], salt: str = "", char: str = "*", keep_start: int = 1, keep_end: int = 1) -> DataFrame:
     require_columns(df, *rules)
-    return df.withColumns({c: mask(c, m, salt) for c, m in rules.items()})
+    return df.withColumns({c: mask(c, m, salt, char, keep_start, keep_end) for c, m in rules.items()})
 
 
 def apply_mapping(df: DataFrame, column: str, mapping: dict[str, str], output: str | None = None) -> DataFrame:

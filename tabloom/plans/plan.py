@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from tabloom.operators import aggregate, clean, dedup, finance, joins, masters, matching, profile, relational, stats, validation
 from tabloom.operators.order import nothing_written
 from tabloom.operators.relational import OperatorError
-from tabloom.reports import restaurant, sales
+from tabloom.reports import adaptive, commerce, multifact, operations, orders, restaurant, sales
 
 MAX_STEPS, MAX_BYTES = 20, 256_000
 
@@ -58,7 +58,7 @@ _one("replace", relational.replace_values, ("rules",))
 _one("fill_missing", relational.fill_missing, (), ("values", "default", "columns"))
 _one("derive_columns", relational.derive_columns, ("formulas",), ("errors",))
 _one("partition", relational.partition_rows, ("rules",), ("reason", "joint"))
-_one("mask", relational.mask_columns, ("rules",), ("salt",))
+_one("mask", relational.mask_columns, ("rules",), ("salt", "char", "keep_start", "keep_end"))
 _one("deduplicate", dedup.guarded_dedup, ("keys",), ("allow_conflicts", "order_by"))
 _one("drop_duplicates", dedup.drop_duplicates, (), ("keys", "keep", "order_by"))
 _one("summary", aggregate.group_summary, ("by", "aggregations"), ("dropna", "order", "sort"))
@@ -119,12 +119,61 @@ def _fuzzy(inputs, params):
     return {"primary": matching.fuzzy_lookup(*inputs, **params)}
 
 
-@register("reconcile", (2, 2), ("key", "amount", "date"), ("secondary", "left_id", "right_id", "tolerance", "days"))
+@register("reconcile", (2, 2), ("key", "amount", "date"), ("secondary", "left_id", "right_id", "tolerance", "days", "rounding", "splits"))
 def _reconcile(inputs, params):
     out = matching.reconcile(*inputs, **params)
     return {"primary": out["links"], **out}
 
 
+def _many(name, f, low, high, required=(), optional=(), primary=None):
+    """An operation over several tables in order."""
+
+    def run(inputs, params):
+        out = f(*inputs, **params)
+        return {"primary": out} if isinstance(out, DataFrame) else {"primary": out[primary], **{k: v for k, v in out.items() if k != primary}}
+
+    register(name, (low, high), required, optional)(run)
+
+
+_many("split_groups", matching.split_groups, 2, 2, ("amount", "date"), ("left_id", "right_id", "tolerance", "days", "parts", "max_combinations"), "groups")
+_many("inventory", operations.inventory, 2, 2, ("sku", "days"), ("multiplier",))
+_many("workforce", operations.workforce, 3, 3, ("person",), ("workdays", "excellent", "attention"))
+_many("customer_orders", orders.order_analysis, 2, 4, (), ("low_margin",), "primary")
+_many("commerce_diagnosis", commerce.diagnosis, 6, 6, (), (), "primary")
+_one("adaptive_report", adaptive.adaptive_report, (), ("top",))
+_one("contract_issues", validation.contract_issues, ("contract",), ("key", "samples"))
+_one("ordered_fingerprint", profile.ordered_fingerprint, ("order_by",), ("columns",))
+_one("interval_overlaps", joins.interval_overlaps, ("key",), ("start", "stop", "name"))
+
+
+@register("interval_join", (2, 2), ("key", "when", "value"), ("start", "stop", "output"))
+def _interval(inputs, params):
+    return {"primary": joins.interval_join(*inputs, **params)}
+
+
+@register("quarterly_report", (1, None), ("names", "aliases"), ("dropped",))
+def _quarterly(inputs, params):
+    if len(params["names"]) != len(inputs):
+        raise OperatorError("a name for each table")
+    return dict(sales.quarterly_report(dict(zip(params["names"], inputs)), **{k: v for k, v in params.items() if k != "names"}))
+
+
+#: Outputs of several facts that a plan may ask for.
+FACTS = ("sales", "excluded_sales", "refunds", "returns", "purchases", "stock", "applications", "receivables", "cash", "settlements", "months", "orgs", "channels", "items", "checks")
+
+
+@register("multifact", (1, None), ("names", "policy", "outputs"))
+def _multifact(inputs, params):
+    from datetime import date
+
+    wanted = list(params["outputs"])
+    if len(params["names"]) != len(inputs) or not wanted or set(wanted) - set(FACTS):
+        raise OperatorError(f"a name for each table, and outputs among {', '.join(FACTS)}")
+    rule = {k: date.fromisoformat(v) if k in ("start", "cutoff") else tuple(v) if isinstance(v, list) else v for k, v in params["policy"].items()}
+    made = multifact.MultiFact(dict(zip(params["names"], inputs)), multifact.Policy(**rule))
+    return {"primary": getattr(made, wanted[0]), **{name: getattr(made, name) for name in wanted}}
+
+
 @register("union", (1, None), (), ("how", "source"))
 def _union(inputs, params):
     return {"primary": relational.union_tables({f"input_{i + 1}": f for i, f in enumerate(inputs)}, **params)}

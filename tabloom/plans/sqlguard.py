@@ -32,13 +32,23 @@ def check_read_only(sql: str) -> str:
     return sql.strip().rstrip("; \n\t")
 
 
-def check_parsed(spark: SparkSession, sql: str) -> str:
-    """The statement, if Spark's parser reads it as a query: nothing is run, its plan must not start with anything that writes or sets."""
+_WRITES = re.compile(r"(?m)^\W*(\w*(?:Command|InsertInto|CreateTable|CreateView|ReplaceTable|DropTable|DropView|DeleteFrom|UpdateTable|MergeInto|Truncate|AlterTable|LoadData|CacheTable)\w*)")
+
+
+def check_parsed(spark: SparkSession, sql: str, other_dialect: bool = False) -> str:
+    """The statement, if no node of what Spark's parser makes of it writes or sets anything; nothing is looked up or run.
+
+    A text that the parser cannot read is an error, but for other_dialect: then the words alone decide.
+    """
     text = check_read_only(sql)
-    plan = spark.sql(f"EXPLAIN EXTENDED {text}").first()[0]
-    parsed = plan.partition("== Parsed Logical Plan ==")[2].partition("== Analyzed Logical Plan ==")[0]
-    if m := re.search(r"^\W*\w*(Command|Insert|Create|Replace|Drop|Delete|Update|Merge|Truncate|Alter|Set|Cache|Load)\w*", parsed.strip()):
-        raise OperatorError(f"not a query: {m[0].strip()}")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as e:
+        if other_dialect:
+            return text
+        raise OperatorError(f"not a query: {str(e).strip()[:200]}") from e
+    if m := _WRITES.search(plan.toString()):
+        raise OperatorError(f"not a query: {m[1]}")
     return text
 
 
@@ -46,7 +56,7 @@ def query_tables(spark: SparkSession, sql: str, tables: dict[str, DataFrame], ma
     """Runs read-only SQL over tables by name (input_1, input_2, ... for unnamed ones); max_rows is checked, never cut."""
     if not 1 <= len(tables) <= 50:
         raise OperatorError("between 1 and 50 tables")
-    text = check_read_only(sql)
+    text = check_parsed(spark, sql)
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     out = spark.sql(text)

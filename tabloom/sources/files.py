@@ -69,9 +69,9 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None, **optio
 
 def read_jdbc(spark: SparkSession, url: str, sql: str, driver: str | None = None, **options) -> DataFrame:
     """A read-only query on a database whose driver is on the class path."""
-    from tabloom.plans.sqlguard import check_read_only
+    from tabloom.plans.sqlguard import check_parsed
 
-    reader = spark.read.format("jdbc").option("url", url).option("query", check_read_only(sql))
+    reader = spark.read.format("jdbc").option("url", url).option("query", check_parsed(spark, sql, other_dialect=True))
     if driver:
         reader = reader.option("driver", driver)
     return reader.options(**options).load()

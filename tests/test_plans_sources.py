@@ -107,3 +107,33 @@ def test_preview_runs_nothing(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert "segment" in shapes["r"]["primary"] and "score" in shapes["o"]["primary"] and "rank" in shapes["s"]["products"]
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("preview")) == 0
+
+
+def test_the_parser_guards_every_entry(spark):
+    from tabloom.plans.sqlguard import check_parsed
+
+    t = {"t": spark.range(3)}
+    assert query_tables(spark, "with x as (select id from t) select count(*) n from x where id > 0", t).first().n == 2
+    for bad in ("with x as (select 1) insert into t select * from x", "select * from t where", "values (1)", "select from from t"):
+        with pytest.raises(OperatorError):
+            query_tables(spark, bad, t)
+    assert check_parsed(spark, "select top 3 * from [t]", other_dialect=True)
+    with pytest.raises(OperatorError):
+        check_parsed(spark, "select 1; drop table t", other_dialect=True)
+
+
+def test_plans_over_several_tables(spark):
+    left = spark.createDataFrame([("L1", 30.0, date(2024, 1, 1))], "id string, v double, d date")
+    right = spark.createDataFrame([("R1", 10.0, date(2024, 1, 1)), ("R2", 20.0, date(2024, 1, 1))], "id string, v double, d date")
+    bands = spark.createDataFrame([("R1", date(2023, 1, 1), None, 5.0)], "id string, start date, stop date, p double")
+    steps = [
+        {"id": "s", "operation": "split_groups", "inputs": ["l", "r"], "params": {"amount": "v", "date": "d"}},
+        {"id": "i", "operation": "interval_join", "inputs": ["r", "b"], "params": {"key": "id", "when": "d", "value": "p"}},
+        {"id": "m", "operation": "mask", "inputs": ["r"], "params": {"rules": {"id": "partial"}, "char": "#", "keep_end": 0}},
+        {"id": "q", "operation": "quarterly_report", "inputs": ["q1"], "params": {"names": ["one"], "aliases": {}}},
+    ]
+    q1 = spark.createDataFrame([("a", "2024-01-01", "p", "s", "n", "1", "10", "4", "done")], "order_id string, date string, product string, seller string, region string, quantity string, sales string, cost string, status string")
+    out = P.execute({"steps": steps}, {"l": left, "r": right, "b": bands, "q1": q1})
+    assert [tuple(r)[1:4] for r in out["s"]["primary"].collect()] == [("L1", "R1", "R2")]
+    assert sorted((r.id, r.p) for r in out["i"]["primary"].collect()) == [("R1", 5.0), ("R2", None)]
+    assert sorted(r.id for r in out["m"]["primary"].collect()) == ["R#", "R#"] and out["q"]["regions"].count() == 1
