@@ -4,7 +4,7 @@ r"""WARC archives and an external merge of their capture indexes.
 writer store them gzipped, so archives can lie in any store Spark writes to; `read_archive` parses whole files back by their
 Content-Length. Every archive file yields one capture run, sorted by URL key and time. `merge_runs` joins the runs to
 one global order: keys are dealt to ranges of RANGE_ROWS captures or so, and within a range a loser tree merges what each run
-has there. A file holds FILE_BYTES of payload or so, as a task reads it as one; a longer payload is a file of its own.
+has there. A task reads a file as one, so files are cut by running bytes: a file holds FILE_BYTES at most, or one longer record by itself.
 
 Defined cases: a null payload is empty; a null URL is written as an empty target and has the empty URL key; a null key
 comes after all others, so a null-keyed row never outranks a keyed copy of its payload; rows with equal key and payload
@@ -17,6 +17,7 @@ import base64
 import gzip
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from ._common import fresh_path, materialize, small_batches
 
-#: Records of one archive file at most, and about how many bytes of payload; captures of one range of the merge.
+#: Records of one archive file at most, and bytes of its records (heads counted as HEAD); captures of one range of the merge.
 RECORDS_PER_FILE, FILE_BYTES, RANGE_ROWS = 2000, 32 << 20, 50_000
+HEAD = 600
 #: Bytes of payload that a task hands on at a time.
 HAND_ON = 4 << 20
 #: Parts that the copies of one payload are dealt to.
@@ -60,9 +62,25 @@ def mark_revisits(pages: DataFrame, key: str, payload: str, least_bytes: int = 0
     return own.withColumn("_refers", F.when(again, F.col("_first"))).drop("_salt", "_first")
 
 
+def file_numbers(most: int):
+    """Numbers the files of a task as its rows come: a record that would take its file beyond `most` bytes begins the next one. Sizes alone go to Python."""
+
+    @F.pandas_udf("int")
+    def number(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        file, held = 0, 0
+        for batch in sizes:
+            out = []
+            for n in batch.tolist():
+                if held and held + n > most:
+                    file, held = file + 1, 0
+                held += n
+                out.append(file)
+            yield pd.Series(out, dtype="int32")
+
+    return number
+
+
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> None:
-    mean = pages.agg(F.avg(F.octet_length(payload))).first()[0] or 0
-    records = int(max(1, min(RECORDS_PER_FILE, FILE_BYTES // max(1, mean))))
     marked = mark_revisits(pages.select(key, url, payload), key, payload, least_bytes)
     target = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"[\r\n]", "")
     when = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(F.col(key), F.lit(0)), F.lit(4_000_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -77,7 +95,8 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
         F.lit(f"{CRLF}X-Payload-Length: "), F.col("_bytes").cast("string"),
         F.lit(f"{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(body).cast("string"), F.lit(CRLF * 2), body,
     )
-    marked.select(text.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records).option("compression", "gzip").text(path)
+    made = marked.withColumn("_file", file_numbers(FILE_BYTES)(F.octet_length(body) + F.octet_length(target) + HEAD))
+    made.select(text.alias("value"), "_file").write.partitionBy("_file").option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def url_key(url: str) -> str:
@@ -120,7 +139,7 @@ def read_archive(spark, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"]):
                 rows, held = [], 0
-                for row in _records(name.rsplit("/", 1)[-1], gzip.decompress(data)):
+                for row in _records("/".join(name.split("/")[-2:]), gzip.decompress(data)):
                     rows.append(row if payloads else (*row[:-1], None))
                     held += len(row[-1] or "") if payloads else 64
                     if held > HAND_ON:

@@ -405,3 +405,20 @@ def test_pipeline_clashing_columns(spark, odd, sf):
         assert out.columns == clashing.columns and rows(out) == rows(stage(spark, plain, sf)), name
         assert out.count() and out.select(*names).distinct().count() == 1
     assert cp.pack_sequences(spark, clashing, sf).where("piece = 0").count() == 9
+
+
+def test_archive_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    """One payload a thousand times the mean, others of mixed sizes: no file is above the bound but that of the one long record."""
+    import gzip
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    rng = np.random.default_rng(3)
+    sizes = [int(x) for x in rng.integers(0, 100, 300)] + [9000] * 20 + [100_000]
+    pages = spark.createDataFrame([(i, f"http://a.b/{i}", f"{i}:" + "x" * n) for i, n in enumerate(sizes)], "page_id long, url string, html string").repartition(3, "page_id")
+    path = str(tmp_path / "w")
+    warc.write_archive(pages, path)
+    files = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").rglob("part-*.gz")]
+    assert sum(f.count(b"WARC/1.1") for f in files) == len(sizes) and sum(len(f) > 40_000 for f in files) == 1
+    assert max(files, key=len).count(b"WARC/1.1") == 1 and len(files) < 40
+    back = warc.read_archive(spark, path).toPandas()
+    assert sorted(back.page_id) == list(range(len(sizes))) and back.groupby("run").offset.min().eq(0).all() and back.run.nunique() == len(files)
