@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabloom.functions import expressions as X
-from tabloom.operators import clean, dedup, profile, relational as R, validation as V
+from tabloom.operators import clean, dedup, profile, quality, relational as R, validation as V
 
 from . import query
 
@@ -206,6 +206,37 @@ def profile_orders(t):
     return profile.profile(t.orders.select("o_custkey", "o_orderstatus", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("s"))).drop("data_type")
 
 
+def _rough(t):
+    """Orders with gaps, a constant, an empty and a mixed column, keys that repeat or are missing, and rows that repeat."""
+    i = F.col("o_orderkey")
+    o = t.orders.select(F.when(i % 11 != 0, i - i % 3 * F.when(i % 200 == 1, 1).otherwise(0)).alias("k"), F.when(i % 7 != 0, F.col("o_orderpriority")).otherwise(F.when(i % 14 == 0, "  ")).alias("s"), F.lit("CNY").alias("same"), F.lit(None).cast("string").alias("none"), F.when(i % 5 == 0, "n/a").otherwise((i % 40).cast("string")).alias("mixed"), F.concat(F.lit("order-"), i).alias("label"), F.col("o_orderstatus").alias("status_code"), F.col("o_orderdate").cast("date").alias("d"), "o_totalprice")
+    return o.union(o.where("k % 50 = 7"))
+
+
+_ROUGH = """WITH a AS (SELECT CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey - CASE WHEN o_orderkey % 200 = 1 THEN o_orderkey % 3 ELSE 0 END END AS k, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS s, 'CNY' AS same, CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE (o_orderkey % 40)::VARCHAR END AS mixed, 'order-' || o_orderkey AS label, o_orderstatus, o_orderdate, o_totalprice FROM orders),
+r AS (SELECT * FROM a UNION ALL SELECT * FROM a WHERE k % 50 = 7), t AS (SELECT count(*) AS n FROM r), d AS (SELECT coalesce(sum(x), 0) AS x FROM (SELECT count(*) AS x FROM r GROUP BY k, s, same, mixed, label, o_orderstatus, o_orderdate, o_totalprice HAVING count(*) > 1)), g AS (SELECT coalesce(sum(x), 0) AS x FROM (SELECT count(*) AS x FROM r WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1))"""
+
+
+@query(f"""{_ROUGH}, i AS (SELECT 'MISSING_VALUES' AS code, 'low' AS severity, 'k' AS column_name, count_if(k IS NULL)::BIGINT AS rows FROM r UNION ALL SELECT 'MISSING_VALUES', 'medium', 's', count_if(s IS NULL)::BIGINT FROM r UNION ALL SELECT 'MISSING_VALUES', 'high', 'none', n FROM t UNION ALL SELECT 'EMPTY_COLUMN', 'high', 'none', n FROM t UNION ALL SELECT 'CONSTANT_COLUMN', 'info', 'same', n FROM t
+UNION ALL SELECT 'MIXED_TYPES', 'medium', 'mixed', n FROM t UNION ALL SELECT 'DUPLICATE_ROWS', 'medium', NULL, x::BIGINT FROM d UNION ALL SELECT 'MISSING_KEYS', 'high', NULL, count_if(k IS NULL)::BIGINT FROM r UNION ALL SELECT 'DUPLICATE_KEYS', 'high', NULL, x::BIGINT FROM g) SELECT code, severity, column_name, rows, round(rows / n, 8) AS ratio FROM i, t""")
+def quality_issues(t):
+    return quality.quality_report(_rough(t), ["k"])["issues"].withColumn("ratio", F.round("ratio", 8))
+
+
+@query(f"""{_ROUGH}, p AS (SELECT n, (SELECT count_if(k IS NULL) + count_if(s IS NULL) + count(*) FROM r) / (n * 9.0)::DOUBLE AS m, (SELECT x FROM d) / n AS dup, ((SELECT x FROM g) + (SELECT count_if(k IS NULL) FROM r)) / n AS keys FROM t),
+q AS (SELECT *, round(100 - (m * 35 + dup * 20 + 15 / 9.0 + 5 / 9.0 + 10 / 9.0 + keys * 15), 1)::DOUBLE AS score FROM p) SELECT score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 60 THEN 'fair' ELSE 'poor' END AS grade, n AS total_rows, round(m, 4) AS missing_share, round(dup, 4)::DOUBLE AS duplicates_share, round(keys, 4)::DOUBLE AS keys_share FROM q""")
+def quality_score(t):
+    return quality.quality_report(_rough(t), ["k"])["score"].select("score", "grade", "total_rows", "missing_share", "duplicates_share", "keys_share")
+
+
+@query(f"""{_ROUGH} SELECT 0 AS position, 'k' AS column_name, 'integer' AS semantic_type, count_if(k IS NULL)::BIGINT AS missing, count(DISTINCT k) AS distinct_values FROM r UNION ALL SELECT 1, 's', 'category', count_if(s IS NULL)::BIGINT, count(DISTINCT s) FROM r UNION ALL SELECT 2, 'same', 'category', 0, 1 UNION ALL SELECT 3, 'none', 'empty', count(*), 0 FROM r
+UNION ALL SELECT 4, 'mixed', 'category', 0, count(DISTINCT mixed) FROM r UNION ALL SELECT 5, 'label', CASE WHEN count(DISTINCT label) = count(*) THEN 'identifier' WHEN count(DISTINCT label) <= 0.1 * count(*) THEN 'category' ELSE 'text' END, 0, count(DISTINCT label) FROM r UNION ALL SELECT 6, 'status_code', 'identifier', 0, count(DISTINCT o_orderstatus) FROM r
+UNION ALL SELECT 7, 'd', 'datetime', 0, count(DISTINCT o_orderdate) FROM r UNION ALL SELECT 8, 'o_totalprice', 'number', 0, count(DISTINCT o_totalprice) FROM r""")
+def profile_meanings(t):
+    """Exact counts; without them only columns whose meaning hangs on it are counted one by one."""
+    return quality.profile_columns(_rough(t), exact=True).select("position", "column_name", "semantic_type", "missing", "distinct_values")
+
+
 @query("SELECT count(*) AS total_rows, 0::BIGINT AS missing_cells, sum(o_custkey)::DOUBLE AS total_o_custkey, sum(o_totalprice::DECIMAL(18,4))::DOUBLE AS total_o_totalprice FROM orders")
 def table_metadata(t):
     m = profile.metadata(t.orders.select("o_custkey", "o_totalprice"))

@@ -9,9 +9,7 @@ from tabloom.functions.expressions import col, is_missing
 
 from .dedup import duplicate_count
 from .order import number_rows
-
-WEIGHTS = {"missing": 35, "duplicates": 20, "empty": 15, "constant": 5, "mixed": 10, "keys": 15}
-GRADES = ((90, "excellent"), (75, "good"), (60, "fair"))
+from .quality import quality_report
 
 
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -27,36 +25,10 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def quality(df: DataFrame, keys: list[str] | None = None) -> dict:
-    """Score (100 less weighted shares, one decimal), grade and issues."""
-    p = profile(df).collect()  # a row for each column
-    n = p[0].total_rows if p else 0
-    dup = duplicate_count(df).first()
-    issues, lost = [], 0.0
-    cells = n * len(p)
-    share = sum(r.missing for r in p) / cells if cells else 0.0
-    lost += WEIGHTS["missing"] * share
-    issues += [("MISSING_VALUES", r.column_name, r.missing) for r in p if r.missing]
-    if dup.repeated_rows:
-        issues.append(("DUPLICATE_ROWS", None, dup.repeated_rows))
-        lost += WEIGHTS["duplicates"] * dup.repeated_rows / n
-    empty = [r.column_name for r in p if n and r.missing == n]
-    constant = [r.column_name for r in p if r.distinct_values == 1 and n > 1]
-    issues += [("EMPTY_COLUMN", c, n) for c in empty] + [("CONSTANT_COLUMN", c, n) for c in constant]
-    if p:
-        lost += WEIGHTS["empty"] * len(empty) / len(p) + WEIGHTS["constant"] * len(constant) / len(p)
-    texts = [c for c, t in df.dtypes if t == "string"]
-    if texts and n:  # texts of which only some read as numbers
-        numbers = df.agg(*[F.struct(F.count_if(~is_missing(c)).alias("n"), F.count_if(F.trim(col(c)).rlike(r"^[+-]?\d+(\.\d+)?$")).alias("k")).alias(c) for c in texts]).first()
-        mixed = [c for c in texts if 0 < numbers[c]["k"] < numbers[c]["n"]]
-        issues += [("MIXED_TYPES", c, numbers[c]["k"]) for c in mixed]
-        lost += WEIGHTS["mixed"] * len(mixed) / len(p)
-    if keys and n:
-        gone = df.where(" or ".join(f"`{k}` is null or trim(cast(`{k}` as string)) = ''" for k in keys)).count()
-        twice = duplicate_count(df.dropna(subset=keys), keys).first().repeated_rows
-        issues += [("MISSING_KEYS", None, gone)] * bool(gone) + [("DUPLICATE_KEYS", None, twice)] * bool(twice)
-        lost += WEIGHTS["keys"] * min(1.0, (gone + twice) / n)
-    score = round(max(0.0, 100 - lost), 1)
-    return {"rows": n, "columns": len(p), "score": score, "grade": next((g for least, g in GRADES if score >= least), "poor"), "issues": issues}
+    """The quality report as plain data: score, grade and issues (code, column, rows), a row for each finding."""
+    made = quality_report(df, keys)
+    s = made["score"].first()
+    return {"rows": s.total_rows, "columns": len(df.columns), "score": s.score, "grade": s.grade, "issues": [(r.code, r.column_name, r.rows) for r in made["issues"].collect()]}
 
 
 def quality_metrics(df: DataFrame) -> DataFrame:

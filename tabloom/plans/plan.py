@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from tabloom.operators import aggregate, clean, dedup, finance, joins, masters, matching, profile, relational, stats, validation
+from tabloom.operators import aggregate, clean, dedup, finance, joins, masters, matching, profile, quality, relational, stats, validation
 from tabloom.operators.order import nothing_written
 from tabloom.operators.relational import OperatorError
 from tabloom.reports import adaptive, commerce, multifact, operations, orders, restaurant, sales
@@ -76,6 +76,8 @@ _one("cash_flow", finance.cash_flow, ("date", "direction", "category", "amount",
 _one("journal_audit", finance.journal_audit, ("voucher", "debit", "credit"), ("tolerance",), "vouchers")
 _one("describe", aggregate.describe, ("columns",), ("percentiles",))
 _one("quality", profile.quality_metrics)
+_one("quality_report", quality.quality_report, (), ("keys",))
+_one("profile_columns", quality.profile_columns, (), ("samples", "exact"))
 _one("profile", profile.profile, (), ("exact",))
 _one("split", relational.split_rows, ("rows_per_table", "order_by"))
 _one("financial_ratios", finance.financial_ratios, ("key",), (), "wide")
