@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tabloom.functions import expressions as X
-from tabloom.plans import plan as P
+from tabloom.plans import domains, plan as P
 from tabloom.plans.recipe import Recipe
 from tabloom.plans.sqlguard import query_tables
 from tabloom.reports import adaptive, charts, operations as O, orders, sales as S
@@ -188,6 +188,20 @@ def adaptive_ranking(t):
     return r.withColumn("value", F.col("value").cast("double"))
 
 
+_PACKS = {"schema_version": 1, "domains": [
+    {"id": "wholesale", "label": "Wholesale", "anchors": ["order", "price"], "identity_anchors": ["wholesale"], "concepts": {"revenue": ["total price"], "urgency": ["priority"], "state": ["status"]}},
+    {"id": "clinic", "label": "Clinic", "anchors": ["patient"], "identity_anchors": ["clinic"], "concepts": {"patient": ["patient"]}},
+]}
+
+
+@query("""SELECT o_orderpriority AS member, sum(o_totalprice::DECIMAL(18,4))::DOUBLE AS value, count(*) AS rows, 'urgency' AS ranking FROM orders GROUP BY 1 UNION ALL SELECT o_orderstatus, sum(o_totalprice::DECIMAL(18,4))::DOUBLE, count(*), 'state' FROM orders GROUP BY 1""")
+def domain_rankings(t):
+    """A domain that is there as data alone names the rankings of its concepts."""
+    out = domains.compile_domain({"orders": t.orders}, domains.load_packs(_PACKS), "how is wholesale doing")
+    parts = [out[f"orders:revenue_by_{c}"].withColumn("ranking", F.lit(c)) for c in ("urgency", "state")]
+    return parts[0].union(parts[1]).withColumn("value", F.col("value").cast("double"))
+
+
 _PLAN = {"steps": [
     {"id": "f", "operation": "filter", "inputs": ["orders"], "params": {"rules": [{"column": "o_orderstatus", "op": "ne", "value": "P"}]}},
     {"id": "p", "operation": "partition", "inputs": ["$f"], "params": {"rules": [{"column": "o_totalprice", "op": "lt", "value": 50000, "reason": "small"}]}},
