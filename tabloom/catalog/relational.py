@@ -320,9 +320,9 @@ def contract_issues(t):
 _BROKEN = "CAST(count(*) AS BIGINT) AS rows, array_to_string(list_slice(list_sort(list(o_orderkey::VARCHAR)), 1, 20), ',') AS samples FROM orders WHERE"
 
 
-@query(f"""SELECT 'CROSS_FIELD' AS code, 'price per customer' AS column_name, 'error' AS severity, {_BROKEN} abs(o_totalprice - 100.0 * o_custkey - 50000) > 250000
-UNION ALL SELECT 'CROSS_FIELD', 'balance of keys', 'error', {_BROKEN} abs(coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END, 0) * 2.0 - o_orderkey) > 2000 UNION ALL SELECT 'CROSS_FIELD', 'o_custkey,o_orderkey', 'error', {_BROKEN} o_custkey > o_orderkey AND o_orderkey % 5 <> 0
-UNION ALL SELECT 'PATTERN', 'o_orderpriority', 'error', {_BROKEN} o_orderpriority NOT LIKE '_-%' OR o_orderpriority LIKE '4%'""")
+@query(f"""SELECT 'CROSS_FIELD' AS code, 'price per customer' AS column_name, 'error' AS severity, {_BROKEN} abs(o_totalprice - 100.0 * o_custkey - 50000) > 250000 HAVING count(*) > 0
+UNION ALL SELECT 'CROSS_FIELD', 'balance of keys', 'error', {_BROKEN} abs(coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END, 0) * 2.0 - o_orderkey) > 2000 HAVING count(*) > 0 UNION ALL SELECT 'CROSS_FIELD', 'o_custkey,o_orderkey', 'error', {_BROKEN} o_custkey > o_orderkey AND o_orderkey % 5 <> 0 HAVING count(*) > 0
+UNION ALL SELECT 'PATTERN', 'o_orderpriority', 'error', {_BROKEN} o_orderpriority NOT LIKE '_-%' OR o_orderpriority LIKE '4%' HAVING count(*) > 0""")
 def contract_formulas(t):
     """Formulas, a balance with missing parts, a comparison and a pattern, with the twenty smallest keys that break each."""
     o = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("c"), "o_custkey", "o_totalprice", "o_orderpriority")
