@@ -91,12 +91,12 @@ def room(ids: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n)
 
 
-def intervals(order, lcp, space, k: int, counted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """LCP intervals of depth k without a break: where they start in the order, where the next one does, and how often they count."""
+def intervals(order, lcp, space, k: int, counted, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """LCP intervals of depth k without a break that count `least` times: where they start in the order, where the next one does, and how often they count."""
     starts = np.flatnonzero(lcp < k)
     ends = np.append(starts[1:], len(order))
     n = np.add.reduceat(counted[order].astype(np.int64), starts) if len(starts) else starts
-    there = (space[order[starts]] >= k) & (n > 0)
+    there = (space[order[starts]] >= k) & (n >= least)
     return starts[there], ends[there], n[there]
 
 
@@ -136,6 +136,9 @@ class _Shard:
         counts = np.bincount(ids[self.lead :], minlength=len(self.vocabulary))[1:]
         return (self.lang, self.lead, int(counts.sum()), pack(ids), len(ids), b"\n".join(list(self.vocabulary)[1:]), pack(counts), len(counts))
 
+    def goes_on(self) -> bool:
+        return next((bool(p[-1]) for p in reversed(self.parts) if len(p)), False)
+
     def rest(self) -> _Shard:
         """The shard that goes on within the same piece."""
         out, names = _Shard(self.lang), list(self.vocabulary)
@@ -170,7 +173,7 @@ def _shards(batches, size: int, stretch: int):
                 shard.add(tokens)
                 if shard.n >= size:
                     yield out(held.pop(lang))
-                    if shard.parts[-1][-1]:
+                    if shard.goes_on():
                         held[lang] = shard.rest()
         if sum(s.n for s in held.values()) >= 2 * size:
             yield from map(out, held.values())
@@ -262,7 +265,8 @@ class _Sorted:
         self.space, self.lead = room(self.ids), lead
 
     def phrases(self, k: int):
-        starts, ends, n = intervals(self.order, self.lcp, self.space, k, self.at + k > self.lead)
+        # pairs among the words handed on count nothing here, but whether they are frequent is asked: longer phrases begin with them
+        starts, ends, n = intervals(self.order, self.lcp, self.space, k, self.at + k > self.lead, least=int(k > 2))
         first = self.order[starts]
         return starts, ends, n, [self.ids[first + d] for d in range(k)]
 
@@ -354,7 +358,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     entries, words = raw.agg(F.coalesce(F.sum("entries"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     sizes = raw.groupBy("lang").agg(F.sum("words").alias("n"))
     sizes = materialize(sizes.where("n > 0"), "phrase-languages")
-    of_words, of_grams = max(tasks, -(-entries // (bucket_keys // 4))), max(tasks, -(-words // (2 * bucket_keys)))
+    of_words, of_grams = max(tasks, -(-entries // max(1, bucket_keys // 4))), max(tasks, -(-words // (2 * bucket_keys)))
 
     with small_batches(spark, 1):  # a row is a whole shard
         sent = raw.select("shard", "lang", "vocabulary", "counts", "entries").mapInPandas(lambda f: _send_words(f, of_words), "bucket long, shard long, lang string, words binary, counts binary, n long")
