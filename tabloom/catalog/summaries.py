@@ -178,6 +178,26 @@ def common_date_balance(t):
     return A.balance_at_common_date(top, "who", "d", "value")
 
 
+def _texts(t):
+    """Dates and amounts as texts, some of which nobody can read."""
+    i = F.col("o_orderkey")
+    day = F.when(i % 31 == 0, "soon").when(i % 37 == 0, " ").otherwise(F.date_format("o_orderdate", "yyyy/M/d"))
+    return t.orders.select(day.alias("day"), F.when(i % 11 == 0, "n/a").when(i % 13 != 0, F.concat(F.lit("¥"), F.format_number("o_totalprice", 2))).alias("amount"), F.when(i % 11 != 0, i % 9).alias("pieces"), "o_orderstatus")
+
+
+_TEXTS = "WITH r AS (SELECT CASE WHEN o_orderkey % 31 <> 0 AND o_orderkey % 37 <> 0 THEN o_orderdate::DATE END AS d, CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 THEN o_totalprice::DECIMAL(18,2) END AS a, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 9 END AS p, o_orderkey AS i, o_orderstatus FROM orders)"
+
+
+@query(f"{_TEXTS} SELECT date_trunc('quarter', d)::DATE AS period, o_orderstatus, coalesce(sum(a), 0)::DOUBLE AS amount, max(p) AS pieces FROM r WHERE d IS NOT NULL AND (a IS NOT NULL OR p IS NOT NULL) GROUP BY 1, 2")
+def trend_of_texts(t):
+    return A.trend_report(_texts(t), "day", ["amount", "pieces"], "quarter", {"amount": "sum", "pieces": "max"}, ["o_orderstatus"])["primary"].select("period", "o_orderstatus", _d("amount"), "pieces")
+
+
+@query(f"{_TEXTS} SELECT count(*) AS input_rows, count_if(d IS NOT NULL AND (a IS NOT NULL OR p IS NOT NULL))::BIGINT AS used_rows, count_if(i % 31 = 0)::BIGINT AS bad_dates, count_if(i % 11 = 0)::BIGINT AS bad_amount, 0::BIGINT AS bad_pieces FROM r")
+def trend_counts(t):
+    return A.trend_report(_texts(t), "day", ["amount", "pieces"])["counts"]
+
+
 _BRAND = "(SELECT p_brand, sum(l_quantity)::BIGINT AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)"
 
 

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.expressions import col, is_missing, period
+from tabloom.functions.expressions import col, is_missing, parse_date, parse_number, period
 
-from .order import ranks, written_once
+from .order import Outputs, ranks, written_once
 from .quantiles import finite, quantiles
 from .relational import OperatorError, require_columns
 
@@ -44,6 +44,26 @@ def trend(df: DataFrame, date: str, values: list[str], grain: str = "month", how
     return df.where(col(date).isNotNull() & some).groupBy(period(date, grain).alias(name), *by).agg(*[aggregate(how, v).alias(v) for v in values])
 
 
+def trend_report(df: DataFrame, date: str, values: list[str], grain: str = "month", how: str | dict[str, str] = "sum", by: list[str] = (), name: str = "period") -> Outputs:
+    """primary: the trend of dates and numbers that may be texts; counts: one row with input_rows, used_rows, bad_dates and bad_<value> for each value.
+
+    A cell that is there and cannot be read is bad; a missing one is not. Rows need a readable date and at least one readable value. how may name an
+    aggregation for each value.
+    """
+    ways = how if isinstance(how, dict) else {v: how for v in values}
+    if set(ways) != set(values):
+        raise OperatorError("an aggregation for each value")
+    kinds = dict(df.dtypes)
+    read = {v: parse_number(v) if kinds[v] == "string" else finite(v) if kinds[v] in ("float", "double") else col(v) for v in values}
+    day = parse_date(date) if kinds[date] == "string" else col(date)
+    rows = df.withColumns({"_day": day, **{f"_v{i}": read[v] for i, v in enumerate(values)}})
+    good = F.col("_day").isNotNull() & reduce(lambda a, b: a | b, [F.col(f"_v{i}").isNotNull() for i in range(len(values))])
+    bad = lambda c, made: F.count_if(~is_missing(c) & F.col(made).isNull())
+    counts = lambda: rows.agg(F.count("*").alias("input_rows"), F.count_if(good).alias("used_rows"), bad(date, "_day").alias("bad_dates"), *[bad(v, f"_v{i}").alias(f"bad_{v}") for i, v in enumerate(values)])
+    primary = lambda: rows.where(good).groupBy(period("_day", grain).alias(name), *by).agg(*[aggregate(ways[v], f"_v{i}").alias(v) for i, v in enumerate(values)])
+    return Outputs({"primary": primary, "counts": counts})
+
+
 def contribution(df: DataFrame, category: str, value: str, how: str = "sum", core: float = 0.8, top: int | None = None) -> DataFrame:
     """value, share, running share and whether a category is core (the share before it is below `core`), largest first; the rest of a top as (other).
 

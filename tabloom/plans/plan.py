@@ -63,6 +63,7 @@ _one("deduplicate", dedup.guarded_dedup, ("keys",), ("allow_conflicts", "order_b
 _one("drop_duplicates", dedup.drop_duplicates, (), ("keys", "keep", "order_by"))
 _one("summary", aggregate.group_summary, ("by", "aggregations"), ("dropna", "order", "sort"))
 _one("trend", aggregate.trend, ("date", "values"), ("grain", "how", "by"))
+_one("trend_report", aggregate.trend_report, ("date", "values"), ("grain", "how", "by"))
 _one("contribution", aggregate.contribution, ("category", "value"), ("how", "core", "top"))
 _one("pivot", aggregate.cross_pivot, ("index", "column"), ("value", "how", "fill", "margins"))
 _one("correlation", aggregate.correlation, ("columns",), ("method",))
