@@ -39,18 +39,46 @@ def sales_attention(t):
     return S.attention(_sales(t).withColumn("l_extendedprice", X.money("l_extendedprice")), "l_extendedprice", "cost", factor=0.3).select("l_orderkey", "l_linenumber", "attention")
 
 
-@query("""WITH j AS (SELECT o_orderkey::VARCHAR AS i, o_totalprice::DECIMAL(18,2) AS v, o_orderstatus AS s FROM orders)
-SELECT s AS region, sum(v)::DOUBLE AS sales, count(*) AS rows, rank() OVER (ORDER BY sum(v) DESC)::INT AS rank FROM j WHERE i::INT % 9 <> 0 AND i::INT % 10 <> 3 GROUP BY 1""")
-def quarterly_regions(t):
+def _quarters(t):
+    """Three tables with headers of their own, amounts and dates as texts, some unreadable; the third repeats rows of the second, less complete."""
     o = t.orders
     status = F.when(F.col("o_orderkey") % 9 == 0, "Cancelled").otherwise("done")
     one = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("Order No"), F.date_format("o_orderdate", "yyyy/M/d").alias("Day"), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("Amount"), F.lit("1").alias("cost"), F.col("o_orderstatus").alias("Area"), status.alias("status"))
     two = o.where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("order_id"), F.when(F.col("o_orderkey") % 10 == 3, "?").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("sales"), F.col("o_orderstatus").alias("region"), status.alias("status"))
     again = two.where("order_id % 5 = 0").withColumn("region", F.lit(""))
-    out = S.quarterly_report({"a": one, "b": two, "c": again}, {"order_id": ["order no"], "date": ["day"], "sales": ["amount"], "region": ["area"]})["regions"]
+    return S.quarterly_report({"a": one, "b": two, "c": again}, {"order_id": ["order no"], "date": ["day"], "sales": ["amount"], "region": ["area"]})
+
+
+_QUARTERS = "WITH j AS (SELECT o_orderkey AS i, o_totalprice::DECIMAL(18,2) AS v, o_orderstatus AS s, o_orderdate AS d FROM orders), k AS (SELECT * FROM j WHERE i % 9 <> 0 AND i % 10 <> 3)"
+
+
+@query(f"{_QUARTERS} SELECT s AS region, sum(v)::DOUBLE AS sales, count(*) AS rows, rank() OVER (ORDER BY sum(v) DESC)::INT AS rank FROM k GROUP BY 1")
+def quarterly_regions(t):
+    out = _quarters(t)["regions"]
     return out.select("region", F.col("sales").cast("double").alias("sales"), "rows", F.col("rank").cast("int").alias("rank"))
 
 
+@query(f"{_QUARTERS} SELECT * FROM (SELECT i::VARCHAR AS order_id, concat_ws('; ', CASE WHEN i % 10 = 3 THEN 'bad_date' END, CASE WHEN i % 9 = 0 THEN 'status' END) AS reason FROM j) WHERE reason <> ''")
+def quarterly_invalid(t):
+    return _quarters(t)["invalid"].select("order_id", "reason")
+
+
+@query(f"{_QUARTERS} SELECT count(*) AS rows, sum(v)::DOUBLE AS sales, count_if(i % 2 = 0)::DOUBLE AS cost, (sum(v) - count_if(i % 2 = 0))::DOUBLE AS profit, round((sum(v) - count_if(i % 2 = 0))::DOUBLE / sum(v)::DOUBLE, 8) AS margin FROM k")
+def quarterly_overview(t):
+    out = _quarters(t)["primary"].withColumns({**_dbl("sales", "cost", "profit"), "margin": F.round("margin", 8)})
+    return out.select("rows", "sales", "cost", "profit", "margin")
+
+
+@query(f"{_QUARTERS} SELECT strftime(d, '%Y-%m') AS month, s AS region, sum(v)::DOUBLE AS sales FROM k GROUP BY 1, 2")
+def quarterly_series(t):
+    return _quarters(t)["series"].withColumns(_dbl("sales"))
+
+
+@query(f"{_QUARTERS} SELECT i::VARCHAR AS order_id, d::DATE AS date, v::DOUBLE AS sales, s AS region, CASE WHEN i % 2 = 0 THEN 'a' ELSE 'b' END AS source FROM k")
+def quarterly_clean(t):
+    return _quarters(t)["clean"].select("order_id", "date", F.col("sales").cast("double").alias("sales"), "region", "source")
+
+
 def _order_lines(t):
     by = ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"]
     lines = t.lineitem.groupBy(*by).agg(F.sum(X.money("l_extendedprice")).alias("amount")).withColumn("line", F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyyMMdd")))
