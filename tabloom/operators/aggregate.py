@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import col, is_missing, parse_date, parse_number, period
 
-from .order import Outputs, ranks, written_once
+from .order import Outputs, ranks, running_totals, written_once
 from .quantiles import finite, quantiles
 from .relational import OperatorError, require_columns
 
@@ -67,18 +67,18 @@ def trend_report(df: DataFrame, date: str, values: list[str], grain: str = "mont
 def contribution(df: DataFrame, category: str, value: str, how: str = "sum", core: float = 0.8, top: int | None = None) -> DataFrame:
     """value, share, running share and whether a category is core (the share before it is below `core`), largest first; the rest of a top as (other).
 
-    Windows run over one row per category, never over detail rows. A negative value or a total of 0 is refused, as shares of
-    such sums mean nothing.
+    Categories are summed once and written, and their running sums are made by sorted ranges, so any number of them is spread. A negative value or a
+    total of 0 is refused, as shares of such sums mean nothing.
     """
     g = df.groupBy(F.coalesce(F.when(~is_missing(category), col(category).cast("string")), F.lit(BLANK)).alias("category")).agg(aggregate(how, value).alias("value"))
+    g = written_once(g)
     total = g.agg(F.sum("value").alias("total"), F.min("value").alias("least"), F.count("*").alias("n")).first()
     if total.n and (total.total is None or total.total <= 0 or total.least < 0):
         raise OperatorError("shares need values that are not negative and a total above 0")
     g = g.withColumn("_total", F.lit(total.total).cast(g.agg(F.sum("value")).schema[0].dataType))
-    w = Window.orderBy(F.desc("value"), "category")
-    run = F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = g.withColumn("position", F.row_number().over(w)).withColumn("share", F.try_divide(F.col("value"), F.col("_total"))).withColumn("running_share", F.try_divide(run, F.col("_total")))
-    out = out.withColumn("is_core", F.try_divide(run - F.col("value"), F.col("_total")) < core).drop("_total")
+    out = running_totals(g, [], [F.desc("value"), F.asc("category")], {"_run": F.col("value"), "position": F.lit(1)})
+    out = out.withColumn("position", F.col("position").cast("int")).withColumn("share", F.try_divide(F.col("value"), F.col("_total"))).withColumn("running_share", F.try_divide(F.col("_run"), F.col("_total")))
+    out = out.withColumn("is_core", F.try_divide(F.col("_run") - F.col("value"), F.col("_total")) < core).drop("_total", "_run")
     if top is not None:
         rest = out.where(F.col("position") > top).agg(F.lit("(other)").alias("category"), F.sum("value").alias("value"), F.lit(top + 1).alias("position"), F.sum("share").alias("share"), F.max("running_share").alias("running_share"), F.lit(False).alias("is_core")).where("value is not null")
         out = out.where(F.col("position") <= top).unionByName(rest)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import col, is_missing
@@ -61,9 +61,9 @@ def time_series(df: DataFrame, date: str, value: str, how: str = "sum", grain: s
 
 
 def multi_series(df: DataFrame, label: str, series: str, value: str, how: str = "sum", top: int = 20, most_series: int = 8) -> DataFrame:
-    """(label, series, value) of the top labels and series by absolute total; windows run over one row per label and series."""
+    """(label, series, value) of the top labels and series by absolute total."""
     g = df.groupBy(_label(label).alias("label"), _label(series).alias("series")).agg(aggregate(how, value).alias("value"))
-    pick = lambda c, n: g.groupBy(c).agg(F.sum(F.abs("value")).alias("_t")).withColumn("_r", F.row_number().over(Window.orderBy(F.desc("_t"), c))).where(F.col("_r") <= n).select(c)
+    pick = lambda c, n: g.groupBy(c).agg(F.sum(F.abs("value")).alias("_t")).orderBy(F.desc("_t"), c).limit(n).select(c)
     return g.join(F.broadcast(pick("label", top)), "label").join(F.broadcast(pick("series", most_series)), "series").select("label", "series", "value")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import col
+from tabloom.operators.order import number_rows
 
 
 def star_tables(df: DataFrame, dimensions: dict[str, list[str]], date: str, order_key: str | None = None, order_by: list[str] = ()) -> dict[str, DataFrame]:
@@ -14,8 +15,8 @@ def star_tables(df: DataFrame, dimensions: dict[str, list[str]], date: str, orde
     if order_key:
         fact = fact.withColumn("_n", F.row_number().over(Window.partitionBy(order_key).orderBy(*(order_by or df.columns)))).where("_n = 1").drop("_n")
     for name, columns in dimensions.items():
-        # one row for each member, so the numbering window is over the dimension only
-        dim = fact.select(*columns).distinct().withColumn(f"{name}_key", F.row_number().over(Window.orderBy(*[col(c).asc_nulls_last() for c in columns])))
+        # one row for each member, numbered by ranges
+        dim = number_rows(fact.select(*columns).distinct(), [col(c).asc_nulls_last() for c in columns], "_at").withColumn(f"{name}_key", (F.col("_at") + 1).cast("int")).drop("_at")
         test = [fact[c].eqNullSafe(dim[c]) for c in columns]
         fact = fact.join(dim, test, "left").drop(*[dim[c] for c in columns]).drop(*columns)
         out[f"dim_{name}"] = dim.select(f"{name}_key", *columns)
