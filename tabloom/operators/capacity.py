@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,6 @@ def accept_in_order(legs: DataFrame, capacities: DataFrame, event: str, order: s
         state = written_once(state)
         refused.append(state.where("not _was and _never").select("_e"))
         tight = written_once(run.select("_e", "_o", "_k", "_x", "_c").join(state.where("_was or not _never").select("_e", (F.col("_was") | F.col("_fits")).alias("_in")), "_e"))
-    out = legs.select(F.col(event).alias("_e")).distinct().join(wrong.withColumn("_bad", F.lit(True)), "_e", "left")
-    for r in refused:
-        out = out.join(r.withColumn("_no", F.lit(True)), "_e", "left").withColumn("_bad", F.coalesce("_bad", "_no")).drop("_no")
+    bad = reduce(DataFrame.union, [wrong, *refused]).distinct().withColumn("_bad", F.lit(True))
+    out = legs.select(F.col(event).alias("_e")).distinct().join(bad, "_e", "left")
     return out.select(F.col("_e").alias(event), F.col("_bad").isNull().alias("accepted"))
