@@ -76,3 +76,37 @@ def test_events_fit_in_order(spark, seed):
     rng.shuffle(legs)
     got = accept_in_order(spark.createDataFrame(legs, "e int, o int, k string, x decimal(10,2)"), spark.createDataFrame(list(caps.items()), "k string, cap decimal(10,2)"), "e", "o", "k", "x", "cap")
     assert {r.e: r.accepted for r in got.collect()} == want and 0 < sum(want.values()) < 120
+
+
+def test_split_parts_across_ranges_write_no_pairs(spark, monkeypatch):
+    """Equal amounts, wholes and parts of a day in many ranges, against all pairs; what is written holds a row for each whole and for each day of a part."""
+    from itertools import combinations
+    from tabloom.operators import matching, order
+
+    dice, wrote, write = random.Random(5), [], order.written_once
+
+    def counted(df):
+        out = write(df)
+        wrote.append(out.count())
+        return out
+
+    monkeypatch.setattr(matching, "RANGE", 7, raising=False)
+    monkeypatch.setattr(order, "written_once", counted)
+    monkeypatch.setattr(matching, "written_once", counted)
+    a = [(f"w{i}", Decimal(dice.choice([8, 8, 10, 12, -6])), date(2024, 1, 2)) for i in range(25)]
+    b = [(i, Decimal(dice.choice([2, 4, 4, 4, 5, 5, 6, 8, -3, -2])), date(2024, 1, dice.choice([1, 2, 2, 3, 9]))) for i in range(60)]
+    left, right = (spark.createDataFrame(x, f"id {t}, v decimal(18,2), d date") for x, t in ((a, "string"), (b, "int")))
+    got = {tuple(r) for r in matching.reconcile_splits(left, right, "v", "d", tolerance=1, days=1, parts=4).collect()}
+    want, tried, cut = set(), 0, 0
+    for i, v, d in a:
+        may = sorted((abs(abs(x) - abs(v) / 2), j, x) for j, x, e in b if x * v > 0 and abs(x) <= abs(v) + 1 and abs((e - d).days) <= 1)
+        pairs = list(combinations(sorted((j, x) for _, j, x in may[:4]), 2))
+        tried, cut = tried + len(pairs), cut + (len(may) > 4)
+        want |= {(i, p, q, abs(v - x - y)) for (p, x), (q, y) in pairs if abs(v - x - y) <= 1}
+    assert got == want and want
+    assert max(wrote) <= len(a) + 3 * len(b)
+    made = matching.split_groups(left, right, "v", "d", tolerance=1, days=1, parts=4)["groups"].where("match_type = 'split_1_to_2'")
+    assert {(r.whole, int(r.part_a), int(r.part_b), r.gap) for r in made.collect()} == want
+    few = matching.split_groups(left, right.limit(0), "v", "d", tolerance=1, days=1, parts=4)["summary"].first()
+    assert (few.combinations, few.truncated, few.groups) == (0, 0, 0)
+    assert (tried, cut) == tuple(matching._combinations(left, right, "v", "d", "id", "id", 1, 1, 4, False).agg({"combinations": "sum", "truncated": "sum"}).select("sum(combinations)", "sum(truncated)").first())
