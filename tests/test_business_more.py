@@ -185,3 +185,18 @@ def test_split_groups_both_ways_and_their_limit(spark):
     assert rows(out["groups"].select("match_type", "whole", "part_a", "part_b", "score")) == [("split_1_to_2", "L1", "R1", "R2", 0.8), ("split_2_to_1", "R3", "L2", "L3", 0.8)]
     out = M.split_groups(led("L", ["100"]), led("R", ["1", "2", "3", "4", "5"]), "v", "d", max_combinations=2)
     assert out["groups"].count() == 0 and tuple(out["summary"].select("evaluated", "limit_hit").first()) == (2, True)
+
+
+def test_ordered_fingerprint_has_two_levels(spark):
+    """However many blocks there are, their digests become one in one step."""
+    from hashlib import sha256
+
+    from tabloom.operators.profile import ordered_fingerprint
+
+    df = spark.range(11).selectExpr("id", "-id AS down")
+    digest = lambda x: sha256("".join(x).encode()).hexdigest()
+    for n, block in ((11, 2), (11, 100), (0, 2)):
+        for by, ids in (("id", range(n)), ("down", range(n - 1, -1, -1))):
+            cells = [digest([f"bigint:{len(str(i))}:{i}"]) for i in ids]
+            got = ordered_fingerprint(df.limit(n), [by], ["id"], block).first()
+            assert (got.total_rows, got.digest) == (n, digest(digest(cells[i : i + block]) for i in range(0, n, block)))
