@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import col
 
-from . import matching
-from .matching import _blocks, _two_best
+from .matching import _met, _two_best
 from .order import number_rows
 from .relational import OperatorError, require_columns
 
@@ -64,10 +63,7 @@ def alias_suggestions(left: DataFrame, right: DataFrame, left_column: str, right
     missing = side(left, left_column).join(r, "value", "left_anti").withColumn("_n", tidy(F.col("value")))
     names = r.withColumn("_n", tidy(F.col("value"))).where("_n <> ''").groupBy("_n").agg(F.max("value").alias("suggestion")).withColumn("_down", F.col("suggestion"))
     k = number_rows(names, ["_down"], "_up").withColumn("_pos", -F.col("_up")).select("_pos", "_n", "suggestion")
-    b = _blocks(k, F.struct(F.col("_pos").alias("pos"), F.col("_n").alias("text")), "b")
-    a = _blocks(missing.where("_n <> ''").select("_n").distinct(), F.col("_n"), "a")
-    met = a.withColumn("block_b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max(1, -(-k.count() // matching.BLOCK)) - 1)), lambda x: x.cast("long")))).join(b.withColumn("block_b", F.col("block_b").cast("long")), "block_b")
-    found = _two_best(met.select("a", "b"), holds=True)
+    found = _two_best(_met(missing.where("_n <> ''").select("_n").distinct(), k), holds=True)
     best = found.withColumn("_r", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "pos"))).where(f"_r = 1 and score >= {least}")
     named = best.join(k.select(F.col("_pos").alias("pos"), "suggestion"), "pos").select(F.col("text").alias("_n"), "suggestion", "score")
     return missing.join(named, "_n").select("value", "suggestion", F.round("score", 6).alias("score"))

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 from difflib import SequenceMatcher
 
@@ -200,3 +201,25 @@ def test_ordered_fingerprint_has_two_levels(spark):
             cells = [digest([f"bigint:{len(str(i))}:{i}"]) for i in ids]
             got = ordered_fingerprint(df.limit(n), [by], ["id"], block).first()
             assert (got.total_rows, got.digest) == (n, digest(digest(cells[i : i + block]) for i in range(0, n, block)))
+
+
+def test_best_texts_are_kept_from_block_to_block(spark, monkeypatch):
+    """Names of few letters with a near copy each: what the first block finds keeps the others from being compared (two of every block would make 1600)."""
+    asked = spark.sparkContext.accumulator(0)
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            asked.add(1)
+            return super().ratio()
+
+    monkeypatch.setattr(M, "BLOCK", 8)
+    monkeypatch.setattr(M, "SequenceMatcher", Counted)
+    dice = random.Random(3)
+    names = ["".join(dice.choices("abcdef", k=12)) for _ in range(40)]
+    names += [n + "g" for n in names]
+    src = spark.createDataFrame([(n,) for n in names], "t string")
+    got = {r.t: (r.candidate, r.score, r.second, r.second_score) for r in M.fuzzy_lookup(src, src.withColumnRenamed("t", "n"), "t", "n", [], 0.7, 0.0, ["n"]).collect()}
+    for t in names:
+        best = sorted((-SequenceMatcher(None, t, n, autojunk=False).ratio(), n) for n in names)[:2]
+        assert got[t] == (best[0][1], round(-best[0][0], 4), best[1][1], round(-best[1][0], 4))
+    assert 0 < asked.value < 800
