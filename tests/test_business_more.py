@@ -223,3 +223,20 @@ def test_best_texts_are_kept_from_block_to_block(spark, monkeypatch):
         best = sorted((-SequenceMatcher(None, t, n, autojunk=False).ratio(), n) for n in names)[:2]
         assert got[t] == (best[0][1], round(-best[0][0], 4), best[1][1], round(-best[1][0], 4))
     assert 0 < asked.value < 800
+
+
+def test_receipts_of_many_components_are_folded_together(spark, monkeypatch):
+    from tabloom.reports import operations as O
+
+    monkeypatch.setattr(O, "FOLDED", 8, raising=False)
+    side = lambda name, n, x: spark.createDataFrame([(i, x) for i in range(n)], f"{name} int, amount double")
+    app = spark.createDataFrame([(i, i // 2, i // 3, float(i % 7)) for i in range(40)], "application long, receipt int, document int, amount double")
+    out = O.apply_receipts(side("receipt", 20, 6.0), side("document", 14, 8.0), app)
+    r, d, want = dict.fromkeys(range(20), 6.0), dict.fromkeys(range(14), 8.0), {}
+    for i in range(40):
+        x = float(i % 7)
+        want[i] = x <= r[i // 2] and x <= d[i // 3]
+        r[i // 2] -= x * want[i]
+        d[i // 3] -= x * want[i]
+    assert {x.application: x.applied for x in out.collect()} == want and len(set(want.values())) == 2
+    assert "pmod" in out._jdf.queryExecution().optimizedPlan().toString()  # not a group for each component
