@@ -240,3 +240,14 @@ def test_receipts_of_many_components_are_folded_together(spark, monkeypatch):
         d[i // 3] -= x * want[i]
     assert {x.application: x.applied for x in out.collect()} == want and len(set(want.values())) == 2
     assert "pmod" in out._jdf.queryExecution().optimizedPlan().toString()  # not a group for each component
+
+
+def test_commerce_outputs_read_lines_that_are_written_once(spark, sf):
+    """Sums by month come from the written lines and sums, not from the orders once for each reader; what is not asked for is not built."""
+    from tabloom.catalog import QUERIES
+    from tabloom.reports import commerce
+
+    plan = QUERIES["commerce_order_months"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
+    none = spark.createDataFrame([], "x int")
+    assert "customers" in list(commerce.diagnosis(none, none, none, none, none, none))
