@@ -36,8 +36,10 @@ def _facts(t):
     i = F.col("o_orderkey")
     refund = lambda rows, mark, share, seq: rows.select(F.concat(F.lit(mark), i).alias("refund_id"), i.alias("order_id"), F.when(i % 6 == 0, 1).alias("line"), F.date_add(day("o_orderdate"), 700).alias("day"), share.alias("amount"), F.when(i % 7 == 0, "退款申请").otherwise("退款成功").alias("status"), (i + seq).alias("seq"))
     refunds = refund(o.where("o_orderkey % 3 = 0"), "R", _times("o_totalprice", "0.2"), 0).union(refund(o.where("o_orderkey % 9 = 0"), "S", _times("o_totalprice", "0.1"), 10_000_000)).union(refund(o.where("o_orderkey % 51 = 0"), "R", _times("o_totalprice", "0.25"), 20_000_000))
-    single = sales.join(sales.groupBy("order_id", "line").count().where("count = 1").drop("count"), ["order_id", "line"]).where("order_id % 4 = 0")
-    back = lambda mark, share, n: single.select(F.concat(F.lit(mark), "order_id", F.lit("-"), "line").alias("return_id"), "order_id", "line", "sku", "unit", F.date_add("day", 10).alias("day"), F.ceil(F.col("quantity") * F.lit(share).cast("decimal(3,2)")).alias("quantity"), F.when(F.col("order_id") % 16 == 0, "pending").otherwise("accepted").alias("status"), (F.col("order_id") * 100 + F.col("line") * 10 + n).alias("seq"))
+    line = l.where("l_orderkey % 4 = 0").groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"))
+    single = line.agg(F.count("*").alias("n"), F.min("l_partkey").alias("sku"), F.min(F.col("l_tax") >= 0.08).alias("box"), F.min(day("l_shipdate")).alias("day"), F.min(_dec("l_quantity", 4)).alias("quantity")).where("n = 1")
+    share = lambda mark, part, n: F.struct(F.lit(mark).alias("mark"), F.lit(part).cast("decimal(3,2)").alias("part"), F.lit(n).alias("n"))
+    back = single.drop("n").withColumn("s", F.explode(F.array(share("X", "0.6", 1), share("Y", "0.5", 2), share("Z", "0.1", 3)))).select(F.concat("s.mark", "order_id", F.lit("-"), "line").alias("return_id"), "order_id", "line", "sku", F.when(F.col("box"), "box").otherwise("pc").alias("unit"), F.date_add("day", 10).alias("day"), F.ceil(F.col("quantity") * F.col("s.part")).alias("quantity"), F.when(F.col("order_id") % 16 == 0, "pending").otherwise("accepted").alias("status"), (F.col("order_id") * 100 + F.col("line") * 10 + F.col("s.n")).alias("seq"))
     bought = l.select(F.concat(F.lit("P"), "l_orderkey", F.lit("-"), "l_linenumber").alias("receipt_id"), k.alias("org"), F.col("l_partkey").alias("sku"), F.when(F.col("l_linenumber") % 3 == 0, "case").otherwise("pc").alias("unit"), day("l_shipdate").alias("day"), F.col("l_quantity").alias("quantity"), _times("l_extendedprice", "0.01").alias("price"), F.when(F.col("l_tax") >= 0.07, "USD").otherwise("CNY").alias("currency"), F.when(F.col("l_linestatus") == "F", "received").otherwise("open").alias("status"))
     q = F.col("p_partkey")
     stock = p.where("p_partkey % 41 <> 5").select((q % 25).alias("org"), q.alias("sku"), (F.col("p_size") + 500).alias("quantity"), F.when(q % 17 == 0, "1996-02-01").otherwise("1996-01-01").cast("date").alias("day"))
@@ -52,7 +54,7 @@ def _facts(t):
     use = lambda x, share: c.select(F.concat(F.lit(f"a{x}-"), n).alias("application"), F.concat(F.lit("C"), n).alias("receipt"), F.lit("opening").alias("kind"), F.concat(F.lit("A"), n).alias("document"), F.lit(None).cast("int").alias("line"), (bal * F.lit(share).cast("decimal(3,2)")).cast("decimal(18,2)").alias("amount"), F.date_add(F.lit("1997-01-20").cast("date"), F.when(n % 9 == 0, 0).otherwise(60)).alias("day"), (n * 10 + x).alias("seq"))
     sold = sales.where("order_id % 50 = 0").groupBy("order_id", "line").agg(F.max("day").alias("d"), F.max("paid").alias("paid"), F.max("sku").alias("sku"))
     sold = sold.select(F.concat(F.lit("s"), "order_id", F.lit("-"), "line"), F.concat(F.lit("C"), F.col("sku") % 25), F.lit("sale"), text("order_id"), F.col("line"), _times("paid", "0.02"), F.date_add("d", 800), F.col("order_id") * 10 + F.col("line") + 100_000_000)
-    made = {"sales": sales, "products": products, "orgs": orgs, "costs": costs, "refunds": refunds, "returns": back("X", "0.6", 1).union(back("Y", "0.5", 2)).union(back("Z", "0.1", 3)), "purchases": bought, "opening_stock": stock, "adjustments": adjusted, "counts": counts, "settlements": settled, "customers": customers, "opening_ar": opening, "receipts": receipts, "applications": use(1, "0.6").union(use(2, "0.5")).union(use(3, "0.3")).union(sold)}
+    made = {"sales": sales, "products": products, "orgs": orgs, "costs": costs, "refunds": refunds, "returns": back, "purchases": bought, "opening_stock": stock, "adjustments": adjusted, "counts": counts, "settlements": settled, "customers": customers, "opening_ar": opening, "receipts": receipts, "applications": use(1, "0.6").union(use(2, "0.5")).union(use(3, "0.3")).union(sold)}
     return MultiFact({name: mixed(df) if name in ("refunds", "returns", "applications") else df for name, df in made.items()}, POLICY)
 
 

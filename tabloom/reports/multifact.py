@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from datetime import date
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import business as B
@@ -69,25 +69,36 @@ def first_reason(*rules: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(rule, F.lit(why)) for rule, why in rules])
 
 
+def dealt(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """Wide rows dealt by key once for all that follows by it, to more and smaller tasks than other shuffles."""
+    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def latest_versions(rows: DataFrame, keys: list[str], version: str, critical: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(rows of the highest version of each key, (keys, reason, rows) of what was left out).
 
     A key with a version that is no number, or whose highest version differs in critical columns, has no row; of a highest version that
-    differs in other columns the smallest row stays. Rows are combined by key and version before they meet.
+    differs in other columns the smallest row stays; of equal rows all but one are copies, which change nothing in what stays. Rows are dealt
+    by key once, and none is carried along more than once.
     """
     names = [c for c in rows.columns if c not in keys]
     known = reduce(lambda a, b: a & b, [text(k) != "" for k in keys])
     v = col(version).try_cast("decimal(18,4)") if dict(rows.dtypes)[version] == "string" else col(version).cast("decimal(18,4)")
     payload = F.struct(*[text(c).alias(c) for c in critical])
-    per = rows.where(known).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"), F.min(payload).alias("_a"), F.max(payload).alias("_b"), F.min(F.struct(*names)).alias("_row"))
-    top = per.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.bool_or(F.col("_v").isNull()).alias("_odd"), F.max_by(F.struct("_n", "_a", "_b", "_row"), "_v").alias("_top"))
-    clash = F.col("_top._a") != F.col("_top._b")
-    kept = top.where(~F.col("_odd") & ~clash).select(*keys, "_top._row.*").select(*rows.columns)
+    # where the highest version does not clash its rows have one payload, so the smallest by payload and row is the smallest row
+    least, most = F.min(F.struct((-v).alias("v"), payload.alias("p"), F.struct(*names).alias("row"))), F.max(F.struct(v.alias("v"), payload.alias("p")))
+    top = dealt(rows.where(known), *keys).groupBy(*keys).agg(F.bool_or(v.isNull()).alias("_odd"), least.alias("_a"), most.alias("_b"))
+    kept = top.where(~F.col("_odd") & (F.col("_a.p") == F.col("_b.p"))).select(*keys, "_a.row.*").select(*rows.columns)
+    per = dealt(rows.where(known), *keys).groupBy(*rows.columns).agg(F.count("*").alias("_c"))
+    per = per.groupBy(*keys, v.alias("_v")).agg(F.sum("_c").alias("_c"), F.count("*").alias("_n"), F.min(payload).alias("_a"), F.max(payload).alias("_b"))
+    per = per.groupBy(*keys).agg(F.sum("_c").alias("_raw"), F.sum("_n").alias("_all"), F.bool_or(F.col("_v").isNull()).alias("_odd"), F.max_by(F.struct("_n", (F.col("_a") != F.col("_b")).alias("clash")), "_v").alias("_top"))
     odd = F.when(F.col("_odd"), F.col("_all")).otherwise(0)
-    sound = F.when(F.col("_odd"), 0)
-    why = [("bad_version", odd), ("superseded", sound.otherwise(F.col("_all") - F.col("_top._n"))), ("conflict", sound.when(clash, F.col("_top._n")).otherwise(0)), ("repeated", sound.when(~clash, F.col("_top._n") - 1).otherwise(0))]
-    gone = top.select(*keys, F.explode(F.array(*[F.struct(F.lit(w).alias("reason"), n.cast("long").alias("rows")) for w, n in why])).alias("_x")).select(*keys, "_x.*").where("rows > 0")
-    return kept, gone.union(rows.where(~known).groupBy(*keys).agg(F.count("*").alias("rows")).select(*keys, F.lit("missing_key"), "rows"))
+    sound, clash = F.when(F.col("_odd"), 0), F.col("_top.clash")
+    why = [("copy", F.col("_raw") - F.col("_all")), ("bad_version", odd), ("superseded", sound.otherwise(F.col("_all") - F.col("_top._n"))), ("conflict", sound.when(clash, F.col("_top._n")).otherwise(0)), ("repeated", sound.when(~clash, F.col("_top._n") - 1).otherwise(0))]
+    split = lambda df, why: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(w).alias("reason"), n.cast("long").alias("rows")) for w, n in why])).alias("_x")).select(*keys, "_x.*").where("rows > 0")
+    # rows without a key may be many: they are combined before they meet
+    lost = rows.where(~known).groupBy(*rows.columns).agg(F.count("*").alias("_c")).groupBy(*keys).agg(F.sum("_c").alias("_raw"), F.count("*").alias("_all"))
+    return kept, split(per, why).union(split(lost, [("copy", F.col("_raw") - F.col("_all")), ("missing_key", F.col("_all"))]))
 
 
 class MultiFact:
@@ -108,40 +119,50 @@ class MultiFact:
         return unique_master(self.tables["products"].withColumn("sku", F.upper(text("sku"))), ["sku"])
 
     @cached_property
-    def _sales(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Valid lines, invalid ones with their reason, and what versions left out."""
-        p = self.policy
-        raw = self.tables["sales"]
-        rows, gone = latest_versions(raw.distinct(), ["order_id", "line"], "version", CRITICAL)
+    def _versions(self) -> tuple[DataFrame, DataFrame]:
+        """Lines in their highest version with their org, and what versions left out."""
+        rows, gone = latest_versions(self.tables["sales"], ["order_id", "line"], "version", CRITICAL)
         rows = rows.withColumns({"sku": F.upper(text("sku")), "quantity": col("quantity").cast(PIECES), "paid": col("paid").cast(CENTS), "day": col("day").cast("date"), "status": text("status")})
-        master = self.products.select("sku", F.col("unit").alias("_unit"), F.col("name").alias("product"), "category")
-        rows = alias_join(rows.join(master, "sku", "left"), "org_name", self.tables["orgs"], "org", "name", "aliases")
-        why = first_reason(
+        return alias_join(rows, "org_name", self.tables["orgs"], "org", "name", "aliases"), gone
+
+    def _rules(self) -> list[tuple[Column, str]]:
+        """What makes a line invalid, the first that holds being its reason."""
+        p = self.policy
+        return [
             (F.col("status").isin(*p.bad) | F.col("status").rlike(NEVER), "bad_status"), (~F.col("status").isin(*p.good), "unknown_status"), (F.col("_unit").isNull(), "unknown_product"),
             (F.coalesce(F.col("quantity") <= 0, F.lit(True)), "bad_quantity"), (F.coalesce(F.col("paid") < 0, F.lit(True)), "bad_amount"), (F.col("day").isNull(), "bad_date"),
             (~self._in_period("day"), "outside_period"), (F.col("org").isNull(), "unknown_org"), (text("unit") != text("_unit"), "other_unit"),
-        )
-        rows = written_once(rows.withColumn("reason", why).drop("_unit"))
+        ]
+
+    @property
+    def _units(self) -> DataFrame:
+        return self.products.select("sku", F.col("unit").alias("_unit"), F.col("name").alias("product"), "category")
+
+    @cached_property
+    def _sales(self) -> DataFrame:
+        """Valid lines. What breaks a rule that needs no product is left out before products are joined."""
+        rows, holds = self._versions[0], lambda rules: reduce(lambda a, b: a | b, [F.coalesce(rule, F.lit(False)) for rule in rules])
+        of_product = ("unknown_product", "other_unit")
+        rows = rows.where(~holds([r for r, why in self._rules() if why not in of_product])).join(self._units, "sku", "left")
+        rows = written_once(rows.where(~holds([r for r, why in self._rules() if why in of_product])).drop("_unit"))
         costs = self.tables["costs"].withColumn("sku", F.upper(text("sku")))
-        good = interval_join(rows.where("reason is null").drop("reason"), costs, "sku", "day", "cost", output="unit_cost")
-        unit = F.when(F.col("unit_cost") >= 0, F.col("unit_cost").cast(PIECES))
-        good = good.withColumn("unit_cost", unit).withColumn("cost", F.round(F.col("quantity") * unit, 2).cast(CENTS)).withColumn("month", F.date_format("day", "yyyy-MM"))
-        good = good.withColumn("_line", F.concat_ws("\u0001", F.length(text("order_id")), text("order_id"), text("line")))
-        return written_once(good), rows.where("reason is not null"), gone
+        good = interval_join(rows, costs, "sku", "day", "cost", output="unit_cost")
+        good = written_once(good.withColumn("unit_cost", F.when(F.col("unit_cost") >= 0, F.col("unit_cost").cast(PIECES))))
+        good = good.withColumn("cost", F.round(F.col("quantity") * F.col("unit_cost"), 2).cast(CENTS)).withColumn("month", F.date_format("day", "yyyy-MM"))
+        return good.withColumn("_line", F.concat_ws("\u0001", F.length(text("order_id")), text("order_id"), text("line")))
 
     @cached_property
     def excluded_sales(self) -> DataFrame:
         """(order_id, line, reason, rows): copies, versions, invalid lines, and valid ones without one effective cost."""
-        good, bad, gone = self._sales
-        raw = self.tables["sales"]
-        copies = raw.groupBy(*raw.columns).agg((F.count("*") - 1).alias("rows")).where("rows > 0").groupBy("order_id", "line").agg(F.sum("rows").alias("rows")).select("order_id", "line", F.lit("copy").alias("reason"), "rows")
+        rows, gone = self._versions
+        bad = rows.join(self._units, "sku", "left").withColumn("reason", first_reason(*self._rules())).where("reason is not null")
         one = lambda df, why: df.select("order_id", "line", why.alias("reason"), F.lit(1).cast("long").alias("rows"))
-        return copies.union(gone).union(one(bad, F.col("reason"))).union(one(good.where("unit_cost is null"), F.lit("no_cost")))
+        return gone.union(one(bad, F.col("reason"))).union(one(self._sales.where("unit_cost is null"), F.lit("no_cost")))
 
     @cached_property
     def _refunds(self) -> tuple[DataFrame, DataFrame]:
         """(refund_id, amount, day, reason; null: accepted) and the shares of accepted ones by sale line."""
-        p, good = self.policy, self._sales[0]
+        p, good = self.policy, self._sales
         rows = self._rows("refunds").withColumns({"amount": col("amount").cast(CENTS), "day": col("day").cast("date")})
         ids = rows.groupBy("refund_id").agg(F.count("*").alias("_n"))
         why = first_reason(
@@ -152,9 +173,12 @@ class MultiFact:
         lines = good.select(text("order_id").alias("_o"), text("line").alias("_l"), "_line", F.col("day").alias("_day"), "paid")
         own = rows.where("reason is null").select("refund_id", "amount", "day", "seq", text("order_id").alias("_o"), text("line").alias("_want"))
         legs = own.join(lines, "_o").where("_want = '' or _want = _l")
-        legs = written_once(allocate_last_residual(legs, ["refund_id"], "amount", "paid", ["_l"], "share"))
-        per = legs.groupBy("refund_id").agg(F.bool_or(F.col("day") < F.col("_day")).alias("_early"), F.sum("paid").alias("_paid"))
-        fits = accept_in_order(legs.join(per.where("not _early and _paid > 0"), "refund_id"), good.select("_line", "paid"), "refund_id", "seq", "_line", "share", "paid")
+        legs = allocate_last_residual(legs, ["refund_id"], "amount", "paid", ["_l"], "share")
+        one = Window.partitionBy("refund_id")
+        legs = legs.withColumn("_early", F.max(F.col("day") < F.col("_day")).over(one)).withColumn("_paid", F.sum("paid").over(one))
+        legs = written_once(legs.select("refund_id", "seq", "_line", "share", "_early", "_paid"))
+        per = legs.groupBy("refund_id").agg(F.bool_or("_early").alias("_early"))
+        fits = accept_in_order(legs.where("not _early and _paid > 0"), good.select("_line", "paid"), "refund_id", "seq", "_line", "share", "paid")
         state = rows.join(per, "refund_id", "left").join(fits, "refund_id", "left")
         why = F.coalesce("reason", first_reason((F.col("_early").isNull(), "orphan"), (F.col("_early"), "before_sale"), (~F.coalesce("accepted", F.lit(False)), "above_paid")))
         state = written_once(state.select("refund_id", "order_id", "line", "day", "amount", why.alias("reason")))
@@ -167,44 +191,55 @@ class MultiFact:
     @cached_property
     def returns(self) -> DataFrame:
         """(return_id, order_id, line, sku, quantity, reversal, reason; null: accepted)."""
-        p, good = self.policy, self._sales[0]
-        rows = self._rows("returns").withColumns({"quantity": col("quantity").cast(PIECES), "day": col("day").cast("date"), "sku": F.upper(text("sku"))})
+        p, good = self.policy, self._sales
+        rows = self.tables["returns"].withColumn("_line", F.concat_ws("\u0001", F.length(text("order_id")), text("order_id"), text("line")))
+        rows = dealt(rows, "_line").distinct().withColumns({"quantity": col("quantity").cast(PIECES), "day": col("day").cast("date"), "sku": F.upper(text("sku"))})
         line = good.select("_line", F.col("sku").alias("_sku"), F.col("quantity").alias("_sold"), F.col("day").alias("_day"), "unit_cost", "org", F.col("unit").alias("_unit"))
-        rows = rows.withColumn("_line", F.concat_ws("\u0001", F.length(text("order_id")), text("order_id"), text("line"))).join(line, "_line", "left")
+        rows = rows.join(line, "_line", "left")
         bad = F.col("_sold").isNull() | F.coalesce((F.col("quantity") <= 0) | (F.col("quantity") > F.col("_sold")), F.lit(True)) | (F.col("day") < F.col("_day")) | (F.col("sku") != F.col("_sku")) | (text("unit") != text("_unit"))
         why = first_reason((F.coalesce((text("status") != p.accepted) | ~self._in_period("day"), F.lit(True)), "not_accepted"), (bad, "no_such_sale"))
-        rows = written_once(rows.withColumn("reason", why))
+        rows = written_once(rows.select("return_id", "order_id", "line", "sku", "org", "quantity", "unit_cost", "seq", "_line", why.alias("reason")))
         fits = accept_in_order(rows.where("reason is null"), good.select("_line", "quantity"), "return_id", "seq", "_line", "quantity", "quantity")
         rows = rows.join(fits, "return_id", "left").withColumn("reason", F.coalesce("reason", F.when(~F.coalesce("accepted", F.lit(False)), "above_sold")))
         return rows.withColumn("reversal", F.when(F.col("reason").isNull(), F.round(F.col("quantity") * F.col("unit_cost"), 2).cast(CENTS))).select("return_id", "order_id", "line", "sku", "org", "quantity", "reversal", "reason", "_line")
 
+    @cached_property
+    def _changes(self) -> DataFrame:
+        """What was refunded and came back of a line; lines of which nothing was have no row. Written, as outputs join it to different columns of the lines."""
+        nil = lambda kind: F.lit(None).cast(kind)
+        back = self.returns.where("reason is null").select("_line", nil(CENTS).alias("share"), "reversal", F.lit(True).alias("_came"))
+        rows = self._refunds[1].select("_line", "share", nil(CENTS).alias("reversal"), F.lit(False).alias("_came")).union(back)
+        came = F.count_if("_came")
+        return written_once(rows.groupBy("_line").agg(F.sum("share").alias("refund"), F.when(F.count("reversal") == came, F.sum("reversal")).alias("_back"), F.when(came > 0, came).alias("_returns")))
+
     @cached_property
     def sales(self) -> DataFrame:
         """Valid lines with cost, refund, reversal, net and margin; the latter null where a cost is."""
-        shares = self._refunds[1].groupBy("_line").agg(F.sum("share").alias("refund"))
-        back = self.returns.where("reason is null").groupBy("_line").agg(strict_sum("reversal").alias("_back"), F.count("*").alias("_returns"))
-        out = self._sales[0].join(shares, "_line", "left").join(back, "_line", "left")
+        out = self._sales.join(self._changes, "_line", "left")
         zero = F.lit(0).cast(CENTS)
         out = out.withColumn("refund", F.coalesce("refund", zero)).withColumn("reversal", F.when(F.col("_returns").isNull(), zero).otherwise(F.col("_back")).cast(CENTS)).withColumn("net", (F.col("paid") - F.col("refund")).cast(CENTS))
         return out.withColumn("margin", (F.col("net") - F.col("cost") + F.col("reversal")).cast(CENTS)).drop("_back", "_returns")
 
     @cached_property
     def _purchases(self) -> DataFrame:
-        p, key = self.policy, ["receipt_id", "org", "sku", "unit"]
-        rows = self._rows("purchases").withColumns({"sku": F.upper(text("sku")), "org": text("org"), "unit": text("unit"), "receipt_id": text("receipt_id"), "day": col("day").cast("date"), "quantity": col("quantity").cast(PIECES), "price": col("price").cast(PIECES)})
+        p = self.policy
+        rows = dealt(self.tables["purchases"].withColumns({"_receipt": text("receipt_id"), "_sku": F.upper(text("sku"))}), "_receipt", "_sku").distinct()
+        rows = rows.withColumns({"org": text("org"), "unit": text("unit"), "day": col("day").cast("date"), "quantity": col("quantity").cast(PIECES), "price": col("price").cast(PIECES)})
         late = F.coalesce((text("status") != p.received) | ~self._in_period("day"), F.lit(True))
-        some = rows.where(~late).groupBy(*key).agg(F.count("*").alias("_n"))
-        rows = rows.join(some, key, "left").join(self.products.select("sku", F.col("unit").alias("_base"), F.col("per_case").cast(PIECES).alias("_case")), "sku", "left")
+        rows = rows.withColumn("_late", late).withColumn("_n", F.count(F.when(~F.col("_late"), 1)).over(Window.partitionBy("_receipt", "_sku", "org", "unit")))
+        rows = rows.select(F.col("_receipt").alias("receipt_id"), "org", F.col("_sku").alias("sku"), "unit", "quantity", "price", "currency", "_late", "_n")
+        rows = rows.join(self.products.select("sku", F.col("unit").alias("_base"), F.col("per_case").cast(PIECES).alias("_case")), "sku", "left")
         factor = F.when(F.col("unit") == text("_base"), F.lit(1).cast(PIECES)).when(F.col("unit").isin("箱", "case"), F.col("_case"))
         unclear = F.col("_base").isNull() | F.coalesce(F.col("quantity") <= 0, F.lit(True)) | F.coalesce(factor <= 0, F.lit(True))
-        rows = rows.withColumn("reason", first_reason((late, "not_received"), (F.col("_n") > 1, "key_conflict"), (unclear, "unit_unclear")))
+        rows = rows.withColumn("reason", first_reason((F.col("_late"), "not_received"), (F.col("_n") > 1, "key_conflict"), (unclear, "unit_unclear")))
         home = F.upper(text("currency")).isin(*HOME) & (F.col("price") >= 0)
-        return rows.withColumn("pieces", F.when(F.col("reason").isNull(), (F.col("quantity") * factor).cast(PIECES))).withColumn("cash", F.when(F.col("reason").isNull() & home, F.round(F.col("quantity") * F.col("price"), 2).cast(CENTS)))
+        rows = rows.withColumn("pieces", F.when(F.col("reason").isNull(), (F.col("quantity") * factor).cast(PIECES))).withColumn("cash", F.when(F.col("reason").isNull() & home, F.round(F.col("quantity") * F.col("price"), 2).cast(CENTS)))
+        return written_once(rows.select("receipt_id", "org", "sku", "unit", "pieces", "cash", "reason"))
 
     @property
     def purchases(self) -> DataFrame:
         """(receipt_id, org, sku, unit, pieces in the base unit, cash in the home currency, reason)."""
-        return self._purchases.select("receipt_id", "org", "sku", "unit", "pieces", "cash", "reason")
+        return self._purchases
 
     @cached_property
     def stock(self) -> DataFrame:
@@ -215,7 +250,7 @@ class MultiFact:
         base = self.products.select("sku", F.col("unit").alias("_base"))
         adjusted = self._rows("adjustments").withColumn("sku", F.upper(text("sku"))).join(base, "sku").where((text("status") == p.approved) & self._in_period("day") & (text("unit") == text("_base")) & F.col("quantity").isNotNull())
         move = lambda df, name, q: df.select(text("org").alias("org"), "sku", F.lit(name).alias("_kind"), F.col(q).cast(PIECES).alias("_q"))
-        moves = reduce(DataFrame.union, [move(self._purchases.where("reason is null"), "bought", "pieces"), move(self._sales[0], "sold", "quantity"), move(self.returns.where("reason is null"), "returned", "quantity"), move(adjusted, "adjusted", "quantity")])
+        moves = reduce(DataFrame.union, [move(self._purchases.where("reason is null"), "bought", "pieces"), move(self._sales, "sold", "quantity"), move(self.returns.where("reason is null"), "returned", "quantity"), move(adjusted, "adjusted", "quantity")])
         kinds = ("bought", "sold", "returned", "adjusted")
         sums = moves.groupBy(*key).agg(*[F.coalesce(F.sum(F.when(F.col("_kind") == k, F.col("_q"))), F.lit(0)).cast(PIECES).alias(k) for k in kinds])
         unclear = self._purchases.where("reason in ('key_conflict', 'unit_unclear')").select(*key, F.concat(F.lit("purchase_"), "reason").alias("_why")).distinct()
@@ -298,7 +333,11 @@ class MultiFact:
         return rows.withColumn("to_come", F.when(there, F.lit(0)).otherwise(F.col("received")).cast(CENTS)).select("settlement_id", "channel", "month", "base", "fees", "offset", "received", "gap", "to_come")
 
     def _by(self, *keys: str) -> DataFrame:
-        s = self.sales.groupBy(*keys).agg(F.count_distinct("order_id").alias("orders"), *[strict_sum(c).cast(CENTS).alias(c) for c in ("paid", "refund", "net", "cost", "reversal", "margin")])
+        """Sums, which shrink before they are shuffled, and orders, of which only the keys are."""
+        s = self.sales.groupBy(*keys).agg(*[strict_sum(c).cast(CENTS).alias(c) for c in ("paid", "refund", "net", "cost", "reversal", "margin")])
+        n = self.sales.select(*keys, "order_id").distinct().groupBy(*keys).agg(F.count("order_id").alias("orders"))
+        same = reduce(lambda a, b: a & b, [s[k].eqNullSafe(n[k]) for k in keys])
+        s = s.join(n, same).select(*[s[k] for k in keys], "orders", *[c for c in s.columns if c not in keys])
         return s.withColumn("margin_rate", F.when(F.col("net") != 0, F.col("margin").cast("double") / F.col("net").cast("double")))
 
     @cached_property
