@@ -28,7 +28,7 @@ from tabloom.operators.aggregate import allocate_last_residual
 from tabloom.operators.capacity import accept_in_order
 from tabloom.operators.dedup import unique_master
 from tabloom.operators.joins import alias_join, interval_join
-from tabloom.operators.order import written_once
+from tabloom.operators.order import dealt, written_once
 
 #: Names of the home currency.
 HOME = ("CNY", "RMB", "人民币")
@@ -69,11 +69,6 @@ def first_reason(*rules: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(rule, F.lit(why)) for rule, why in rules])
 
 
-def dealt(rows: DataFrame, *keys: str | Column) -> DataFrame:
-    """Wide rows dealt by key once for all that follows by it, to more and smaller tasks than other shuffles."""
-    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def latest_versions(rows: DataFrame, keys: list[str], version: str, critical: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(rows of the highest version of each key, (keys, reason, rows) of what was left out).
 
