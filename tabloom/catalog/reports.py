@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tabloom.operators.order import dealt
 from tabloom.functions import expressions as X
 from tabloom.plans import domains, plan as P
 from tabloom.plans.recipe import Recipe
@@ -81,7 +82,7 @@ def quarterly_clean(t):
 
 def _order_lines(t):
     by = ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"]
-    lines = t.lineitem.groupBy(*by).agg(F.sum(X.money("l_extendedprice")).alias("amount")).withColumn("line", F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyyMMdd")))
+    lines = dealt(t.lineitem, "l_orderkey").groupBy(*by).agg(F.sum(X.money("l_extendedprice")).alias("amount")).withColumn("line", F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyyMMdd")))
     return lines.withColumn("disc", (F.col("l_orderkey") % 97 + F.lit("0.07").cast("decimal(18,2)")).cast("decimal(18,2)")).withColumn("refund", (F.col("l_orderkey") % 31).cast("decimal(18,2)"))
 
 
