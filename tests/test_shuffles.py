@@ -47,3 +47,18 @@ def test_rounds_write_what_is_open(spark, monkeypatch):
         left |= {k: left[k] - x for k, x in mine if want[e]}
     assert {r.e: r.accepted for r in got.collect()} == want
     assert max(wrote) <= 300 and sum(wrote) < 3 * len(legs) and wrote[-1] == 0
+
+
+def test_reviews_and_allocations_are_shuffled_once(spark):
+    from tabloom.reports import restaurant, sales
+
+    reviews = spark.createDataFrame([(1, 3, "ok"), (1, 5, "slow"), (2, 5, "ok"), (None, 5, "ok")], "order_no int, score int, label string")
+    refunds = spark.createDataFrame([(1, 2.5, "k"), (1, 1.0, " "), (9, 4.0, "z"), (None, 7.0, "n")], "order_no int, amount double, kind string").withColumns({"reason": F.lit("r"), "owner": F.lit("o"), "status": F.lit("退款成功")})
+    out = restaurant.reviews_with_refunds(reviews, refunds)
+    assert exchanges(out) == 2
+    got = sorted((str(r.order_no), r.record, r.match, str(r.refund), str(r.attention)) for r in out.collect())
+    assert got == sorted([("1", "review", "matched", "3.50", "True"), ("1", "review", "matched", "3.50", "True"), ("2", "review", "no_refund", "None", "False"), ("None", "review", "no_refund", "None", "False"), ("9", "lone_refund", "no_review", "4.00", "None"), ("None", "lone_refund", "no_review", "7.00", "None")])
+    lines = spark.createDataFrame([(o, i, 10.0 + i, 7.0, 3.0, "s", "p", date(2024, 1, 1 + i)) for o in range(5) for i in range(3)], "o int, line int, amount double, disc double, ref double, s string, p string, day date")
+    made = sales.order_analysis(lines, "o", "line", "amount", "disc", "ref", "s", "p", "day")
+    assert exchanges(made["checks"]) == 2 and tuple(made["checks"].first()) == (True, True)
+    assert sum(r.orders for r in made["days"].collect()) == 15
