@@ -20,13 +20,22 @@ def accept_in_order(legs: DataFrame, capacities: DataFrame, event: str, order: s
     it fits beside it, or it would be open too. So a round reads only what is still open. Sums run over ranges of key and order, so a key of any
     size is spread.
     """
-    rows = legs.select(F.col(event).alias("_e"), F.col(order).alias("_o"), F.col(key).alias("_k"), F.col(amount).cast("decimal(24,6)").alias("_x"))
-    room = capacities.select(F.col(key).alias("_k"), F.col(capacity).cast("decimal(24,6)").alias("_c"))
+    bad = refused_in_order(legs, event, order, key, amount, capacity, capacities).withColumn("_bad", F.lit(True))
+    out = legs.select(F.col(event).alias("_e")).distinct().join(bad.withColumnRenamed(event, "_e"), "_e", "left")
+    return out.select(F.col("_e").alias(event), F.col("_bad").isNull().alias("accepted"))
+
+
+def refused_in_order(legs: DataFrame, event: str, order: str, key: str, amount: str, capacity: str, capacities: DataFrame | None = None) -> DataFrame:
+    """(event): the events that accept_in_order does not accept. Without capacities, legs hold the capacity of their key, which no table of keys is read for."""
+    given = [] if capacities is not None else [F.col(capacity).cast("decimal(24,6)").alias("_c")]
+    rows = legs.select(F.col(event).alias("_e"), F.col(order).alias("_o"), F.col(key).alias("_k"), F.col(amount).cast("decimal(24,6)").alias("_x"), *given)
     # what a key is asked for is summed before it meets its room; only legs on keys that do not suffice are written
-    asked = rows.groupBy("_k").agg(F.sum("_x").alias("_all"), F.bool_or(F.col("_x").isNull()).alias("_gap"))
-    asked = asked.join(room.withColumnRenamed("_k", "_key"), F.col("_k") == F.col("_key"), "left")
+    asked = rows.groupBy("_k").agg(F.sum("_x").alias("_all"), F.bool_or(F.col("_x").isNull()).alias("_gap"), *([F.max("_c").alias("_c")] if given else []))
+    if not given:
+        room = capacities.select(F.col(key).alias("_key"), F.col(capacity).cast("decimal(24,6)").alias("_c"))
+        asked = asked.join(room, F.col("_k") == F.col("_key"), "left")
     short = asked.where("_c is null or _gap or _all > _c").select(F.col("_k").alias("_key"), "_c", (F.col("_all") > F.col("_c")).alias("_full"))
-    rows = written_once(rows.join(short, F.col("_k").eqNullSafe(F.col("_key"))).drop("_key"))
+    rows = written_once(rows.select("_e", "_o", "_k", "_x").join(short, F.col("_k").eqNullSafe(F.col("_key"))).drop("_key"))
     wrong = rows.where("_c is null or _x is null").select("_e").distinct()
     tight = written_once(rows.where("_full").drop("_full").join(wrong, "_e", "left_anti"))
     refused = []
@@ -39,6 +48,4 @@ def accept_in_order(legs: DataFrame, capacities: DataFrame, event: str, order: s
         took = run.where("not _never").groupBy("_k").agg(F.sum(F.when(F.col("_fits"), F.col("_x"))).alias("_took"), F.sum(F.when(~F.col("_fits"), F.col("_x"))).alias("_open"), F.first("_c").alias("_c"))
         left = took.select("_k", (F.col("_c") - F.coalesce("_took", F.lit(0))).cast("decimal(24,6)").alias("_c"), "_open").where("_open > _c").drop("_open")
         tight = written_once(run.where("not _never and not _fits").select("_e", "_o", "_k", "_x").join(left, "_k"))
-    bad = reduce(DataFrame.union, [wrong, *refused]).distinct().withColumn("_bad", F.lit(True))
-    out = legs.select(F.col(event).alias("_e")).distinct().join(bad, "_e", "left")
-    return out.select(F.col("_e").alias(event), F.col("_bad").isNull().alias("accepted"))
+    return reduce(DataFrame.union, [wrong, *refused]).distinct().withColumnRenamed("_e", event)

@@ -7,8 +7,8 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tabloom.operators import capacity
-from tabloom.operators.order import written_once
-from tabloom.reports.multifact import CRITICAL, latest_versions
+from tabloom.operators.order import written_by, written_once
+from tabloom.reports.multifact import CRITICAL, MultiFact, Policy, latest_versions
 
 
 def exchanges(df):
@@ -62,3 +62,34 @@ def test_reviews_and_allocations_are_shuffled_once(spark):
     made = sales.order_analysis(lines, "o", "line", "amount", "disc", "ref", "s", "p", "day")
     assert exchanges(made["checks"]) == 2 and tuple(made["checks"].first()) == (True, True)
     assert sum(r.orders for r in made["days"].collect()) == 15
+
+
+def test_lines_are_met_where_they_are(spark):
+    """What speaks of lines is dealt to the buckets that lines were written in, by numbers or, where orders are no numbers, by text."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = spark.createDataFrame([(7, 1, 5.0), (7, 2, 6.0), (8, 1, 9.0)], "order_id bigint, line int, paid double")
+        facts = MultiFact({"sales": lines}, Policy(date(2024, 1, 1), date(2024, 1, 31), ("done",)))
+        said = spark.createDataFrame([("7", "1", 1), ("07", "1", 2), (" 7 ", "2", 3), ("x", "1", 4), (None, "1", 5)], "o string, l string, n int")
+        met = written_by(lines, *facts._key).join(facts._dealt(said, _to="o", _at="l"), facts._same())
+        assert exchanges(met) == 1  # of what speaks of them
+        assert {(r.n, r.paid) for r in met.collect()} == {(1, 5.0), (3, 6.0)}
+        texts = lines.withColumns({"order_id": F.concat(F.lit(" x"), "order_id"), "_order_id": F.concat(F.lit("x"), "order_id")})
+        facts = MultiFact({"sales": texts}, facts.policy)
+        assert facts._key == {"_order_id": "string", "line": "int"}
+        said = spark.createDataFrame([("x7", "2", 1), (" x8", "1", 2), ("x9", "1", 3)], "o string, l string, n int")
+        met = written_by(texts, *facts._key).join(facts._dealt(said, _to="o", _at="l"), facts._same())
+        assert exchanges(met) == 1
+        assert {(r.n, r.paid) for r in met.collect()} == {(1, 6.0), (2, 9.0)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_capacities_may_come_with_legs(spark):
+    dice = random.Random(5)
+    legs = [(e, k, Decimal(dice.randint(1, 9))) for e in range(60) for k in ("a", f"b{e % 5}")]
+    caps = {"a": Decimal(150), **{f"b{i}": Decimal(20 * i) for i in range(5)}}
+    rows = spark.createDataFrame([(e, e, k, x, caps[k]) for e, k, x in legs], "e int, o int, k string, x decimal(10,2), c decimal(10,2)")
+    want = capacity.accept_in_order(rows.drop("c"), spark.createDataFrame(list(caps.items()), "k string, c decimal(10,2)"), "e", "o", "k", "x", "c")
+    refused = {r.e for r in capacity.refused_in_order(rows, "e", "o", "k", "x", "c").collect()}
+    assert refused == {r.e for r in want.collect() if not r.accepted} and 0 < len(refused) < 60
