@@ -29,7 +29,7 @@ from tabloom.operators.aggregate import allocate_last_residual
 from tabloom.operators.capacity import refused_in_order
 from tabloom.operators.dedup import unique_master
 from tabloom.operators.joins import alias_join, interval_join
-from tabloom.operators.order import dealt, written_by, written_once
+from tabloom.operators.order import dealt, dry, spread, written_by, written_once
 
 #: Names of the home currency.
 HOME = ("CNY", "RMB", "人民币")
@@ -98,12 +98,27 @@ def latest_versions(rows: DataFrame, keys: list[str], version: str, critical: tu
     return kept, split(per, why).union(split(lost, [("copy", F.col("_raw") - F.col("_all")), ("missing_key", F.col("_all"))]))
 
 
+class output(cached_property):
+    """Built once, with as many tasks as the lines of sales need."""
+
+    def __get__(self, facts, owner=None):
+        if facts is None:
+            return super().__get__(facts, owner)
+        with spread(next(iter(facts.tables.values())).sparkSession, facts._lines):
+            return super().__get__(facts, owner)
+
+
 class MultiFact:
     """The outputs of a set of tables under a policy; each is built when it is first asked for."""
 
     def __init__(self, tables: dict[str, DataFrame], policy: Policy):
         self.tables, self.policy = tables, policy
 
+    @cached_property
+    def _lines(self) -> int:
+        """Rows of sales: all steps on lines get tasks by them, so that what is written in buckets meets what is dealt later."""
+        return 0 if dry() or "sales" not in self.tables else self.tables["sales"].count()
+
     def _rows(self, name: str) -> DataFrame:
         """Whole rows count once."""
         return self.tables[name].distinct()
@@ -133,7 +148,7 @@ class MultiFact:
         order, line = self._key
         return (F.col(order) == F.col(to)) & (F.col(line) == F.col(at))
 
-    @cached_property
+    @output
     def _versions(self) -> tuple[DataFrame, DataFrame]:
         """Lines in their highest version with their org, and what versions left out."""
         own = [c for c in self._key if c.startswith("_")]
@@ -165,7 +180,7 @@ class MultiFact:
         rows = rows.withColumn("unit_cost", F.when(F.col("unit_cost") >= 0, F.col("unit_cost").cast(PIECES))).join(self._units, "sku", "left")
         return rows.withColumn("reason", first_reason(*[(rule, why) for rule, why in self._rules() if why in (UNKNOWN, OTHER)]))
 
-    @cached_property
+    @output
     def _sales(self) -> DataFrame:
         """Valid lines, by order and line. What breaks a rule that needs no product is left out before products are looked up."""
         order, line = self._key
@@ -176,7 +191,7 @@ class MultiFact:
         good = good.withColumn("cost", F.round(F.col("quantity") * F.col("unit_cost"), 2).cast(CENTS)).withColumn("month", F.date_format("day", "yyyy-MM"))
         return good.withColumn("_line", F.concat_ws("\u0001", F.length(text("order_id")), text("order_id"), text("line")))
 
-    @cached_property
+    @output
     def excluded_sales(self) -> DataFrame:
         """(order_id, line, reason, rows): copies, versions, invalid lines, and valid ones without one effective cost."""
         rows, gone = self._versions
@@ -187,9 +202,9 @@ class MultiFact:
         known = ~F.col("_kept") | F.col("reason").isin("bad_status", "unknown_status")
         bad = rows.where("_kept and reason is not null").where(~known).select(*out, "sku").join(self._units, "sku", "left").withColumn("reason", F.when(F.col("_unit").isNull(), UNKNOWN).otherwise(F.col("reason")))
         priced = self._priced(rows.where("_kept and reason is null").drop("reason", "_kept")).withColumn("reason", F.coalesce("reason", F.when(F.col("unit_cost").isNull(), "no_cost"))).where("reason is not null")
-        return rows.where(known).select(*out).union(bad.select(*out)).union(priced.select(*out))
+        return rows.where(known).select(*out).union(written_once(bad.select(*out).union(priced.select(*out))))
 
-    @cached_property
+    @output
     def _refunds(self) -> tuple[DataFrame, DataFrame]:
         """(refund_id, amount, day, reason; null: accepted) and the shares of accepted ones by sale line."""
         p, good, key = self.policy, self._sales, list(self._key)
@@ -220,7 +235,7 @@ class MultiFact:
     def refunds(self) -> DataFrame:
         return self._refunds[0]
 
-    @cached_property
+    @output
     def _returns(self) -> DataFrame:
         """Returns with their reason and reversal, and the key of the line that they are of."""
         p, good, (order, number) = self.policy, self._sales, self._key
@@ -235,13 +250,13 @@ class MultiFact:
         rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("return_id").isNull() | F.coalesce("_bad", F.lit(False)), "above_sold")))
         return rows.withColumn("reversal", F.when(F.col("reason").isNull(), F.round(F.col("quantity") * F.col("unit_cost"), 2).cast(CENTS)))
 
-    @cached_property
+    @output
     def returns(self) -> DataFrame:
         """(return_id, order_id, line, sku, quantity, reversal, reason; null: accepted)."""
         line = F.concat_ws("\u0001", F.length(text("order_id")), text("order_id"), text("line")).alias("_line")
         return self._returns.select("return_id", "order_id", "line", "sku", "org", "quantity", "reversal", "reason", line)
 
-    @cached_property
+    @output
     def _changes(self) -> DataFrame:
         """What was refunded and came back of a line, by order and line; lines of which nothing was have no row."""
         nil, (order, line) = lambda kind: F.lit(None).cast(kind), self._key
@@ -251,7 +266,7 @@ class MultiFact:
         per = dealt(rows, "_to", "_at").groupBy("_to", "_at").agg(F.sum("share").alias("refund"), F.when(F.count("reversal") == came, F.sum("reversal")).alias("_back"), F.when(came > 0, came).alias("_returns"))
         return written_by(per, "_to", "_at")
 
-    @cached_property
+    @output
     def _sold(self) -> DataFrame:
         """Valid lines with cost, refund, reversal, net and margin, by order and line; the latter null where a cost is."""
         out = self._sales.join(self._changes, self._same(), "left").drop("_to", "_at")
@@ -259,7 +274,7 @@ class MultiFact:
         out = out.withColumn("refund", F.coalesce("refund", zero)).withColumn("reversal", F.when(F.col("_returns").isNull(), zero).otherwise(F.col("_back")).cast(CENTS)).withColumn("net", (F.col("paid") - F.col("refund")).cast(CENTS))
         return out.withColumn("margin", (F.col("net") - F.col("cost") + F.col("reversal")).cast(CENTS)).drop("_back", "_returns")
 
-    @cached_property
+    @output
     def sales(self) -> DataFrame:
         """Valid lines with their product, cost, refund, reversal, net and margin; the latter null where a cost is."""
         return self._sold.join(self.products.select("sku", F.col("name").alias("product"), "category"), "sku", "left")
@@ -271,7 +286,7 @@ class MultiFact:
         rows = dealt(rows.where(out if late else ~out), "_receipt", "_sku").distinct()
         return rows.withColumns({"org": text("org"), "unit": text("unit"), "quantity": col("quantity").cast(PIECES), "price": col("price").cast(PIECES)})
 
-    @cached_property
+    @output
     def _purchases(self) -> DataFrame:
         """Purchases that count, with their pieces, cash or the reason why not."""
         rows = self._arrivals(False).withColumn("_n", F.count("*").over(Window.partitionBy("_receipt", "_sku", "org", "unit")))
@@ -284,14 +299,14 @@ class MultiFact:
         rows = rows.withColumn("pieces", F.when(F.col("reason").isNull(), (F.col("quantity") * factor).cast(PIECES))).withColumn("cash", F.when(F.col("reason").isNull() & home, F.round(F.col("quantity") * F.col("price"), 2).cast(CENTS)))
         return rows.select("receipt_id", "org", "sku", "unit", "pieces", "cash", "reason")
 
-    @property
+    @output
     def purchases(self) -> DataFrame:
         """(receipt_id, org, sku, unit, pieces in the base unit, cash in the home currency, reason)."""
         nil = lambda kind, name: F.lit(None).cast(kind).alias(name)
         late = self._arrivals(True).select(F.col("_receipt").alias("receipt_id"), "org", F.col("_sku").alias("sku"), "unit", nil(PIECES, "pieces"), nil(CENTS, "cash"), F.lit("not_received").alias("reason"))
         return self._purchases.union(late)
 
-    @cached_property
+    @output
     def stock(self) -> DataFrame:
         """Roll-forward of each org and sku: opening, bought, sold, returned, adjusted, known, closing (null if anything of the key is unclear), value, cover, count at the cutoff, status."""
         p, key = self.policy, ["org", "sku"]
@@ -327,12 +342,12 @@ class MultiFact:
         status = F.coalesce(F.when(F.col("closing").isNull(), "unclear"), F.when(F.col("closing") < 0, "negative"), F.when(F.col("closing") < F.col("safety"), "below_safety"), F.when(over, "overstock"), F.when((F.col("sold") == 0) & (F.col("closing") > 0), "no_sales"), F.lit("normal"))
         return out.withColumn("status", status).select(*key, "opening", *kinds, "known", "closing", "unclear", "unit_cost", "value", "cover_days", "counted_on", "counted", "count_gap", "count_basis", "status")
 
-    @cached_property
+    @output
     def _openings(self) -> DataFrame:
         opening = unique_master(self._rows("opening_ar").withColumn("document", text("document")), ["document"])
         return opening.select("document", text("org").alias("org"), text("customer").alias("customer"), col("amount").cast(CENTS).alias("base"), col("due").cast("date").alias("due"))
 
-    @cached_property
+    @output
     def _cash(self) -> tuple[DataFrame, DataFrame]:
         """Applications with their reason and the key of their document, receipts."""
         p, (order, line) = self.policy, self._key
@@ -362,7 +377,7 @@ class MultiFact:
     def applications(self) -> DataFrame:
         return self._cash[0].select("application", "receipt", "amount", "org", "reason")
 
-    @cached_property
+    @output
     def _open(self) -> tuple[DataFrame, DataFrame]:
         """Opening documents and sale lines with what was applied and what is left."""
         used, key = self._cash[0].where("reason is null"), list(self._key)
@@ -372,7 +387,7 @@ class MultiFact:
         sold = self._sold.select(*dict.fromkeys([*key, "order_id", "line"]), "org", "customer", F.col("net").alias("base"), "day").join(per, self._same(), "left")
         return left(opening), left(sold).select("order_id", "line", "org", "customer", "base", "day", "applied", "closing")
 
-    @cached_property
+    @output
     def receivables(self) -> DataFrame:
         """Documents with what was applied, what is left and how many days it is overdue."""
         opening, sold = self._open
@@ -382,14 +397,14 @@ class MultiFact:
         out = rows(opening, "opening", F.col("document"), F.lit("")).union(rows(sold, "sale", text("order_id"), text("line")))
         return out.withColumn("overdue_days", F.when(F.col("due").isNotNull(), F.greatest(F.datediff(F.lit(self.policy.cutoff), "due"), F.lit(0))))
 
-    @cached_property
+    @output
     def cash(self) -> DataFrame:
         """Receipts with what was applied and, of arrived ones in the home currency, what is not."""
         used = self._cash[0].where("reason is null").groupBy("receipt").agg(F.sum("amount").alias("applied"))
         out = self._cash[1].join(used, "receipt", "left").withColumn("applied", F.coalesce("applied", F.lit(0)).cast(CENTS))
         return out.withColumn("unapplied", F.when(F.col("there") & F.col("home"), (F.col("amount") - F.col("applied")).cast(CENTS))).select("receipt", "org", "amount", "there", "home", "applied", "unapplied")
 
-    @cached_property
+    @output
     def settlements(self) -> DataFrame:
         """Settlements of the period with all amounts: fees, what does not tie, what is still to come."""
         p = self.policy
@@ -408,7 +423,7 @@ class MultiFact:
         s = s.join(n, same).select(*[s[k] for k in keys], "orders", *[c for c in s.columns if c not in keys])
         return s.withColumn("margin_rate", F.when(F.col("net") != 0, F.col("margin").cast("double") / F.col("net").cast("double")))
 
-    @cached_property
+    @output
     def months(self) -> DataFrame:
         """Sales by the month of the order, refunds also by their own month, fees by that of the settlement; months with any of them."""
         per = self.refunds.where("reason is null").where(self._in_period("day")).groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.sum("amount").cast(CENTS).alias("refunded_in"))
@@ -419,7 +434,7 @@ class MultiFact:
         out = out.withColumns({c: F.when(~sold, F.lit(0).cast(CENTS)).otherwise(F.col(c)) for c in ("cost", "reversal", "margin")}).fillna(0, money)
         return out.withColumn("contribution", (F.col("margin") - F.col("fees")).cast(CENTS))
 
-    @cached_property
+    @output
     def orgs(self) -> DataFrame:
         """Each org with its sales, open receivables and their share of its net sales; attention above the policy's ratio."""
         due = reduce(DataFrame.union, [df.select(text("org").alias("org"), "closing") for df in self._open]).groupBy("org").agg(F.sum("closing").cast(CENTS).alias("receivable"))
@@ -427,17 +442,17 @@ class MultiFact:
         out = out.withColumn("ar_share", F.when(F.col("net") != 0, F.col("receivable").cast("double") / F.col("net").cast("double")))
         return out.withColumn("attention", F.coalesce(F.col("ar_share") > self.policy.ar_ratio, F.lit(False)) if self.policy.ar_ratio is not None else F.lit(False))
 
-    @cached_property
+    @output
     def channels(self) -> DataFrame:
         fees = self.settlements.groupBy("channel").agg(F.sum("fees").cast(CENTS).alias("fees"), F.sum("to_come").cast(CENTS).alias("to_come"))
         out = self._by("channel").join(fees, "channel", "left").fillna(0, ["fees", "to_come"])
         return out.withColumn("contribution", (F.col("margin") - F.col("fees")).cast(CENTS))
 
-    @cached_property
+    @output
     def items(self) -> DataFrame:
         return self.products.select("sku", F.col("name").alias("product"), "category").join(self._by("sku"), "sku", "left").fillna(0, ["orders", "paid", "refund", "net"])
 
-    @cached_property
+    @output
     def checks(self) -> DataFrame:
         """(check, gap, ok): receivables roll forward, refund shares are what was refunded, settlements tie, every line has its cost, every key its stock."""
         one = lambda df, name, gap: df.agg(gap.cast("decimal(20,2)").alias("gap")).select(F.lit(name).alias("check"), "gap")

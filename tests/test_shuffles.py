@@ -93,3 +93,32 @@ def test_capacities_may_come_with_legs(spark):
     want = capacity.accept_in_order(rows.drop("c"), spark.createDataFrame(list(caps.items()), "k string, c decimal(10,2)"), "e", "o", "k", "x", "c")
     refused = {r.e for r in capacity.refused_in_order(rows, "e", "o", "k", "x", "c").collect()}
     assert refused == {r.e for r in want.collect() if not r.accepted} and 0 < len(refused) < 60
+
+
+def test_tasks_follow_the_lines(spark, monkeypatch):
+    """More lines get more tasks, whatever the session asks for, so that none holds more; the session's settings come back."""
+    from tabloom.operators import order
+
+    day, keep = date(2024, 1, 5), ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    ids = spark.range(600).select((F.col("id") / 3).cast("long").alias("order_id"), (F.col("id") % 3).cast("int").alias("line"))
+    tables = {
+        "sales": ids.select("*", F.lit(1).alias("version"), F.lit(day).alias("day"), F.lit("a").alias("org_name"), F.lit("S").alias("sku"), F.lit(10).alias("quantity"), F.lit(20).alias("paid"), F.lit("done").alias("status"), F.lit("pc").alias("unit"), F.lit("c").alias("customer"), F.concat(F.lit("x"), "line").alias("channel")),
+        "products": spark.createDataFrame([("S", "s", "k", "pc", 6, 1, 30)], "sku string, name string, category string, unit string, per_case int, safety int, target_days int"),
+        "orgs": spark.createDataFrame([("A", "a", None)], "org string, name string, aliases string"),
+        "costs": spark.createDataFrame([("S", day, None, 1.5)], "sku string, start date, stop date, cost double"),
+        "refunds": ids.select(F.concat(F.lit("R"), "order_id").alias("refund_id"), "order_id", "line", F.lit(day).alias("day"), F.lit(2).alias("amount"), F.lit("退款成功").alias("status"), F.col("order_id").alias("seq")).where("line = 0"),
+        "returns": ids.select(F.concat_ws("-", F.lit("B"), "order_id", "line").alias("return_id"), "order_id", "line", F.lit("S").alias("sku"), F.lit("pc").alias("unit"), F.lit(day).alias("day"), (F.col("line") * 5 + 1).alias("quantity"), F.lit("accepted").alias("status"), (F.col("order_id") * 10 + F.col("line")).alias("seq")).withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).select(F.concat("return_id", F.lit("/"), "n").alias("return_id"), "order_id", "line", "sku", "unit", "day", "quantity", "status", (F.col("seq") * 10 + F.col("n")).alias("seq")),
+        "settlements": spark.createDataFrame([], "settlement_id int, channel string, month date, base int, commission int, delivery int, promotion int, offset int, received int, arrives date, status string"),
+    }
+    before = [spark.conf.get(k, None) for k in keep]
+    made = {}
+    for rows in (1_000_000, 60):
+        monkeypatch.setattr(order, "ROWS", rows)
+        facts = MultiFact(tables, Policy(date(2024, 1, 1), date(2024, 1, 31), ("done",)))
+        lines = facts._sold.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+        back = facts.returns
+        made[rows] = (back.rdd.getNumPartitions(), lines, sorted(map(str, back.collect())), sorted(map(str, facts.channels.collect())))
+        assert [spark.conf.get(k, None) for k in keep] == before
+    (few, many, *one), (more, less, *two) = made.values()
+    assert one == two and len(one[1]) == 3 and "'above_sold'" in str(one[0])
+    assert few == 16 and more == 40 and less < many and less <= 60
