@@ -418,7 +418,7 @@ class MultiFact:
     def _by(self, *keys: str) -> DataFrame:
         """Sums, which shrink before they are shuffled, and orders, of which only the keys are."""
         s = self._sold.groupBy(*keys).agg(*[strict_sum(c).cast(CENTS).alias(c) for c in ("paid", "refund", "net", "cost", "reversal", "margin")])
-        n = self._sold.select(*keys, "order_id").distinct().groupBy(*keys).agg(F.count("order_id").alias("orders"))
+        n = dealt(self._sold.select(*keys, "order_id"), *keys, "order_id").distinct().groupBy(*keys).agg(F.count("order_id").alias("orders"))
         same = reduce(lambda a, b: a & b, [s[k].eqNullSafe(n[k]) for k in keys])
         s = s.join(n, same).select(*[s[k] for k in keys], "orders", *[c for c in s.columns if c not in keys])
         return s.withColumn("margin_rate", F.when(F.col("net") != 0, F.col("margin").cast("double") / F.col("net").cast("double")))

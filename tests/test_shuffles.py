@@ -122,3 +122,17 @@ def test_tasks_follow_the_lines(spark, monkeypatch):
     (few, many, *one), (more, less, *two) = made.values()
     assert one == two and len(one[1]) == 3 and "'above_sold'" in str(one[0])
     assert few == 16 and more == 40 and less < many and less <= 60
+
+
+def test_orders_are_counted_in_tasks_that_follow_the_lines(spark, monkeypatch):
+    from tabloom.operators import order
+
+    monkeypatch.setattr(order, "ROWS", 10)
+    sold = spark.range(90).select((F.col("id") / 2).cast("long").alias("order_id"), F.concat(F.lit("x"), F.col("id") % 3).alias("channel"), *[F.lit(2).cast("decimal(18,2)").alias(c) for c in ("paid", "refund", "net", "cost", "reversal", "margin")])
+    facts = MultiFact({"sales": sold}, Policy(date(2024, 1, 1), date(2024, 1, 31), ("done",)))
+    facts.__dict__["_sold"] = sold
+    with order.spread(spark, 100):
+        out = facts._by("channel")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert any("channel#" in line and "order_id#" in line and ", 40)" in line for line in plan.split("\n") if "Exchange hashpartitioning" in line)
+    assert {r.channel: (r.orders, r.paid) for r in out.collect()} == {f"x{i}": (30, 60) for i in range(3)}
