@@ -136,3 +136,27 @@ def test_orders_are_counted_in_tasks_that_follow_the_lines(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert any("channel#" in line and "order_id#" in line and ", 40)" in line for line in plan.split("\n") if "Exchange hashpartitioning" in line)
     assert {r.channel: (r.orders, r.paid) for r in out.collect()} == {f"x{i}": (30, 60) for i in range(3)}
+
+
+def test_capped_returns_are_read_in_batches_of_many_lines(spark, tmp_path):
+    """No group for each line; a line goes on from batch to batch, and what is unknown stays so, as in the SQL."""
+    import duckdb
+    from tabloom import catalog
+
+    dice = random.Random(7)
+    orders = [(i, dice.choice([1, 2, 3, 3, 3, 4, None, 99]), dice.choice([90_000.0, 150_000.0, 350_000.0, 450_000.0, 0.0, None, float("nan")])) for i in range(400)]
+    orders += [(400, 5, float("-inf")), (401, 5, float("inf")), (402, 5, 1.0), (403, 6, 1.0), (None, 6, 400_000.0), (404, 6, 399_999.0), (405, 6, 0.5)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5, 6, 7, None)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(catalog.ORACLES["returns_capped"]).fetchall()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = catalog.QUERIES["returns_capped"](spark, str(tmp_path))
+        got = [(r.o_custkey, r.o_orderkey, r.accepted) for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {a for *_, a in got} == {True, False, None}
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
